@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Remembered words and chunks, in two generations each: when the young one is full it becomes the old one.
-WORDS, CHUNKS = 150_000, 250_000
+WORDS, CHUNKS = 250_000, 400_000
 #: Remembered answers of the pair test.
 FITS = 400_000
 _NEVER = 1 << 60
