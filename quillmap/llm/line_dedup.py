@@ -37,7 +37,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counts = lines.groupBy("a", "b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
         shared = counts.where(F.col("lo") < F.col("hi")) if min_docs == 2 else counts
     else:
-        once = lines.groupBy("a", "b", "k").agg()
+        once = lines.select("a", "b", "k").distinct()
         shared = once.groupBy("a", "b").agg(F.min("k").alias("lo"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
     drops = lines.join(shared.select("a", "b", "lo"), ["a", "b"]).where(F.col("k") != F.col("lo"))
     drops = drops.groupBy("k", "h").agg(F.collect_list("pos").alias("drops"))
