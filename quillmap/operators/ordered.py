@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns computed once: a generator stands between them and their uses, so none is copied into each use."""
+    return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("__r")).select("__r.*")
+
+
 def smooth(df: DataFrame, keys: Sequence[str], order: Sequence, columns: Sequence[str], window: int = 5) -> DataFrame:
     """Moving average of the inner vertices of each chain; the first and last window // 2 stay, and chains up to window long."""
     half = window // 2
@@ -75,7 +80,7 @@ def extend_centres(df: DataFrame, centres: str, spacing: Column, support: str, w
 
     for sign in (-1, 1):
         start = F.struct(F.col(centres).alias("cs"), (spacing > 0).alias("on"))
-        df = df.withColumn(centres, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, go(sign), lambda acc: acc["cs"]))
+        df = settled(df.withColumn(centres, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, go(sign), lambda acc: acc["cs"])))
     return df
 
 
