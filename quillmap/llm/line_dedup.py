@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, packed, unpacked
+from .common import NULL_ID, materialise, packed, unpacked
 
 #: What is stripped from a line's ends, and the letters that are lower-cased.
 BLANK = " \t\n\x0b\x0c\r"
@@ -24,22 +24,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines (before dropping) and n_dropped; columns of these names are replaced. A null id counts as the largest id.
     Rows with the same id are one document; all its copies of a line stay or go together. An empty table gives no rows.
 
-    Lines travel as two 64-bit hashes without their text. Counting is pre-aggregated before its shuffle; the join of a
-    hot line's rows is one that adaptive execution splits. The texts move once, to meet the positions to drop.
+    Lines are hashed once and written as two 64-bit hashes without their text. Counting is pre-aggregated before its
+    shuffle; the shared lines are written too, so that the join of a hot line's rows is one that adaptive execution
+    splits. The texts move once, to meet the positions to drop.
     """
     names = docs.columns
     base = packed(docs, k=F.coalesce(F.col(id_col), F.lit(NULL_ID)), text=F.coalesce(F.col(text_col), F.lit("")), was_null=F.col(text_col).isNull())
     base = base.withColumn("h", F.xxhash64("text"))
     lines = base.select("k", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.select("k", "h", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
-    lines = lines.select("k", "h", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), "key").alias("b"))
+    lines = materialise(lines.select("k", "h", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit("line"), "key").alias("b")), "lines")
     if min_docs <= 2:
         counts = lines.groupBy("a", "b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
         shared = counts.where(F.col("lo") < F.col("hi")) if min_docs == 2 else counts
     else:
         once = lines.select("a", "b", "k").distinct()
         shared = once.groupBy("a", "b").agg(F.min("k").alias("lo"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    drops = lines.join(shared.select("a", "b", "lo"), ["a", "b"]).where(F.col("k") != F.col("lo"))
+    drops = lines.join(materialise(shared.select("a", "b", "lo"), "shared"), ["a", "b"]).where(F.col("k") != F.col("lo"))
     drops = drops.groupBy("k", "h").agg(F.collect_list("pos").alias("drops"))
     joined = base.join(drops, ["k", "h"], "left")
     # One-element arrays bind the split text and its remaining positions, so that each is made once in a row.
@@ -48,6 +49,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("drops")), lambda i: F.get(ls, i)), "\n"),
     )[0]
     text = F.when(F.col("drops").isNotNull(), remaining).when(~F.col("was_null"), F.col("text"))
-    n_lines = (F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1).cast("long")
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_dropped = F.coalesce(F.size(F.array_distinct("drops")), F.lit(0)).cast("long")
     return unpacked(joined, names, **{text_col: text, "n_lines": n_lines, "n_dropped": n_dropped})
