@@ -627,3 +627,113 @@ def topology_gaps(spark, d):
 def robust_fit(spark, d):
     f = fit.robust_line(_t(spark, d, "lineitem").where("l_suppkey % 5 = 0"), ["l_suppkey"], "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], within=2000.0, apart=5.0, draws=30)
     return f.select("l_suppkey", _r("slope", 4).alias("slope"), _r("intercept", 3).alias("intercept"), "inliers")
+
+
+@query("""SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 10""")
+def longest_lines(spark, d):
+    return ordered.top_k(_t(spark, d, "part"), ["p_brand"], 10, F.col("p_retailprice").desc(), F.col("p_partkey")).select("p_brand", "p_partkey", "p_retailprice")
+
+
+@query(f"""
+    WITH {_SEGMENT_SQL}, s AS (SELECT *, x2-x1 AS dx, y2-y1 AS dy, sqrt((x2-x1)*(x2-x1) + (y2-y1)*(y2-y1)) AS d FROM e WHERE x1 IS NOT NULL),
+    n AS (SELECT *, CASE WHEN d > 0 THEN -dy / d ELSE 0 END AS nx, CASE WHEN d > 0 THEN dx / d ELSE 1 END AS ny FROM s)
+    SELECT user_id, event_id, CAST(trunc(x1 + 3*nx) AS INT) AS ax, CAST(trunc(y1 + 3*ny) AS INT) AS ay, CAST(trunc(x2 + 3*nx) AS INT) AS bx, CAST(trunc(y2 + 3*ny) AS INT) AS by_,
+           CAST(trunc(x2 - 3*nx) AS INT) AS cx, CAST(trunc(y2 - 3*ny) AS INT) AS cy, CAST(trunc(x1 - 3*nx) AS INT) AS dx, CAST(trunc(y1 - 3*ny) AS INT) AS dy FROM n
+""")
+def ribbon(spark, d):
+    r = _event_segments(spark, d).withColumn("r", g.ribbon(F.array(g.point(F.col("x1"), F.col("y1")), g.point(F.col("x2"), F.col("y2")))))
+    at = lambda k, c: F.get("r", F.lit(k))[c].cast("int")
+    return r.select("user_id", "event_id", *[at(k, c).alias(n) for k, c, n in ((0, "x", "ax"), (0, "y", "ay"), (1, "x", "bx"), (1, "y", "by_"), (2, "x", "cx"), (2, "y", "cy"), (3, "x", "dx"), (3, "y", "dy"))])
+
+
+@query("""
+    WITH m AS (SELECT l_suppkey, avg(l_quantity) AS mx, avg(l_extendedprice / 1000) AS my, var_pop(l_quantity) AS vx, var_pop(l_extendedprice / 1000) AS vy, covar_pop(l_quantity, l_extendedprice / 1000) AS c FROM lineitem GROUP BY l_suppkey),
+    t AS (SELECT *, atan2(2 * c, vx - vy) / 2 AS t FROM m)
+    SELECT l_suppkey, round(least(greatest(mx - 1000 * cos(t), 0), 1999), 3) AS x1, round(least(greatest(my - 1000 * sin(t), 0), 899), 3) AS y1, round(least(greatest(mx + 1000 * cos(t), 0), 1999), 3) AS x2, round(least(greatest(my + 1000 * sin(t), 0), 899), 3) AS y2 FROM t
+""")
+def full_line(spark, d):
+    l = _t(spark, d, "lineitem").select("l_suppkey", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    p = fit.principal_line(l, ["l_suppkey"], "x", "y", F.lit(2000.0), F.lit(900.0))
+    return p.select("l_suppkey", *[_r(c, 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("""
+    WITH s AS (SELECT p_brand, (lead(p_retailprice) OVER w - p_retailprice) / (lead(p_partkey) OVER w - p_partkey) AS s FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey))
+    SELECT p_brand, round(avg(s), 6) AS "interval", max(s) - min(s) > 0.1 AS inconsistent FROM s GROUP BY p_brand
+""")
+def anchor_spacing(spark, d):
+    s = ordered.spacing_consistency(_t(spark, d, "part"), ["p_brand"], "p_partkey", "p_retailprice")
+    return s.select("p_brand", _r("interval").alias("interval"), "inconsistent")
+
+
+@query("""
+    WITH r AS (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS i FROM events GROUP BY user_id, event_type)
+    SELECT user_id, arg_max(event_type, (n, -i)) AS best FROM r GROUP BY user_id
+""")
+def best_row(spark, d):
+    from pyspark.sql import Window
+
+    r = _t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    r = r.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_type")))
+    return ordered.argmax_row(r, ["user_id"], F.col("n"), F.col("i"), F.col("event_type"), "best")
+
+
+@query("""
+    WITH h AS (SELECT l_suppkey % 20 AS k, CAST(floor(least(greatest(l_quantity / 5 * 10, 0), 255)) AS INT) AS level, count(*) AS n FROM lineitem GROUP BY 1, 2),
+    c AS (SELECT k, level, sum(n) OVER u AS n0, sum(n) OVER p AS n, sum(n*level) OVER u AS s0, sum(n*level) OVER p AS s FROM h WINDOW u AS (PARTITION BY k ORDER BY level ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY k)),
+    v AS (SELECT *, CASE WHEN n > n0 THEN round(CAST(n0*(n-n0) AS DOUBLE) * (s0/n0 - (s-s0)/(n-n0)) * (s0/n0 - (s-s0)/(n-n0)), 3) ELSE 0 END AS b FROM c)
+    SELECT k, arg_max(level, (b, -level)) / 10.0 AS threshold FROM v GROUP BY k
+""")
+def width_threshold(spark, d):
+    l = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("k"), (F.col("l_quantity") / 5).alias("w"))
+    return fit.width_threshold(l, ["k"], "w")
+
+
+@query("""
+    WITH g AS (SELECT user_id, ts, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER w) > 3600 THEN 1 ELSE 0 END AS o FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    c AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS "start", count(*) AS n, round(sum(value), 4) AS total FROM c GROUP BY user_id, s
+""")
+def gap_sessions(spark, d):
+    from ..streaming.gaps import gap_sessions as sessions
+
+    s = sessions(_t(spark, d, "events"), ["user_id"], "ts")
+    return s.select("user_id", F.unix_timestamp("start").alias("start"), "n", _r("value_sum", 4).alias("total"))
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, 5.0 * p_size AS x, CAST(p_retailprice % 300 AS DOUBLE) AS y, CAST(p_partkey % 7 - 3 AS DOUBLE) AS dx, CAST(p_partkey % 5 - 2 AS DOUBLE) AS dy FROM part),
+    u AS (SELECT *, CASE WHEN dx*dx + dy*dy = 0 THEN NULL ELSE dx / sqrt(dx*dx + dy*dy) END AS ux, CASE WHEN dx*dx + dy*dy = 0 THEN NULL ELSE dy / sqrt(dx*dx + dy*dy) END AS uy, x AS l, 399 - x AS r, y AS t, 299 - y AS b FROM p),
+    n AS (SELECT *, least(l, r, t, b) AS m FROM u)
+    SELECT p_partkey, round(CASE WHEN m > 200 OR ux IS NULL THEN x WHEN l = m AND -ux > 0.3 THEN least(greatest(x + ux * l / -ux, 0), 399) WHEN r = m AND ux > 0.3 THEN least(greatest(x + ux * r / ux, 0), 399)
+                                 WHEN t = m AND -uy > 0.3 THEN least(greatest(x + ux * t / -uy, 0), 399) WHEN b = m AND uy > 0.3 THEN least(greatest(x + ux * b / uy, 0), 399) ELSE x END, 4) AS x,
+                      round(CASE WHEN m > 200 OR ux IS NULL THEN y WHEN l = m AND -ux > 0.3 THEN least(greatest(y + uy * l / -ux, 0), 299) WHEN r = m AND ux > 0.3 THEN least(greatest(y + uy * r / ux, 0), 299)
+                                 WHEN t = m AND -uy > 0.3 THEN least(greatest(y + uy * t / -uy, 0), 299) WHEN b = m AND uy > 0.3 THEN least(greatest(y + uy * b / uy, 0), 299) ELSE y END, 4) AS y FROM n
+""")
+def extend_to_edge(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", (5.0 * F.col("p_size")).alias("x"), (F.col("p_retailprice") % 300).alias("y"), (F.col("p_partkey") % 7 - 3).cast("double").alias("dx"), (F.col("p_partkey") % 5 - 2).cast("double").alias("dy"))
+    e = p.withColumn("e", g.extended_to_edge(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"), F.lit(400.0), F.lit(300.0)))
+    return e.select("p_partkey", _r("e.x", 4).alias("x"), _r("e.y", 4).alias("y"))
+
+
+@query("""
+    WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders), a AS (SELECT o_custkey % 100 AS k, count(*) AS area, min(o_orderkey) AS x_min, max(o_orderkey) AS x_max, round(avg(o_totalprice), 4) AS cy FROM r GROUP BY 1)
+    SELECT * FROM a WHERE area > 20
+""")
+def component_boxes(spark, d):
+    o = _t(spark, d, "orders").select((F.col("o_custkey") % 100).alias("k"), F.col("o_orderkey").alias("x"), F.col("o_totalprice").alias("y"), F.lit(1).alias("c"))
+    return linework.component_boxes(o, ["k"], "c", 20).select("k", "area", "x_min", "x_max", _r("cy", 4).alias("cy"))
+
+
+@query()
+def tile_clip(spark, d):
+    s = _strokes(spark, d)
+    size = s.select("image_id").distinct().select("image_id", F.lit(400).alias("width"), F.lit(300).alias("height"))
+    tiles = metrics.tile_grid(size, size=128).select("image_id", "row", "col", "x0", "y0")
+    return metrics.tile_clip(s, tiles, ["image_id"], 128).select("image_id", "shape_idx", "row", "col", F.size("points").alias("n"))
+
+
+@query()
+def draw_of_prefix(spark, d):
+    p = _t(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "url", "page_id")
+    return ordered.one_of_each(p, "host", "url")
