@@ -114,26 +114,33 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     counts, letters = ngram_counts(text)
                     if letters:
                         used = np.flatnonzero(counts)
-                        at.append(used.astype(np.int16))
-                        values.append(counts[used].astype(np.int32))
+                        at.append(used.astype("<u2").tobytes())
+                        values.append(counts[used].astype("<f4").tobytes())
                         keep.append(row)
                     row += 1
-            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep, pa.int64())), batch.column("u").take(pa.array(keep, pa.int64())), pa.array(at, pa.list_(pa.int16())), pa.array(values, pa.list_(pa.int32()))], ["lang", "u", "at", "n"])
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(rows), batch.column("u").take(rows), pa.array(at, pa.binary()), pa.array(values, pa.binary())], ["lang", "u", "at", "n"])
 
-    got = sorted(chosen.mapInArrow(features, "lang string, u bigint, at array<smallint>, n array<int>").collect(), key=lambda r: (r["lang"], r["u"], r["at"]))
-    langs = sorted({r["lang"] for r in got})
+    got = sorted((r["lang"], r["u"], bytes(r["at"]), bytes(r["n"])) for r in chosen.mapInArrow(features, "lang string, u bigint, at binary, n binary").collect())
+    langs = sorted({r[0] for r in got})
     if not langs:
         return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
-    counts = np.zeros((len(got), DIMS), np.float32)
-    for k, r in enumerate(got):
-        counts[k, r["at"]] = r["n"]
-    idf = np.log((1 + len(got)) / (1 + (counts > 0).sum(axis=0))) + 1
-    rows_ = np.log1p(counts) * idf
-    rows_ /= np.maximum(np.linalg.norm(rows_, axis=1, keepdims=True), 1e-12)
-    label = np.array([langs.index(r["lang"]) for r in got])
-    per = [cluster(rows_[label == k], centroids) for k in range(len(langs))]
-    floor = np.array([REJECT_SHARE * (rows_[label == k] @ per[k].T).max(axis=1).min() for k in range(len(langs))])
-    return Model(langs, idf, np.concatenate(per), np.concatenate([np.full(len(c), k) for k, c in enumerate(per)]), floor)
+    seen = np.zeros(DIMS)
+    for _, _, at, _ in got:
+        seen[np.frombuffer(at, "<u2")] += 1
+    idf = (np.log((1 + len(got)) / (1 + seen)) + 1).astype(np.float32)
+    per, floor = [], []
+    for lang in langs:
+        # One language's vectors at a time, so that the driver holds sample x DIMS numbers.
+        own = [r for r in got if r[0] == lang]
+        vectors = np.zeros((len(own), DIMS), np.float32)
+        for row, (_, _, at, n) in zip(vectors, own, strict=True):
+            row[np.frombuffer(at, "<u2")] = np.log1p(np.frombuffer(n, "<f4"))
+        vectors *= idf
+        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+        per.append(cluster(vectors, centroids))
+        floor.append(REJECT_SHARE * (vectors @ per[-1].T).max(axis=1).min())
+    return Model(langs, idf, np.concatenate(per), np.concatenate([np.full(len(c), k) for k, c in enumerate(per)]), np.array(floor))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
