@@ -22,7 +22,7 @@ DAYS, SIDE = 73049, 271
 #: Formats of personal data, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<=(?:[Tt]oken|TOKEN|[Kk]ey|KEY|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)[A-Za-z0-9_+/.-]{16,}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "secret": r"(?<=(?:[Tt]oken|TOKEN|[Kk]ey|KEY|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)(?=[A-Za-z_+/.-]{0,64}[0-9])[A-Za-z0-9_+/.-]{16,}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "iso_date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "date": r"(?<![\d./-])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d/]|\.\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
@@ -191,7 +191,7 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _shifted(value: Column, whole: Column, key: str, tag: str) -> Column:
-    """Each letter and digit of value moved within its class by a keyed digest of whole; never by nothing."""
+    """Each letter and digit of value moved within its class by a keyed digest of whole, never by nothing; a hexadecimal value stays one."""
     noise = lambda block: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), block.cast("string"), whole), 256)
 
     def of(blocks):
@@ -201,7 +201,9 @@ def _shifted(value: Column, whole: Column, key: str, tag: str) -> Column:
             def within(low, n):
                 return F.char(F.lit(ord(low)) + F.pmod(F.ascii(c) - ord(low) + 1 + F.pmod(nib, F.lit(n - 1)), F.lit(n)))
 
-            return F.when(c.rlike("^[a-z]$"), within("a", 26)).when(c.rlike("^[A-Z]$"), within("A", 26)).when(c.rlike("^[0-9]$"), within("0", 10)).otherwise(c)
+            hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+            letter = lambda low: F.when(hexadecimal, within(low, 6)).otherwise(within(low, 26))
+            return F.when(c.rlike("^[a-z]$"), letter("a")).when(c.rlike("^[A-Z]$"), letter("A")).when(c.rlike("^[0-9]$"), within("0", 10)).otherwise(c)
 
         return F.array_join(F.transform(F.split(value, ""), move), "")
 
