@@ -20,8 +20,8 @@ from .common import materialise
 
 MAX_TOKENS = 4096
 END = 1
-#: Tokens that one task packs, in bins.
-BINS_PER_SHARD = 256
+#: Tokens that one task packs, in bins; bins filled to less than this share are packed again with those of other tasks.
+BINS_PER_SHARD, POOR = 256, 0.98
 
 
 @dataclass(frozen=True)
@@ -118,34 +118,49 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return out.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)
 
 
-def pack(items: DataFrame, length_col: str = "length", caps: Capacities = Capacities(), bins_per_shard: int = BINS_PER_SHARD) -> DataFrame:
-    """Add sequence_id (any numbers) and offset (gapless from 0) to items by vector best fit.
-
-    Items are dealt by a hash of their row over shards of bins_per_shard bins' worth of tokens, each packed in one task:
-    a task holds a bounded number of tokens whatever the input. Null and non-positive lengths count as 1. Columns named
-    sequence_id and offset are replaced; equal rows are equal items, each packed. An empty table gives no rows.
-    """
-    names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
-    items = items.select(*[F.col(f"`{c}`") for c in names])
-    length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(1)), F.lit(1))
-    total = items.agg(F.sum(length)).first()[0] or 0
-    shards = max(1, -(-total // (caps.tokens * bins_per_shard)))
-    dealt = items.select(F.struct("*").alias("row"), length.alias("n"))
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    kind = items.schema.simpleString()
+def _packed(dealt: DataFrame, kind: str, shards: int, level: int, caps: Capacities) -> DataFrame:
+    """One pass over (row, n): a hash of the row deals it to one of the shards, and each shard is packed by itself."""
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("n").to_numpy()
         shard = table.column("shard")[0].as_py()
         row = pa.concat_arrays(table.column("row").chunks) if table.column("row").num_chunks != 1 else table.column("row").chunk(0)
-        tie = np.lexsort([row.field(k).to_numpy(zero_copy_only=False) for k in range(row.type.num_fields) if pa.types.is_integer(row.type.field(k).type)] or [np.arange(len(lengths))])
+        # Rows are put in the order of their whole numbers first, so that packing does not hang on how they arrive.
+        whole = [row.field(k).to_numpy(zero_copy_only=False) for k in range(row.type.num_fields) if pa.types.is_integer(row.type.field(k).type)]
+        tie = np.lexsort(whole or [np.arange(len(lengths))])
         bins, offsets = best_fit(lengths[tie], caps)
         back = np.empty_like(tie)
         back[tie] = np.arange(len(tie))
-        return pa.table({"row": row, "sequence_id": pa.array(bins[back] + (int(shard) << 32), pa.int64()), "offset": pa.array(offsets[back], pa.int64())})
+        return pa.table({"row": row, "n": lengths, "sequence_id": pa.array(bins[back] + (int(shard) << 32) + (level << 56), pa.int64()), "offset": pa.array(offsets[back], pa.int64())})
+
+    rows = dealt.select("row", "n", F.pmod(F.xxhash64(F.lit(level), "row"), F.lit(shards)).alias("shard"))
+    return rows.groupBy("shard").applyInArrow(run, f"row {kind}, n bigint, sequence_id bigint, offset bigint")
 
-    out = dealt.groupBy("shard").applyInArrow(run, f"row {kind}, sequence_id bigint, offset bigint")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "sequence_id", "offset")
+
+def pack(items: DataFrame, length_col: str = "length", caps: Capacities = Capacities(), bins_per_shard: int = BINS_PER_SHARD) -> DataFrame:
+    """Add sequence_id (any numbers) and offset (gapless from 0) to items by vector best fit.
+
+    Items are dealt by a hash of their row over shards of bins_per_shard bins' worth of tokens, each packed in one task:
+    a task holds a bounded number of tokens whatever the input. Bins that stay poorly filled are then packed again
+    together in the same way, where that saves any. Null and non-positive lengths count as 1. Columns named sequence_id
+    and offset are replaced; equal rows are equal items, each packed. An empty table gives no rows.
+    """
+    names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    items = items.select(*[F.col(f"`{c}`") for c in names])
+    length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(1)), F.lit(1))
+    shards_for = lambda tokens: max(1, -(-tokens // (caps.tokens * bins_per_shard)))
+    shards = shards_for(items.agg(F.sum(length)).first()[0] or 0)
+    kind = items.schema.simpleString()
+    done = _packed(items.select(F.struct("*").alias("row"), length.alias("n")), kind, shards, 0, caps)
+    if shards > 1:
+        done = materialise(done, "packed")
+        fill = done.groupBy("sequence_id").agg(F.sum("n").alias("filled"))
+        poor = materialise(fill.where(F.col("filled") < POOR * caps.tokens), "poor")
+        count, tokens = poor.agg(F.count(F.lit(1)), F.coalesce(F.sum("filled"), F.lit(0))).first()
+        again = materialise(_packed(done.join(poor, "sequence_id", "left_semi"), kind, shards_for(tokens), 1, caps), "repacked")
+        if again.select("sequence_id").distinct().count() < count:
+            done = done.join(poor, "sequence_id", "left_anti").unionByName(again)
+    return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", caps: Capacities = Capacities()) -> DataFrame:
