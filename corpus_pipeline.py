@@ -25,9 +25,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the smallest id of each class; of texts that only rows without an id hold, all those rows."""
+    kept = minhash.near_duplicates(docs, with_digest=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    same = (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return docs.join(kept, same, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
