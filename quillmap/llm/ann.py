@@ -91,8 +91,8 @@ class Block:
                 equal = equal & ~plane
         return over | equal
 
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vector, inner product): each query's best k of all verified vectors, and all that tie with the last."""
+    def search(self, queries: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, inner product): each query's best k of all verified vectors, ties by the smaller id."""
         lengths = np.linalg.norm(queries, axis=1, keepdims=True)
         projected = (queries / lengths) @ self.axes[:-1]
         open_, half, found = np.arange(len(queries)), WIDTH, []
@@ -103,15 +103,16 @@ class Block:
             done = (counts >= enough) | (half > 64)
             for i, mask in zip(open_[done], masks[done], strict=True):
                 near = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[: self.n])
-                # The verified vectors that can be among the best k; those whose sums are made in another order get a margin.
+                # A fast product first; those that rounding could bring among the best k are then summed up exactly alike.
                 rough = self.vectors[near] @ queries[i]
                 if len(near) > k:
                     near = near[rough >= np.partition(rough, -k)[-k] - 1e-9 * self.longest * lengths[i, 0]]
-                found.append((np.full(len(near), i), near))
+                scores = np.einsum("ij,j->i", self.vectors[near], queries[i])
+                best = np.lexsort((ids[near], -scores))[:k]
+                found.append((np.full(len(best), i), near[best], scores[best]))
             open_, half = open_[~done], half * WIDEN
-        q = np.concatenate([f[0] for f in found])
-        v = np.concatenate([f[1] for f in found])
-        return q, v, np.einsum("ij,ij->i", queries[q], self.vectors[v])
+        q, v, scores = (np.concatenate(part) for part in zip(*found, strict=True))
+        return q, v, scores
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +161,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         dims = data_part.column("dims")[0].as_py()
         ids, vectors_ = _matrix(data_part)
         q_ids, queries_ = _matrix(query_part)
-        q, v, scores = Block(vectors_, longest[dims]).search(queries_, k + 1)
+        q, v, scores = Block(vectors_, longest[dims]).search(queries_, k + 1, ids)
+        # The query itself may take one of the k + 1 places.
         other = q_ids[q] != ids[v]
         q, v, scores = q[other], v[other], scores[other]
         order = np.lexsort((ids[v], -scores, q))
         q, v, scores = q[order], v[order], scores[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-        top = rank < k
+        top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
         return pa.table([q_ids[q[top]], ids[v[top]], scores[top]], schema=kind)
 
     near = left.groupBy("b", "qb", "dims").cogroup(right.groupBy("b", "qb", "dims")).applyInArrow(meet, "query_id long, vec_id long, score double")

@@ -41,6 +41,16 @@ def test_recall_over_blocks(spark):
     assert len(got) == 20 * len(want)
 
 
+def test_many_equal_vectors_rank_by_id(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(16).astype("f4").tolist()
+    rows = [(i, hot if i % 3 == 0 else rng.standard_normal(16).astype("f4").tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id % 300 = 0"), k=20, block_rows=400).collect()
+    for q in range(0, 1500, 300):
+        assert sorted(r["vec_id"] for r in got if r["query_id"] == q) == [i for i in range(0, 66, 3) if i != q][:20]
+
+
 def check_bins(lengths, bins, offsets, caps):
     for b in np.unique(bins):
         at = np.flatnonzero(bins == b)
