@@ -103,3 +103,13 @@ def tile_clip(shapes: DataFrame, tiles: DataFrame, keys: Sequence[str], size: in
     x0, y0 = F.col("x0").cast("double"), F.col("y0").cast("double")
     pieces = both.withColumn("piece", F.explode(clipped_polyline(F.col("points"), x0, y0, x0 + size, y0 + size)))
     return pieces.withColumn("points", shifted(F.col("piece"), -x0, -y0)).drop("piece")
+
+
+def informative_tiles(pixels: DataFrame, tiles: DataFrame, keys: Sequence[str], size: int = 512, least: int = 20) -> DataFrame:
+    """Tiles with at least `least` foreground pixels, found through cells of half a tile."""
+    step = size // 2
+    t = tiles.withColumn("__c", F.explode(F.array(*[F.struct((F.floor(F.col("x0") / step) + i).alias("i"), (F.floor(F.col("y0") / step) + j).alias("j")) for i in range(3) for j in range(3)])))
+    p = pixels.select(*keys, "x", "y", F.struct(F.floor(F.col("x") / step).alias("i"), F.floor(F.col("y") / step).alias("j")).alias("__c"))
+    inside = F.col("x").between(F.col("x0"), F.col("x0") + size - 1) & F.col("y").between(F.col("y0"), F.col("y0") + size - 1)
+    counts = t.join(p, [*keys, "__c"]).where(inside).groupBy(*[c for c in tiles.columns]).agg(F.count(F.lit(1)).alias("pixels"))
+    return counts.where(F.col("pixels") >= least)

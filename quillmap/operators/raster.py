@@ -483,3 +483,93 @@ def rasterised(shapes: DataFrame, thickness: int = 3, keys: Sequence[str] = ("im
     px = px.withColumn("o", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offs])))
     px = px.select(*keys, (F.col("p.x") + F.col("o.dx")).alias("x"), (F.col("p.y") + F.col("o.dy")).alias("y"), cls, order)
     return px.groupBy(*keys, "x", "y").agg(F.max_by(cls, order).alias("cls"))
+
+
+def band_region(mask: np.ndarray, dilate_size: int = 5, close_size: int = 9, least: int = 500) -> np.ndarray:
+    """Band pixels to regions: specks opened away, dashes joined, holes closed, components of over `least` pixels kept."""
+    band = closed(dilate(opened(mask, box(2, 2)), ellipse(dilate_size)), ellipse(close_size))
+    numbers = label(band)
+    size = np.bincount(numbers.ravel(), minlength=1)
+    size[0] = 0
+    return (size > least)[numbers]
+
+
+def otsu_level(levels: np.ndarray, n: int = 256) -> int:
+    """Level that parts a histogram of whole numbers with the largest variance between classes, the lowest on ties."""
+    h = np.bincount(levels, minlength=n).astype(float)
+    n0, s0 = np.cumsum(h), np.cumsum(h * np.arange(len(h)))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        between = n0 * (n0[-1] - n0) * (s0 / n0 - (s0[-1] - s0) / (n0[-1] - n0)) ** 2
+    return int(np.nan_to_num(between).argmax())
+
+
+def split_by_width(mask: np.ndarray, gap: int = 20, empty: float = 6.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Skeleton of thick and of thin lines, parted by Otsu over half widths in tenths; and the threshold."""
+    half = distance_to_background(mask)
+    sk = thin(bridge(thin(mask), gap))
+    widths = half[sk]
+    threshold = otsu_level(np.clip(widths * 10, 0, 255).astype(int)) / 10 if len(widths) else empty
+    return sk & (half >= threshold), sk & (half < threshold), threshold
+
+
+def dark_pixels(lightness: np.ndarray, region: np.ndarray, share: float = 0.7) -> np.ndarray:
+    """Pixels of a region darker than a share of its Otsu level."""
+    inside = lightness[region]
+    return region & (lightness < share * otsu_level(inside.astype(int))) if len(inside) else np.zeros_like(region, bool)
+
+
+def mask_polygons(mask: np.ndarray, least: int = 3, share: float | None = 0.001, tolerance: float = 1.0) -> list[np.ndarray]:
+    """Outlines of components as polygons, simplified by a share of their perimeter (or by a fixed tolerance)."""
+    out = []
+    for path in outline(mask):
+        if len(path) < least:
+            continue
+        ring = np.vstack([path, path[:1]])
+        perimeter = float(np.hypot(*np.diff(ring, axis=0).T).sum())
+        p = simplify(ring, perimeter * share if share is not None else tolerance)[:-1]
+        if len(p) >= 3:
+            out.append(p)
+    return out
+
+
+def splitter_lines(mask: np.ndarray, reach: float = 200.0) -> list[np.ndarray]:
+    """Splitters from their class mask: closed, thinned, traced, joined end to end, simplified by 1 % of their length.
+    Under 100 pixels there are none; traces under 10 pixels go."""
+    if mask.sum() < 100:
+        return []
+    paths = merge_closest([np.array(p, float) for p in trace(thin(closed(mask, ellipse(25))), 10)], reach)
+    length = lambda p: float(np.hypot(*np.diff(p, axis=0).T).sum())
+    return [simplify(p, 0.01 * length(p)) for p in paths if len(p) >= 2]
+
+
+def straight_splitters(grey: np.ndarray, dark: int = 80, coverage: float = 0.3, margin: int = 10) -> list[dict]:
+    """Long dark horizontal and vertical bars: an opening by max(dim // 5, 100) keeps them, components covering enough of
+    the image and away from its border are returned as boxes."""
+    h, w = grey.shape
+    out = []
+    for kind, size, extent in (("horizontal", (1, max(w // 5, 100)), w), ("vertical", (max(h // 5, 100), 1), h)):
+        numbers = label(_runs(grey < dark, size))
+        for n in range(1, numbers.max() + 1):
+            ys, xs = np.nonzero(numbers == n)
+            span = (xs.max() - xs.min() + 1) if kind == "horizontal" else (ys.max() - ys.min() + 1)
+            mid = float(ys.mean() if kind == "horizontal" else xs.mean())
+            if span / extent >= coverage and margin <= mid < (h if kind == "horizontal" else w) - margin:
+                out.append({"orientation": kind, "x_min": int(xs.min()), "x_max": int(xs.max()), "y_min": int(ys.min()), "y_max": int(ys.max()), "coverage": span / extent})
+    return out
+
+
+def _runs(mask: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """What an opening by a line keeps: runs along its axis of at least its length."""
+    m, k = (mask, size[1]) if size[0] == 1 else (mask.T, size[0])
+    padded = np.zeros((m.shape[0], m.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = m
+    d = np.diff(padded, axis=1)
+    y, s = np.nonzero(d == 1)
+    _, e = np.nonzero(d == -1)
+    out = np.zeros(m.shape, np.int8)
+    keep = e - s >= k
+    step = np.zeros((m.shape[0], m.shape[1] + 1), np.int32)
+    np.add.at(step, (y[keep], s[keep]), 1)
+    np.add.at(step, (y[keep], e[keep]), -1)
+    out = np.cumsum(step, axis=1)[:, :-1] > 0
+    return out if size[0] == 1 else out.T

@@ -341,3 +341,31 @@ def test_raster_kernels():
     sk[10, 2:18] = True
     sk[2:18, 24] = True
     assert raster.label(raster.bridge(sk, 15)).max() == 1
+
+
+def test_colours(spark):
+    from quillmap.functions import colour
+
+    df = frame(spark, [(255, 0, 255), (255, 255, 255), (0, 0, 0), (0, 255, 0)], "r int, g int, b int")
+    light, a, b = colour.lab(F.col("r"), F.col("g"), F.col("b"))
+    got = df.select(F.round(light), F.round(a), F.round(b), colour.is_band(F.col("r"), F.col("g"), F.col("b")).alias("band")).collect()
+    assert [tuple(r) for r in got] == [(154.0, 98.0, -61.0, True), (255.0, 0.0, 0.0, False), (0.0, 0.0, 0.0, False), (224.0, -86.0, 83.0, False)]
+
+
+def test_more_kernels(spark):
+    m = np.zeros((120, 200), bool)
+    raster.draw(m, (10, 30), (190, 30), 15)
+    raster.draw(m, (10, 80), (190, 80), 3)
+    thick, thin_, level = raster.split_by_width(m)
+    assert thick[20:40].any() and not (thick & thin_).any() and (thick | thin_).any() and 1 < level < 8
+    assert raster.band_region(m, least=500).any() and not raster.band_region(np.zeros((30, 30), bool)).any()
+    grey = np.full((300, 400), 255)
+    grey[150:153, 40:390] = 0
+    assert [s["orientation"] for s in raster.straight_splitters(grey)] == ["horizontal"]
+    assert len(raster.mask_polygons(m)) == 2 and len(raster.splitter_lines(m)) >= 1 and raster.splitter_lines(np.zeros((9, 9), bool)) == []
+    light = np.full((10, 10), 200)
+    light[5] = 20
+    assert raster.dark_pixels(light, np.ones((10, 10), bool)).sum() in (0, 10)
+    px = frame(spark, [("i", x, 5) for x in range(30)], "image_id string, x int, y int")
+    tiles = frame(spark, [("i", 0, 0, 0, 0), ("i", 0, 1, 16, 0), ("i", 5, 5, 80, 80)], "image_id string, row int, col int, x0 int, y0 int")
+    assert sorted(r.col for r in metrics.informative_tiles(px, tiles, ["image_id"], 32, 14).collect()) == [0, 1]
