@@ -42,7 +42,9 @@ def byte_alphabet() -> dict[int, str]:
 class PrefixBpe:
     """Encoder and decoder for a `tokenizers` file whose model is BPE over bytes with an end-of-word suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = 1):
+        """memory: how many times WORDS and CHUNKS are remembered in each generation, at about 100 MB a time."""
+        self.memory = memory
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -128,7 +130,7 @@ class PrefixBpe:
         ids = self.old_words.get(word)
         if ids is None:
             ids = self._encoded(word)
-        if len(self.words) >= WORDS:
+        if len(self.words) >= WORDS * self.memory:
             self.words, self.old_words = {}, self.words
         self.words[word] = ids
         return ids
@@ -172,7 +174,7 @@ class PrefixBpe:
 
     def _keep_chunk(self, chunk: str, got: bytes) -> bytes:
         if len(chunk) <= 64:
-            if len(self.chunks) >= CHUNKS:
+            if len(self.chunks) >= CHUNKS * self.memory:
                 self.chunks, self.old_chunks = {}, self.chunks
             self.chunks[chunk] = got
         return got
@@ -199,14 +201,15 @@ class PrefixBpe:
         return " ".join([texts[i] for i in ids if i in texts])
 
 
-_loaded: dict[str, PrefixBpe] = {}
+_loaded: dict[tuple[str, int], PrefixBpe] = {}
 
 
-def codec(path: str) -> PrefixBpe:
+def codec(path: str, memory: int = 1) -> PrefixBpe:
     """The codec of a file, built once in each process."""
-    if path not in _loaded:
-        _loaded[path] = PrefixBpe(path)
-    return _loaded[path]
+    if (path, memory) not in _loaded:
+        _loaded.clear()
+        _loaded[path, memory] = PrefixBpe(path, memory)
+    return _loaded[path, memory]
 
 
 def texts_of(batch: pa.RecordBatch, column: str, rows: int = 64) -> Iterator[list[str | None]]:
@@ -216,7 +219,7 @@ def texts_of(batch: pa.RecordBatch, column: str, rows: int = 64) -> Iterator[lis
         yield values.slice(at, rows).to_pylist()
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, memory: int = 1) -> DataFrame:
     """Encode and decode every whole text.
 
     Returns, per row: id_col, n_tokens, ids (array of int, if with_ids), ids_sha256 over the ids as little-endian
@@ -228,7 +231,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ids_type = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path)
+        bpe = codec(path, memory)
         for batch in batches:
             counts, shas, decoded, all_ids = [], [], [], []
             for texts in texts_of(batch, "text"):

@@ -18,7 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, memory=2)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), memory=2)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

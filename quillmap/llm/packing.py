@@ -88,7 +88,7 @@ def best_fit(lengths: np.ndarray, caps: Capacities = Capacities()) -> tuple[np.n
     return bins, offsets
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, end: int = END, memory: int = 1) -> DataFrame:
     """Tokenise whole texts, end each document with `end`, and cut documents of over max_tokens into pieces.
 
     Returns id_col, piece (from 0), start, length, ids_crc32. A null text is empty, and its document is the end token.
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, closing = codec(path), np.array([end], "<u4").tobytes()
+        bpe, closing = codec(path, memory), np.array([end], "<u4").tobytes()
         step = 4 * max_tokens
         for batch in batches:
             rows, numbers, lengths, crcs, row = [], [], [], [], 0
@@ -163,6 +163,6 @@ def pack(items: DataFrame, length_col: str = "length", caps: Capacities = Capaci
     return done.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", caps: Capacities = Capacities()) -> DataFrame:
-    """Tokenise, cut and pack documents; see pieces() and pack(). Other columns are not looked at."""
-    return pack(materialise(pieces(docs, path, id_col, text_col, caps.tokens), "pieces"), caps=caps)
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", caps: Capacities = Capacities(), memory: int = 1) -> DataFrame:
+    """Tokenise, cut and pack documents; see pieces() and pack(). Other columns are not looked at. memory: see PrefixBpe."""
+    return pack(materialise(pieces(docs, path, id_col, text_col, caps.tokens, memory=memory), "pieces"), caps=caps)
