@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_in_batches
+
 #: Remembered words and chunks, in two generations each: when the young one is full it becomes the old one.
 WORDS, CHUNKS = 150_000, 250_000
 #: Remembered answers of the pair test.
@@ -246,5 +248,5 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             columns = [batch.column("id"), pa.array(counts, pa.int64()), *([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", *(["ids"] if with_ids else []), "ids_sha256", "decoded_sha256"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint{ids_type}, ids_sha256 string, decoded_sha256 string")
+    out = texts_in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint{ids_type}, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

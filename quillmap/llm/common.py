@@ -52,6 +52,14 @@ def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_in_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session whole texts go to Python 1000 at a time where Spark's own default of 10000 rows still holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def packed(df: DataFrame, **columns: Column) -> DataFrame:
     """df's rows as one struct `__row` beside the given working columns, so that no name of df can clash with them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[v.alias(k) for k, v in columns.items()])

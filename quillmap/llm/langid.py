@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
+from .common import texts_in_batches
 
 #: Dimensions of the hashed n-gram space, centroids per language, and the bound of the training sample per language.
 DIMS, CENTROIDS, SAMPLE = 8192, 4, 800
@@ -104,7 +105,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not sizes:
         return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    chosen = rows.where(F.col("u") < share[F.col("lang")] * (1 << 30))
+    chosen = texts_in_batches(rows).where(F.col("u") < share[F.col("lang")] * (1 << 30))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +150,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     The whole text decides; null texts and texts without a letter give `und`, 0 and rejected. One pass, no shuffle.
     """
     names = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
+    rows = texts_in_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("text"))
     kind = docs.select(*[F.col(f"`{c}`") for c in names]).schema.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import codec, texts_of
-from .common import materialise
+from .common import materialise, texts_in_batches
 
 MAX_TOKENS = 4096
 END = 1
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             start = pa.array(np.array(numbers, np.int64) * max_tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows, pa.int64())), number, start, pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = texts_in_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return out.mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint").withColumnRenamed("id", id_col)
 
 
