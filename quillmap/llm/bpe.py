@@ -27,7 +27,7 @@ from .common import texts_in_batches
 #: Remembered words and chunks, in two generations each: when the young one is full it becomes the old one.
 WORDS, CHUNKS = 150_000, 250_000
 #: Remembered answers of the pair test.
-FITS = 400_000
+FITS = 700_000
 _NEVER = 1 << 60
 #: White space that separates chunks; other characters that str.split() takes for white space are ordinary text here.
 _SPACE = re.compile("[ \t\n\x0b\x0c\r\x85\xa0  -     　]+")
@@ -62,7 +62,7 @@ class PrefixBpe:
         self.parts = {}
         for rank, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]):
             a, b, ab = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.merges[a, b] = rank
+            self.merges[a << 16 | b] = rank
             self.parts[ab] = (a, b, rank)
         self.right, self.left = {}, {}
         self.fits: dict[int, bool] = {}
@@ -90,7 +90,8 @@ class PrefixBpe:
         if token not in known:
             chain, up, at = [], _NEVER, token
             while True:
-                chain.append((at, up))
+                # A right edge's symbol is shifted, so that it and a left one make the key of their merge.
+                chain.append((at << 16 if side else at, up))
                 if at not in self.parts:
                     break
                 up, at = self.parts[at][2], self.parts[at][side]
@@ -99,12 +100,12 @@ class PrefixBpe:
 
     def _joined(self, a: int, b: int, before: int) -> bool:
         """Whether a merge of rank under `before` joins a's right edge to b's left edge."""
-        merges = self.merges
+        get, left = self.merges.get, self._edge(b, 0)
         for r, taken_r in self._edge(a, 1):
-            for s, taken_s in self._edge(b, 0):
-                rank = merges.get((r, s), _NEVER)
+            for s, taken_s in left:
+                rank = get(r | s)
                 # Of two equal merges that overlap, the one further left comes first.
-                if rank < before and rank < taken_r and rank <= taken_s:
+                if rank is not None and rank < before and rank < taken_r and rank <= taken_s:
                     return True
         return False
 
@@ -161,24 +162,24 @@ class PrefixBpe:
     def _chunk(self, chunk: str) -> bytes:
         """Ids, as little-endian bytes, of text without white space that the young generation lacks."""
         got = self.old_chunks.get(chunk)
-        if got is not None:
-            return self._keep_chunk(chunk, got)
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        # Every character is lower-cased by itself, so the final sigma has no form of its own.
-        text = text.replace("Σ", "σ").lower()
-        if text.isalpha():
-            got = self.encode_word(text)
-        elif text[:-1].isalpha() and text[-1] in ",.":
-            got = self.encode_word(text[:-1]) + self.encode_word(text[-1])
-        else:
-            got = b"".join([self.encode_word(piece) for piece in self.pieces.findall(text)])
-        return self._keep_chunk(chunk, got)
-
-    def _keep_chunk(self, chunk: str, got: bytes) -> bytes:
+        if got is None:
+            if chunk.isascii():
+                text = chunk.lower()
+            else:
+                # Every character is lower-cased by itself, so the final sigma has no form of its own.
+                text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+            if text.isalpha():
+                got = self.words.get(text) or self.encode_word(text)
+            elif (word := text[:-1]).isalpha() and text[-1] in ",.":
+                got = (self.words.get(word) or self.encode_word(word)) + self.encode_word(text[-1])
+            else:
+                got = b"".join([self.encode_word(piece) for piece in self.pieces.findall(text)])
         if len(chunk) <= 64:
-            if len(self.chunks) >= CHUNKS * self.memory:
-                self.chunks, self.old_chunks = {}, self.chunks
-            self.chunks[chunk] = got
+            chunks = self.chunks
+            if len(chunks) >= CHUNKS * self.memory:
+                self.old_chunks, self.chunks = chunks, {}
+                chunks = self.chunks
+            chunks[chunk] = got
         return got
 
     def encode_bytes(self, text: str) -> bytes:
