@@ -42,49 +42,49 @@ def best_fit(lengths: np.ndarray, caps: Capacities = Capacities()) -> tuple[np.n
     smallest weighted dot product of item and residual, both in shares of the capacities. Ties go to the older bin. A
     bin that is best for an item stays best for the next equal one, so equal items are placed together.
     """
-    caps_of = np.array([caps.tokens, caps.documents, caps.attention], float)
-    weights = np.array(caps.weights, float)
+    limits = (float(caps.tokens), float(caps.documents), float(caps.attention))
+    weights = [w / c**2 for w, c in zip(caps.weights, limits, strict=True)]
     n = len(lengths)
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    residual = np.zeros((max(16, n), 3))
-    opened = 0
-    live = np.zeros(0, np.int64)
-    smallest = np.array([lengths.min(), 1, float(lengths.min()) ** 2]) if n else None
-    at = 0
     sorted_lengths = lengths[order]
+    least = float(sorted_lengths[-1]) if n else 0.0
+    # Open bins: their numbers and residuals, of which the first `m` places are in use.
+    number, rest, m, opened, at = np.zeros(max(16, n), np.int64), [np.zeros(max(16, n)) for _ in limits], 0, 0, 0
     while at < n:
-        length = int(sorted_lengths[at])
+        length = float(sorted_lengths[at])
         end = int(np.searchsorted(-sorted_lengths, -length, side="right"))
-        item = np.array([length, 1, float(length) ** 2])
-        if (item > caps_of).any():
-            raise ValueError(f"an item of {length} tokens is over the capacity of a bin")
+        item = (length, 1.0, length * length)
+        if any(i > c for i, c in zip(item, limits, strict=True)):
+            raise ValueError(f"an item of {length:g} tokens is over the capacity of a bin")
         while at < end:
-            rest = residual[live]
-            fits = (rest >= item).all(axis=1)
+            r = [x[:m] for x in rest]
+            fits = (r[0] >= item[0]) & (r[1] >= item[1]) & (r[2] >= item[2])
             if fits.any():
-                ways = live[fits]
-                share = rest[fits] / caps_of
                 if caps.rule == "norm":
-                    cost = (weights * (share - item / caps_of) ** 2).sum(axis=1)
+                    cost = sum(w * (x - i) ** 2 for w, x, i in zip(weights, r, item, strict=True))
                 else:
-                    cost = (weights * share * (item / caps_of)).sum(axis=1)
-                best = int(ways[int(cost.argmin())])
+                    cost = sum((w * i) * x for w, x, i in zip(weights, r, item, strict=True))
+                cost[~fits] = np.inf
+                k = int(cost.argmin())
             else:
-                best = opened
-                residual[best] = caps_of
+                k, m = m, m + 1
+                number[k] = opened
                 opened += 1
-                live = np.append(live, best)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                room = int(min(x for x in np.where(item > 0, residual[best] // np.where(item > 0, item, 1), np.inf)))
-            count = min(room, end - at)
+                for x, c in zip(rest, limits, strict=True):
+                    x[k] = c
+            count = int(min(end - at, *(x[k] // i for x, i in zip(rest, item, strict=True) if i > 0)))
             placed = order[at : at + count]
-            bins[placed] = best
-            offsets[placed] = int(caps_of[0] - residual[best, 0]) + length * np.arange(count)
-            residual[best] -= item * count
+            bins[placed] = number[k]
+            offsets[placed] = int(limits[0] - rest[0][k]) + int(length) * np.arange(count)
+            for x, i in zip(rest, item, strict=True):
+                x[k] -= i * count
             at += count
-            if (residual[best] < smallest).any():
-                live = live[live != best]
+            if rest[0][k] < least or rest[1][k] < 1 or rest[2][k] < least * least:
+                # Nothing fits any more: later bins move up, so that older bins still win ties.
+                for x in (number, *rest):
+                    x[k : m - 1] = x[k + 1 : m]
+                m -= 1
     return bins, offsets
 
 
