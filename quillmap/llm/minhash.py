@@ -28,6 +28,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Neighbours in a bucket's order that a document is compared with; all of them up to this size of bucket.
 WINDOW = 64
+#: Texts and bytes of shingles in a block: larger buckets are compared block by block.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
 #: Coordinates of 125 in which a pair must agree to be verified: 4 standard deviations under what 0.8 gives.
 AGREE = 82
 #: Remembered word hashes.
@@ -208,6 +210,76 @@ def _neighbours(least: float):
     return run
 
 
+def _common(names: list[np.ndarray]) -> np.ndarray:
+    """How many shingles rows i < k share: frequent ones by matrix products, the others by their lists of rows."""
+    n = len(names)
+    row = np.repeat(np.arange(n), [len(x) for x in names])
+    _, element, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+    often, both = max(1, n // 16), np.zeros((n, n), np.int32)
+    frequent = np.flatnonzero(count > often)
+    for at in range(0, len(frequent), 2048):
+        part = frequent[at : at + 2048]
+        column = np.full(len(count), -1)
+        column[part] = np.arange(len(part))
+        here = column[element] >= 0
+        x = np.zeros((n, len(part)), np.float32)
+        x[row[here], column[element[here]]] = 1
+        both += (x @ x.T).astype(np.int32)
+    seldom = (count > 1) & (count <= often)
+    here = np.flatnonzero(seldom[element])
+    here = here[np.argsort(element[here], kind="stable")]
+    e, r = element[here], row[here]
+    for back in range(1, often):
+        same = np.flatnonzero(e[back:] == e[:-back])
+        if not len(same):
+            break
+        np.add.at(both, (r[same], r[same + back]), 1)
+    return both
+
+
+def _across(least: float):
+    """Pairs of classes that a link joins within one pair of blocks of a bucket."""
+
+    def run(group: pa.Table) -> pa.Table:
+        label, side = group.column("label").to_numpy(), group.column("block").to_numpy()
+        found: set[tuple[int, int]] = set()
+        if label.min() != label.max():
+            names = [np.frombuffer(x, np.uint32) for x in group.column("names").to_pylist()]
+            size, two, both = np.array([len(x) for x in names]), side.min() != side.max(), _common(names)
+            for i in range(len(label) - 1):
+                n = both[i, i + 1 :]
+                good = (n >= least * (size[i] + size[i + 1 :] - n) - 1e-9) & (label[i + 1 :] != label[i])
+                if two:
+                    good &= side[i + 1 :] != side[i]
+                found.update((int(label[i]), int(x)) for x in np.unique(label[i + 1 :][good]))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def _joined(entries: DataFrame, data: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """labels, with the classes joined that have a link between members of one wide bucket.
+
+    Wide buckets whose texts are of one class by now need nothing more. The others are dealt into blocks, and every two
+    blocks meet in a task: all pairs of different classes are compared exactly, however large the bucket is.
+    """
+    wide = entries.where("wide").select("bucket", "id").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    wide = materialise(wide, "wide")
+    mixed = wide.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    rest = wide.join(mixed, "bucket")
+    sizes = rest.join(data.select("id", F.length("names").alias("bytes")), "id")
+    blocks = sizes.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("k"))
+    dealt = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    met = dealt.join(data.select("id", "names"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    met = met.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "names", "block")
+    more = materialise(met.groupBy("bucket", "i", "j").applyInArrow(_across(least), "a bigint, b bigint").distinct(), "more")
+    if more.isEmpty():
+        return labels
+    classes = components(more).select(F.col("id").alias("was"), F.col("label").alias("joined"))
+    every = labels.unionByName(wide.select("id", "label")).distinct()
+    return every.join(classes, F.col("label") == F.col("was"), "left").select("id", F.coalesce("joined", "label").alias("label"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id that links (a, b) reach from each id, by rounds of neighbours' labels and pointer jumps."""
     edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -233,8 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null and they are kept. Other columns are not looked at; an empty table gives no rows.
 
     Copies meet by digest, pre-aggregated, and one of each text goes on. It is linked with the first document of each
-    of its buckets and with its neighbours in the bucket's order, which sorts by further bands: work and links grow with
-    the number of bucket entries, never with their square. Hot buckets are ranged over many tasks by that order.
+    of its buckets and with its neighbours in the bucket's order, which sorts by further bands. Buckets of up to
+    WINDOW + 1 texts stay in one task, so that all their pairs are compared; wider ones are ranged over many tasks by that
+    order, and their texts that are still of different classes are then compared block by block, every pair.
     """
     table = materialise(sign(docs, id_col, text_col, words, weighting), "signatures")
     firsts = materialise(table.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
@@ -245,7 +318,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "bucket", F.col("id").cast("long").alias("id"), F.get("bands", (F.col("band") + 1) % n).alias("o1"), F.get("bands", (F.col("band") + 7) % n).alias("o2")
     )
     buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("head")).where("n > 1")
-    entries = materialise(entries.join(buckets.drop("n"), "bucket"), "entries")
+    buckets = buckets.select("bucket", "head", (F.col("n") > WINDOW + 1).alias("wide"))
+    # Without an order of its own a bucket falls into one range, hence into one task.
+    ordered = [F.when(F.col("wide"), F.col(o)).otherwise(0).alias(o) for o in ("o1", "o2")]
+    entries = materialise(entries.join(buckets, "bucket").select("bucket", "id", *ordered, "head", "wide"), "entries")
     # Only documents that share a bucket are compared; their signatures and shingles move once, to meet that list.
     data = table.select(F.col("id").cast("long").alias("id"), "sig", "names")
     data = materialise(data.join(materialise(entries.select("id").distinct(), "shared"), "id", "left_semi"), "candidates")
@@ -263,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = entries.join(data, "id").repartitionByRange(parts, "bucket", "o1", "o2").sortWithinPartitions("bucket", "o1", "o2", "id")
     near = rows.select("bucket", "id", "sig", "names").mapInArrow(_neighbours(least), "a bigint, b bigint")
     links = materialise(reduce(DataFrame.unionByName, [stars, near]).distinct(), "links")
-    labels = components(links)
+    labels = _joined(entries, data, components(links), least)
     out = member.join(labels.select(F.col("id").alias("first"), "label"), "first", "left")
     label = F.coalesce("label", "first")
     return out.select(F.col("id").alias(id_col), label.alias("class_id"), F.col("id").eqNullSafe(label).alias("kept"), *(["digest"] if with_digest else []))

@@ -125,6 +125,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_far_apart_in_wide_buckets_are_linked(spark, monkeypatch):
+    # 396 shingles of a shared passage and 54 of each text's own: 396 / 504 = 0.786 between any two. The last 40 texts
+    # have 8 words more in common with one of the first: 404 / 496 = 0.815, and stand anywhere in buckets of hundreds.
+    shared = [f"t{k}" for k in range(400)]
+    own = {doc: [f"d{doc}x{k}" for k in range(50)] for doc in range(1500)}
+    for doc in range(1460, 1500):
+        own[doc][:8] = own[doc - 1400][:8]
+    rows = [(doc, " ".join(shared + own[doc])) for doc in own]
+    a, b, c = (shingles(rows[k][1]) for k in (60, 1460, 61))
+    assert len(a & b) >= 0.8 * len(a | b) and len(b & c) < 0.8 * len(b | c) and len(a & c) < 0.8 * len(a | c)
+    monkeypatch.setattr(minhash, "BLOCK", 400, raising=False)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {doc: doc - 1400 if doc >= 1460 else doc for doc in own}
+
+
 def test_near_duplicates_with_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "quite another text than that"), (2, "a b c d e f")]
     got = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
