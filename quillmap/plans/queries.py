@@ -436,6 +436,13 @@ def components(spark, d):
     return linework.components(e)
 
 
+@query()
+def components_all(spark, d):
+    """Components of the whole table; the recursive SQL of `components` lists all pairs, so it sees a fiftieth only."""
+    e = _t(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    return linework.components(e)
+
+
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) % 2 = 0 AS even FROM events""")
 def json_flags(spark, d):
     k = F.from_json("props", "k bigint")["k"]
