@@ -585,13 +585,13 @@ def overlay_sets(spark, d):
 
 
 def _strokes(spark, d):
-    """Users' events as strokes of pixels on a sheet of 400 x 300."""
+    """All events of each user as one stroke of pixels on a sheet of 400 x 300."""
     from pyspark.sql import Window
 
     e = _t(spark, d, "events")
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pt = g.point((F.col("value") * 7) % 400, (F.col("event_id") * 13) % 300)
-    e = e.withColumn("n", F.row_number().over(by)).where("n <= 4")
+    e = e.withColumn("n", F.row_number().over(by))
     return e.groupBy((F.col("user_id") % 40).alias("image_id"), F.col("user_id").alias("shape_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", pt.alias("p")))), lambda s: s["p"]).alias("points")).where(F.size("points") >= 2)
 
 

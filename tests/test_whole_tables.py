@@ -23,3 +23,23 @@ def test_components_of_all_line_items_equal_union_find(spark, tmp_path):
             todo += new
         want[start] = min(seen)
     assert {r["id"]: r["component"] for r in maps.QUERIES["components_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_strokes_take_every_event(spark, tmp_path):
+    import math
+
+    rows = [(10 * u + k, u, f"2024-01-01 00:{k:02d}:00", float((u * 31 + k * k * 7) % 90)) for u in (1, 2, 41) for k in range(10)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double")
+    df.selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
+    top, want = {}, defaultdict(list)
+    for event, user, _, value in rows:
+        want[user].append((value * 7 % 400, float(event * 13 % 300)))
+    got = {r.shape_idx: [tuple(p) for p in r.points] for r in maps._strokes(spark, str(tmp_path)).collect()}
+    assert got == want
+    for user, points in sorted(want.items()):
+        for (ax, ay), (bx, by) in zip(points, points[1:]):
+            m = max(1, math.ceil(max(abs(bx - ax), abs(by - ay)) * 2))
+            for i in range(m + 1):
+                x, y = round(ax + (bx - ax) * i / m), round(ay + (by - ay) * i / m)
+                top.update({(user % 40, x + dx, y + dy): 1 + user % 3 for dx in (-1, 0, 1) for dy in (-1, 0, 1)})
+    assert {(r.image_id, r.x, r.y): r.cls for r in maps.QUERIES["rasterise"](spark, str(tmp_path)).collect()} == top
