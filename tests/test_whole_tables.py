@@ -43,3 +43,12 @@ def test_strokes_take_every_event(spark, tmp_path):
                 x, y = round(ax + (bx - ax) * i / m), round(ay + (by - ay) * i / m)
                 top.update({(user % 40, x + dx, y + dy): 1 + user % 3 for dx in (-1, 0, 1) for dy in (-1, 0, 1)})
     assert {(r.image_id, r.x, r.y): r.cls for r in maps.QUERIES["rasterise"](spark, str(tmp_path)).collect()} == top
+
+
+def test_robust_fit_takes_every_supplier(spark, tmp_path):
+    # Supplier s has price = 3000 s * quantity + 7 s on 20 items, and one far off.
+    rows = [(k, k % 7, 100 + k, s, 3000.0 * s * (2 * k + 1) + 7 * s + (1e6 if k == 20 else 0), 2.0 * k + 1) for s in range(1, 8) for k in range(21)]
+    names = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_suppkey: (r.slope, r.intercept, r.inliers) for r in maps.QUERIES["robust_fit"](spark, str(tmp_path)).collect()}
+    assert got == {s: (3000.0 * s, 7.0 * s, 20) for s in range(1, 8)}
