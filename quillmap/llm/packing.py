@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, texts_of
+from .bpe import TOGETHER, codec, texts_of
 from .common import materialise, texts_in_batches
 
 MAX_TOKENS = 4096
@@ -100,9 +100,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         step = 4 * max_tokens
         for batch in batches:
             rows, numbers, lengths, crcs, row = [], [], [], [], 0
-            for texts in texts_of(batch, "text"):
-                for text in texts:
-                    raw = bpe.encode_bytes(text or "") + closing
+            for texts in texts_of(batch, "text", TOGETHER):
+                for ids in bpe.encode_all([t or "" for t in texts]):
+                    raw = ids + closing
                     for number, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
                         rows.append(row)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import pytest
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -41,19 +42,47 @@ def test_random_texts_equal_the_library(library, codec):
         assert codec.encode(text) == enc.ids, text
 
 
-def test_memory_generations_do_not_change_results(codec, monkeypatch):
+def test_every_code_point_equals_the_library(library, codec):
+    points = [c for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        text = " ".join(f"a{chr(c)}b{chr(c)}" for c in points[at : at + 4096])
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(points[at])
+
+
+def test_contractions_equal_the_library(library, codec):
+    for text in ["'s", "''s", "a's's", "they'rest", "'ll'll", "'LLama", "x'd've'm", "!'t", "'", "1's", "é'vé", "' s", "'\ns"]:
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_forgetting_does_not_change_results(codec, monkeypatch):
     small = bpe.PrefixBpe(tokenizer_path())
     monkeypatch.setattr(bpe, "WORDS", 3)
-    monkeypatch.setattr(bpe, "CHUNKS", 3)
     monkeypatch.setattr(bpe, "FITS", 3)
-    texts = ["the cat, the dog; an ox", "an ox the cat", "dog the the ox cat and 12 more words"] * 3
+    small._forget_words()
+    texts = ["the cat, the dog; an ox", "an ox the cat", "dog the the ox cat and 12 more words", "", "ox"] * 3
     assert [small.encode(t) for t in texts] == [codec.encode(t) for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_all(texts)] == [codec.encode(t) for t in texts]
+
+
+def test_words_with_one_key_are_told_apart(codec, monkeypatch):
+    clash = bpe.PrefixBpe(tokenizer_path())
+    asked, get = [], bpe.Lookup.get
+
+    def equal_at_first(self, keys):
+        if self is clash.words and clash.salt == 0:
+            asked.append(1)
+            return np.zeros(len(keys), np.int32)
+        return get(self, keys)
+
+    clash.encode("alpha")
+    monkeypatch.setattr(bpe.Lookup, "get", equal_at_first)
+    assert clash.encode("beta gamma") == codec.encode("beta gamma")
+    assert asked and clash.salt == 1
 
 
-def test_every_token_that_is_kept_encodes_to_itself(codec):
-    for text, (token, _) in list(codec.automaton.items())[:3000]:
-        a = codec.parts.get(token)
-        assert a is None or codec._whole(token)
+def test_tokens_that_are_kept_encode_to_themselves(codec):
+    for token in [t for t in codec.vocab.values() if codec.is_whole(t) and codec.texts[t].endswith("</w>") and codec.texts[t][:-4].islower() and codec.texts[t][:-4].isalpha() and codec.texts[t].isascii()][::50]:
+        assert codec.encode(codec.texts[token][:-4]) == [token]
 
 
 def test_encode_frame(spark, library):
