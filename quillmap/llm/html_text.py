@@ -1,12 +1,14 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for their length and commas to their ancestors; an ancestor's points are discounted by the share
-of its text that stands in links. The best container is kept, with those of its siblings that read like it.
+of its text that stands in links. The best container is kept, with those siblings of it and of its ancestors that read
+like text; of a page with an article element, the whole article is. Every step is linear in the length of the page.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -17,18 +19,22 @@ from pyspark.sql import functions as F
 from .bpe import texts_of
 from .common import texts_in_batches
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"=\s*[\"']|>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f\v\xa0  -     　]+")
 
 #: Elements by kind, and words in class, id or role that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg canvas object math audio video select xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg canvas object audio video select xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 INLINE_FORMAT = frozenset("a abbr b big cite code em font i kbd mark q s small span strike strong sub sup tt u".split())
 DROPPED = frozenset("nav footer aside form button fieldset dialog head menu input label datalist output".split()) | RAW
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars side rail nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer header masthead topbar related recommended recommendations share sharing social comment comments commentlist disqus respond reply replies discussion feedback widget widgets toolbar skip login paywall".split())
+BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr popup modal overlay newsletter sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar sharing commentlist comments disqus respond toolbar paywall".split())
+#: Words that mark it only where they are what the name is about: its last word but for a part such as "box".
+BAD_HEADS = frozenset("notice notices notification alert banner banners promo promos promotion subscribe subscription signup side rail header related recommended recommendations share social comment reply replies discussion feedback widget widgets skip login".split())
+PARTS = frozenset("bar bars box boxes block wrap wrapper container inner outer area section list item items links link form text content panel".split())
 GOOD_WORDS = frozenset("article body content entry main post story text page blog".split())
 #: Elements whose start ends an open element of the given kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -39,68 +45,136 @@ _WEIGHT = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "blockquot
 
 
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "parent", "children", "score", "chars", "link_chars", "commas", "block_inside")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "score", "chars", "link_chars", "links", "commas", "block_inside")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
-        self.words, self.role, self.hidden = (), "", False
-        self.score, self.chars, self.link_chars, self.commas, self.block_inside = None, 0, 0, 0, False
+        self.names, self.role, self.hidden = [], "", False
+        self.score, self.chars, self.link_chars, self.links, self.commas, self.block_inside = None, 0, 0, 0, 0, False
         if "=" in attrs or "hidden" in attrs:
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name in ("class", "id"):
-                    self.words = (*self.words, *re.split(r"[\s_-]+", value))
+                    self.names.extend(re.split(r"[_-]+", x) for x in value.split())
                 elif name == "role":
                     self.role = value.strip()
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     self.hidden = True
 
 
+class _Open:
+    """The open elements of a page, outermost first, and where those of each kind stand."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at, self.walls, self.blocks = [root], {}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.at.setdefault(node.tag, []).append(depth)
+        if node.tag in _WALL:
+            self.walls.append(depth)
+        if node.tag in BLOCK:
+            self.blocks.append(depth)
+
+    def close(self, depth: int) -> None:
+        """Close the element at depth and everything inside it."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop().tag
+            self.at[tag].pop()
+            if tag in _WALL:
+                self.walls.pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag: ignored if nothing of its kind is open within reach."""
+        depths = self.at.get(tag)
+        if not depths or tag in INLINE_FORMAT and self.blocks[-1] > depths[-1] or tag in ("p", "li", "dd", "dt") and self.walls[-1] > depths[-1]:
+            return
+        self.close(depths[-1])
+
+    def implied(self, tag: str) -> None:
+        """Close what the start of an element ends without an end tag of its own."""
+        ends = CLOSES.get(tag, ())
+        limit = max([0, *(d[-1] for w in _SCOPE.get(tag, ("table",)) if (d := self.at.get(w)))]) if ends else self.walls[-1]
+        inside = [d[k] for t in (*ends, "p") if (d := self.at.get(t)) and (k := bisect_right(d, limit)) < len(d)]
+        if inside:
+            self.close(min(inside))
+
+
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose attributes begin at `at`; a > inside a quoted value does not end it. -1 if it does not end."""
+    begin = at
+    while at <= last[">"]:
+        m = _STOP.search(html, at)
+        if m[0] == ">":
+            return m.start()
+        quote = m[0][-1]
+        at = html.find(quote, m.end()) + 1 if m.end() <= last[quote] else m.end()
+    return html.find(">", begin) if begin <= last[">"] else -1
+
+
 def parse(html: str) -> Node:
     """A tree of elements and texts. Void, raw-text and implied-end rules of HTML hold; unknown ends are ignored."""
     root = Node("#root", "", None)
-    top, at, n = root, 0, len(html)
+    opened, at, n, endless = _Open(root), 0, len(html), set()
+    last = {c: html.rfind(c) for c in ">\"'"}
     while at < n:
-        m = _TAG.search(html, at)
-        if not m:
+        top, lt = opened.stack[-1], html.find("<", at)
+        if lt < 0:
             top.children.append(html[at:])
             break
-        if m.start() > at:
-            top.children.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        m = _OPEN.match(html, lt)
+        if not m:
+            top.children.append(html[at : lt + 1])
+            at = lt + 1
             continue
-        if m[1] or m[4]:
-            node = top
-            while node is not root and node.tag != tag and not (tag in INLINE_FORMAT and node.tag in BLOCK) and not (tag in ("p", "li", "dd", "dt") and node.tag in _WALL):
-                node = node.parent
-            if node.tag == tag and node is not root:
-                top = node.parent
+        if lt > at:
+            top.children.append(html[at:lt])
+        if not m[2]:
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = html.find(mark, m.end())
+            at = n if end < 0 else end + len(mark)
+            continue
+        tag, end = m[2].lower(), _tag_end(html, m.end(), last)
+        if end < 0:
+            top.children.append(html[lt:])
+            break
+        attrs, at = html[m.end() : end], end + 1
+        if m[1]:
+            opened.end(tag)
             continue
         if tag in CLOSES or tag in BLOCK:
-            ends, walls = CLOSES.get(tag, ()), _SCOPE.get(tag, ("table",))
-            node = top
-            while node is not root and node.tag not in walls:
-                if node.tag in ends or node.tag == "p" and tag in BLOCK:
-                    top = node.parent
-                elif node.tag in _WALL and not ends:
-                    break
-                node = node.parent
-        node = Node(tag, m[3] or m[6] or "", top)
+            opened.implied(tag)
+        top = opened.stack[-1]
+        node = Node(tag, attrs, top)
         top.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if end:
-                node.children.append(html[at : end.start()])
-                at = end.end()
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            if close:
+                node.children.append(html[at : close.start()])
+                at = close.end()
             elif tag in ("script", "style", "template", "noscript", "textarea", "title"):
                 at = n
-        elif tag not in VOID and not (m[3] or m[6] or "").rstrip().endswith("/"):
-            top = node
+            else:
+                endless.add(tag)
+        elif tag not in VOID and not attrs.rstrip().endswith("/"):
+            opened.push(node)
     return root
 
 
+def _bad_names(names: list[list[str]]) -> set[str]:
+    """The words of class and id that mark an element as something else than the article."""
+    bad = set()
+    for words in names:
+        bad.update(BAD_WORDS.intersection(words))
+        heads = [w for w in words if w not in PARTS]
+        if heads and heads[-1] in BAD_HEADS:
+            bad.add(heads[-1])
+    return bad
+
+
 def unwanted(node: Node, in_article: bool) -> bool:
     """Whether an element is something else than the article: by its name, role, visibility or the words of class and id."""
     if node.tag in DROPPED or node.hidden or node.role in BAD_ROLES:
@@ -109,10 +183,13 @@ def unwanted(node: Node, in_article: bool) -> bool:
         return True
     if node.tag in ("html", "body", "main"):
         return False
-    bad = BAD_WORDS.intersection(node.words)
+    bad = _bad_names(node.names)
     if not bad:
         return False
-    return not (GOOD_WORDS.intersection(node.words) - {"text", "page", "body", "content"} and not bad & {"comment", "comments", "ad", "ads"}) if node.tag != "article" else bool(bad & {"comment", "comments", "reply", "ad", "ads", "advert", "related"})
+    if node.tag == "article":
+        return bool(bad & {"comment", "comments", "reply", "ad", "ads", "advert", "related"})
+    good = any(GOOD_WORDS.intersection(words) - {"text", "page", "body", "content"} for words in node.names)
+    return not good or bool(bad & {"comment", "comments", "ad", "ads"})
 
 
 def _prune_and_measure(root: Node) -> list[Node]:
@@ -134,6 +211,7 @@ def _prune_and_measure(root: Node) -> list[Node]:
                 node.chars += c.chars
                 node.commas += c.commas
                 node.link_chars += c.chars if c.tag == "a" else c.link_chars
+                node.links += 1 if c.tag == "a" else c.links
                 node.block_inside |= c.tag in BLOCK or c.block_inside
     return order
 
@@ -142,16 +220,33 @@ def _final(node: Node) -> float:
     return node.score * (1 - node.link_chars / max(1, node.chars))
 
 
-def best_part(root: Node) -> list[Node]:
-    """The best container and the siblings that are kept with it, in page order."""
+def _menu(node: Node) -> bool:
+    """Whether an element is a list of links."""
+    return node.tag in ("ul", "ol", "div", "section", "table") and node.links >= 3 and node.link_chars > 0.8 * node.chars
+
+
+def _reads(part: Node | str, article: bool) -> bool:
+    """Whether what stands beside the best container, or beside an ancestor of it, belongs to the text."""
+    if isinstance(part, str):
+        return not article and bool(part.strip())
+    if not part.chars:
+        return False
+    if article:
+        return part.tag == "h1" or part.tag == "article" and part.link_chars < 0.5 * part.chars
+    if part.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        return True
+    return part.link_chars < 0.33 * part.chars and (part.score is not None or part.block_inside or part.tag not in BLOCK or part.tag in _PARAGRAPHS or part.chars >= 40)
+
+
+def best_part(root: Node) -> Node:
+    """The body with the best container, and beside it what reads like text; the rest of the tree is cut off."""
     order = _prune_and_measure(root)
 
     def add(node: Node | None, points: float) -> None:
         if node is None or node.tag == "#root":
             return
         if node.score is None:
-            words = set(node.words)
-            node.score = _WEIGHT.get(node.tag, 0.0) + 25.0 * bool(words & GOOD_WORDS)
+            node.score = _WEIGHT.get(node.tag, 0.0) + 25.0 * any(GOOD_WORDS.intersection(words) for words in node.names)
         node.score += points
 
     for node in order:
@@ -164,24 +259,28 @@ def best_part(root: Node) -> list[Node]:
         for _ in range(3):
             add(up, points * share)
             up, share = up.parent if up else None, share / 2
+    top = next((n for n in order if n.tag == "body"), root)
     scored = [n for n in order if n.score is not None]
     if not scored:
-        body = next((n for n in order if n.tag == "body"), root)
-        return [body]
-    best = max(scored, key=_final)
-    least = 0.2 * _final(best)
-    kept = []
-    for s in best.parent.children:
-        if isinstance(s, str):
-            continue
-        density = s.link_chars / max(1, s.chars)
-        if s is best or s.score is not None and _final(s) >= least or s.tag == "p" and density < 0.25 and (s.chars > 80 or s.chars and not density):
-            kept.append(s)
-    return kept
-
-
-def blocks_of(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks under nodes: character references decoded, white space folded, trimmed, empty ones left out."""
+        return top
+    best = node = max(scored, key=_final)
+    article = None
+    while node is not None:
+        if node.tag == "article":
+            article = node
+        node = node.parent
+    node = article or best
+    if not article:
+        node.children = [c for c in node.children if isinstance(c, str) or not _menu(c)]
+    while node is not top and node.parent is not None:
+        parent = node.parent
+        parent.children = [c for c in parent.children if c is node or _reads(c, article is not None)]
+        node = parent
+    return node
+
+
+def blocks_of(top: Node) -> list[str]:
+    """Texts of the blocks under a node: character references decoded, white space folded, trimmed, empty ones left out."""
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -191,7 +290,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
         if text:
             blocks.append(text)
 
-    stack: list = list(reversed(nodes))
+    stack: list = [top]
     while stack:
         x = stack.pop()
         if x is None:
@@ -201,7 +300,7 @@ def blocks_of(nodes: list[Node]) -> list[str]:
         elif x.tag == "br":
             buffer.append(" ")
         else:
-            block = x.tag in BLOCK or x in nodes
+            block = x.tag in BLOCK
             if block:
                 flush()
                 stack.append(None)
@@ -217,7 +316,9 @@ def main_text(html: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     r"""Main text of each whole page: id_col, url_col, text (blocks in page order joined by \n, empty if none), n_chars.
 
-    Null and empty pages give an empty text; pages without paragraphs give what is left of the body. Repeated rows stay
+    Null and empty pages give an empty text; pages without paragraphs give what is left of the body. What is left out
+    are elements whose name, role, class or id says that they are no article, lists of links and, on a page with an
+    article element, what stands outside of articles; within an article nothing else goes, however short. Repeated rows stay
     repeated, other columns are not looked at, an empty table gives no rows. One pass without shuffle.
     """
     types = {c: pages.select(c).schema[0].dataType.simpleString() for c in (id_col, url_col)}

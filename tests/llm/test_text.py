@@ -1,4 +1,5 @@
 import re
+import time
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -78,6 +79,34 @@ def test_html_main_text():
     assert html_text.main_text('<article><p title="a > b">kept</p></article>') == "kept"
 
 
+LONG = "A paragraph, of some length, with commas, that goes on and on, so that it counts for much. " * 4
+
+
+def test_html_keeps_the_whole_article():
+    main = html_text.main_text
+    eight, long = "".join(f"<p>{k} {LONG}</p>" for k in range(8)), [f"{k} {LONG}".strip() for k in range(8)]
+    epilogue = "<section><h2>Epilogue</h2><p>Short, the end.</p></section>"
+    whole = "\n".join(["Title", *long, "Epilogue", "Short, the end."])
+    assert main(f"<body><nav><a>x</a></nav><article><h1>Title</h1><section>{eight}</section>{epilogue}</article><footer>f</footer></body>") == whole
+    assert main(f"<div class=wrap><div><div><h1>Title</h1><section>{eight}</section>{epilogue}</div></div><div class=sidebar>s</div></div>") == whole
+    deep = lambda x: "<div>" * 6 + x + "</div>" * 6
+    assert main(f"<body>{deep(eight)}{deep('<p>Second part, short.</p>')}</body>") == "\n".join([*long, "Second part, short."])
+    assert main(f"<body><h1>Title</h1>{eight}loose words<p>Short.</p></body>") == "\n".join(["Title", *long, "loose words", "Short."])
+    assert main("<article><p>An <math><mi>x</mi></math> inside, ok.</p></article>") == "An x inside, ok."
+    assert main(f"<article>{eight}<div class='notice-board'><p>Kept, too.</p></div><div class='site-notice'>gone</div><div class='notice-bar'>gone</div></article>") == "\n".join([*long, "Kept, too."])
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>entry {k}</a></li>" for k in range(9)) + "</ul>"
+    assert main(f"<body>{menu}<div>{menu}{eight}</div><div>{menu}</div></body>") == "\n".join(long)
+    assert main(f"<article>{eight}</article><div><p>About, us, all, else.</p></div><article><p>Another article, here.</p></article>") == "\n".join([*long, "Another article, here."])
+
+
+def test_html_takes_time_in_proportion():
+    n = 30_000
+    for page in ("<a " * n, "<b>" * n + "</x>" * n, "<li><div>" + "<b>" * n + "</li>" * n, "<b>" * n + "<p>" * n, "<a =\"" * n + ">", "<audio>" * n, "<" * n, "<p>x</p>" * n, "<div>" * n + "x", "<!--" * n, "<a b='" * n, "<ul><li>" * n + "</ul>" * n):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 3, page[:20]
+
+
 def test_html_of_the_table_is_the_article(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
