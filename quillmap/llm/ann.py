@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Directions, cells of a sorted array, and the share of the directions in which a vector must collide.
-DIRECTIONS, CELLS, THRESHOLD = 128, 64, 0.64
-#: First half width of a window, the factor by which rehashing widens it, and the share of a block that is to be verified beyond k.
-WIDTH, WIDEN, VERIFY = 0.9, 1.08, 0.2
-#: Vectors and queries that meet in one task.
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+DIRECTIONS, CELLS, THRESHOLD = 256, 64, 0.64
+#: First half width of a window, and the factor by which rehashing widens it.
+WIDTH, WIDEN = 0.9, 1.08
+#: Vectors and queries that meet in one task at most, and the tasks among which fewer vectors are dealt.
+BLOCK_ROWS, QUERY_ROWS, LEAST_BLOCKS, LEAST_ROWS = 16384, 16384, 8, 2048
+
+
+def share(k: int, n: int) -> float:
+    """The share of n vectors that is verified for each query beyond k: sqrt(k n) vectors, so it falls as n grows."""
+    return min(1.0, float(np.sqrt(k / max(1, n))))
 
 
 def directions(dims: int, n: int = DIRECTIONS) -> np.ndarray:
@@ -91,18 +96,24 @@ class Block:
                 equal = equal & ~plane
         return over | equal
 
-    def search(self, queries: np.ndarray, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vector, inner product): each query's best k of all verified vectors, ties by the smaller id."""
+    def search(self, queries: np.ndarray, k: int, ids: np.ndarray, q_ids: np.ndarray, part: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, vector, inner product): each query's best k of all verified vectors with another id, ties by the smaller id.
+
+        Windows widen until the given part of the block and k vectors more are verified.
+        """
         lengths = np.linalg.norm(queries, axis=1, keepdims=True)
         projected = (queries / lengths) @ self.axes[:-1]
         open_, half, found = np.arange(len(queries)), WIDTH, []
-        enough = min(self.n, k + int(VERIFY * self.n))
+        ordered = np.sort(ids)
+        own = np.searchsorted(ordered, q_ids, side="right") - np.searchsorted(ordered, q_ids, side="left")
+        enough = np.minimum(self.n, k + own + int(np.ceil(part * self.n)))
         while len(open_):
             masks = np.concatenate([self.collided(projected[open_[at : at + 64]], half) for at in range(0, len(open_), 64)])
             counts = np.bitwise_count(masks).sum(axis=1)
-            done = (counts >= enough) | (half > 64)
+            done = (counts >= enough[open_]) | (half > 64)
             for i, mask in zip(open_[done], masks[done], strict=True):
                 near = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[: self.n])
+                near = near[ids[near] != q_ids[i]]
                 # A fast product first; those that rounding could bring among the best k are then summed up exactly alike.
                 rough = self.vectors[near] @ queries[i]
                 if len(near) > k:
@@ -127,7 +138,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = F.col(vec_col).cast("array<double>")
     big = F.lit(float("inf"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(v).alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.size(vec_col).alias("dims"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -135,40 +146,36 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     A query's own id is no candidate; ties go to the smaller id; queries with fewer candidates get all of them. Rows
     whose vector is null, empty, zero or holds null or non-finite components, and rows with a null id, take no part;
-    vectors meet only queries with as many dimensions. Rows that repeat an id are dropped but for one (of equal ids, the
-    largest vector in array order).
-    Empty tables give no rows; other columns are not looked at.
+    vectors meet only queries with as many dimensions. Candidate rows that repeat an id all take part; of queries that
+    repeat one, the largest vector in array order is asked. Empty tables give no rows; other columns are not looked at.
 
     Blocks of vectors meet blocks of queries, so that a task holds block_rows + query_rows vectors at any size. Each
-    block returns at most k rows a query, and the best k of all blocks are ranked with a limit before the shuffle.
+    block verifies the share of its vectors that share() gives for the whole table, and returns at most k rows a query;
+    the best k of all blocks are ranked with a limit before the shuffle. Vectors travel in their own element type.
     """
-    data, asked = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    size = F.size("v").alias("dims")
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    shape = data.groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()
+    data = usable(vectors, id_col, vec_col)
+    asked = usable(queries, id_col, vec_col).groupBy("id", "dims").agg(F.max("v").alias("v"))
+    square = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x)
+    shape = {r["dims"]: r for r in data.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()}
     if not shape:
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    blocks = max(1, -(-max(r["n"] for r in shape) // block_rows))
+    n = max(r["n"] for r in shape.values())
+    blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // LEAST_ROWS))
     q_blocks = max(1, -(-asked.count() // query_rows))
-    longest = {r["dims"]: r["longest"] for r in shape}
-    left = data.select("id", "v", size, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    right = asked.select("id", "v", size, F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    part = {d: (float(r["longest"]), share(k, r["n"])) for d, r in shape.items()}
+    # Rows are dealt one by one, so that those that repeat an id do not meet in one task.
+    left = data.select("id", "v", "dims", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    right = asked.select("id", "v", "dims", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def meet(data_part: pa.Table, query_part: pa.Table) -> pa.Table:
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(data_part) or not len(query_part):
             return kind.empty_table()
-        dims = data_part.column("dims")[0].as_py()
+        longest, least = part[data_part.column("dims")[0].as_py()]
         ids, vectors_ = _matrix(data_part)
         q_ids, queries_ = _matrix(query_part)
-        q, v, scores = Block(vectors_, longest[dims]).search(queries_, k + 1, ids)
-        # The query itself may take one of the k + 1 places.
-        other = q_ids[q] != ids[v]
-        q, v, scores = q[other], v[other], scores[other]
-        order = np.lexsort((ids[v], -scores, q))
-        q, v, scores = q[order], v[order], scores[order]
-        top = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
-        return pa.table([q_ids[q[top]], ids[v[top]], scores[top]], schema=kind)
+        q, v, scores = Block(vectors_, longest).search(queries_, k, ids, q_ids, least)
+        return pa.table([q_ids[q], ids[v], scores], schema=kind)
 
     near = left.groupBy("b", "qb", "dims").cogroup(right.groupBy("b", "qb", "dims")).applyInArrow(meet, "query_id long, vec_id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def _packed(dealt: DataFrame, kind: str, shards: int, level: int, caps: Capacities) -> DataFrame:
-    """One pass over (row, n): a hash of the row deals it to one of the shards, and each shard is packed by itself."""
+    """One pass over (row, n): a hash of the row and its place deals it to one of the shards, and each shard is packed by itself."""
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("n").to_numpy()
@@ -133,7 +133,7 @@ def _packed(dealt: DataFrame, kind: str, shards: int, level: int, caps: Capaciti
         back[tie] = np.arange(len(tie))
         return pa.table({"row": row, "n": lengths, "sequence_id": pa.array(bins[back] + (int(shard) << 32) + (level << 56), pa.int64()), "offset": pa.array(offsets[back], pa.int64())})
 
-    rows = dealt.select("row", "n", F.pmod(F.xxhash64(F.lit(level), "row"), F.lit(shards)).alias("shard"))
+    rows = dealt.select("row", "n", F.pmod(F.xxhash64(F.lit(level), "row", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
     return rows.groupBy("shard").applyInArrow(run, f"row {kind}, n bigint, sequence_id bigint, offset bigint")
 
 
@@ -146,7 +146,8 @@ def pack(items: DataFrame, length_col: str = "length", caps: Capacities = Capaci
     and offset are replaced; equal rows are equal items, each packed. An empty table gives no rows.
     """
     names = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
-    items = items.select(*[F.col(f"`{c}`") for c in names])
+    # Written first, so that a row's place, which parts equal rows, is the same whenever a task runs again.
+    items = materialise(items.select(*[F.col(f"`{c}`") for c in names]), "items")
     length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(1)), F.lit(1))
     shards_for = lambda tokens: max(1, -(-tokens // (caps.tokens * bins_per_shard)))
     shards = shards_for(items.agg(F.sum(length)).first()[0] or 0)
@@ -165,4 +166,4 @@ def pack(items: DataFrame, length_col: str = "length", caps: Capacities = Capaci
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", caps: Capacities = Capacities(), memory: int = 1) -> DataFrame:
     """Tokenise, cut and pack documents; see pieces() and pack(). Other columns are not looked at. memory: see PrefixBpe."""
-    return pack(materialise(pieces(docs, path, id_col, text_col, caps.tokens, memory=memory), "pieces"), caps=caps)
+    return pack(pieces(docs, path, id_col, text_col, caps.tokens, memory=memory), caps=caps)

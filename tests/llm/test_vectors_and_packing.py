@@ -31,6 +31,35 @@ def test_neighbours_are_exact_on_few_vectors_with_ties(spark):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_repeated_ids_and_other_dimensions_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, 0.1]), (1, [0.9, 0.1]), (0, [0.0, 1.0]), (2, [1.0, 1.0, 1.0]), (20, [0.1, 0.1, 0.2]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect()
+    # Of the two queries with id 0 the larger vector is asked; neither is a candidate of it.
+    assert [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got] == [(0, 1, 1, 0.9), (0, 2, 1, 0.9), (0, 3, 1, 0.5), (20, 1, 2, 0.4)]
+
+
+def test_verified_share_falls_as_tables_grow():
+    rng, shares = np.random.default_rng(3), []
+    for n in (2000, 8000):
+        vectors = rng.standard_normal((n, 64))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        queries = vectors[:100]
+        block, ids, seen = ann.Block(vectors, 1.0), np.arange(n), []
+        counted = np.flatnonzero
+        ann.np.flatnonzero = lambda x: seen.append(len(out := counted(x))) or out
+        try:
+            q, v, _ = block.search(queries, 20, ids, ids[:100], ann.share(20, n))
+        finally:
+            ann.np.flatnonzero = counted
+        scores = queries @ vectors.T
+        np.fill_diagonal(scores, -9)
+        best = np.argsort(-scores, axis=1)[:, :20]
+        assert sum(len(set(v[q == k]) & set(best[k])) for k in range(100)) >= 0.9 * 2000
+        shares.append(np.mean(seen) / n)
+    assert shares[1] < 0.7 * shares[0] < 0.2
+
+
 def test_recall_over_blocks(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, block_rows=200, query_rows=10).collect()
@@ -71,6 +100,46 @@ def test_best_fit_holds_every_capacity(caps):
         packing.best_fit(np.array([caps.tokens + 1]), caps)
 
 
+def plain_best_fit(lengths, caps):
+    """The rule item by item: every open bin that holds the item is weighed."""
+    limits, bins, placed = (caps.tokens, caps.documents, caps.attention), [], {}
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        item = (float(lengths[k]), 1.0, float(lengths[k]) ** 2)
+        best = None
+        for b, rest in enumerate(bins):
+            if all(r >= i for r, i in zip(rest, item, strict=True)):
+                if caps.rule == "norm":
+                    cost = sum(w * ((r - i) / c) ** 2 for w, r, i, c in zip(caps.weights, rest, item, limits, strict=True))
+                else:
+                    cost = sum(w * (r / c) * (i / c) for w, r, i, c in zip(caps.weights, rest, item, limits, strict=True))
+                if best is None or cost < best[0] - 1e-15:
+                    best = (cost, b)
+        if best is None:
+            bins.append(list(limits))
+            best = (0, len(bins) - 1)
+        bins[best[1]] = [r - i for r, i in zip(bins[best[1]], item, strict=True)]
+        placed[k] = best[1]
+    return [placed[k] for k in range(len(lengths))]
+
+
+@pytest.mark.parametrize("caps", [packing.Capacities(100, 4, 5000, (1.0, 0.5, 0.5)), packing.Capacities(), packing.Capacities(100, 5, 10_000, rule="dot")])
+def test_best_fit_equals_the_plain_rule(caps):
+    rng = np.random.default_rng(11)
+    for _ in range(5):
+        lengths = rng.permutation(np.arange(1, 1 + min(caps.tokens, int(caps.attention**0.5))))[:60]
+        assert packing.best_fit(lengths, caps)[0].tolist() == plain_best_fit(lengths.tolist(), caps)
+
+
+def test_pack_with_binding_documents_and_attention(spark):
+    caps = packing.Capacities(100, 3, 3000, (1.0, 0.5, 0.5))
+    df = spark.createDataFrame([(k, 1 + k * 7 % 50) for k in range(500)], "doc_id long, length int")
+    got = packing.pack(df, caps=caps, bins_per_shard=20).toPandas()
+    bins = got.groupby("sequence_id").length
+    assert len(got) == 500 and bins.sum().max() <= 100 and bins.count().max() == 3 and bins.agg(lambda x: (x**2).sum()).max() <= 3000
+    # Both other capacities bind: tokens alone would need fewer bins.
+    assert bins.ngroups > 1.2 * got.length.sum() / 100
+
+
 def test_best_fit_is_tight_and_fills_equal_items():
     rng = np.random.default_rng(1)
     lengths = np.concatenate([rng.integers(1, 900, 3000), np.full(500, 4096), np.ones(5000, int)])
