@@ -92,11 +92,11 @@ def detect_order(gcps: DataFrame, saved: str = "saved_residual", tolerance: floa
 def robust_line(df: DataFrame, keys: Sequence[str], x: str, y: str, ids: Sequence[str], within: float = 5.0, apart: float = 5.0, draws: int = 50, least: int = 10, seed: int = 42) -> DataFrame:
     """Line through most points (x as a function of y), from seeded pairs and a refit on its inliers.
 
-    A pair joins two points drawn by a seeded hash; pairs closer than `apart` in y are passed over. The pair whose line
+    A pair joins two points drawn by a seeded hash of their ids (MD5, which SQL engines share); pairs closer than `apart` in y are passed over. The pair whose line
     has most points within `within` wins (the first on ties), and if it has at least `least`, they are fitted again.
     Returns slope, intercept (x = slope * y + intercept) and inliers. Each group's draws are a bounded number of rows.
     """
-    draw = lambda salt: F.xxhash64(*ids, F.lit(seed + salt))
+    draw = lambda salt: F.md5(F.concat_ws("|", *ids, F.lit(seed + salt)))
     ends = None
     for salt in (0, 1):
         top = _drawn(df, keys, x, y, draw(salt), draws, f"e{salt}")

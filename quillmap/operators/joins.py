@@ -6,13 +6,14 @@ neighbouring ones, so that an equi-join on the bucket finds all pairs within rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import forget, materialise
+
 
 def first_match(left: DataFrame, rights: Sequence[tuple[DataFrame, Column]], pick: str, name: str) -> DataFrame:
     """Left joins in order of preference; the first match of `pick` is taken, rows without one are dropped."""
@@ -27,25 +28,37 @@ def without(left: DataFrame, right: DataFrame, on) -> DataFrame:
     return left.join(right, on, "left_anti")
 
 
-def inset_anti(lines: DataFrame, boxes: DataFrame, keys: Sequence[str], share: float = 0.5) -> DataFrame:
-    """Drop lines of which a box covers over `share`.
+def _cells(low, high, cell: float) -> Column:
+    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+
+
+def inset_anti(lines: DataFrame, boxes: DataFrame, keys: Sequence[str], share: float = 0.5, cell: float = 256.0) -> DataFrame:
+    """Drop lines of which a box covers over `share`, which is a half or more.
 
-    A line's area takes sides of at least 1, the overlap its true sides: a line without width overlaps nothing.
+    A line's area takes sides of at least 1, the overlap its true sides: a line without width overlaps nothing. A box
+    that covers over a half holds the line's centre, so a line is looked up in the cell of its centre only and boxes
+    are put in every cell that they touch: an equi-join on key and cell.
     """
-    b = boxes.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(c).alias(f"b_{c}") for c in ("x_min", "x_max", "y_min", "y_max")])
+    if share < 0.5:
+        raise ValueError("share under a half: a line's centre need not be in the box")
+    sides = ("x_min", "x_max", "y_min", "y_max")
+    b = boxes.where("x_min <= x_max and y_min <= y_max").select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(c).alias(f"b_{c}") for c in sides])
+    b = b.withColumn("b_i", F.explode(_cells(F.col("b_x_min"), F.col("b_x_max"), cell))).withColumn("b_j", F.explode(_cells(F.col("b_y_min"), F.col("b_y_max"), cell)))
     w = F.greatest(F.lit(0.0), F.least("x_max", "b_x_max") - F.greatest("x_min", "b_x_min"))
     h = F.greatest(F.lit(0.0), F.least("y_max", "b_y_max") - F.greatest("y_min", "b_y_min"))
     area = F.greatest(F.lit(1.0), F.col("x_max") - F.col("x_min")) * F.greatest(F.lit(1.0), F.col("y_max") - F.col("y_min"))
-    on = w * h / area > share
+    on = (F.floor((F.col("x_min") + F.col("x_max")) / 2 / cell) == F.col("b_i")) & (F.floor((F.col("y_min") + F.col("y_max")) / 2 / cell) == F.col("b_j")) & (w * h / area > share)
     for k in keys:
         on = (F.col(k) == F.col(f"b_{k}")) & on
     return lines.join(b, on, "left_anti")
 
 
-def point_in_box_anti(points: DataFrame, boxes: DataFrame, keys: Sequence[str], margin: float = 18.0, x: str = "cx", y: str = "cy") -> DataFrame:
-    """Drop points inside a box widened by the margin, its edges included."""
-    b = boxes.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[F.col(c).alias(f"b_{c}") for c in ("x_min", "x_max", "y_min", "y_max")])
-    on = F.col(x).between(F.col("b_x_min") - margin, F.col("b_x_max") + margin) & F.col(y).between(F.col("b_y_min") - margin, F.col("b_y_max") + margin)
+def point_in_box_anti(points: DataFrame, boxes: DataFrame, keys: Sequence[str], margin: float = 18.0, x: str = "cx", y: str = "cy", cell: float = 256.0) -> DataFrame:
+    """Drop points inside a box widened by the margin, its edges included: an equi-join on key and cell."""
+    b = boxes.select(*[F.col(k).alias(f"b_{k}") for k in keys], *[(F.col(c) + s * margin).alias(f"b_{c}") for c, s in (("x_min", -1), ("x_max", 1), ("y_min", -1), ("y_max", 1))])
+    b = b.where("b_x_min <= b_x_max and b_y_min <= b_y_max")
+    b = b.withColumn("b_i", F.explode(_cells(F.col("b_x_min"), F.col("b_x_max"), cell))).withColumn("b_j", F.explode(_cells(F.col("b_y_min"), F.col("b_y_max"), cell)))
+    on = (F.floor(F.col(x) / cell) == F.col("b_i")) & (F.floor(F.col(y) / cell) == F.col("b_j")) & F.col(x).between(F.col("b_x_min"), F.col("b_x_max")) & F.col(y).between(F.col("b_y_min"), F.col("b_y_max"))
     for k in keys:
         on = (F.col(k) == F.col(f"b_{k}")) & on
     return points.join(b, on, "left_anti")
@@ -108,26 +121,25 @@ def facing_ends(ends: DataFrame, keys: Sequence[str], radius: float, angle: floa
 def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: str, rpos: str, lid: str, rid: str, within: float) -> DataFrame:
     """One-to-one matching, nearest pairs first (ties by left, then right id), up to a distance of within inclusive.
 
-    Pairs within reach come from a bucket join. Rounds of mutual best choices give what the sorted greedy pass gives:
-    a pair that is the best for both its sides is taken, and whatever it uses goes; groups are independent.
+    Pairs within reach come from a bucket join. Rounds of mutual best choices give what the sorted greedy pass gives: a
+    pair that is the best for both its sides is taken, and all pairs of what it uses go. Every round is two grouped
+    minima and joins on ids, so no group meets in one task; rounds are as many as choices hang on each other.
     """
     b = lambda c: F.floor(F.col(c) / within)
     l = left.select(*keys, F.col(lid).alias("l_id"), F.col(lpos).alias("l_pos")).withColumn("__b", F.explode(F.array(b("l_pos") - 1, b("l_pos"), b("l_pos") + 1)))
     r = right.select(*keys, F.col(rid).alias("r_id"), F.col(rpos).alias("r_pos")).withColumn("__b", b("r_pos"))
-    pairs = l.join(r, [*keys, "__b"]).withColumn("distance", F.abs(F.col("l_pos") - F.col("r_pos"))).where(F.col("distance") <= within).drop("__b")
-    kind = pairs.schema
-
-    def match(table: pa.Table) -> pa.Table:
-        d, a, c = table.column("distance").to_numpy(), table.column("l_id").to_numpy(), table.column("r_id").to_numpy()
-        used_a, used_c, kept = set(), set(), []
-        for i in np.lexsort((c, a, d)):
-            if a[i] not in used_a and c[i] not in used_c:
-                used_a.add(a[i])
-                used_c.add(c[i])
-                kept.append(i)
-        return table.take(pa.array(kept, pa.int64()))
-
-    return pairs.groupBy(*keys).applyInArrow(match, kind)
+    pairs = l.join(r, [*keys, "__b"]).select(*keys, "l_id", "r_id", F.abs(F.col("l_pos") - F.col("r_pos")).alias("distance")).where(F.col("distance") <= within)
+    pairs, taken = materialise(pairs, "pairs"), []
+    while True:
+        best = lambda side: pairs.groupBy(*keys, side).agg(F.min(F.struct("distance", "l_id", "r_id")).alias("m")).select(*keys, "m.*")  # noqa: B023, E731
+        mutual = materialise(best("l_id").join(best("r_id"), [*keys, "distance", "l_id", "r_id"]), "matched")
+        if mutual.isEmpty():
+            break
+        taken.append(mutual)
+        free = pairs.join(mutual.select(*keys, "l_id"), [*keys, "l_id"], "left_anti").join(mutual.select(*keys, "r_id"), [*keys, "r_id"], "left_anti")
+        done, pairs = pairs, materialise(free.select(*pairs.columns), "pairs")
+        forget(done)
+    return reduce(DataFrame.unionByName, taken, mutual).select(*keys, "l_id", "r_id", "distance")
 
 
 def interpolate(samples: DataFrame, vertices: DataFrame, keys: Sequence[str], at: str, x: str, y: str, order: Sequence[str] = ()) -> DataFrame:

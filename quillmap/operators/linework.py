@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import arc_length, clipped_polyline, densified, point, segments
+from ..storage import forget, materialise
 from .fit import plane_value
 
 
@@ -58,27 +59,20 @@ def two_levels(edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id each id is linked to, by rounds of neighbours' labels and pointer jumps.
 
-    Every round is cut from its lineage by checkpoint() in the shared folder; rounds grow with the logarithm of the
-    longest path. The ids may be of any ordered type.
+    Every round is a table in the shared folder; rounds grow with the logarithm of the longest path. The ids may be of
+    any ordered type.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            import tempfile
-
-            named = f"{tempfile.gettempdir()}/checkpoints/quillmap"
-        spark.sparkContext.setCheckpointDir(named)
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
-    labels = both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.min("u")).alias("label")).checkpoint()
+    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
+    labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        step = step.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was").checkpoint()
-        if step.where(F.col("label") != F.col("was")).isEmpty():
-            return step.select("id", F.col("label").alias("component"))
-        labels = step.select("id", "label")
+        done, labels = labels, materialise(step.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was"), "labels")
+        forget(done)
+        if labels.where(F.col("label") != F.col("was")).isEmpty():
+            forget(both)
+            return labels.select("id", F.col("label").alias("component"))
 
 
 def component_boxes(pixels: DataFrame, keys: Sequence[str], component: str, least: int = 0) -> DataFrame:

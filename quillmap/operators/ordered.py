@@ -101,10 +101,10 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column) -> DataFra
 
 
 def one_of_each(df: DataFrame, prefix: str, path: str, seed: int = 42, n: int | None = None) -> DataFrame:
-    """One row of each prefix, drawn by a seeded hash of its path; then n of them by the same draw."""
-    draw = F.xxhash64(F.col(path), F.lit(seed))
-    rows = df.where(F.col(prefix).isNotNull()).groupBy(prefix).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != prefix]), F.struct(draw, path)).alias("r"))
-    rows = rows.select(prefix, "r.*")
+    """One row of each prefix, drawn by a seeded hash of its path (MD5, which SQL engines share); then n of them by the same draw."""
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col(path)))
+    rows = df.where(F.col(prefix).isNotNull()).groupBy(prefix).agg(F.min(F.struct(draw, path, F.struct(*[F.col(f"`{c}`") for c in df.columns if c != prefix]).alias("row"))).alias("r"))
+    rows = rows.select(prefix, "r.row.*")
     return rows if n is None else rows.orderBy(draw, path).limit(n)
 
 

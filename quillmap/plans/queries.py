@@ -167,31 +167,36 @@ def micro_avg(spark, d):
     return metrics.foreground_miou(_confused(spark, d), ["sheet"]).select("sheet", _r("miou").alias("miou"))
 
 
-def _price_boxes(spark, d):
-    """Parts of a brand as boxes: size along x, price along y."""
-    p = _t(spark, d, "part").where("p_partkey % 50 = 0")
-    return p.select(F.col("p_brand").alias("sheet"), (F.col("p_size") * 10.0).alias("x_min"), (F.col("p_size") * 10.0 + 60).alias("x_max"), F.col("p_retailprice").alias("y_min"), (F.col("p_retailprice") + 200).alias("y_max"))
+_BOX_SQL = "SELECT s_nationkey AS sheet, s_acctbal AS x0, s_acctbal + 400 AS x1, s_suppkey * 53 % 1000 AS y0, s_suppkey * 53 % 1000 + 400 AS y1 FROM supplier"
 
 
-@query("""
-    WITH b AS (SELECT p_brand AS sheet, p_size * 10.0 AS x0, p_size * 10.0 + 60 AS x1, p_retailprice AS y0, p_retailprice + 200 AS y1 FROM part WHERE p_partkey % 50 = 0),
-    l AS (SELECT p_partkey, p_brand AS sheet, p_size * 10.0 AS x0, p_size * 10.0 + p_partkey % 7 AS x1, p_retailprice AS y0, p_retailprice + 50 + p_partkey % 300 AS y1 FROM part)
-    SELECT p_partkey FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.sheet = l.sheet
+def _boxes(spark, d):
+    """Suppliers of a nation as boxes: balance along x, key along y."""
+    s = _t(spark, d, "supplier")
+    y = (F.col("s_suppkey") * 53 % 1000).cast("double")
+    return s.select(F.col("s_nationkey").alias("sheet"), F.col("s_acctbal").alias("x_min"), (F.col("s_acctbal") + 400).alias("x_max"), y.alias("y_min"), (y + 400).alias("y_max"))
+
+
+@query(f"""
+    WITH b AS ({_BOX_SQL}),
+    l AS (SELECT c_custkey, c_nationkey AS sheet, c_acctbal AS x0, c_acctbal + c_custkey % 7 AS x1, c_custkey * 37 % 1000 AS y0, c_custkey * 37 % 1000 + 50 + c_custkey % 300 AS y1 FROM customer)
+    SELECT c_custkey FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.sheet = l.sheet
         AND greatest(0, least(l.x1, b.x1) - greatest(l.x0, b.x0)) * greatest(0, least(l.y1, b.y1) - greatest(l.y0, b.y0)) / (greatest(1, l.x1 - l.x0) * greatest(1, l.y1 - l.y0)) > 0.5)
 """)
 def inset_anti(spark, d):
-    p = _t(spark, d, "part")
-    l = p.select("p_partkey", F.col("p_brand").alias("sheet"), (F.col("p_size") * 10.0).alias("x_min"), (F.col("p_size") * 10.0 + F.col("p_partkey") % 7).alias("x_max"), F.col("p_retailprice").alias("y_min"), (F.col("p_retailprice") + 50 + F.col("p_partkey") % 300).alias("y_max"))
-    return joins.inset_anti(l, _price_boxes(spark, d), ["sheet"]).select("p_partkey")
+    c = _t(spark, d, "customer")
+    y = (F.col("c_custkey") * 37 % 1000).cast("double")
+    l = c.select("c_custkey", F.col("c_nationkey").alias("sheet"), F.col("c_acctbal").alias("x_min"), (F.col("c_acctbal") + F.col("c_custkey") % 7).alias("x_max"), y.alias("y_min"), (y + 50 + F.col("c_custkey") % 300).alias("y_max"))
+    return joins.inset_anti(l, _boxes(spark, d), ["sheet"]).select("c_custkey")
 
 
-@query("""
-    WITH b AS (SELECT p_brand AS sheet, p_size * 10.0 AS x0, p_size * 10.0 + 60 AS x1, p_retailprice AS y0, p_retailprice + 200 AS y1 FROM part WHERE p_partkey % 50 = 0)
-    SELECT p_partkey FROM part p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.sheet = p.p_brand AND p.p_size * 10.0 BETWEEN b.x0 - 18 AND b.x1 + 18 AND p.p_retailprice BETWEEN b.y0 - 18 AND b.y1 + 18)
+@query(f"""
+    WITH b AS ({_BOX_SQL})
+    SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.sheet = c.c_nationkey AND c.c_acctbal BETWEEN b.x0 - 18 AND b.x1 + 18 AND c.c_custkey * 37 % 1000 BETWEEN b.y0 - 18 AND b.y1 + 18)
 """)
 def point_in_box_anti(spark, d):
-    p = _t(spark, d, "part").select("p_partkey", F.col("p_brand").alias("sheet"), (F.col("p_size") * 10.0).alias("cx"), F.col("p_retailprice").alias("cy"))
-    return joins.point_in_box_anti(p, _price_boxes(spark, d), ["sheet"]).select("p_partkey")
+    p = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("sheet"), F.col("c_acctbal").alias("cx"), (F.col("c_custkey") * 37 % 1000).cast("double").alias("cy"))
+    return joins.point_in_box_anti(p, _boxes(spark, d), ["sheet"]).select("c_custkey")
 
 
 @query("""
@@ -248,24 +253,24 @@ def interp(spark, d):
 
 
 _SHEET_SQL = """
-    v AS (SELECT p_brand AS sheet, p_partkey, CAST(100.37 AS DOUBLE) * (p_partkey % 20) AS x1, CAST(100.37 AS DOUBLE) * (p_partkey % 20) + CAST(1.03 AS DOUBLE) * p_size AS x2, CAST(0 AS DOUBLE) AS y1, CAST(500.13 AS DOUBLE) + p_size * CAST(10.7 AS DOUBLE) AS y2, CAST(60 + p_partkey % 20 AS DOUBLE) AS lon FROM parts WHERE p_partkey % 4 = 0),
-    h AS (SELECT p_brand AS sheet, p_partkey AS h_key, CAST(20.29 AS DOUBLE) * (p_partkey % 30) AS ya, CAST(20.29 AS DOUBLE) * (p_partkey % 30) + CAST(0.91 AS DOUBLE) * p_size AS yb, CAST(10 + p_partkey % 30 AS DOUBLE) AS lat FROM parts WHERE p_partkey % 4 = 1)
+    v AS (SELECT sheet, p_partkey, CAST(100.37 AS DOUBLE) * (p_partkey % 20) AS x1, CAST(100.37 AS DOUBLE) * (p_partkey % 20) + CAST(1.03 AS DOUBLE) * p_size AS x2, CAST(0 AS DOUBLE) AS y1, CAST(500.13 AS DOUBLE) + p_size * CAST(10.7 AS DOUBLE) AS y2, CAST(60 + p_partkey % 20 AS DOUBLE) AS lon FROM parts WHERE p_partkey % 2 = 0),
+    h AS (SELECT sheet, p_partkey AS h_key, CAST(20.29 AS DOUBLE) * (p_partkey % 30) AS ya, CAST(20.29 AS DOUBLE) * (p_partkey % 30) + CAST(0.91 AS DOUBLE) * p_size AS yb, CAST(10 + p_partkey % 30 AS DOUBLE) AS lat FROM parts WHERE p_partkey % 2 = 1)
 """
 
 
 def _sheet(spark, d):
-    """A brand's parts as the meridians and parallels of a sheet; odd factors keep values off the halves that rounding splits."""
-    p = _t(spark, d, "part")
+    """Parts of a brand and type as a sheet: even keys are meridians, odd ones parallels; odd factors keep values off the halves that rounding splits."""
+    p = _t(spark, d, "part").withColumn("sheet", F.concat_ws("/", "p_brand", "p_type"))
     k = F.col("p_partkey")
     x = 100.37 * (k % 20)
-    v = p.where(k % 4 == 0).select(F.col("p_brand").alias("sheet"), F.array(g.point(x, F.lit(0)), g.point(x + 1.03 * F.col("p_size"), 500.13 + F.col("p_size") * 10.7)).alias("points"), (60 + k % 20).cast("double").alias("degree"))
+    v = p.where(k % 2 == 0).select("sheet", F.array(g.point(x, F.lit(0)), g.point(x + 1.03 * F.col("p_size"), 500.13 + F.col("p_size") * 10.7)).alias("points"), (60 + k % 20).cast("double").alias("degree"))
     y = 20.29 * (k % 30)
-    h = p.where(k % 4 == 1).select(F.col("p_brand").alias("sheet"), F.array(g.point(F.lit(0), y), g.point(F.lit(1000), y + 0.91 * F.col("p_size")), g.point(F.lit(2000), y)).alias("points"), (10 + k % 30).cast("double").alias("degree"))
+    h = p.where(k % 2 == 1).select("sheet", F.array(g.point(F.lit(0), y), g.point(F.lit(1000), y + 0.91 * F.col("p_size")), g.point(F.lit(2000), y)).alias("points"), (10 + k % 30).cast("double").alias("degree"))
     return v, h
 
 
 @query(f"""
-    WITH RECURSIVE parts AS (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part), {_SHEET_SQL},
+    WITH RECURSIVE parts AS (SELECT p_brand || '/' || p_type AS sheet, p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part), {_SHEET_SQL},
     j AS (SELECT v.sheet, p_partkey, h_key, lon, lat, x1, x2, y2, ya, yb, (greatest(y1, ya) + least(y2, yb)) / 2 AS y0 FROM v JOIN h ON v.sheet = h.sheet AND y1 <= yb AND ya <= y2),
     f AS (
         SELECT *, y0 AS y, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, FALSE AS done, 0 AS i FROM j
@@ -293,21 +298,23 @@ def degree_assign(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT s_nationkey AS k, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, s_suppkey FROM supplier QUALIFY i < 8),
-    ps AS (SELECT k, i, 100.0 + 4 * i + CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 ELSE 0 END AS dg FROM s),
+    WITH s AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS n, s_suppkey FROM supplier),
+    ps AS (SELECT s_nationkey * 1000000 + n // 8 AS k, n % 8 AS i, 100.0 + 4 * (n % 8) + CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 ELSE 0 END AS dg FROM s),
     pairs AS (SELECT a.k, a.i AS ai, b.i AS bi, a.dg AS base, (b.dg - a.dg) / (b.i - a.i) AS step FROM ps a JOIN ps b ON a.k = b.k AND a.i < b.i WHERE abs((b.dg - a.dg) / (b.i - a.i)) > 1e-9),
     e AS (SELECT p.k, p.ai, p.bi, q.i, q.dg, base + (q.i - p.ai) * step AS raw, round_even(base + (q.i - p.ai) * step, CASE WHEN abs(step) >= 1 THEN 0 ELSE 1 END) AS est FROM pairs p JOIN ps q ON p.k = q.k),
     w AS (SELECT k, ai, bi, count(*) AS n, round(10 * stddev_pop(est - raw) - 0.5 * count(*), 9) AS score FROM e WHERE abs(est - dg) <= 0.51 GROUP BY k, ai, bi HAVING count(*) >= 3),
     best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY score, ai, bi) = 1)
-    SELECT e.k AS nation, e.i AS idx, e.est AS degree FROM e JOIN best b ON e.k = b.k AND e.ai = b.ai AND e.bi = b.bi WHERE abs(est - dg) <= 0.51
+    SELECT e.k AS sheet, e.i AS idx, e.est AS degree FROM e JOIN best b ON e.k = b.k AND e.ai = b.ai AND e.bi = b.bi WHERE abs(est - dg) <= 0.51
     UNION ALL SELECT k, i, dg FROM ps WHERE k NOT IN (SELECT k FROM best)
 """)
 def ap_consensus(spark, d):
+    """A sheet has eight suppliers of a nation as lines."""
     from pyspark.sql import Window
 
-    s = _t(spark, d, "supplier").withColumn("idx", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).where("idx < 8")
-    noisy = s.select(F.col("s_nationkey").alias("nation"), "idx", (100.0 + 4 * F.col("idx") + F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 5).otherwise(0)).alias("degree"))
-    return fit.progression_consensus(noisy, ["nation"], "idx", "degree").select("nation", F.col("idx").cast("long").alias("idx"), "degree")
+    s = _t(spark, d, "supplier").withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1)
+    s = s.select((F.col("s_nationkey") * 1000000 + F.floor(F.col("n") / 8)).cast("long").alias("sheet"), (F.col("n") % 8).alias("idx"), "s_suppkey")
+    noisy = s.select("sheet", "idx", (100.0 + 4 * F.col("idx") + F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 5).otherwise(0)).alias("degree"))
+    return fit.progression_consensus(noisy, ["sheet"], "idx", "degree").select("sheet", F.col("idx").cast("long").alias("idx"), "degree")
 
 
 _SEGMENT_SQL = """e AS (SELECT user_id, event_id, value AS x2, CAST(event_id % 500 AS DOUBLE) AS y2, lag(value) OVER w AS x1, CAST(lag(event_id) OVER w % 500 AS DOUBLE) AS y1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
@@ -385,8 +392,7 @@ def poly2_fit(spark, d):
 
 
 @query("""
-    WITH r AS (SELECT doc_id, translate(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'OQDIl|！ZSBGgATYb。，, ', '000111125869474 6...') AS s FROM documents),
-    f AS (SELECT doc_id, translate(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'OQDIl|！ZSBGgATYb。，, ', '000111125869474' || '6...') AS s FROM documents)
+    WITH f AS (SELECT doc_id, translate(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'OQDIl|！ZSBGgATYb。，, ', '000111125869474' || '6...') AS s FROM documents)
     SELECT doc_id, len(n) AS n, round(coalesce(list_sum(list_filter(n, lambda v: v BETWEEN 60 AND 150)), 0), 3) AS lon, CAST(len(list_filter(n, lambda v: v BETWEEN 10 AND 61)) AS BIGINT) AS lats
     FROM (SELECT doc_id, list_transform(regexp_extract_all(s, '[0-9]+(\\.[0-9]+)?'), lambda v: CAST(v AS DOUBLE)) AS n FROM f)
 """)
@@ -425,20 +431,25 @@ def region_rank(spark, d):
     return ordered.rank_regions(a, ["p_brand"], F.col("area"), ["p_type"], F.lit(20)).select("p_brand", "p_type", "area", "group_id")
 
 
-@query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey % 50 = 0),
+_COMPONENT_SQL = """
+    WITH RECURSIVE e AS ({edges}),
     u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r AS (SELECT a AS id, a AS reach FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.reach)
-    SELECT id, min(reach) AS component FROM r GROUP BY id
-""")
+    r(id, component) USING KEY (id) AS (
+        SELECT DISTINCT a, a FROM u
+        UNION SELECT u.a, min(r.component) FROM r JOIN u ON r.id = u.b JOIN recurring.r AS own ON own.id = u.a WHERE r.component < own.component GROUP BY u.a)
+    SELECT id, component FROM r
+"""
+
+
+@query(_COMPONENT_SQL.format(edges="SELECT DISTINCT o_orderkey AS a, 2 * o_orderkey + o_custkey % 2 AS b FROM orders"))
 def components(spark, d):
-    e = _t(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    """Orders joined to the order of about twice their key: paths that double."""
+    e = _t(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (2 * F.col("o_orderkey") + F.col("o_custkey") % 2).alias("b")).distinct()
     return linework.components(e)
 
 
-@query()
+@query(_COMPONENT_SQL.format(edges="SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem"))
 def components_all(spark, d):
-    """Components of the whole table; the recursive SQL of `components` lists all pairs, so it sees a fiftieth only."""
     e = _t(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
     return linework.components(e)
 
@@ -461,12 +472,12 @@ def dissolve_edges(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT DISTINCT o_custkey % 10 AS k, o_orderkey AS x FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 10 < 5 OR o_orderstatus = 'O'),
+    WITH p AS (SELECT DISTINCT o_orderstatus || o_custkey % 3 AS k, o_orderkey AS x FROM orders),
     q AS (SELECT k, x, x - row_number() OVER (PARTITION BY k ORDER BY x) AS g FROM p)
     SELECT k, min(x) AS "start", max(x) AS "end", count(*) AS length FROM q GROUP BY k, g HAVING count(*) >= 2
 """)
 def run_length(spark, d):
-    p = _t(spark, d, "orders").where("o_orderstatus = 'F' and o_custkey % 10 < 5 or o_orderstatus = 'O'").select((F.col("o_custkey") % 10).alias("k"), F.col("o_orderkey").alias("x"))
+    p = _t(spark, d, "orders").select(F.concat("o_orderstatus", F.col("o_custkey") % 3).alias("k"), F.col("o_orderkey").alias("x"))
     return linework.run_lengths(p, ["k"], "x", 2)
 
 
@@ -584,18 +595,32 @@ def overlay_sets(spark, d):
     return out
 
 
+_STROKE_SQL = """
+    e AS (SELECT user_id, (value * 7) % 100 AS x, (event_id * 13) % 75 + CAST(0.37 AS DOUBLE) AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+    v AS (SELECT user_id, n // 4 AS shape, n, x, y FROM e UNION ALL SELECT user_id, n // 4 - 1, n, x, y FROM e WHERE n % 4 = 0 AND n > 0),
+    seg AS (SELECT user_id * 1000000 + shape // 16 AS image_id, shape % 16 AS shape_idx, n, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM v WINDOW w AS (PARTITION BY user_id, shape ORDER BY n) QUALIFY x2 IS NOT NULL)
+"""
+
+
 def _strokes(spark, d):
-    """All events of each user as one stroke of pixels on a sheet of 400 x 300."""
+    """All events of each user as one line of pixels, cut into shapes of four steps, sixteen shapes to a sheet of 100 x 75."""
     from pyspark.sql import Window
 
-    e = _t(spark, d, "events")
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pt = g.point((F.col("value") * 7) % 400, (F.col("event_id") * 13) % 300)
-    e = e.withColumn("n", F.row_number().over(by))
-    return e.groupBy((F.col("user_id") % 40).alias("image_id"), F.col("user_id").alias("shape_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", pt.alias("p")))), lambda s: s["p"]).alias("points")).where(F.size("points") >= 2)
+    e = _t(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    at = F.floor(F.col("n") / 4)
+    # A shape ends where the next one begins.
+    e = e.withColumn("p", g.point((F.col("value") * 7) % 100, (F.col("event_id") * 13) % 75 + 0.37))
+    e = e.select("user_id", "n", "p", F.explode(F.when((F.col("n") % 4 == 0) & (F.col("n") > 0), F.array(at - 1, at)).otherwise(F.array(at))).alias("shape"))
+    shapes = e.groupBy((F.col("user_id") * 1000000 + F.floor(F.col("shape") / 16)).cast("long").alias("image_id"), (F.col("shape") % 16).alias("shape_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "p"))), lambda s: s["p"]).alias("points"))
+    return shapes.where(F.size("points") >= 2)
 
 
-@query()
+@query(f"""
+    WITH {_STROKE_SQL},
+    k AS (SELECT *, greatest(1, CAST(ceil(greatest(abs(x2 - x1), abs(y2 - y1)) * 2) AS INT)) AS k FROM seg),
+    p AS (SELECT image_id, shape_idx, CAST(round_even(x1 + (x2 - x1) * i / k, 0) AS INT) AS x, CAST(round_even(y1 + (y2 - y1) * i / k, 0) AS INT) AS y FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM k))
+    SELECT image_id, CAST(x + dx AS INT) AS x, CAST(y + dy AS INT) AS y, CAST(1 + max(shape_idx) % 3 AS INT) AS cls FROM p, range(-1, 2) a(dx), range(-1, 2) b(dy) GROUP BY ALL
+""")
 def rasterise(spark, d):
     return raster.rasterised(_strokes(spark, d).withColumn("cls", (1 + F.col("shape_idx") % 3).cast("int")), 3)
 
@@ -626,11 +651,19 @@ def chain(spark, d):
 @query()
 def topology_gaps(spark, d):
     lines = _strokes(spark, d).select("image_id", F.col("shape_idx").alias("line_id"), (1 + F.col("shape_idx") % 2).cast("int").alias("level"), "points")
-    frames = lines.select("image_id").distinct().select("image_id", F.lit(0.0).alias("x_min"), F.lit(399.0).alias("x_max"), F.lit(0.0).alias("y_min"), F.lit(299.0).alias("y_max"))
+    frames = lines.select("image_id").distinct().select("image_id", F.lit(0.0).alias("x_min"), F.lit(99.0).alias("x_max"), F.lit(0.0).alias("y_min"), F.lit(74.0).alias("y_max"))
     return topology.gaps(lines, frames)
 
 
-@query()
+@query("""
+    WITH d AS (SELECT l_suppkey, l_extendedprice AS x, l_quantity AS y, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, 42)) AS h0, md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, 43)) AS h1 FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY h0, x, y) AS n0, row_number() OVER (PARTITION BY l_suppkey ORDER BY h1, x, y) AS n1 FROM d),
+    p AS (SELECT a.l_suppkey, a.n0 AS draw, (b.x - a.x) / (b.y - a.y) AS slope, a.x - (b.x - a.x) / (b.y - a.y) * a.y AS intercept FROM r a JOIN r b ON a.l_suppkey = b.l_suppkey AND a.n0 = b.n1 WHERE a.n0 <= 30 AND abs(b.y - a.y) >= 5),
+    v AS (SELECT p.l_suppkey, draw, slope, intercept, count(*) FILTER (abs(x - (slope * y + intercept)) < 2000) AS votes FROM p JOIN d ON p.l_suppkey = d.l_suppkey GROUP BY ALL),
+    b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, draw) = 1),
+    f AS (SELECT b.l_suppkey, regr_slope(x, y) AS s, regr_intercept(x, y) AS i FROM b JOIN d ON b.l_suppkey = d.l_suppkey WHERE abs(x - (slope * y + intercept)) < 2000 GROUP BY b.l_suppkey)
+    SELECT b.l_suppkey, round(CASE WHEN votes >= 10 AND s IS NOT NULL THEN s ELSE slope END, 4) AS slope, round(CASE WHEN votes >= 10 AND s IS NOT NULL THEN i ELSE intercept END, 3) AS intercept, votes AS inliers FROM b LEFT JOIN f ON b.l_suppkey = f.l_suppkey
+""")
 def robust_fit(spark, d):
     f = fit.robust_line(_t(spark, d, "lineitem"), ["l_suppkey"], "l_extendedprice", "l_quantity", ["l_orderkey", "l_linenumber", "l_partkey"], within=2000.0, apart=5.0, draws=30)
     return f.select("l_suppkey", _r("slope", 4).alias("slope"), _r("intercept", 3).alias("intercept"), "inliers")
@@ -732,15 +765,29 @@ def component_boxes(spark, d):
     return linework.component_boxes(o, ["k"], "c", 20).select("k", "area", "x_min", "x_max", _r("cy", 4).alias("cy"))
 
 
-@query()
+@query(f"""
+    WITH {_STROKE_SQL},
+    box AS (SELECT image_id, shape_idx, least(min(x1), min(x2)) AS xa, greatest(max(x1), max(x2)) AS xb, least(min(y1), min(y2)) AS ya, greatest(max(y1), max(y2)) AS yb FROM seg GROUP BY ALL),
+    t AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col, c * 32.0 AS x0, r * 32.0 AS y0 FROM range(2) a(r), range(3) b(c)),
+    p AS (SELECT s.*, "row", col, x0, y0, x2-x1 AS dx, y2-y1 AS dy FROM seg s JOIN box USING (image_id, shape_idx) JOIN t ON x0 / 32 BETWEEN floor(xa / 32) - 1 AND floor(xb / 32) AND y0 / 32 BETWEEN floor(ya / 32) - 1 AND floor(yb / 32)),
+    q AS (SELECT *, greatest(0.0, CASE WHEN -dx < 0 THEN (x1-x0)/(-dx) END, CASE WHEN dx < 0 THEN (x0+64-x1)/dx END, CASE WHEN -dy < 0 THEN (y1-y0)/(-dy) END, CASE WHEN dy < 0 THEN (y0+64-y1)/dy END) AS a,
+                 least(1.0, CASE WHEN -dx > 0 THEN (x1-x0)/(-dx) END, CASE WHEN dx > 0 THEN (x0+64-x1)/dx END, CASE WHEN -dy > 0 THEN (y1-y0)/(-dy) END, CASE WHEN dy > 0 THEN (y0+64-y1)/dy END) AS b,
+                 (dx = 0 AND (x1 < x0 OR x1 > x0 + 64)) OR (dy = 0 AND (y1 < y0 OR y1 > y0 + 64)) AS out_ FROM p),
+    c AS (SELECT image_id, shape_idx, "row", col, n, x1 + a*dx AS ax, y1 + a*dy AS ay, x1 + b*dx AS bx, y1 + b*dy AS by_ FROM q WHERE NOT out_ AND a <= b),
+    o AS (SELECT *, CASE WHEN abs(lag(bx) OVER w - ax) < 1e-6 AND abs(lag(by_) OVER w - ay) < 1e-6 THEN 0 ELSE 1 END AS opens FROM c WINDOW w AS (PARTITION BY image_id, shape_idx, "row", col ORDER BY n)),
+    g AS (SELECT *, sum(opens) OVER (PARTITION BY image_id, shape_idx, "row", col ORDER BY n ROWS UNBOUNDED PRECEDING) AS piece FROM o)
+    SELECT image_id, shape_idx, "row", col, CAST(count(*) + 1 AS INT) AS n FROM g GROUP BY image_id, shape_idx, "row", col, piece
+""")
 def tile_clip(spark, d):
     s = _strokes(spark, d)
-    size = s.select("image_id").distinct().select("image_id", F.lit(400).alias("width"), F.lit(300).alias("height"))
-    tiles = metrics.tile_grid(size, size=128).select("image_id", "row", "col", "x0", "y0")
-    return metrics.tile_clip(s, tiles, ["image_id"], 128).select("image_id", "shape_idx", "row", "col", F.size("points").alias("n"))
+    size = s.select("image_id").distinct().select("image_id", F.lit(100).alias("width"), F.lit(75).alias("height"))
+    tiles = metrics.tile_grid(size, size=64).select("image_id", "row", "col", "x0", "y0")
+    return metrics.tile_clip(s, tiles, ["image_id"], 64).select("image_id", "shape_idx", "row", "col", F.size("points").alias("n"))
 
 
-@query()
+@query("""
+    SELECT split_part(url, '/', 3) AS host, url, page_id FROM pages WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY md5('42|' || url), url, page_id) = 1
+""")
 def draw_of_prefix(spark, d):
     p = _t(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "url", "page_id")
     return ordered.one_of_each(p, "host", "url")

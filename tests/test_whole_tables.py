@@ -26,23 +26,108 @@ def test_components_of_all_line_items_equal_union_find(spark, tmp_path):
 
 
 def test_strokes_take_every_event(spark, tmp_path):
-    import math
-
-    rows = [(10 * u + k, u, f"2024-01-01 00:{k:02d}:00", float((u * 31 + k * k * 7) % 90)) for u in (1, 2, 41) for k in range(10)]
+    rows = [(10 * u + k, u, f"2024-01-01 {k // 60:02d}:{k % 60:02d}:00", float((u * 31 + k * k * 7) % 90)) for u, n in ((1, 9), (2, 150), (3, 1), (4, 4)) for k in range(n)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double")
     df.selectExpr("event_id", "user_id", "cast(ts as timestamp) as ts", "value").write.parquet(f"{tmp_path}/events.parquet")
-    top, want = {}, defaultdict(list)
+    of_user = defaultdict(list)
     for event, user, _, value in rows:
-        want[user].append((value * 7 % 400, float(event * 13 % 300)))
-    got = {r.shape_idx: [tuple(p) for p in r.points] for r in maps._strokes(spark, str(tmp_path)).collect()}
+        of_user[user].append((value * 7 % 100, event * 13 % 75 + 0.37))
+    want = {}
+    for user, points in of_user.items():
+        for shape in range(len(points) // 4 + 1):
+            if len(part := points[4 * shape : 4 * shape + 5]) >= 2:
+                want[user * 1_000_000 + shape // 16, shape % 16] = part
+    got = {(r.image_id, r.shape_idx): [tuple(p) for p in r.points] for r in maps._strokes(spark, str(tmp_path)).collect()}
     assert got == want
-    for user, points in sorted(want.items()):
-        for (ax, ay), (bx, by) in zip(points, points[1:]):
-            m = max(1, math.ceil(max(abs(bx - ax), abs(by - ay)) * 2))
-            for i in range(m + 1):
-                x, y = round(ax + (bx - ax) * i / m), round(ay + (by - ay) * i / m)
-                top.update({(user % 40, x + dx, y + dy): 1 + user % 3 for dx in (-1, 0, 1) for dy in (-1, 0, 1)})
-    assert {(r.image_id, r.x, r.y): r.cls for r in maps.QUERIES["rasterise"](spark, str(tmp_path)).collect()} == top
+    assert {p for part in got.values() for p in part} == {p for user, points in of_user.items() for p in points if user != 3}
+
+
+def test_polynomial_fit_equals_least_squares(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(k, float(rng.integers(1, 50)), float(rng.integers(0, 11)) / 100, float(rng.uniform(900, 9e4)), float(rng.integers(0, 9)) / 100) for k in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_quantity double, l_discount double, l_extendedprice double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    order, x, y, u, v = (np.array(c) for c in zip(*rows))
+    a, b = (x - x.mean()) / 10, (y - y.mean()) * 10
+    terms = np.stack([np.ones_like(a), a, b, a * a, a * b, b * b], axis=1)
+    off = np.hypot(*[terms @ np.linalg.lstsq(terms, t, rcond=None)[0] - t for t in (u, v)])
+    want = {part: off[order % 10 == part].mean() for part in range(10)}
+    got = {r.part: r.residual for r in maps.QUERIES["poly2_fit"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-2 for k in want)
+
+
+def plain_thin(mask):
+    """The thinning rules, one pixel at a time."""
+    img = {(y, x) for y, row in enumerate(mask) for x, v in enumerate(row) if v}
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    while True:
+        before = len(img)
+        for turn in (0, 1):
+            gone = set()
+            for y, x in img:
+                p = [(y + dy, x + dx) in img for dy, dx in ring]
+                n, e, s, w = p[0], p[2], p[4], p[6]
+                sides = not (n and e and s) and not (e and s and w) if turn == 0 else not (n and e and w) and not (n and s and w)
+                if 2 <= sum(p) <= 6 and sum(not p[k] and p[(k + 1) % 8] for k in range(8)) == 1 and sides:
+                    gone.add((y, x))
+            img -= gone
+        if len(img) == before:
+            return img
+
+
+def test_thinning_equals_plain_rules():
+    import numpy as np
+
+    from quillmap.operators import raster
+
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        mask = raster.dilate(rng.random((30, 40)) < 0.03, raster.box(3, 4))
+        want = np.zeros_like(mask)
+        for y, x in plain_thin(mask):
+            want[y, x] = True
+        assert (raster.thin(mask) == raster._without_stairs(np.pad(want, 1))[1:-1, 1:-1]).all()
+
+
+def test_simplify_equals_plain_recursion():
+    import numpy as np
+
+    from quillmap.operators import raster
+
+    def plain(pts, least):
+        (ax, ay), (bx, by) = pts[0], pts[-1]
+        size = np.hypot(bx - ax, by - ay)
+        off = [abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / size if size else np.hypot(x - ax, y - ay) for x, y in pts]
+        k = int(np.argmax(off))
+        return [pts[0], pts[-1]] if off[k] <= least else plain(pts[: k + 1], least)[:-1] + plain(pts[k:], least)
+
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        path = np.cumsum(rng.integers(-3, 4, (60, 2)), axis=0).tolist()
+        path = [tuple(p) for k, p in enumerate(path) if k == 0 or p != path[k - 1]]
+        if path[0] != path[-1]:
+            assert [tuple(p) for p in raster.simplify(path, 2.0)] == plain(path, 2.0)
+
+
+def test_greedy_match_equals_the_sorted_pass(spark):
+    import random
+
+    from quillmap.operators import joins
+
+    rng = random.Random(4)
+    left = [(k % 3, k, float(rng.randint(0, 400))) for k in range(120)]
+    right = [(k % 3, 1000 + k, float(rng.randint(0, 400))) for k in range(90)]
+    pairs = sorted((abs(p - q), a, b, k) for k, a, p in left for j, b, q in right if k == j and abs(p - q) <= 30)
+    used, want = set(), set()
+    for d, a, b, k in pairs:
+        if a not in used and b not in used:
+            used |= {a, b}
+            want.add((k, a, b, d))
+    l, r = spark.createDataFrame(left, "sheet long, l long, p double"), spark.createDataFrame(right, "sheet long, r long, q double")
+    got = joins.greedy_match(l, r, ["sheet"], "p", "q", "l", "r", 30.0)
+    assert {tuple(x) for x in got.collect()} == want
+    assert joins.greedy_match(l.limit(0), r, ["sheet"], "p", "q", "l", "r", 30.0).count() == 0
 
 
 def test_robust_fit_takes_every_supplier(spark, tmp_path):
