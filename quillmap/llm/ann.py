@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Directions, cells of a sorted array, and the share of the directions in which a vector must collide.
 DIRECTIONS, CELLS, THRESHOLD = 256, 64, 0.64
 #: First half width of a window, and the factor by which rehashing widens it.
-WIDTH, WIDEN = 0.9, 1.08
+WIDTH, WIDEN = 0.4, 1.08
 #: Vectors and queries that meet in one task at most, and the tasks among which fewer vectors are dealt.
 BLOCK_ROWS, QUERY_ROWS, LEAST_BLOCKS, LEAST_ROWS = 16384, 16384, 8, 2048
 
@@ -47,15 +47,15 @@ class Block:
         words = -(-n // 64)
         self.cuts = np.empty((DIRECTIONS, CELLS - 1))
         self.below = np.zeros((DIRECTIONS, CELLS + 1, words), np.uint64)
-        bits = np.zeros((CELLS + 1, words * 64), np.uint8)
+        columns, kth = np.ascontiguousarray(projected.T), np.unique(np.arange(1, CELLS) * n // CELLS)
+        word, bit = np.arange(n) >> 6, np.uint64(1) << (np.arange(n) & 63).astype(np.uint64)
         for j in range(DIRECTIONS):
-            order = np.argsort(projected[:, j], kind="stable")
-            self.cuts[j] = projected[order[(np.arange(1, CELLS) * n) // CELLS], j]
+            self.cuts[j] = np.partition(columns[j], kth)[np.arange(1, CELLS) * n // CELLS]
             # Equal projections fall into one cell, so copies of a vector collide alike.
-            cell = np.searchsorted(self.cuts[j], projected[:, j], side="right")
-            bits[:] = 0
-            bits[1:, :n] = cell[None, :] < np.arange(1, CELLS + 1)[:, None]
-            self.below[j] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+            cell = np.searchsorted(self.cuts[j], columns[j], side="right")
+            held = np.zeros(CELLS * words, np.uint64)
+            np.add.at(held, cell * words + word, bit)
+            np.bitwise_or.accumulate(held.reshape(CELLS, words), axis=0, out=self.below[j, 1:])
 
     def collided(self, projected: np.ndarray, half: float) -> np.ndarray:
         """For each query (row of projections), a bitmap of the vectors inside enough windows."""
@@ -107,6 +107,10 @@ class Block:
         ordered = np.sort(ids)
         own = np.searchsorted(ordered, q_ids, side="right") - np.searchsorted(ordered, q_ids, side="left")
         enough = np.minimum(self.n, k + own + int(np.ceil(part * self.n)))
+        # Windows open as wide as half of a few queries need, less one step.
+        few = open_[:: max(1, len(open_) // 32)]
+        while half < 64 and (np.bitwise_count(self.collided(projected[few], half * WIDEN)).sum(axis=1) < enough[few]).mean() > 0.5:
+            half *= WIDEN
         while len(open_):
             masks = np.concatenate([self.collided(projected[open_[at : at + 64]], half) for at in range(0, len(open_), 64)])
             counts = np.bitwise_count(masks).sum(axis=1)

@@ -60,7 +60,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return found.select("conv_id", "participant", "segment", "n_messages", "n_trained", "text", spans.alias("spans"))
+    return found.select("conv_id", "participant", "segment", "continued", "n_messages", "n_trained", "text", spans.alias("spans"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,16 +90,19 @@ SQL: dict[str, str] = {
         FROM j GROUP BY doc_id
     """,
     "op10_chat": """
-        WITH m AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
-        p AS (SELECT DISTINCT conv_id, role AS participant FROM m WHERE role <> 'system'),
-        r AS (SELECT m.conv_id, p.participant, CAST(m.turn // 64 AS BIGINT) AS segment, turn, role, text,
+        WITH m AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'row ' || row_number() OVER ()) AS key, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        s AS (SELECT key, min(turn // 64) AS first_, min(turn) FILTER (role = 'system') AS turn, arg_min(text, (turn, text)) FILTER (role = 'system') AS text FROM m GROUP BY key),
+        g AS (SELECT key, conv_id, turn // 64 AS segment, count(*) AS n_messages FROM m GROUP BY ALL),
+        x AS (SELECT key, turn // 64 AS segment, turn, role, text FROM m UNION ALL SELECT g.key, g.segment, s.turn, 'system', s.text FROM g JOIN s ON g.key = s.key WHERE s.turn // 64 < g.segment),
+        p AS (SELECT DISTINCT key, role AS participant FROM m WHERE role <> 'system'),
+        r AS (SELECT x.key, p.participant, segment, turn, role, text,
                      CASE WHEN role = 'system' THEN '<|system|>' WHEN role = participant THEN '<|assistant|>' ELSE '<|user:' || role || '|>' END || chr(10) AS head,
                      text || '<|end|>' || chr(10) AS body
-              FROM m JOIN p ON m.conv_id = p.conv_id),
-        o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, participant, segment ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS e FROM r)
-        SELECT conv_id, participant, segment, count(*) AS n_messages, count(*) FILTER (role = participant) AS n_trained,
-               string_agg(head || body, '' ORDER BY turn, role, text) AS text,
-               coalesce(string_agg(CAST(e - length(body) AS VARCHAR) || ':' || CAST(e - 1 AS VARCHAR), ',' ORDER BY turn, role, text) FILTER (role = participant), '') AS spans
-        FROM o GROUP BY conv_id, participant, segment
+              FROM x JOIN p ON x.key = p.key),
+        o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY key, participant, segment ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS e FROM r),
+        t AS (SELECT key, participant, segment, count(*) FILTER (role = participant) AS n_trained, string_agg(head || body, '' ORDER BY turn, role, text) AS text,
+                     coalesce(string_agg(CAST(e - length(body) AS VARCHAR) || ':' || CAST(e - 1 AS VARCHAR), ',' ORDER BY turn, role, text, e) FILTER (role = participant), '') AS spans
+              FROM o GROUP BY key, participant, segment)
+        SELECT g.conv_id, t.participant, CAST(t.segment AS BIGINT) AS segment, t.segment > s.first_ AS continued, n_messages, n_trained, t.text, spans FROM t JOIN g ON t.key = g.key AND t.segment = g.segment JOIN s ON t.key = s.key
     """,
 }

@@ -2,56 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import forget, materialise  # noqa: F401
+
 #: Stands in for a null document id in comparisons: it loses to every real id where the smallest wins.
 NULL_ID = 2**63 - 1
 
-_own_tables: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = f"{tempfile.gettempdir()}/checkpoints/quillmap"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session has ended: the folder's owner clears it
-        pass
-
-
-@atexit.register
-def _forget_all() -> None:
-    while _own_tables:
-        _forget(*_own_tables.pop())
-
-
-def materialise(df: DataFrame, tag: str, **options: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage ends there, and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    _own_tables.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def texts_in_batches(df: DataFrame) -> DataFrame:
     """df, in whose session whole texts go to Python 1000 at a time where Spark's own default of 10000 rows still holds."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -20,18 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
-from .common import materialise, texts_in_batches
+from .common import forget, materialise, texts_in_batches
 
 #: Words of a shingle, least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
-#: Bands and rows of the signature: a pair of similarity 0.8 meets in no band once in 20,000 times, one of 0.4 meets in a band once in 4.
-BANDS, ROWS = 25, 5
+#: Coordinates of a signature, and the share of pairs at the least similarity that may meet in no band.
+COORDINATES, MISSED = 125, 1e-4
 #: Neighbours in a bucket's order that a document is compared with; all of them up to this size of bucket.
 WINDOW = 64
 #: Texts and bytes of shingles in a block: larger buckets are compared block by block.
 BLOCK, BLOCK_BYTES = 1024, 1 << 24
-#: Coordinates of 125 in which a pair must agree to be verified: 4 standard deviations under what 0.8 gives.
-AGREE = 82
 #: Remembered word hashes.
 MEMORY = 300_000
 
@@ -46,6 +44,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def rows_of_band(similarity: float) -> int:
+    """The most rows of a band with which at most MISSED of the pairs of that similarity meet in no band; 5 at 0.8, 2 at 0.5, 1 at least."""
+    return max([1, *(r for r in range(1, 33) if (1 - similarity**r) ** (COORDINATES // r) <= MISSED)])
+
+
+def least_agreement(similarity: float, coordinates: int) -> int:
+    """Coordinates in which a pair must agree to be verified: 6 standard deviations under what the similarity gives."""
+    return max(0, int(coordinates * similarity - 6 * (coordinates * similarity * (1 - similarity)) ** 0.5))
+
+
 class Shingler:
     """Hashed shingles of words as lower-cased text between white space; a text of fewer words is one shingle."""
 
@@ -72,7 +80,7 @@ class Shingler:
         return np.unique(s, return_counts=True)
 
 
-def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int = BANDS * ROWS) -> np.ndarray:
+def signatures(elements: list[np.ndarray], weights: list[np.ndarray], k: int = COORDINATES) -> np.ndarray:
     """One row of k dart names for each document; documents without elements get zeros."""
     sizes = np.array([len(e) for e in elements])
     out = np.zeros((len(elements), k), np.uint64)
@@ -117,9 +125,10 @@ def _throw(doc, h, w, low, width, region, top, k, best, name) -> None:
             name[at[first]] = d[first]
 
 
-def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    """One hash for each band of that many coordinates; those left over are in no band."""
     with np.errstate(over="ignore"):
-        grouped = sig.reshape(len(sig), -1, rows)
+        grouped = sig[:, : sig.shape[1] // rows * rows].reshape(len(sig), -1, rows)
         h = np.zeros(grouped.shape[:2], np.uint64) + np.arange(grouped.shape[1], dtype=np.uint64)
         for j in range(rows):
             h = mix(h * _U(0x2545F4914F6CDD1D) + grouped[:, :, j])
@@ -134,7 +143,7 @@ def _expanded(shingles: np.ndarray, counts: np.ndarray, weighting: str) -> np.nd
     return np.unique((shingles >> _U(32)).astype(np.uint32))
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, words: int, weighting: str) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, words: int, weighting: str, rows_: int) -> DataFrame:
     """(id, digest, bands, sig, names) of every whole text, in one pass; sig is the low byte of each coordinate."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
@@ -148,7 +157,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, words: int, weighting: str
                 pairs = [shingle(t) for t in texts]
                 weights = [c if weighting == "count" else np.ones(len(c)) for _, c in pairs]
                 sig = signatures([s for s, _ in pairs], weights)
-                bands = band_hashes(sig)
+                bands = band_hashes(sig, rows_)
                 some = [len(s) > 0 for s, _ in pairs]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, len(texts)), pa.array(digests, pa.binary()), pa.array([b if x else [] for b, x in zip(bands, some, strict=True)], pa.list_(pa.int64())),
@@ -171,6 +180,8 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 def _neighbours(least: float):
     """Links between rows that stand within WINDOW of each other in a bucket, as far as they join what was not joined yet."""
 
+    agree = least_agreement(least, COORDINATES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
         failed: set[tuple[int, int]] = set()
@@ -192,7 +203,7 @@ def _neighbours(least: float):
                 same = same[same + back >= old]
                 if not len(same):
                     break
-                close = same[(sig[same] == sig[same + back]).sum(axis=1) >= AGREE]
+                close = same[(sig[same] == sig[same + back]).sum(axis=1) >= agree]
                 for i in close:
                     a, b = int(ids[i]), int(ids[i + back])
                     pair = (a, b) if a < b else (b, a)
@@ -288,10 +299,11 @@ def components(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        step = materialise(step.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was"), "labels")
-        if step.where(F.col("label") != F.col("was")).isEmpty():
-            return step.select("id", "label")
-        labels = step.select("id", "label")
+        done, labels = labels, materialise(step.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was"), "labels")
+        forget(done)
+        if labels.where(F.col("label") != F.col("was")).isEmpty():
+            forget(edges)
+            return labels.select("id", "label")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, weighting: str = "set", with_digest: bool = False) -> DataFrame:
@@ -304,14 +316,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same id are one document; rows with a null id join the class of an equal text that has an id, else their class is
     null and they are kept. Other columns are not looked at; an empty table gives no rows.
 
-    Copies meet by digest, pre-aggregated, and one of each text goes on. It is linked with the first document of each
+    Bands and the agreement that is asked before a pair is verified follow from `similarity`. Copies meet by digest,
+    pre-aggregated, and one of each text goes on. It is linked with the first document of each
     of its buckets and with its neighbours in the bucket's order, which sorts by further bands. Buckets of up to
     WINDOW + 1 texts stay in one task, so that all their pairs are compared; wider ones are ranged over many tasks by that
     order, and their texts that are still of different classes are then compared block by block, every pair.
     """
-    table = materialise(sign(docs, id_col, text_col, words, weighting), "signatures")
-    firsts = materialise(table.groupBy("digest").agg(F.min("id").alias("first")), "firsts")
-    member = table.select("id", "digest").join(firsts, "digest").select("id", "first", "digest")
+    table = materialise(sign(docs, id_col, text_col, words, weighting, rows_of_band(similarity)), "signatures")
+    # Rows find their text's class by digest and share, so that a text that a third of all rows hold is spread out.
+    shares = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    row = table.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(shares)).cast("int").alias("share"))
+    pairs = materialise(row.groupBy("digest", "share").agg(F.min("id").alias("low")), "pairs")
+    firsts = materialise(pairs.groupBy("digest").agg(F.min("low").alias("first")), "firsts")
     one = table.join(firsts.select(F.col("first").alias("id"), "digest"), ["id", "digest"], "left_semi")
     n = F.size("bands")
     entries = one.select("id", F.posexplode("bands").alias("band", "bucket"), "bands").select(
@@ -340,6 +356,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = rows.select("bucket", "id", "sig", "names").mapInArrow(_neighbours(least), "a bigint, b bigint")
     links = materialise(reduce(DataFrame.unionByName, [stars, near]).distinct(), "links")
     labels = _joined(entries, data, components(links), least)
-    out = member.join(labels.select(F.col("id").alias("first"), "label"), "first", "left")
-    label = F.coalesce("label", "first")
-    return out.select(F.col("id").alias(id_col), label.alias("class_id"), F.col("id").eqNullSafe(label).alias("kept"), *(["digest"] if with_digest else []))
+    classes = firsts.join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("digest", F.coalesce("label", "first").alias("class_id"))
+    out = row.join(pairs.select("digest", "share").join(classes, "digest"), ["digest", "share"])
+    return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), *(["digest"] if with_digest else []))

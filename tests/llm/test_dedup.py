@@ -125,6 +125,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_other_similarities_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for base in range(25):
+        text = [f"b{base}w{k}" for k in range(rng.randint(40, 120))]
+        for _ in range(5):
+            t = list(text)
+            for _ in range(rng.randint(1, 12)):
+                t[rng.randrange(len(t))] = f"n{rng.random()}"
+            rows.append((len(rows), " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (0.5, 0.3, 0.9):
+        assert {r.doc_id: r.class_id for r in minhash.near_duplicates(df, similarity=least).collect()} == brute_classes(rows, least)
+    assert [minhash.rows_of_band(x) for x in (0.8, 0.5, 0.1)] == [5, 2, 1]
+
+
 def test_pairs_far_apart_in_wide_buckets_are_linked(spark, monkeypatch):
     # 396 shingles of a shared passage and 54 of each text's own: 396 / 504 = 0.786 between any two. The last 40 texts
     # have 8 words more in common with one of the first: 404 / 496 = 0.815, and stand anywhere in buckets of hundreds.

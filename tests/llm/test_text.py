@@ -144,12 +144,17 @@ def test_language_cases(spark):
 
 
 def test_chat_rotation(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé"), (1, 3, "ann", None), (1, 70, "cat", "late"), (2, 0, "system", "alone"), (3, None, None, "x"), (1, 1, "ann", "hi")]
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé"), (1, 3, "ann", None), (1, 70, "cat", "late"), (2, 0, "system", "alone"), (3, None, None, "x"), (1, 1, "ann", "hi"), (None, 1, "ann", "a"), (None, 1, "ann", "a")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "conv_id long, turn long, role string, text string, participant string")
-    got = {(r.conv_id, r.participant, r.segment): r for r in chat.rotate(df).collect()}
-    assert set(got) == {(1, p, s) for p in ("ann", "bob", "cat") for s in (0, 1)} | {(3, "unknown", 0)}
+    rows = chat.rotate(df).collect()
+    got = {(r.conv_id, r.participant, r.segment): r for r in rows}
+    assert set(got) == {(1, p, s) for p in ("ann", "bob", "cat") for s in (0, 1)} | {(3, "unknown", 0), (None, "ann", 0)}
     a = got[1, "ann", 0]
-    assert a.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user:bob|>\nhé<|end|>\n<|assistant|>\n<|end|>\n"
-    assert [a.text[s.start : s.end] for s in a.spans] == ["hi<|end|>", "<|end|>"] and (a.n_messages, a.n_trained) == (4, 2)
-    assert got[1, "cat", 0].spans == [] and [got[1, "cat", 1].text[s.start : s.end] for s in got[1, "cat", 1].spans] == ["late<|end|>"]
+    assert a.text == "<|system|>\nbe kind<|end|>\n" + "<|assistant|>\nhi<|end|>\n" * 2 + "<|user:bob|>\nhé<|end|>\n<|assistant|>\n<|end|>\n"
+    assert [a.text[s.start : s.end] for s in a.spans] == ["hi<|end|>", "hi<|end|>", "<|end|>"] and (a.n_messages, a.n_trained, a.continued) == (5, 3, False)
+    # A later segment opens with the system message, and messages without a conversation stand alone.
+    c = got[1, "cat", 1]
+    assert got[1, "cat", 0].spans == [] and [c.text[s.start : s.end] for s in c.spans] == ["late<|end|>"]
+    assert c.text == "<|system|>\nbe kind<|end|>\n<|assistant|>\nlate<|end|>\n" and (c.n_messages, c.n_trained, c.continued) == (1, 1, True)
+    assert [r.text for r in rows if r.conv_id is None] == ["<|assistant|>\na<|end|>\n"] * 2
     assert chat.rotate(df.limit(0)).count() == 0
