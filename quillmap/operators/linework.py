@@ -5,14 +5,17 @@ Regions are given as noded edges: neighbours share whole edges. Then overlays ar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import arc_length, clipped_polyline, densified, point, segments
 from ..storage import forget, materialise
 from .fit import plane_value
+from .raster import simplify
 
 
 def canonical_edges(rings: DataFrame, keys: Sequence[str], points: str = "points") -> DataFrame:
@@ -87,9 +90,67 @@ def geo_to_pixel(lines: DataFrame, model: dict, spacing: float, points: str = "p
     return lines.withColumn(points, F.transform(dense, lambda p: point(plane_value(model, p["x"], p["y"], 0), plane_value(model, p["x"], p["y"], 1))))
 
 
-def clean(lines: DataFrame, keys: Sequence[str], width, height, least: float = 8.0, points: str = "points") -> DataFrame:
-    """Pieces of lines inside the image of at least `least` pixels, duplicates dropped."""
-    pieces = lines.select(*keys, F.explode(clipped_polyline(F.col(points), F.lit(0.0), F.lit(0.0), F.lit(float(width - 1)), F.lit(float(height - 1)))).alias(points))
+def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, line_id, points): noded edges (a, b) of each key joined into lines at the nodes where just two of them meet.
+
+    Edges that share such a node are one component, found in rounds; the edges of a component are then put in order, so
+    a task holds one line. A ring begins and ends at its smallest node. line_id is the line's smallest edge as text.
+    """
+    e = edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    e = materialise(e.withColumn("id", F.concat_ws(" ", *[F.format_number(F.col(f"{n}.{c}"), 9) for n in ("a", "b") for c in ("x", "y")], *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])), "edges")
+    ends = e.select(*keys, "id", F.explode(F.array("a", "b")).alias("node"))
+    inner = ends.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2")
+    line = components(inner.select("a", "b")).select("id", F.col("component").alias("line_id"))
+    types = {f.name: f.dataType.simpleString() for f in e.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs = [tuple((n["x"], n["y"]) for n in p) for p in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
+        near: dict[tuple, list[tuple]] = {}
+        for a, b in pairs:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+        # A line may touch itself where more edges of others meet, so ends are nodes of one edge of this line.
+        at = min([n for n, m in near.items() if len(m) == 1] or near)
+        path, left = [at], {frozenset(p) for p in pairs}
+        while step := next((n for n in sorted(near[at]) if frozenset((at, n)) in left), None):
+            left.discard(frozenset((at, step)))
+            path.append(at := step)
+        points = pa.array([[{"x": x, "y": y} for x, y in path]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        return pa.table([*[table.column(k).slice(0, 1) for k in (*keys, "line_id")], points], names=[*keys, "line_id", "points"])
+
+    rows = e.join(line, "id", "left").select(*keys, F.coalesce("line_id", "id").alias("line_id"), "a", "b")
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "line_id string", "points array<struct<x:double,y:double>>"])
+    return rows.groupBy(*keys, "line_id").applyInArrow(run, schema)
+
+
+def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> DataFrame:
+    """Lines simplified by Douglas-Peucker, an Arrow batch at a time."""
+    kind = lines.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(points)
+            kept = [None if p is None else [{"x": x, "y": y} for x, y in simplify(np.array([(q["x"], q["y"]) for q in p]).reshape(-1, 2), tolerance).tolist()] for p in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
+
+    return lines.mapInArrow(run, kind)
+
+
+def area(rings: Column) -> Column:
+    """Area of a ring of points, whichever way round it runs."""
+    return F.abs(F.aggregate(segments(rings), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
+
+
+def mismatch(regions: DataFrame, whole: DataFrame, points: str = "points") -> float:
+    """Difference between the area of regions that do not overlap and that of the whole that they should cover."""
+    total = lambda df: df.agg(F.coalesce(F.sum(area(F.col(points))), F.lit(0.0))).first()[0]
+    return abs(total(regions) - total(whole))
+
+
+def clean(lines: DataFrame, keys: Sequence[str], width, height, least: float = 8.0, tolerance: float = 2.0, points: str = "points") -> DataFrame:
+    """Simplified lines clipped to the image, of which pieces of at least `least` pixels stay; duplicates are dropped."""
+    thin = simplified(lines.select(*keys, points), tolerance, points) if tolerance else lines
+    pieces = thin.select(*keys, F.explode(clipped_polyline(F.col(points), F.lit(0.0), F.lit(0.0), F.lit(float(width - 1)), F.lit(float(height - 1)))).alias(points))
     return pieces.where(arc_length(F.col(points)) >= least).distinct()
 
 

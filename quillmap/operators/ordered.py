@@ -60,11 +60,13 @@ def spacing_consistency(df: DataFrame, keys: Sequence[str], index: str, degree:
     return df.withColumn("__s", slope).groupBy(*keys).agg(F.avg("__s").alias("interval"), (F.max("__s") - F.min("__s") > 0.1).alias("inconsistent"))
 
 
-def extend_centres(df: DataFrame, centres: str, spacing: Column, support: str, width: Column, most: int = 200) -> DataFrame:
+def extend_centres(df: DataFrame, centres: str, spacing: Column, support: str, width: Column) -> DataFrame:
     """Go on to both sides of a sorted list of centres by the spacing while a support position lies within 0.4 of it.
 
-    To the left while the next centre is over -0.3 spacings, to the right while it is under the width plus 0.3 spacings.
+    To the left while the next centre is over -0.3 spacings, to the right while it is under the width plus 0.3 spacings:
+    so the width tells how many steps there can be.
     """
+    most = F.when(spacing > 0, F.ceil(width / spacing)).otherwise(0).cast("int") + 2
     near = lambda c, sp: F.exists(support, lambda s: F.abs(s - c) < 0.4 * sp)
 
     def go(sign: int):
@@ -80,7 +82,7 @@ def extend_centres(df: DataFrame, centres: str, spacing: Column, support: str, w
 
     for sign in (-1, 1):
         start = F.struct(F.col(centres).alias("cs"), (spacing > 0).alias("on"))
-        df = settled(df.withColumn(centres, F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, go(sign), lambda acc: acc["cs"])))
+        df = settled(df.withColumn(centres, F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.coalesce(most, F.lit(1)))), start, go(sign), lambda acc: acc["cs"])))
     return df
 
 

@@ -279,7 +279,7 @@ def rasterise(shapes: Sequence[tuple[np.ndarray, int]], height: int, width: int,
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker without recursion: of each span the furthest vertex is kept while it lies over the tolerance."""
+    """Douglas-Peucker without recursion: of each span the vertex furthest from its segment is kept while it lies over the tolerance."""
     pts = np.asarray(points, float)
     keep = np.zeros(len(pts), bool)
     if len(pts):
@@ -290,8 +290,8 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
         if j - i < 2:
             continue
         d, rel = pts[j] - pts[i], pts[i + 1 : j] - pts[i]
-        n = np.hypot(*d)
-        away = np.abs(d[0] * rel[:, 1] - d[1] * rel[:, 0]) / n if n > 0 else np.hypot(rel[:, 0], rel[:, 1])
+        along = np.clip(rel @ d / max(d @ d, 1e-300), 0, 1)[:, None]
+        away = np.hypot(*(rel - along * d).T)
         k = int(away.argmax())
         if away[k] > tolerance:
             keep[i + 1 + k] = True
@@ -532,14 +532,37 @@ def mask_polygons(mask: np.ndarray, least: int = 3, share: float | None = 0.001,
     return out
 
 
-def splitter_lines(mask: np.ndarray, reach: float = 200.0) -> list[np.ndarray]:
-    """Splitters from their class mask: closed, thinned, traced, joined end to end, simplified by 1 % of their length.
-    Under 100 pixels there are none; traces under 10 pixels go."""
+def to_edge(end: np.ndarray, inner: np.ndarray, width: int, height: int, reach: float) -> np.ndarray:
+    """An end moved on along its heading to the nearest side of the image, if that is within reach and the heading is towards it."""
+    heading = end - inner
+    size = np.hypot(*heading)
+    if size < 1:
+        return end
+    outward = np.array([(-1, 0), (1, 0), (0, -1), (0, 1)])
+    gap = np.array([end[0], width - end[0], end[1], height - end[1]])
+    side = int(gap.argmin())
+    towards = heading @ outward[side] / size
+    if gap[side] <= reach and towards > 0.3:
+        end = end + heading / size * gap[side] / towards
+    return np.clip(end, 0, (width, height))
+
+
+def splitter_lines(mask: np.ndarray, reach: float = 200.0, coverage: float = 0.15) -> list[np.ndarray]:
+    """Splitters from their class mask: closed, thinned, traced, joined end to end, simplified by 1 % of their length, and
+    taken on to the edge. Under 100 pixels there are none; traces under 10 pixels go, and so do lines whose larger span is
+    under `coverage` of the image's side."""
     if mask.sum() < 100:
         return []
+    h, w = mask.shape
     paths = merge_closest([np.array(p, float) for p in trace(thin(closed(mask, ellipse(25))), 10)], reach)
     length = lambda p: float(np.hypot(*np.diff(p, axis=0).T).sum())
-    return [simplify(p, 0.01 * length(p)) for p in paths if len(p) >= 2]
+    out = []
+    for p in (simplify(p, 0.01 * length(p)) for p in paths if len(p) >= 2):
+        first, last = to_edge(p[0], p[1], w, h, reach), to_edge(p[-1], p[-2], w, h, reach)
+        p[0], p[-1] = first, last
+        if max(np.ptp(p[:, 0]) / w, np.ptp(p[:, 1]) / h) >= coverage:
+            out.append(p)
+    return out
 
 
 def straight_splitters(grey: np.ndarray, dark: int = 80, coverage: float = 0.3, margin: int = 10) -> list[dict]:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import degree_candidates
 from ..operators import fit, gcp, linework
 from ..operators.cluster import dedup_fold
+from ..operators.filters import TEXT_CONFIDENCE, confident
 from ..operators.joins import greedy_match, inset_anti, point_in_box_anti
 from ..operators.ordered import assign_degrees
+from ..storage import materialise
 
-DEDUP_GAP, LEAST_CONFIDENCE = 100.0, 0.35
+#: Square degrees by which chosen regions and their provinces may differ.
+DEDUP_GAP, MISMATCH = 100.0, 2.0
 LON_REACH, LAT_REACH = 180.0, 160.0
 
 
@@ -39,24 +42,29 @@ def ocr_anchors(items: DataFrame, lines: DataFrame, insets: DataFrame, axis: str
     items: image_id, text, cx, cy, conf; lines: image_id, index, pos along the strip. Items of low confidence and those in
     insets are dropped; `axis` is lon (matched by x) or lat (by y).
     """
-    kept = point_in_box_anti(items.where(F.col("conf") >= LEAST_CONFIDENCE), insets, ["image_id"])
+    kept = point_in_box_anti(confident(items, "conf", TEXT_CONFIDENCE), insets, ["image_id"])
     cand = kept.withColumn("degree", F.explode(degree_candidates(F.col("text"), axis))).withColumn("pos_", F.col("cx" if axis == "lon" else "cy"))
-    cand = cand.select("image_id", "degree", "pos_", F.monotonically_increasing_id().alias("cand_id"))
+    # Written, since the numbers of the candidates are looked up again.
+    cand = materialise(cand.select("image_id", "degree", "pos_", F.monotonically_increasing_id().alias("cand_id")), "candidates")
     pairs = greedy_match(cand, lines.select("image_id", "index", "pos"), ["image_id"], "pos_", "pos", "cand_id", "index", LON_REACH if axis == "lon" else LAT_REACH)
     found = pairs.select("image_id", F.col("l_id").alias("cand_id"), F.col("r_id").alias("index")).join(cand, ["image_id", "cand_id"]).select("image_id", "index", "degree")
     return fit.progression_consensus(found, ["image_id"], "index", "degree", least)
 
 
-def boundary_annotations(rings: DataFrame, name: str, provinces: list[str], group: str, model: dict, width: int, height: int, spacing: float) -> DataFrame:
+def boundary_annotations(rings: DataFrame, name: str, provinces: list[str], group: str, model: dict, width: int, height: int, spacing: float, province_rings: DataFrame | None = None) -> DataFrame:
     """(label, points): outer outline (boundary_1) and inner borders (boundary_2) of chosen regions in pixels.
 
-    rings: name and group columns and points of noded rings in degrees. Names are compared trimmed, and all must be there.
+    rings: name and group columns and points of noded rings in degrees. Names are compared trimmed, and all must be
+    there. Edges are joined into lines where two of them meet, then simplified, clipped and freed of short pieces. If
+    the provinces' own rings are given, the chosen regions must cover them but for MISMATCH square degrees.
     """
     chosen = rings.where(F.trim(name).isin([p.strip() for p in provinces]))
     missing = {p.strip() for p in provinces} - {r[0] for r in chosen.select(F.trim(name)).distinct().limit(len(provinces) + 1).collect()}
     if missing:
         raise ValueError(f"no such regions: {', '.join(sorted(missing))}")
+    if province_rings is not None and (off := linework.mismatch(chosen, province_rings)) > MISMATCH:
+        raise ValueError(f"the regions and the provinces differ by {off:.3f} square degrees")
     outer, inner = linework.two_levels(linework.canonical_edges(chosen, [group]), group)
     parts = outer.withColumn("label", F.lit("boundary_1")).unionByName(inner.withColumn("label", F.lit("boundary_2")))
-    lines = linework.geo_to_pixel(parts.select("label", F.array("a", "b").alias("points")), model, spacing)
-    return linework.clean(lines, ["label"], width, height, least=0.0)
+    lines = linework.geo_to_pixel(linework.merged(parts, ["label"]), model, spacing)
+    return linework.clean(lines, ["label"], width, height)

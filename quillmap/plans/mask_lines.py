@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from ..functions.geometry import point
 from ..operators import fit
 from ..operators.cluster import dedup_by_spacing, gap_clusters
+from ..operators.filters import covering
 from ..operators.ordered import extend_centres, settled
 
 KEYS = ["image_id", "group_id"]
 #: Shares of the height at which reference rows stand, gap of a cluster, every how many pixels are observed.
 REFERENCE_SHARES = (0.10, 0.25, 0.40, 0.50, 0.60, 0.75, 0.90)
-CLUSTER_GAP, STEP, LEAST_COVERAGE, LEAST_POINTS = 30, 10, 0.25, 20
+CLUSTER_GAP, STEP, LEAST_POINTS = 30, 10, 20
 
 
 def _cluster_centres(px: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -68,7 +69,7 @@ def meridians(pixels: DataFrame, images: DataFrame, draws: tuple[int, int] = (30
     every = nearest(obs.join(fitted, KEYS), F.col("slope") * F.col("y") + F.col("intercept"), F.col("tilt"))
     final = fit.robust_line(every, [*KEYS, "line_id"], "x", "y", ["x", "y"], draws=draws[1], apart=10.0)
     spans = every.groupBy(*KEYS, "line_id").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1")).join(images.select(*KEYS, "height"), KEYS)
-    spans = spans.withColumn("coverage", (F.col("y1") - F.col("y0")) / F.col("height")).where((F.col("n") >= LEAST_POINTS) & (F.col("coverage") >= LEAST_COVERAGE))
+    spans = covering(spans.where(F.col("n") >= LEAST_POINTS), F.col("y0"), F.col("y1"), F.col("height"))
     out = spans.join(final, [*KEYS, "line_id"])
     x_at = lambda y: F.bround(F.col("slope") * y + F.col("intercept"), 1)
     out = out.withColumn("points", F.array(point(x_at(F.col("y0")), F.col("y0")), point(x_at(F.col("y1")), F.col("y1"))))
@@ -93,7 +94,7 @@ def parallels(pixels: DataFrame, images: DataFrame) -> DataFrame:
     obs = near.groupBy(*KEYS, "x", "y", "width").agg(F.min(F.struct("d", "line_id")).alias("m")).select(*KEYS, "x", "y", "width", F.col("m.line_id").alias("line_id"))
     ids = [*KEYS, "line_id"]
     spans = obs.groupBy(*ids, "width").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    spans = spans.where((F.col("n") >= LEAST_POINTS) & ((F.col("x1") - F.col("x0")) / F.col("width") >= LEAST_COVERAGE))
+    spans = covering(spans.where(F.col("n") >= LEAST_POINTS), F.col("x0"), F.col("x1"), F.col("width"))
     at = spans.withColumn("window", F.greatest(F.lit(20.0), (F.col("x1") - F.col("x0")) / 30)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("sx", F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("i") / 29.0)
     samples = at.select(*ids, "i", "sx", "window").join(obs.select(*ids, "x", "y"), ids).where(F.abs(F.col("x") - F.col("sx")) < F.col("window")).groupBy(*ids, "i", "sx").agg(F.median("y").alias("sy"))
     curve = fit.quadratic_fit(samples, ids, F.col("sx"), F.col("sy")).where((F.col("n") >= 5) & F.col("a").isNotNull()).drop("n")

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import ocr
 from ..functions import text as t
-from ..operators import cluster, fit, gcp, joins, linework, metrics, ordered, raster, topology
+from ..operators import cluster, filters, fit, gcp, joins, linework, metrics, ordered, raster, topology
+from . import instances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -791,3 +793,76 @@ def tile_clip(spark, d):
 def draw_of_prefix(spark, d):
     p = _t(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), "url", "page_id")
     return ordered.one_of_each(p, "host", "url")
+
+
+@query("""
+    WITH i AS (SELECT event_id, event_type AS text, CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE (event_id % 100) / 100.0 END AS conf, 1.0 + event_id % 3 AS s, value AS x, CAST(event_id % 300 AS DOUBLE) AS y, event_id % 5 = 0 AS corners FROM events WHERE event_id % 11 <> 0)
+    SELECT event_id, text, round((CASE WHEN corners THEN x + 10 ELSE x + 8 END) / s, 6) AS cx, round((CASE WHEN corners THEN y + 2 ELSE y + 1.5 END) / s, 6) AS cy,
+           round((CASE WHEN corners THEN 20 ELSE 26 END) / s, 6) AS w, round((CASE WHEN corners THEN 4 ELSE 9 END) / s, 6) AS h, round(conf, 6) AS conf FROM i WHERE conf >= 0.35
+""")
+def ocr_items(spark, d):
+    """Events as recognised texts: boxes of corners and of polygons, some without a box or a confidence."""
+    x, y, k = F.col("value"), (F.col("event_id") % 300).cast("double"), F.col("event_id")
+    polygon = F.array(x - 5, y, x + 20, y - 3, x + 21, y + 5, x, y + 6)
+    e = _t(spark, d, "events").select("event_id", F.col("event_type").alias("text"), F.when(k % 7 != 0, (k % 100) / 100.0).alias("conf"), (1.0 + k % 3).alias("scale"), F.when(k % 11 != 0, F.when(k % 5 == 0, F.array(x, y, x + 20, y + 4)).otherwise(polygon)).alias("box"))
+    return ocr.normalised_items(e).select("event_id", "text", *[_r(c).alias(c) for c in ("cx", "cy", "w", "h", "conf")])
+
+
+@query("""
+    WITH l AS (SELECT l_suppkey, l_partkey % 10 AS line, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, avg(l_discount) * 10 AS conf FROM lineitem GROUP BY 1, 2)
+    SELECT l_suppkey, line, round((hi - lo) / 100000, 9) AS coverage FROM l WHERE conf >= 0.5 AND (hi - lo) / 100000 >= 0.25
+""")
+def confident_lines(spark, d):
+    l = _t(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % 10).alias("line")).agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"), (F.avg("l_discount") * 10).alias("conf"))
+    c = filters.covering(filters.confident(l), F.col("lo"), F.col("hi"), F.lit(100000.0))
+    return c.select("l_suppkey", "line", _r("coverage", 9).alias("coverage"))
+
+
+_LINE_SQL = "SELECT s_suppkey, s_nationkey, s_acctbal AS x1, CAST(s_suppkey * 7 % 500 AS DOUBLE) AS y1, s_acctbal + 40 AS x2, CAST(s_suppkey * 7 % 500 + 300 AS DOUBLE) AS y2 FROM supplier"
+
+
+def _short_lines(spark, d):
+    y = (F.col("s_suppkey") * 7 % 500).cast("double")
+    return _t(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.col("s_acctbal").alias("x1"), y.alias("y1"), (F.col("s_acctbal") + 40).alias("x2"), (y + 300).alias("y2"))
+
+
+@query(f"""
+    WITH l AS ({_LINE_SQL}),
+    e AS (SELECT s_nationkey AS k, s_suppkey AS i, unnest([{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}]) AS p FROM l)
+    SELECT e.k AS nation, e.i AS a, f.i AS b, round(min(sqrt((e.p.x - f.p.x) ** 2 + (e.p.y - f.p.y) ** 2)), 5) AS distance FROM e JOIN e f ON e.k = f.k AND e.i < f.i
+    WHERE sqrt((e.p.x - f.p.x) ** 2 + (e.p.y - f.p.y) ** 2) < 400 GROUP BY e.k, e.i, f.i
+""")
+def end_distance(spark, d):
+    """Pairs of lines of a nation by the distance of their nearest ends."""
+    c = instances.close_lines(_short_lines(spark, d), ["s_nationkey"], "s_suppkey", 400.0)
+    return c.select(F.col("s_nationkey").alias("nation"), "a", "b", _r("distance", 5).alias("distance"))
+
+
+@query(f"""
+    WITH RECURSIVE l AS ({_LINE_SQL}),
+    e AS (SELECT s_nationkey AS k, s_suppkey AS i, unnest([{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}]) AS p FROM l),
+    p AS (SELECT DISTINCT e.k, e.i AS a, f.i AS b FROM e JOIN e f ON e.k = f.k AND e.i < f.i WHERE sqrt((e.p.x - f.p.x) ** 2 + (e.p.y - f.p.y) ** 2) < 1500),
+    o AS (SELECT s_nationkey AS k, s_suppkey AS i, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM l),
+    f AS (
+        SELECT k, n, i, [i] AS leaders FROM o WHERE n = 1
+        UNION ALL SELECT o.k, o.n, o.i, CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.k = o.k AND p.b = o.i AND list_contains(f.leaders, p.a)) THEN f.leaders ELSE list_append(f.leaders, o.i) END FROM f JOIN o ON o.k = f.k AND o.n = f.n + 1
+    )
+    SELECT unnest(leaders) AS s_suppkey FROM f QUALIFY n = max(n) OVER (PARTITION BY k)
+""")
+def merged_close_lines(spark, d):
+    return instances.leading_lines(_short_lines(spark, d), ["s_nationkey"], "s_suppkey", 1500.0).select("s_suppkey")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT DISTINCT CAST(o_orderkey AS DOUBLE) AS a, CAST(2 * o_orderkey + o_custkey % 2 AS DOUBLE) AS b FROM orders),
+    d AS (SELECT n, count(*) AS deg FROM (SELECT a AS n FROM e UNION ALL SELECT b FROM e) GROUP BY n),
+    t AS (SELECT e.a, e.b, x.deg = 2 AS open_a, y.deg = 2 AS open_b FROM e JOIN d x ON x.n = a JOIN d y ON y.n = b),
+    r AS (SELECT a AS start_, b AS "at", open_b AS goes, 1 AS n FROM t WHERE NOT open_a UNION ALL SELECT r.start_, t.b, t.open_b, r.n + 1 FROM r JOIN t ON t.a = r."at" WHERE r.goes)
+    SELECT start_ AS "start", "at" AS "end", CAST(n + 1 AS INT) AS points FROM r WHERE NOT goes
+""")
+def merged_lines(spark, d):
+    """Orders joined to the order of about twice their key: the paths between branchings as lines."""
+    x = lambda c: g.point(c, F.lit(0.0))
+    e = _t(spark, d, "orders").select(F.lit(1).alias("k"), x(F.col("o_orderkey")).alias("a"), x(2 * F.col("o_orderkey") + F.col("o_custkey") % 2).alias("b"))
+    m = linework.merged(e, ["k"])
+    return m.select(F.least(F.get("points", F.lit(0))["x"], F.element_at("points", -1)["x"]).alias("start"), F.greatest(F.get("points", F.lit(0))["x"], F.element_at("points", -1)["x"]).alias("end"), F.size("points").alias("points"))

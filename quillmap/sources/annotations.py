@@ -11,6 +11,7 @@ from ..functions.text import anchors
 from ..operators.metrics import colour_class
 
 #: Endings of image files.
+SCANS = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[tT][iI][fF],[tT][iI][fF][fF],[bB][mM][pP]}"
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp")
 
 
@@ -50,16 +51,20 @@ def list_images(spark: SparkSession, path: str, recursive: bool = False) -> Data
 
 
 def read_images(spark: SparkSession, path: str, recursive: bool = False, strict: bool = False) -> DataFrame:
-    """(image_id, path, width, height, channels, data): PNG, PGM and PPM decoded to bytes row by row.
+    """(image_id, path, width, height, channels, data): images decoded to bytes row by row, colours as red, green, blue.
 
-    Files that cannot be decoded are dropped, or fail the read if strict. Colours are red, green, blue.
+    JPEG, TIFF and BMP go through Spark's image source, PNG, PGM and PPM through Arrow batches. Files that cannot be
+    decoded are dropped, or fail the read if strict.
     """
-    from .pixels import decode
+    from .pixels import decode, red_first
 
+    kind = "image_id string, path string, width int, height int, channels int, data binary"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    files = files.select(stem(F.col("path")).alias("image_id"), "path", "content").where(ending(F.col("path")).isin(".png", ".pgm", ".ppm"))
-    out = files.mapInArrow(decode(strict), "image_id string, path string, width int, height int, channels int, data binary")
-    return out.where(F.col("width").isNotNull())
+    own = files.select(stem(F.col("path")).alias("image_id"), "path", "content").where(ending(F.col("path")).isin(".png", ".pgm", ".ppm"))
+    scans = spark.read.format("image").option("recursiveFileLookup", recursive).option("pathGlobFilter", SCANS).load(path).select("image.*")
+    good = F.when(F.col("height") >= 0, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("cannot decode "), "origin")) if strict else F.lit(None).cast("int"))
+    scans = scans.select(stem(F.col("origin")).alias("image_id"), F.col("origin").alias("path"), "width", good.alias("height"), F.col("nChannels").alias("channels"), "data").where("height is not null")
+    return own.mapInArrow(decode(strict), kind).where(F.col("width").isNotNull()).unionByName(scans.mapInArrow(red_first, kind))
 
 
 def mask_pixels(images: DataFrame, colour: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Decoding of PNG, PGM and PPM images in Arrow batches; other formats need a library that is not required here."""
+"""Decoding of PNG, PGM and PPM images in Arrow batches, and the channels of those that Spark's image source decodes."""
 
 from __future__ import annotations
 
@@ -98,6 +98,16 @@ def decode(strict: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     return run
 
 
+def red_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images whose pixels are grey, or blue, green, red and maybe alpha, as grey or as red, green, blue."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            c = batch.column("channels")[k].as_py()
+            img = np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8).reshape(-1, c)
+            img = img[:, :1] if c < 3 else img[:, 2::-1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).slice(k, 1) for n in ("image_id", "path", "width", "height")], pa.array([img.shape[1]], pa.int32()), pa.array([img.tobytes()], pa.binary())], ["image_id", "path", "width", "height", "channels", "data"])
+
+
 def foreground(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):

@@ -97,8 +97,10 @@ def test_simplify_equals_plain_recursion():
 
     def plain(pts, least):
         (ax, ay), (bx, by) = pts[0], pts[-1]
-        size = np.hypot(bx - ax, by - ay)
-        off = [abs((bx - ax) * (ay - y) - (ax - x) * (by - ay)) / size if size else np.hypot(x - ax, y - ay) for x, y in pts]
+        off = []
+        for x, y in pts:
+            t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+            off.append(np.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
         k = int(np.argmax(off))
         return [pts[0], pts[-1]] if off[k] <= least else plain(pts[: k + 1], least)[:-1] + plain(pts[k:], least)
 
