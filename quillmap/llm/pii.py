@@ -9,10 +9,12 @@ part or value shifted within its class by a keyed digest of the whole value; the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: For tests only: whoever knows the key can undo the permutations. Sessions name their own in KEY_SETTING.
 DEFAULT_KEY = "quillmap-pseudonyms"
+KEY_SETTING = "spark.quillmap.pseudonymKey"
 ROUNDS = 8
 #: Cycle walking stops after so many steps; less than one value in 10**15 would need more.
 WALKS = 24
@@ -22,7 +24,7 @@ DAYS, SIDE = 73049, 271
 #: Formats of personal data, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<=(?:[Tt]oken|TOKEN|[Kk]ey|KEY|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)(?=[A-Za-z_+/.-]{0,64}[0-9])[A-Za-z0-9_+/.-]{16,}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
+    "secret": r"(?<=(?:[Tt]oken|TOKEN|[Kk]ey|KEY|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)[\"']?\s{0,2}[:=]\s{0,2}[\"']?)(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{16,}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])",
     "iso_date": r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "date": r"(?<![\d./-])\d{1,2}([./])\d{1,2}\1\d{4}(?![\d/]|\.\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
@@ -231,12 +233,19 @@ def pseudonym(m: Column, key: str = DEFAULT_KEY) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's setting KEY_SETTING holds, or the public one."""
+    return spark.conf.get(KEY_SETTING, None) or DEFAULT_KEY
+
+
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with text_col pseudonymised and n_found (validated values replaced) added; a column n_found is replaced.
 
     The whole text is searched. Null texts stay null and empty ones empty, with n_found 0; ids play no part, so null
     and repeated rows are like all others; an empty table gives no rows. A value that fails its validation stays.
+    Without a key, that of the session is taken; see key_of().
     """
+    key = key or key_of(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() != "n_found"]
     text = F.col("__text")
     found = F.when(text.rlike("[0-9@]|(?i:token|key|secret|password)"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))

@@ -58,6 +58,25 @@ def brute_lines(rows, least=10, docs=2):
     return sorted(out)
 
 
+def test_rows_that_repeat_an_id_are_compared(spark):
+    weak = lambda text: F.unhex(F.sha2(F.substring(text, 1, 1), 256))
+    rows = [(1, "ab"), (1, "ac"), (1, "ab"), (2, "ab"), (None, "ab"), (None, "ad"), (3, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df, digest=weak).collect()), key=str)
+    assert got == sorted([(1, 1, 4, True), (1, 1, 1, True), (1, 1, 4, True), (2, 1, 4, False), (None, 1, 4, False), (None, None, 1, True), (3, 3, 1, True)], key=str)
+    many = spark.range(3000).selectExpr("id div 3000 as doc_id", "'same' as text")
+    assert exact_dedup.exact_dedup(many).where("kept and group_size = 3000").count() == 3000
+
+
+def test_filter_passes_all_digests_held_by_several_rows(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "cast(id div (1 + id % 2) as string) as text")
+    level = exact_dedup.compact(exact_dedup.flush(df))
+    rows = level.select("digest", "group_size")
+    kept = exact_dedup.passing(rows, exact_dedup.filter_of(level))
+    assert kept.where("group_size > 1").count() == rows.where("group_size > 1").count() > 1000
+    assert kept.where("group_size = 1").count() < 20
+
+
 LINES = [(1, "shared line one\nown\n\tSHARED LINE TWO \x0b"), (2, "Shared Line One\nshared line two\nshared line two\nshort"), (3, None), (4, ""), (5, "\n\n"), (6, "Éclair partagé\nshort\nmine is a longer line"), (7, "éclair partagé\nÉclair partagé  "), (8, "\n".join(f"line number {k % 60}" for k in range(500))), (9, "line number 7\nzzz"), (2, "shared line two\nanother row of document two")]
 
 

@@ -79,6 +79,18 @@ def test_html_main_text():
     assert html_text.main_text('<article><p title="a > b">kept</p></article>') == "kept"
 
 
+def test_pii_long_secrets_and_the_session_key(spark):
+    secret = "x" * 70 + "1"
+    texts = [f"key: {secret}", "born 1987-03-12"]
+    first = run_pii(spark, texts)
+    spark.conf.set(pii.KEY_SETTING, "another key")
+    try:
+        second = run_pii(spark, texts)
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert all(a != b != t for a, b, t in zip(map(str, first), map(str, second), texts, strict=True)) and secret not in str(first)
+
+
 LONG = "A paragraph, of some length, with commas, that goes on and on, so that it counts for much. " * 4
 
 
