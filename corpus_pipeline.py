@@ -16,26 +16,39 @@ def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model is fitted on the stage's own labelled documents."""
+    """Documents whose language is recognised; the model is fitted on the stage's own labelled documents.
+
+    Null and empty texts and texts without a letter go, and with no label at all everything does. Null ids and repeated
+    rows stay as they are.
+    """
     return langid.identify(docs).where(~F.col("rejected")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that a document with a smaller id holds too; see line_dedup().
+
+    A text whose lines all go is empty; null texts stay null; rows with a null id lose what any other document holds.
+    """
     return _like(line_dedup.line_dedup(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class; of texts that only rows without an id hold, all those rows."""
+    """The document with the smallest id of each class; of texts that only rows without an id hold, all those rows.
+
+    Rows that repeat the kept id with the same text all stay. Null and empty texts are one class.
+    """
     kept = minhash.near_duplicates(docs, with_digest=True).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
     same = (F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("kept_digest")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
     return docs.join(kept, same, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms; null texts stay null."""
     return _like(pii.pseudonymise(docs), docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document with its place in a sequence; a null or empty text is its end token alone."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
