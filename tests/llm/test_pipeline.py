@@ -45,3 +45,23 @@ def test_queries_equal_their_sql(spark, name):
     cols = sorted(want.columns)
     rows = lambda r: sorted(str(tuple(x[c] for c in cols)) for x in r)
     assert rows([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()]) == rows([r.asDict() for r in catalog.QUERIES[name](spark, SF).collect()])
+
+
+ROWS = [(1, "die katze und der hund sitzen auf der matte und schlafen", "de"), (1, "die katze und der hund sitzen auf der matte und schlafen", "de"), (None, "the cat and the dog sleep on the mat all day long", "en"), (3, None, "en"), (4, "", None), (5, "the cat and the dog sleep on the mat all day long\nmail me@example.com", None), (6, "die katze und der hund sitzen auf der matte und schlafen", "de")]
+
+
+def test_each_stage_handles_nulls_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(d, t, lang, "s", len(t or ""), "x") for d, t, lang in ROWS], "doc_id long, text string, lang string, source string, n_chars long, n_found string")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for name in list(stages)[:-1]:
+        assert stages[name](spark, docs, "").columns == docs.columns
+    # Only German has labelled texts with an id, so English is no learned language.
+    assert {r[0] for r in rows(stages["language_id"](spark, docs, ""))} == {1, 6}
+    kept = rows(stages["line_dedup"](spark, docs, ""))
+    assert len(kept) == len(ROWS) and (None, "") in kept and (6, "") in kept and (3, None) in kept and (5, ROWS[5][1]) in kept
+    assert sorted((r[0] for r in rows(stages["near_duplicates"](spark, docs, ""))), key=str) == [1, 1, 3, 5, None]
+    hidden = dict(rows(stages["personal_data"](spark, docs, "")))
+    assert hidden[5].endswith("@example.com") and hidden[5] != ROWS[5][1] and hidden[3] is None
+    packed = stages["packing"](spark, docs, "").collect()
+    assert sorted((r.doc_id for r in packed), key=str) == sorted((d for d, *_ in ROWS), key=str) and sum(r.length == 1 for r in packed) == 2
