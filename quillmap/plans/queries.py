@@ -261,8 +261,8 @@ _SHEET_SQL = """
 
 
 def _sheet(spark, d):
-    """Parts of a brand and type as a sheet: even keys are meridians, odd ones parallels; odd factors keep values off the halves that rounding splits."""
-    p = _t(spark, d, "part").withColumn("sheet", F.concat_ws("/", "p_brand", "p_type"))
+    """Twenty parts as a sheet: even keys are meridians, odd ones parallels; odd factors keep values off the halves that rounding splits."""
+    p = _t(spark, d, "part").withColumn("sheet", F.floor(F.col("p_partkey") / 20).cast("long"))
     k = F.col("p_partkey")
     x = 100.37 * (k % 20)
     v = p.where(k % 2 == 0).select("sheet", F.array(g.point(x, F.lit(0)), g.point(x + 1.03 * F.col("p_size"), 500.13 + F.col("p_size") * 10.7)).alias("points"), (60 + k % 20).cast("double").alias("degree"))
@@ -272,7 +272,7 @@ def _sheet(spark, d):
 
 
 @query(f"""
-    WITH RECURSIVE parts AS (SELECT p_brand || '/' || p_type AS sheet, p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part), {_SHEET_SQL},
+    WITH RECURSIVE parts AS (SELECT p_partkey // 20 AS sheet, p_partkey, CAST(p_size AS DOUBLE) AS p_size FROM part), {_SHEET_SQL},
     j AS (SELECT v.sheet, p_partkey, h_key, lon, lat, x1, x2, y2, ya, yb, (greatest(y1, ya) + least(y2, yb)) / 2 AS y0 FROM v JOIN h ON v.sheet = h.sheet AND y1 <= yb AND ya <= y2),
     f AS (
         SELECT *, y0 AS y, CAST(NULL AS DOUBLE) AS px, CAST(NULL AS DOUBLE) AS py, FALSE AS done, 0 AS i FROM j
