@@ -36,12 +36,14 @@ def crossing(top: Column, bottom: Column, arc: Column, low: Column, high: Column
 
     def step(acc, _):
         x = x_on_vertical(top, bottom, acc["y"])
-        return once(
-            F.struct(x.alias("x"), y_on_parallel(arc, x).alias("y")),
-            lambda n: F.when(acc["done"], acc)
-            .when(n["y"].isNull(), F.struct(acc["y"].alias("y"), acc["px"].alias("px"), acc["py"].alias("py"), F.lit(True).alias("done")))
-            .when(F.abs(n["y"] - acc["y"]) < TOLERANCE, once(n["y"].between(y_min, y_max), lambda ok: F.struct(n["y"].alias("y"), F.when(ok, n["x"]).alias("px"), F.when(ok, n["y"]).alias("py"), F.lit(True).alias("done"))))
-            .otherwise(F.struct(n["y"].alias("y"), acc["px"].alias("px"), acc["py"].alias("py"), F.lit(False).alias("done"))),
+        # Once done, nothing more is computed.
+        return F.when(acc["done"], acc).otherwise(
+            once(
+                F.struct(x.alias("x"), y_on_parallel(arc, x).alias("y")),
+                lambda n: F.when(n["y"].isNull(), F.struct(acc["y"].alias("y"), acc["px"].alias("px"), acc["py"].alias("py"), F.lit(True).alias("done")))
+                .when(F.abs(n["y"] - acc["y"]) < TOLERANCE, once(n["y"].between(y_min, y_max), lambda ok: F.struct(n["y"].alias("y"), F.when(ok, n["x"]).alias("px"), F.when(ok, n["y"]).alias("py"), F.lit(True).alias("done"))))
+                .otherwise(F.struct(n["y"].alias("y"), acc["px"].alias("px"), acc["py"].alias("py"), F.lit(False).alias("done"))),
+            )
         )
 
     start = F.struct(((low + high) / 2).alias("y"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"), F.lit(False).alias("done"))
