@@ -167,8 +167,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // LEAST_ROWS))
     q_blocks = max(1, -(-asked.count() // query_rows))
     part = {d: (float(r["longest"]), share(k, r["n"])) for d, r in shape.items()}
-    # Rows are dealt one by one, so that those that repeat an id do not meet in one task.
-    left = data.select("id", "v", "dims", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    # Rows that repeat an id are dealt by their vectors, and alike whenever a task runs again.
+    left = data.select("id", "v", "dims", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     right = asked.select("id", "v", "dims", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
 
     def meet(data_part: pa.Table, query_part: pa.Table) -> pa.Table:

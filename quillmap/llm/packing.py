@@ -133,7 +133,9 @@ def _packed(dealt: DataFrame, kind: str, shards: int, level: int, caps: Capaciti
         back[tie] = np.arange(len(tie))
         return pa.table({"row": row, "n": lengths, "sequence_id": pa.array(bins[back] + (int(shard) << 32) + (level << 56), pa.int64()), "offset": pa.array(offsets[back], pa.int64())})
 
-    rows = dealt.select("row", "n", F.pmod(F.xxhash64(F.lit(level), "row", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+    # What parts equal rows: their places in the written table, or those that an earlier pass gave them.
+    place = [F.col("sequence_id"), F.col("offset")] if "sequence_id" in dealt.columns else [F.monotonically_increasing_id()]
+    rows = dealt.select("row", "n", F.pmod(F.xxhash64(F.lit(level), "row", *place), F.lit(shards)).alias("shard"))
     return rows.groupBy("shard").applyInArrow(run, f"row {kind}, n bigint, sequence_id bigint, offset bigint")
 
 
