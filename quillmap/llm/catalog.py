@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, html_text, langid, line_dedup, minhash, packing, pii
+from . import ann, bpe, chat, exact_dedup, hard_negatives, html_text, langid, line_dedup, manifest, maxscore, minhash, packing, pii
 from .common import table
 
 
@@ -63,6 +63,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "participant", "segment", "continued", "n_messages", "n_trained", "text", spans.alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, vectors.where(F.col("vec_id") % 100 == 0), n_positives=5, n_negatives=10, low=30, high=90)
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower).otherwise(F.col("text"))
+    return manifest.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", tampered={"text": tampered})
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return maxscore.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,10 +87,35 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_minhash, op4_line_dedup, op5_neighbours, op6_packing, op7_pii, op8_html, op9_langid, op10_chat, pipeline)
+    f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_minhash, op4_line_dedup, op5_neighbours, op6_packing, op7_pii, op8_html, op9_langid, op10_chat, op11_hard_negatives, op12_manifest, op13_topk, pipeline)
 }
 
+#: Whole-number vectors of embeddings, without those that take no part.
+_WHOLE = """
+    w AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) IS NOT FALSE)
+"""
+#: The inner product of two of them.
+_DOT = "CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT)"
+
 SQL: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        WITH {_WHOLE}, r AS (SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM w WHERE label IS NOT NULL),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, {_DOT} AS score
+              FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, s.other_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+        WINDOW best AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.other_id) QUALIFY row_number() OVER best <= 10
+    """,
+    "op12_manifest": manifest.ORACLE_SQL,
+    "op13_topk": f"""
+        WITH {_WHOLE}
+        SELECT a.vec_id AS query_id, CAST(row_number() OVER best AS INTEGER) AS rank, b.vec_id AS vec_id, {_DOT} AS score
+        FROM w a JOIN w b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WINDOW best AS (PARTITION BY a.vec_id ORDER BY {_DOT} DESC, b.vec_id) QUALIFY row_number() OVER best <= 5
+    """,
     "op2_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(t) AS text_sha256
