@@ -27,7 +27,7 @@ def leaf_of(values: list[Column]) -> Column:
 
 
 def placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """rows with `pos`, their place (from 0) within `group` in the given order, nulls first, as a written table.
+    """rows with `pos`, their place (from 0) within `group` in the given order, nulls first, and the group's `size`, as a written table.
 
     Rows are dealt by ranges of group and order, so that no group, however large, meets in one task. A row's place in its
     range then only needs the number of rows that earlier ranges hold of its group: one row for each range and group.
@@ -38,16 +38,17 @@ def placed(rows: DataFrame, group: str, *order: str) -> DataFrame:
     dealt = materialise(dealt.withColumn("__at", at).withColumn("__part", part), "ranges")
     held = dealt.groupBy(group, "__part").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = dealt.join(held.withColumn("__before", before), [group, "__part"])
-    out = materialise(out.withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before")).select(*rows.columns, "pos"), "placed")
+    held = held.select(group, "__part", "__first", before.alias("__before"), F.sum("n").over(Window.partitionBy(group)).alias("size"))
+    out = dealt.join(held, [group, "__part"])
+    out = materialise(out.withColumn("pos", F.col("__at") - F.col("__first") + F.col("__before")).select(*rows.columns, "pos", "size"), "placed")
     forget(dealt)
     return out
 
 
 def _parents(nodes: DataFrame, child: Column, fanout: int, digest) -> DataFrame:
-    """(grp, pos, s0.., h): each run of fanout nodes as one row, a slot column for each child; digest gives a slot's hash."""
+    """(grp, pos, size, s0.., h): each run of fanout nodes as one row, a slot column for each child; digest gives a slot's hash."""
     slots = [F.max(F.when(F.pmod("pos", F.lit(fanout)) == s, child)).alias(f"s{s}") for s in range(fanout)]
-    out = nodes.groupBy("grp", F.floor(F.col("pos") / fanout).cast("long").alias("pos")).agg(*slots)
+    out = nodes.groupBy("grp", F.floor(F.col("pos") / fanout).cast("long").alias("pos")).agg(F.ceil(F.max("size") / fanout).cast("long").alias("size"), *slots)
     return out.withColumn("h", F.sha2(F.concat_ws("", *[digest(F.col(f"s{s}")) for s in range(fanout)]), 256))
 
 
@@ -61,27 +62,24 @@ def _children(parents: DataFrame, fanout: int, digest, *kept: str) -> DataFrame:
 
 
 class Tree:
-    """The trees of nodes (grp, pos, h, row) with places from 0 in every group: a written table of parents for each level."""
+    """The trees of nodes (grp, pos, size, h, row) with places from 0 in every group: a written table of parents for each level.
+
+    Every node carries the size of its level in its group, so nothing is joined by the group alone.
+    """
 
     def __init__(self, nodes: DataFrame, fanout: int = FANOUT):
         self.nodes, self.fanout, self.levels = nodes, fanout, []
-        last = nodes.agg(F.max("pos")).first()[0] or 0
+        size = nodes.agg(F.max("size")).first()[0] or 1
         child, digest, below = F.struct("h", "row"), (lambda c: c["h"]), nodes
-        while last > 0:
-            # A group goes up as long as it has a second node.
-            more = below.where("pos = 1").select("grp")
-            parents = _parents(below.join(more, "grp", "left_semi"), child, fanout, digest)
-            self.levels.append(materialise(parents, "level"))
-            child, digest, below, last = F.col("h"), (lambda c: c), self.levels[-1].select("grp", "pos", "h"), last // fanout
-
-    def _alone(self, level: DataFrame) -> DataFrame:
-        return level.where("pos = 0").join(level.where("pos = 1").select("grp"), "grp", "left_anti")
+        while size > 1:
+            self.levels.append(materialise(_parents(below.where("size > 1"), child, fanout, digest), "level"))
+            child, digest, below, size = F.col("h"), (lambda c: c), self.levels[-1].select("grp", "pos", "size", "h"), -(-size // fanout)
 
     def roots(self) -> DataFrame:
         """(grp, h): what remains of each group."""
-        out = self._alone(self.nodes).select("grp", "h")
+        out = self.nodes.where("size = 1").select("grp", "h")
         for level in self.levels:
-            out = out.unionByName(self._alone(level).select("grp", "h"))
+            out = out.unionByName(level.where("size = 1").select("grp", "h"))
         return out
 
     def rows(self, above: DataFrame) -> DataFrame:
@@ -91,15 +89,15 @@ class Tree:
         down: DataFrame | None = None
         for i in range(len(self.levels) - 1, -1, -1):
             level = self.levels[i]
-            ends = self._alone(level).join(above, "grp").withColumn("subroot", F.col("h"))
+            ends = level.where("size = 1").join(above, "grp").withColumn("subroot", F.col("h"))
             if down is not None:
-                ends = ends.unionByName(level.join(down, ["grp", "pos"]))
+                ends = ends.unionByName(level.where("size > 1").join(down, ["grp", "pos"]))
             digest = (lambda c: c) if i else (lambda c: c["h"])
             down = _children(ends, self.fanout, digest, "path", "subroot", "root")
             if i:
                 own = F.array(F.struct("left", "right"))
                 down = down.select("grp", "pos", F.concat(own, "path").alias("path"), "subroot", "root")
-        ends = self._alone(self.nodes).join(above, "grp").select("row", "h", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), "path", F.col("h").alias("subroot"), "root")
+        ends = self.nodes.where("size = 1").join(above, "grp").select("row", "h", F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), "path", F.col("h").alias("subroot"), "root")
         if down is None:
             return ends
         return down.select("child.row", "child.h", "left", "right", "path", "subroot", "root").unionByName(ends)
@@ -128,11 +126,11 @@ def manifest(docs: DataFrame, columns: list[str], id_col: str = "doc_id", group_
     group = F.coalesce(F.concat(F.lit("="), F.col(f"`{group_col}`").cast("string")), F.lit("-"))
     leaves = docs.select(group.alias("grp"), F.col(f"`{id_col}`").alias("id"), leaf_of(kept).alias("h"), leaf_of(changed).alias("t"))
     leaves = materialise(leaves, "leaves")
-    nodes = placed(leaves, "grp", "id", "h").select("grp", "pos", "h", F.struct("id", "t").alias("row"))
+    nodes = placed(leaves, "grp", "id", "h").select("grp", "pos", "size", "h", F.struct("id", "t").alias("row"))
     forget(leaves)
     tree = Tree(nodes, fanout)
     subroots = materialise(tree.roots().select(F.lit("all").alias("grp"), F.col("grp").alias("name"), "h"), "subroots")
-    top = Tree(placed(subroots, "grp", "name").select("grp", "pos", "h", F.struct("name").alias("row")), fanout)
+    top = Tree(placed(subroots, "grp", "name").select("grp", "pos", "size", "h", F.struct("name").alias("row")), fanout)
     nothing = F.array().cast("array<struct<left:string,right:string>>")
     whole = top.rows(top.roots().select("grp", nothing.alias("path"), F.col("h").alias("root")))
     own = F.when(F.col("left").isNull(), nothing).otherwise(F.array(F.struct("left", "right")))
