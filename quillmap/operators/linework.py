@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import arc_length, clipped_polyline, densified, point, segments
 from ..storage import forget, materialise
+from . import overlay
 from .fit import plane_value
 from .raster import simplify
 
@@ -141,10 +142,52 @@ def area(rings: Column) -> Column:
     return F.abs(F.aggregate(segments(rings), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
 
 
-def mismatch(regions: DataFrame, whole: DataFrame, points: str = "points") -> float:
-    """Difference between the area of regions that do not overlap and that of the whole that they should cover."""
-    total = lambda df: df.agg(F.coalesce(F.sum(area(F.col(points))), F.lit(0.0))).first()[0]
-    return abs(total(regions) - total(whole))
+def mismatch(regions: DataFrame, whole: DataFrame, points: str = "points", unit: float = 1e-6) -> float:
+    """Area of what only one of the two covers: rings of regions, and rings of what they should cover together."""
+    rings = lambda df: df.select(F.lit(0).alias("all"), F.array(points).alias("rings"))
+    off = overlay.enclosed(overlay.overlay(rings(regions), rings(whole), ["all"], "symmetric_difference", unit), ["all"]).first()
+    return abs(off["area"]) if off else 0.0
+
+
+def simplified_apart(lines: DataFrame, keys: Sequence[str], line: str, tolerance: float, points: str = "points", unit: float = 1 / 1024) -> DataFrame:
+    """Lines that meet at their ends only, simplified by Douglas-Peucker so that they still do.
+
+    A line that would cross, touch or cover another one or itself is simplified with a quarter of the tolerance, as are the
+    lines that it met; what still meets then is not simplified. Rounds end when no more lines meet. Ends stay, so nodes do;
+    a ring keeps four points at least.
+    """
+    rounds = 0
+    state = materialise(lines.select(*keys, line, F.col(points).alias("__own"), F.lit(0).alias("__step")), "lines")
+    while True:
+        parts = [simplified(state.where(F.col("__step") == k).withColumn(points, F.col("__own")), tolerance / 4**k, points) for k in (0, 1)]
+        now = materialise(parts[0].unionByName(parts[1]).unionByName(state.where("__step > 1").withColumn(points, F.col("__own"))), "simplified")
+        closed = F.get(F.col("__own"), F.lit(0)) == F.element_at("__own", -1)
+        flat = now.where(closed & (F.size(points) < 4) & (F.size("__own") >= 4)).select(*keys, line)
+        places = now.select(*keys, line, F.posexplode(segments(F.col(points))).alias("place", "s"))
+        segs = overlay.snapped_segments(places.select(*keys, line, "place", F.array(F.array("s.a", "s.b")).alias("rings")), [*keys, line, "place"], unit, closed=False)
+        back = overlay.touching(segs, keys, line, "place").unionByName(flat).distinct().withColumn("__back", F.lit(1))
+        stepped = now.join(back, [*keys, line], "left").select(*keys, line, "__own", "__step", F.when(F.col("__back").isNotNull() & (F.col("__step") < 2), 1 if rounds == 0 else 2).otherwise(F.col("__step")).alias("__next"))
+        stepped, rounds = materialise(stepped, "lines"), rounds + 1
+        forget(state)
+        if stepped.where("__next <> __step").isEmpty():
+            return lines.drop(points).join(now.select(*keys, line, points), [*keys, line])
+        forget(now)
+        state = stepped.select(*keys, line, "__own", F.col("__next").alias("__step"))
+
+
+def joined_lines(lines: DataFrame, keys: Sequence[str], points: str = "points", unit: float = 1 / 1024) -> DataFrame:
+    """(keys, line_id, points): the union of lines, cut where they meet and joined where just two pieces do."""
+    return merged(overlay.noded_lines(lines, keys, unit, points), keys)
+
+
+def clean_up(lines: DataFrame, keys: Sequence[str], width: int, height: int, first: float = 1.0, tolerance: float = 2.0, least: float = 8.0, points: str = "points", unit: float = 1 / 1024) -> DataFrame:
+    """(keys, points): lines simplified by `first`, united and joined, simplified by `tolerance`, clipped to the image, of `least` pixels.
+
+    Simplification takes the lines as noded arcs, so that a border of two regions stays one line, and makes no crossings.
+    """
+    arcs = joined_lines(lines, keys, points, unit)
+    again = joined_lines(simplified_apart(arcs, keys, "line_id", first, unit=unit), keys, unit=unit)
+    return clean(simplified_apart(again, keys, "line_id", tolerance, unit=unit), keys, width, height, least, 0.0)
 
 
 def clean(lines: DataFrame, keys: Sequence[str], width, height, least: float = 8.0, tolerance: float = 2.0, points: str = "points") -> DataFrame:

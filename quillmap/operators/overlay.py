@@ -145,17 +145,32 @@ def winding(edges: DataFrame, keys: Sequence[str], turns: Sequence[str]) -> Data
     return out.select(*edges.columns, *[(F.col(f"c_{t}") + F.coalesce(F.col(f"l_{t}"), F.lit(0))).alias(f"below_{t}") for t in turns])
 
 
-def labelled(features: DataFrame, keys: Sequence[str], unit: float, layer: str = "layer", rings: str = "rings", layers: Sequence[str] = ("x", "y")) -> DataFrame:
-    """(keys, ax, ay, bx, by, t_x, t_y, below_x, below_y): noded edges with how many features of a layer cover what lies below.
+def borders(features: DataFrame, keys: Sequence[str], unit: float, layer: str = "layer", rings: str = "rings") -> DataFrame:
+    """(keys, layer, feature, ax, ay, bx, by): the edges of each row's region, all rows of a key noded together.
 
     One row of features is one region: the points with an odd number of its rings around them, whichever way rings run, so
-    holes are rings like others and a ring that crosses itself is made valid by that rule. t is what is added above the edge.
+    holes are rings like others, a ring that crosses itself is made valid by that rule, and edges that a region's rings
+    share are none of its border.
     """
     keys = list(keys)
     f = features.select(*keys, F.col(layer).alias("layer"), F.monotonically_increasing_id().alias("feature"), F.col(rings).alias("rings"))
     # Written, so that a feature keeps its number.
     pieces = noded(snapped_segments(materialise(f, "features"), [*keys, "layer", "feature"], unit), keys)
-    own = pieces.groupBy(*keys, "layer", "feature", *EDGE).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n").withColumn("one", F.lit(1).cast("long"))
+    return pieces.groupBy(*keys, "layer", "feature", *EDGE).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+
+
+def labelled(features: DataFrame, keys: Sequence[str], unit: float, layer: str = "layer", rings: str = "rings", layers: Sequence[str] = ("x", "y")) -> DataFrame:
+    """(keys, ax, ay, bx, by, t_x, t_y, below_x, below_y): noded edges with how many features of a layer cover what lies below.
+
+    t is what is added above the edge. Features are regions as in borders().
+    """
+    return sides(borders(features, keys, unit, layer, rings), keys, layers)
+
+
+def sides(edges: DataFrame, keys: Sequence[str], layers: Sequence[str] = ("x", "y")) -> DataFrame:
+    """labelled() of borders() that are there already."""
+    keys = list(keys)
+    own = edges.withColumn("one", F.lit(1).cast("long"))
     # Of one feature: an odd number of its edges below means that its inside is below, and ends at this edge.
     sided = winding(own, [*keys, "layer", "feature"], ["one"])
     # Every crossing changes the side, so the sign of a crossing does not matter to the parity.
@@ -201,4 +216,34 @@ def noded_lines(lines: DataFrame, keys: Sequence[str], unit: float, points: str
     """(keys, a, b): the union of lines as distinct edges, the smaller end first, cut wherever lines meet."""
     keys = list(keys)
     pieces = noded(snapped_segments(lines.select(*keys, F.array(points).alias("rings")), keys, unit, closed=False), keys)
-    return pieces.select(*keys, *EDGE).distinct().select(*keys, point(F.col("ax") * unit, F.col("ay") * unit).alias("a"), point(F.col("bx") * unit, F.col("by") * unit).alias("b"))
+    return as_points(pieces.select(*keys, *EDGE).distinct(), unit, *keys)
+
+
+def as_points(edges: DataFrame, unit: float, *keep: str) -> DataFrame:
+    """(keep, a, b): the ends of edges as points."""
+    return edges.select(*keep, point(F.col("ax") * unit, F.col("ay") * unit).alias("a"), point(F.col("bx") * unit, F.col("by") * unit).alias("b"))
+
+
+def touching(segs: DataFrame, keys: Sequence[str], line: str, place: str) -> DataFrame:
+    """(keys, line): lines of which a segment meets another one elsewhere than at a common end, or runs along it.
+
+    segs: keys, line, its place in the line, and whole ends ax.. as of snapped_segments().
+    """
+    keys = list(keys)
+    segs = materialise(segs, "segments")
+    held = materialise(_cells(segs, cell_size(segs)), "cells")
+    c = {n: F.col(n) for n in (*EDGE, "cx", "cy", "dx", "dy")}
+    other = held.select(*keys, "__k", "__r", F.col(line).alias("line2"), F.col(place).alias("place2"), *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+    sign = lambda *p: F.signum(_orient(*[c[n] for n in p]).cast("double"))
+    ab_c, ab_d, cd_a, cd_b = sign(*EDGE, "cx", "cy"), sign(*EDGE, "dx", "dy"), sign("cx", "cy", "dx", "dy", "ax", "ay"), sign("cx", "cy", "dx", "dy", "bx", "by")
+    ends = {(p, q): (c[f"{p}x"] == c[f"{q}x"]) & (c[f"{p}y"] == c[f"{q}y"]) for p in "ab" for q in "cd"}
+
+    def on(side: Column, p: str, q: str, x: str) -> Column:
+        """Whether x lies between p and q but at neither; side tells on which side of their line it is."""
+        within = [c[f"{x}{v}"].between(F.least(f"{p}{v}", f"{q}{v}"), F.greatest(f"{p}{v}", f"{q}{v}")) for v in "xy"]
+        at = [ends[min(x, e), max(x, e)] for e in (p, q)]
+        return (side == 0) & within[0] & within[1] & ~at[0] & ~at[1]
+
+    meets = ((ab_c * ab_d < 0) & (cd_a * cd_b < 0)) | on(ab_c, "a", "b", "c") | on(ab_d, "a", "b", "d") | on(cd_a, "c", "d", "a") | on(cd_b, "c", "d", "b") | (ends["a", "c"] & ends["b", "d"])
+    pairs = held.join(other, [*keys, "__k", "__r"]).where((F.struct(line, place) < F.struct(F.col("line2").alias(line), F.col("place2").alias(place))) & meets)
+    return pairs.select(*keys, F.explode(F.array(line, "line2")).alias(line)).distinct()

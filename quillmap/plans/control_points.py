@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import degree_candidates
-from ..operators import fit, gcp, linework
+from ..operators import fit, gcp, linework, overlay
 from ..operators.cluster import dedup_fold
 from ..operators.filters import TEXT_CONFIDENCE, confident
 from ..operators.joins import greedy_match, inset_anti, point_in_box_anti
@@ -68,3 +68,30 @@ def boundary_annotations(rings: DataFrame, name: str, provinces: list[str], grou
     parts = outer.withColumn("label", F.lit("boundary_1")).unionByName(inner.withColumn("label", F.lit("boundary_2")))
     lines = linework.geo_to_pixel(linework.merged(parts, ["label"]), model, spacing)
     return linework.clean(lines, ["label"], width, height)
+
+
+def province_boundaries(provinces: DataFrame, prefectures: DataFrame, province: str, model: dict, width: int, height: int, spacing: float, unit: float = 1e-6) -> DataFrame:
+    """(label, points): the borders of all provinces (boundary_1) and those of one province's prefectures inside it (boundary_2), in pixels.
+
+    provinces: name, rings; prefectures: province, name, rings, in degrees and not noded; names are compared trimmed. Rows
+    without rings are passed over, invalid rings count by parity. Raises ValueError if the province has no prefectures, is
+    not there just once, or differs from the union of its prefectures by over MISMATCH square degrees.
+    """
+    held = lambda df: df.where(F.size("rings") > 0)
+    chosen = held(prefectures.where(F.trim("province") == province.strip()))
+    target = held(provinces.where(F.trim("name") == province.strip()))
+    if chosen.isEmpty():
+        raise ValueError(f"no prefectures of {province}")
+    if (n := target.count()) != 1:
+        raise ValueError(f"{n} provinces are called {province}")
+    layers = target.select("rings", F.lit("x").alias("layer")).unionByName(chosen.select("rings", F.lit("y").alias("layer")))
+    layers = layers.unionByName(held(provinces).select("rings", F.lit("all").alias("layer"))).withColumn("sheet", F.lit(0))
+    edges = materialise(overlay.borders(layers, ["sheet"], unit), "borders")
+    off = overlay.enclosed(overlay.outline(overlay.sides(edges.where("layer <> 'all'"), ["sheet"]), ["sheet"], "symmetric_difference", unit), ["sheet"]).first()
+    if off and off["area"] > MISMATCH:
+        raise ValueError(f"{province} and its prefectures differ by {off['area']:.3f} square degrees")
+    of = lambda layer: edges.where(F.col("layer") == layer).select(*overlay.EDGE).distinct()
+    level_1, level_2 = of("all"), of("y").subtract(of("x"))
+    parts = level_1.withColumn("label", F.lit("boundary_1")).unionByName(level_2.withColumn("label", F.lit("boundary_2")))
+    lines = linework.geo_to_pixel(linework.merged(overlay.as_points(parts, unit, "label"), ["label"]), model, spacing)
+    return linework.clean_up(lines.select("label", "points"), ["label"], width, height)

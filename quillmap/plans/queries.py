@@ -866,3 +866,6 @@ def merged_lines(spark, d):
     e = _t(spark, d, "orders").select(F.lit(1).alias("k"), x(F.col("o_orderkey")).alias("a"), x(2 * F.col("o_orderkey") + F.col("o_custkey") % 2).alias("b"))
     m = linework.merged(e, ["k"])
     return m.select(F.least(F.get("points", F.lit(0))["x"], F.element_at("points", -1)["x"]).alias("start"), F.greatest(F.get("points", F.lit(0))["x"], F.element_at("points", -1)["x"]).alias("end"), F.size("points").alias("points"))
+
+
+from . import overlay_queries  # noqa: E402, F401  its queries register themselves

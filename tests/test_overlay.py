@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import overlay
+from quillmap.operators import fit, linework, overlay
+from quillmap.plans import control_points
 
 POLYGONS = "k int, rings array<array<struct<x:double,y:double>>>"
 
@@ -88,3 +89,70 @@ def test_coordinates_beyond_the_grid_fail(spark):
     x = spark.createDataFrame([(1, [[(0.0, 0.0), (1e9, 0.0), (0.0, 1.0)]])], POLYGONS)
     with pytest.raises(Exception, match="beyond"):
         overlay.overlay(x, None, ["k"], "union", 1.0).count()
+
+
+LINES = "k int, line_id int, points array<struct<x:double,y:double>>"
+
+
+def crossings(lines):
+    """Pairs of segments of all lines that meet elsewhere than at a common end."""
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    segs = [(tuple(a), tuple(b)) for ps in lines for a, b in zip(ps, ps[1:], strict=False)]
+    return [(s, t) for i, s in enumerate(segs) for t in segs[:i] if turn(*s, t[0]) * turn(*s, t[1]) < 0 and turn(*t, s[0]) * turn(*t, s[1]) < 0 or {*s} == {*t}]
+
+
+def test_simplified_lines_do_not_cross(spark):
+    # Two arcs between the same ends, the upper one less than a tolerance above the lower, and a spike that reaches in.
+    lower, upper = [(0.0, 0.0), (5.0, 1.0), (10.0, 0.0)], [(0.0, 0.0), (5.0, 1.5), (10.0, 0.0)]
+    tall, post = [(0.0, 10.0), (5.0, 11.9), (10.0, 10.0)], [(5.0, 20.0), (5.0, 11.0)]
+    ring = [(20.0, 20.0), (21.0, 20.0), (21.0, 21.0), (20.0, 20.0)]
+    free = [(30.0, 0.0), (35.0, 1.0), (40.0, 0.0)]
+    rows = [(1, i, p) for i, p in enumerate([lower, upper, tall, post, ring, free])]
+    rows[3] = (1, 3, [(5.0, 20.0), (5.0, 11.95)])  # ends above tall, below what a tall without its middle would leave free
+    got = {r["line_id"]: [tuple(p) for p in r["points"]] for r in linework.simplified_apart(spark.createDataFrame(rows, LINES), ["k"], "line_id", 2.0).collect()}
+    assert got[5] == [free[0], free[2]] and got[4] == ring
+    assert got[0] != got[1] and not crossings(got.values())
+    rows[3] = (1, 3, [(5.0, 0.9), (5.0, 0.5)])  # inside the first arc: it may not be cut off
+    got = {r["line_id"]: [tuple(p) for p in r["points"]] for r in linework.simplified_apart(spark.createDataFrame(rows[:1] + rows[3:4], LINES), ["k"], "line_id", 2.0).collect()}
+    assert got[0] == [lower[0], lower[2]] and got[3] == rows[3][2]
+
+
+def test_clean_up_of_random_lines_makes_no_crossings(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, i, [tuple(map(float, p)) for p in np.cumsum(rng.normal(0, 6, (12, 2)), axis=0) + rng.integers(20, 180, 2)]) for i in range(15)]
+    got = [[tuple(p) for p in r["points"]] for r in linework.clean_up(spark.createDataFrame(rows, LINES), ["k"], 200, 200).collect()]
+    assert got and not crossings(got)
+    assert all(sum(np.hypot(b[0] - a[0], b[1] - a[1]) for a, b in zip(p, p[1:], strict=False)) >= 8 for p in got)
+    assert all(0 <= x <= 199 and 0 <= y <= 199 for p in got for x, y in p)
+
+
+def square(x, y, w, h):
+    return [[(float(x), float(y)), (float(x + w), float(y)), (float(x + w), float(y + h)), (float(x), float(y + h))]]
+
+
+def test_province_boundaries(spark):
+    model = {"order": 1}
+    provinces = spark.createDataFrame([(" A ", square(0, 0, 20, 10)), ("B", square(20, 0, 10, 10))], "name string, rings array<array<struct<x:double,y:double>>>")
+    prefectures = spark.createDataFrame([("A", "a1", square(0, 0, 8, 10)), ("A ", "a2", square(8, 0, 12, 10)), ("B", "b1", square(20, 0, 10, 10)), ("A", "none", None)], "province string, name string, rings array<array<struct<x:double,y:double>>>")
+    shifted = lambda r, dx: F.transform(r, lambda q: F.transform(q, lambda p: F.struct((p["x"] + dx).alias("x"), p["y"].alias("y"))))
+    points = spark.createDataFrame([(float(x), float(y), 10.0 * x, 300 - 10.0 * y) for x in range(4) for y in range(4)], "lon double, lat double, pixel_x double, pixel_y double")
+    model = fit.plane_fit(points, "lon", "lat", ["pixel_x", "pixel_y"])
+    got = {}
+    for r in control_points.province_boundaries(provinces, prefectures, "A", model, 1000, 1000, 1.0).collect():
+        got.setdefault(r["label"], []).append([(round(p["x"], 1), round(p["y"], 1)) for p in r["points"]])
+    # The border between the provinces, each one's own outline, and the one border inside A.
+    assert sorted(map(len, got["boundary_1"])) and len(got["boundary_1"]) == 3
+    assert [sorted(p) for p in got["boundary_2"]] == [[(80.0, 200.0), (80.0, 300.0)]]
+    # Areas are alike, but not the places: 3 x 10 on either side.
+    with pytest.raises(ValueError, match="differ by 60"):
+        control_points.province_boundaries(provinces, prefectures.withColumn("rings", shifted("rings", F.lit(3.0))), "A", model, 1000, 1000, 1.0)
+    with pytest.raises(ValueError, match="no prefectures of C"):
+        control_points.province_boundaries(provinces, prefectures, "C", model, 1000, 1000, 1.0)
+    with pytest.raises(ValueError, match="2 provinces"):
+        control_points.province_boundaries(provinces.unionByName(provinces), prefectures, "A", model, 1000, 1000, 1.0)
+
+
+def test_mismatch_is_of_places_not_of_areas(spark):
+    ring = lambda x: spark.createDataFrame([(square(x, 0, 5, 5)[0],)], "points array<struct<x:double,y:double>>")
+    assert linework.mismatch(ring(0), ring(100)) == 50.0
+    assert linework.mismatch(ring(0), ring(0)) == 0.0
