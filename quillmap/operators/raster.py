@@ -67,24 +67,27 @@ def closed(mask: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return erode(dilate(np.pad(mask.astype(bool), p), shape), shape)[p:-p, p:-p]
 
 
+def thinned_once(img: np.ndarray) -> np.ndarray:
+    """One step of thin() on a mask of bytes with a border of zeros."""
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    for turn in (0, 1):
+        p = [moved(img, dy, dx) for dy, dx in ring]
+        count = sum(p)
+        crossings = sum(((p[k] == 0) & (p[(k + 1) % 8] == 1)).astype(np.uint8) for k in range(8))
+        north, east, south, west = p[0], p[2], p[4], p[6]
+        sides = (north * east * south == 0) & (east * south * west == 0) if turn == 0 else (north * east * west == 0) & (north * south * west == 0)
+        gone = (img == 1) & (count >= 2) & (count <= 6) & (crossings == 1) & sides
+        if gone.any():
+            img = np.where(gone, np.uint8(0), img)
+    return img
+
+
 def thin(mask: np.ndarray) -> np.ndarray:
     """Skeleton by parallel thinning in two subcycles: border pixels whose neighbourhood stays connected go until none can."""
     img = np.pad(mask.astype(np.uint8), 1)
-    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    while True:
-        removed = False
-        for turn in (0, 1):
-            p = [moved(img, dy, dx) for dy, dx in ring]
-            count = sum(p)
-            crossings = sum(((p[k] == 0) & (p[(k + 1) % 8] == 1)).astype(np.uint8) for k in range(8))
-            north, east, south, west = p[0], p[2], p[4], p[6]
-            sides = (north * east * south == 0) & (east * south * west == 0) if turn == 0 else (north * east * west == 0) & (north * south * west == 0)
-            gone = (img == 1) & (count >= 2) & (count <= 6) & (crossings == 1) & sides
-            if gone.any():
-                img[gone] = 0
-                removed = True
-        if not removed:
-            return _without_stairs(img.astype(bool))[1:-1, 1:-1]
+    while (new := thinned_once(img)) is not img:
+        img = new
+    return _without_stairs(img.astype(bool))[1:-1, 1:-1]
 
 
 def _without_stairs(img: np.ndarray) -> np.ndarray:
