@@ -6,13 +6,15 @@ neighbouring ones, so that an equi-join on the bucket finds all pairs within rea
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import forget, materialise
+from .linework import components
 
 
 def first_match(left: DataFrame, rights: Sequence[tuple[DataFrame, Column]], pick: str, name: str) -> DataFrame:
@@ -118,19 +120,60 @@ def facing_ends(ends: DataFrame, keys: Sequence[str], radius: float, angle: floa
     return best.select(*keys, "line_id", "side", "m.*")
 
 
-def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: str, rpos: str, lid: str, rid: str, within: float) -> DataFrame:
+#: Rounds of mutual best choices before what is left is cut into components, and pairs of which one task holds all.
+ROUNDS, TASK_PAIRS = 6, 1_000_000
+
+
+def in_components(pairs: DataFrame, keys: Sequence[str], left: Column, right: Column, solve: Callable[[pa.Table], pa.Table], kind: str, most: int = TASK_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """(solved, rest): solve applied to the pairs of whole components that have up to `most` pairs, and the other pairs.
+
+    Pairs hang together by the nodes `left` and `right`, which must be of one type. Components are dealt to as many tasks as
+    their pairs fill, and solve gets those of a task together: no pair of one component may matter to another.
+    """
+    named = materialise(pairs.withColumn("__a", left).withColumn("__b", right), "named")
+    parts = components(named.select("__a", "__b"), "__a", "__b").select(F.col("id").alias("__a"), "component")
+    sized = named.join(parts, "__a")
+    small = sized.groupBy("component").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= most)
+    small = materialise(sized.join(small.select("component"), "component", "left_semi"), "small")
+    tasks = max(1, -(-small.count() // most))
+    solved = small.withColumn("__task", F.pmod(F.xxhash64("component"), F.lit(tasks))).select(*pairs.columns, "__task")
+    solved = solved.groupBy("__task").applyInArrow(lambda t: solve(t.drop(["__task"])), kind)
+    return solved, sized.join(small.select("component").distinct(), "component", "left_anti").select(*pairs.columns)
+
+
+def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: str, rpos: str, lid: str, rid: str, within: float, most: int = TASK_PAIRS) -> DataFrame:
     """One-to-one matching, nearest pairs first (ties by left, then right id), up to a distance of within inclusive.
 
     Pairs within reach come from a bucket join. Rounds of mutual best choices give what the sorted greedy pass gives: a
-    pair that is the best for both its sides is taken, and all pairs of what it uses go. Every round is two grouped
-    minima and joins on ids, so no group meets in one task; rounds are as many as choices hang on each other.
+    pair that is the best for both its sides is taken, and all pairs of what it uses go. What ROUNDS rounds leave hangs on
+    long chains; its components of up to `most` pairs are passed through in order, each in one task, and only larger ones
+    take more rounds.
     """
+    keys = list(keys)
     b = lambda c: F.floor(F.col(c) / within)
     l = left.select(*keys, F.col(lid).alias("l_id"), F.col(lpos).alias("l_pos")).withColumn("__b", F.explode(F.array(b("l_pos") - 1, b("l_pos"), b("l_pos") + 1)))
     r = right.select(*keys, F.col(rid).alias("r_id"), F.col(rpos).alias("r_pos")).withColumn("__b", b("r_pos"))
     pairs = l.join(r, [*keys, "__b"]).select(*keys, "l_id", "r_id", F.abs(F.col("l_pos") - F.col("r_pos")).alias("distance")).where(F.col("distance") <= within)
-    pairs, taken = materialise(pairs, "pairs"), []
+    pairs, taken, rounds = materialise(pairs, "pairs"), [], 0
+
+    def in_order(table: pa.Table) -> pa.Table:
+        rows = sorted(((*(r[k] for k in ("distance", "l_id", "r_id")), *(r[k] for k in keys), i) for i, r in enumerate(table.to_pylist())))
+        used, kept = set(), []
+        for row in rows:
+            sides = {("l", row[1], *row[3:-1]), ("r", row[2], *row[3:-1])}
+            if not sides & used:
+                used |= sides
+                kept.append(row[-1])
+        return table.take(pa.array(sorted(kept), pa.int64()))
+
     while True:
+        if rounds == ROUNDS and not pairs.isEmpty():
+            node = lambda side, c: F.struct(F.lit(side).alias("side"), *keys, F.col(c).cast("string").alias("id"))
+            kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+            solved, rest = in_components(pairs, keys, node("l", "l_id"), node("r", "r_id"), in_order, kind, most)
+            taken.append(materialise(solved, "matched"))
+            done, pairs = pairs, materialise(rest, "pairs")
+            forget(done)
         best = lambda side: pairs.groupBy(*keys, side).agg(F.min(F.struct("distance", "l_id", "r_id")).alias("m")).select(*keys, "m.*")  # noqa: B023, E731
         mutual = materialise(best("l_id").join(best("r_id"), [*keys, "distance", "l_id", "r_id"]), "matched")
         if mutual.isEmpty():
@@ -139,7 +182,8 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: s
         free = pairs.join(mutual.select(*keys, "l_id"), [*keys, "l_id"], "left_anti").join(mutual.select(*keys, "r_id"), [*keys, "r_id"], "left_anti")
         done, pairs = pairs, materialise(free.select(*pairs.columns), "pairs")
         forget(done)
-    return reduce(DataFrame.unionByName, taken, mutual).select(*keys, "l_id", "r_id", "distance")
+        rounds += 1
+    return reduce(DataFrame.unionByName, [t.select(*keys, "l_id", "r_id", "distance") for t in taken], mutual.select(*keys, "l_id", "r_id", "distance"))
 
 
 def interpolate(samples: DataFrame, vertices: DataFrame, keys: Sequence[str], at: str, x: str, y: str, order: Sequence[str] = ()) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import fit, raster
 from ..operators.filters import INSTANCE_CONFIDENCE, confident
-from ..operators.joins import radius_pairs
+from ..operators.joins import ROUNDS, TASK_PAIRS, in_components, radius_pairs
 from ..storage import forget, materialise
 
 #: Classes of instances, the tolerance of an arc's simplification, and the distance under which lines are one.
@@ -26,27 +28,48 @@ def close_lines(lines: DataFrame, keys: Sequence[str], line: str, within: float
     return pairs.groupBy(*keys, "a", "b").agg(F.min("distance").alias("distance"))
 
 
-def leading_lines(lines: DataFrame, keys: Sequence[str], line: str, within: float = CLOSE) -> DataFrame:
+def leading_lines(lines: DataFrame, keys: Sequence[str], line: str, within: float = CLOSE, most: int = TASK_PAIRS) -> DataFrame:
     """Lines in order: the first that is left leads and takes all later ones close to it. Returns the leaders.
 
     Rounds over the pairs of close lines: a line that nothing earlier is close to leads, and what is close to a leader
-    goes; so no sheet meets in one task.
+    goes. Chains that ROUNDS rounds leave are passed through in order by components of up to `most` pairs, each in one
+    task; only larger ones take more rounds.
     """
+    keys = list(keys)
     pairs = materialise(close_lines(lines, keys, line, within).select(*keys, "a", "b"), "close")
-    gone = []
+    gone, rounds = [], 0
+    names = [*keys, line]
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*names).schema)
+
+    def in_order(table: pa.Table) -> pa.Table:
+        near: dict[tuple, list[tuple]] = {}
+        for r in table.to_pylist():
+            group = tuple(r[k] for k in keys)
+            near.setdefault((*group, r["a"]), []).append((*group, r["b"]))
+        out: dict[tuple, None] = {}
+        for a in sorted(near):
+            if a not in out:
+                out.update(dict.fromkeys(near[a]))
+        types = [*[table.schema.field(k).type for k in keys], table.schema.field("b").type]
+        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+
     while not pairs.isEmpty():
-        leaders = pairs.select(*keys, "a").distinct().join(pairs.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_anti")
-        taken = materialise(pairs.join(leaders, [*keys, "a"], "left_semi").select(*keys, F.col("b").alias(line)).distinct(), "taken")
-        gone.append(taken)
-        out = taken.withColumnRenamed(line, "b")
-        left = pairs.join(out, [*keys, "b"], "left_anti").join(out.withColumnRenamed("b", "a"), [*keys, "a"], "left_anti")
-        # Pairs of leaders are settled.
-        left = left.join(leaders, [*keys, "a"], "left_anti").select(*pairs.columns)
-        done, pairs = pairs, materialise(left, "close")
+        if rounds == ROUNDS:
+            node = lambda c: F.struct(*keys, F.col(c).alias("id"))
+            solved, rest = in_components(pairs, keys, node("a"), node("b"), in_order, kind, most)
+            gone.append(materialise(solved, "taken"))
+            left = rest
+        else:
+            leaders = pairs.select(*keys, "a").distinct().join(pairs.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_anti")
+            taken = materialise(pairs.join(leaders, [*keys, "a"], "left_semi").select(*keys, F.col("b").alias(line)).distinct(), "taken")
+            gone.append(taken)
+            out = taken.withColumnRenamed(line, "b")
+            left = pairs.join(out, [*keys, "b"], "left_anti").join(out.withColumnRenamed("b", "a"), [*keys, "a"], "left_anti")
+            # Pairs of leaders are settled.
+            left = left.join(leaders, [*keys, "a"], "left_anti").select(*pairs.columns)
+        done, pairs, rounds = pairs, materialise(left, "close"), rounds + 1
         forget(done)
-    for taken in gone:
-        lines = lines.join(taken, [*keys, line], "left_anti")
-    return lines
+    return lines.join(reduce(DataFrame.unionByName, gone), names, "left_anti") if gone else lines
 
 
 def instance_lines(pixels: DataFrame, instances: DataFrame, width, height, least: float = INSTANCE_CONFIDENCE, close: float = CLOSE) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,10 @@
 
 from collections import defaultdict
 
+import numpy as np
+
+from quillmap.operators import joins
+from quillmap.plans import instances
 from quillmap.plans import queries as maps
 
 
@@ -139,3 +143,26 @@ def test_robust_fit_takes_every_supplier(spark, tmp_path):
     spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_suppkey: (r.slope, r.intercept, r.inliers) for r in maps.QUERIES["robust_fit"](spark, str(tmp_path)).collect()}
     assert got == {s: (3000.0 * s, 7.0 * s, 20) for s in range(1, 8)}
+
+
+def test_a_long_chain_of_pairs_is_matched_in_bounded_jobs(spark):
+    # Every distance is a little over the one before, so each choice waits for the last: thousands of rounds by rounds alone.
+    steps = np.cumsum(1 + np.arange(10_000) * 1e-5)
+    l, r = [(1, k, float(p)) for k, p in enumerate(steps[::2])], [(1, k, float(p)) for k, p in enumerate(steps[1::2])]
+    df = lambda rows: spark.createDataFrame(rows, "sheet int, id int, p double")
+    spark.sparkContext.setJobGroup("chain", "a long chain")
+    got = {(x["l_id"], x["r_id"]) for x in joins.greedy_match(df(l), df(r), ["sheet"], "p", "p", "id", "id", 1.5).collect()}
+    assert got == {(k, k) for k in range(5000)}
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 400
+    spark.sparkContext.setJobGroup("tests", "")
+    small = {(x["l_id"], x["r_id"]) for x in joins.greedy_match(df(l[:20]), df(r[:20]), ["sheet"], "p", "p", "id", "id", 1.5, most=5).collect()}
+    assert small == {(k, k) for k in range(20)}
+
+
+def test_leaders_of_a_long_chain(spark):
+    n = 3000
+    lines = spark.createDataFrame([(1, k, 40.0 * k, 0.0, 40.0 * k, 1.0) for k in range(n)] + [(2, k, 0.0, 1000.0 * k, 1.0, 1000.0 * k) for k in range(3)], "sheet int, line int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["sheet"], r["line"]) for r in instances.leading_lines(lines, ["sheet"], "line").collect()}
+    assert got == {(1, k) for k in range(0, n, 2)} | {(2, k) for k in range(3)}
+    few = {r["line"] for r in instances.leading_lines(lines.where("sheet = 1 and line < 30"), ["sheet"], "line", most=3).collect()}
+    assert few == set(range(0, 30, 2))
