@@ -3,8 +3,8 @@
 Every vector is projected on single random directions, and each direction has its array of projections in sorted order.
 A query opens a window around its own projection in every array; a vector that lies in the windows of enough arrays
 has collided often enough to be verified by its exact inner product. If too few vectors do, virtual rehashing widens
-all windows and the count is taken again. Inner products become distances by one added coordinate that gives all
-vectors the same norm.
+all windows and the count is taken again. Inner products become distances by one added coordinate that gives vectors the
+same norm; so that it stays small, vectors are parted into bands of like norms, each with its own arrays and windows.
 
 The sorted arrays are cut into cells of equal share, and each cut keeps a bitmap of the vectors below it, so that a
 window is the difference of two bitmaps, and collisions are counted for 64 vectors at a time in bit-sliced counters.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 DIRECTIONS, CELLS, THRESHOLD = 256, 64, 0.64
 #: First half width of a window, and the factor by which rehashing widens it.
 WIDTH, WIDEN = 0.4, 1.08
+#: Bands of norms a power of two, and where their edges lie, so that unit vectors fall into one.
+BANDS, EDGE = 2, 0.3
 #: Vectors and queries that meet in one task at most, and the tasks among which fewer vectors are dealt.
 BLOCK_ROWS, QUERY_ROWS, LEAST_BLOCKS, LEAST_ROWS = 16384, 16384, 8, 2048
 
@@ -34,16 +36,30 @@ def directions(dims: int, n: int = DIRECTIONS) -> np.ndarray:
     return np.random.default_rng(20240229).standard_normal((dims, n))
 
 
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, base-2 logarithm of the norms), by way of powers of two, so that no square overflows or vanishes."""
+    power = np.frexp(np.abs(vectors).max(axis=1))[1]
+    # In two steps, since a power of two may itself be beyond a double.
+    small = np.ldexp(np.ldexp(vectors, -(power // 2)[:, None]), -(power - power // 2)[:, None])
+    norms = np.linalg.norm(small, axis=1)
+    return small / norms[:, None], np.log2(norms) + power
+
+
 class Block:
-    """Sorted projection arrays of one block of vectors."""
+    """Sorted projection arrays of one block of vectors of like norms.
+
+    shorter: each vector as a part of the longest, of the same direction.
+    """
 
-    def __init__(self, vectors: np.ndarray, longest: float):
+    def __init__(self, vectors: np.ndarray, unit: np.ndarray | None = None, logs: np.ndarray | None = None):
         n, dims = vectors.shape
+        if unit is None:
+            unit, logs = scaled(vectors)
         self.vectors, self.n = vectors, n
-        fill = np.sqrt(np.maximum(0.0, longest**2 - np.einsum("ij,ij->i", vectors, vectors)))
-        self.longest = longest
+        self.shorter = unit * np.exp2(logs - logs.max())[:, None]
+        fill = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", self.shorter, self.shorter)))
         self.axes = directions(dims + 1)
-        projected = np.hstack([vectors, fill[:, None]]) @ self.axes / longest
+        projected = np.hstack([self.shorter, fill[:, None]]) @ self.axes
         words = -(-n // 64)
         self.cuts = np.empty((DIRECTIONS, CELLS - 1))
         self.below = np.zeros((DIRECTIONS, CELLS + 1, words), np.uint64)
@@ -101,8 +117,8 @@ class Block:
 
         Windows widen until the given part of the block and k vectors more are verified.
         """
-        lengths = np.linalg.norm(queries, axis=1, keepdims=True)
-        projected = (queries / lengths) @ self.axes[:-1]
+        unit = scaled(queries)[0]
+        projected = unit @ self.axes[:-1]
         open_, half, found = np.arange(len(queries)), WIDTH, []
         ordered = np.sort(ids)
         own = np.searchsorted(ordered, q_ids, side="right") - np.searchsorted(ordered, q_ids, side="left")
@@ -119,10 +135,11 @@ class Block:
                 near = np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[: self.n])
                 near = near[ids[near] != q_ids[i]]
                 # A fast product first; those that rounding could bring among the best k are then summed up exactly alike.
-                rough = self.vectors[near] @ queries[i]
+                rough = self.shorter[near] @ unit[i]
                 if len(near) > k:
-                    near = near[rough >= np.partition(rough, -k)[-k] - 1e-9 * self.longest * lengths[i, 0]]
-                scores = np.einsum("ij,j->i", self.vectors[near], queries[i])
+                    near = near[rough >= np.partition(rough, -k)[-k] - 1e-9]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.einsum("ij,j->i", self.vectors[near], queries[i])
                 best = np.lexsort((ids[near], -scores))[:k]
                 found.append((np.full(len(best), i), near[best], scores[best]))
             open_, half = open_[~done], half * WIDEN
@@ -130,6 +147,18 @@ class Block:
         return q, v, scores
 
 
+def in_bands(vectors: np.ndarray, queries: np.ndarray, k: int, ids: np.ndarray, q_ids: np.ndarray, part: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block.search() in each band of norms of the vectors; up to k of each band for each query."""
+    unit, logs = scaled(vectors)
+    band = np.floor(BANDS * (logs + EDGE)).astype(int)
+    found = []
+    for b in np.unique(band):
+        rows = np.flatnonzero(band == b)
+        q, v, scores = Block(vectors[rows], unit[rows], logs[rows]).search(queries, k, ids[rows], q_ids, part)
+        found.append((q, rows[v], scores))
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     ids = table.column("id").to_numpy()
     flat = table.column("v").combine_chunks()
@@ -153,20 +182,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     vectors meet only queries with as many dimensions. Candidate rows that repeat an id all take part; of queries that
     repeat one, the largest vector in array order is asked. Empty tables give no rows; other columns are not looked at.
 
+    Norms may differ and be as large or small as a double: a score that overflows is infinite, one that underflows is 0, and
+    one without a value (infinities that cancel) comes last.
+
     Blocks of vectors meet blocks of queries, so that a task holds block_rows + query_rows vectors at any size. Each
-    block verifies the share of its vectors that share() gives for the whole table, and returns at most k rows a query;
-    the best k of all blocks are ranked with a limit before the shuffle. Vectors travel in their own element type.
+    block verifies the share of its vectors that share() gives for the whole table, at least k in each band of norms, and
+    returns at most k rows a query and band; the best k of all blocks are ranked with a limit before the shuffle. Vectors
+    travel in their own element type.
     """
     data = usable(vectors, id_col, vec_col)
     asked = usable(queries, id_col, vec_col).groupBy("id", "dims").agg(F.max("v").alias("v"))
-    square = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x * x)
-    shape = {r["dims"]: r for r in data.groupBy("dims").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(square)).alias("longest")).collect()}
+    shape = {r["dims"]: r["n"] for r in data.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shape:
         return data.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = max(r["n"] for r in shape.values())
+    n = max(shape.values())
     blocks = max(1, -(-n // block_rows), min(LEAST_BLOCKS, n // LEAST_ROWS))
     q_blocks = max(1, -(-asked.count() // query_rows))
-    part = {d: (float(r["longest"]), share(k, r["n"])) for d, r in shape.items()}
+    part = {d: share(k, rows) for d, rows in shape.items()}
     # Rows that repeat an id are dealt by their vectors, and alike whenever a task runs again.
     left = data.select("id", "v", "dims", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     right = asked.select("id", "v", "dims", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
@@ -175,12 +207,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
         kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(data_part) or not len(query_part):
             return kind.empty_table()
-        longest, least = part[data_part.column("dims")[0].as_py()]
         ids, vectors_ = _matrix(data_part)
         q_ids, queries_ = _matrix(query_part)
-        q, v, scores = Block(vectors_, longest).search(queries_, k, ids, q_ids, least)
+        q, v, scores = in_bands(vectors_, queries_, k, ids, q_ids, part[data_part.column("dims")[0].as_py()])
         return pa.table([q_ids[q], ids[v], scores], schema=kind)
 
     near = left.groupBy("b", "qb", "dims").cogroup(right.groupBy("b", "qb", "dims")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    last = F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score"))
+    by = Window.partitionBy("query_id").orderBy(last.desc(), F.isnan("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

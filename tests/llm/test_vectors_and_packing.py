@@ -45,7 +45,7 @@ def test_verified_share_falls_as_tables_grow():
         vectors = rng.standard_normal((n, 64))
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         queries = vectors[:100]
-        block, ids, seen = ann.Block(vectors, 1.0), np.arange(n), []
+        block, ids, seen = ann.Block(vectors), np.arange(n), []
         counted = np.flatnonzero
         ann.np.flatnonzero = lambda x: seen.append(len(out := counted(x))) or out
         try:
@@ -60,6 +60,45 @@ def test_verified_share_falls_as_tables_grow():
     assert shares[1] < 0.7 * shares[0] < 0.2
 
 
+@pytest.mark.parametrize("norms", [(3.0,), (10.0,), (1e3,), (1e6,), (1e200,), (1e-200,), (0.5, 1.5, 2.5, 4.0), "log-normal", "all 1e-120", "all 1e140"])
+def test_recall_whatever_the_norms(norms):
+    """Unit vectors with a few of another norm, or norms spread over a wide range."""
+    rng, n = np.random.default_rng(9), 8192
+    vectors = rng.standard_normal((n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    if norms == "log-normal":
+        vectors *= np.exp(rng.standard_normal((n, 1)))
+    elif isinstance(norms, str):
+        vectors *= float(norms.split()[1])
+    else:
+        vectors[100 : 100 + len(norms)] *= np.array(norms)[:, None]
+    queries, ids = vectors[:50], np.arange(n)
+    q, v, scores = ann.in_bands(vectors, queries, 20, ids, ids[:50], ann.share(20, n))
+    exact = queries @ vectors.T
+    exact[np.arange(50), np.arange(50)] = -np.inf
+    best = np.argsort(-exact, axis=1, kind="stable")[:, :20]
+    hits = 0
+    for k in range(50):
+        mine = q == k
+        top = v[mine][np.lexsort((v[mine], -scores[mine]))[:20]]
+        assert len(top) == 20
+        hits += len(set(top) & set(best[k]))
+    assert hits >= 0.93 * 50 * 20
+
+
+def test_every_query_gets_rows_beside_overflowing_norms(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(200)] + [(200, [1e200] * 8), (201, [1e308, -1e308] * 4), (202, [5e-324] * 8), (220, [-1e200, 1e200] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id % 20 = 0"), k=20).collect()
+    by = {q: [r for r in got if r["query_id"] == q] for q in {r["query_id"] for r in got}}
+    assert {q: len(r) for q, r in by.items()} == dict.fromkeys([*range(0, 201, 20), 220], 20)
+    # 200 and 201: an infinity that cancels has no value and comes last, if at all.
+    assert all(r["rank"] > 1 for r in got if np.isnan(r["score"]))
+    tiny = df.where("vec_id < 200").selectExpr("vec_id", "transform(embedding, x -> x * 1e-200D) AS embedding")
+    assert ann.search(tiny, tiny.where("vec_id % 20 = 0"), k=20).count() == 200
+
+
 def test_recall_over_blocks(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = ann.search(df, df.where("vec_id % 20 = 0"), k=20, block_rows=200, query_rows=10).collect()
