@@ -92,6 +92,26 @@ def nearest_centre(values: DataFrame, centres: DataFrame, keys: Sequence[str], v
     return best.select(*keys, *[i for i in ids if i not in keys], "m.*")
 
 
+def nearest_line(points: DataFrame, lines: DataFrame, keys: Sequence[str], x: str, y: str, slope: str, intercept: str, index: str, within: Column, cell: float) -> DataFrame:
+    """Each point with the line x = slope * y + intercept of its key that is nearest along x, under `within` (a column of
+    lines); the lower index on ties: the columns of points, index, distance. Points without such a line are dropped.
+
+    The plane is cut into bands of y and cells of x. A line lies in the cells that it crosses within each band, and as far as
+    `within` beside them, so steep and slanted lines alike meet only the points near them.
+    """
+    band = F.floor(F.col(y) / cell)
+    p = points.withColumn("__band", band).withColumn("__cell", F.floor(F.col(x) / cell))
+    reach = p.groupBy(*keys).agg(F.min("__band").alias("__low"), F.max("__band").alias("__high"))
+    l = lines.select(*keys, F.col(index).alias("__i"), F.col(slope).alias("__a"), F.col(intercept).alias("__b"), within.alias("__w")).join(reach, list(keys))
+    l = l.withColumn("__band", F.explode(F.sequence("__low", "__high")))
+    ends = [F.col("__a") * (F.col("__band") + k) * cell + F.col("__b") for k in (0, 1)]
+    cells = F.sequence(F.floor((F.least(*ends) - F.col("__w")) / cell), F.floor((F.greatest(*ends) + F.col("__w")) / cell))
+    l = l.select(*keys, "__i", "__a", "__b", "__w", "__band", F.explode(cells).alias("__cell"))
+    near = p.join(l, [*keys, "__band", "__cell"]).withColumn("__d", F.abs(F.col(x) - (F.col("__a") * F.col(y) + F.col("__b")))).where(F.col("__d") < F.col("__w"))
+    best = near.groupBy(*points.columns).agg(F.min(F.struct(F.col("__d").alias("distance"), F.col("__i").alias(index))).alias("m"))
+    return best.select(*points.columns, f"m.{index}", "m.distance")
+
+
 def radius_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float, lx: str, ly: str, rx: str, ry: str, inclusive: bool = True) -> DataFrame:
     """All pairs within a radius in the plane, with their distance."""
     cell = lambda c: F.floor(F.col(c) / radius)

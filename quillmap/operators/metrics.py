@@ -91,12 +91,15 @@ def resized_nearest(pixels: DataFrame, from_w: Column, from_h: Column, to_w: Col
 
 
 def tile_clip(shapes: DataFrame, tiles: DataFrame, keys: Sequence[str], size: int = 512) -> DataFrame:
-    """Shapes clipped to tiles in tile coordinates, one row for each piece."""
+    """Shapes clipped to tiles in tile coordinates, one row for each piece.
+
+    Tiles are closed: a shape on the far edge of a tile belongs to it and to the one that begins there.
+    """
     from ..functions.geometry import bbox, clipped_polyline, shifted
 
     b = shapes.withColumn("__b", bbox(F.col("points")))
     step = size // 2
-    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / step) - 1, F.floor(F.col(hi) / step))
+    cells = lambda lo, hi: F.sequence(F.ceil(F.col(lo) / step) - 2, F.floor(F.col(hi) / step))
     b = b.withColumn("__i", F.explode(cells("__b.x_min", "__b.x_max"))).withColumn("__j", F.explode(cells("__b.y_min", "__b.y_max")))
     t = tiles.withColumns({"__i": F.floor(F.col("x0") / step), "__j": F.floor(F.col("y0") / step)})
     both = b.join(t, [*keys, "__i", "__j"]).drop("__b", "__i", "__j")

@@ -17,12 +17,15 @@ from ..functions.geometry import point
 from ..operators import fit
 from ..operators.cluster import dedup_by_spacing, gap_clusters
 from ..operators.filters import covering
+from ..operators.joins import nearest_line
 from ..operators.ordered import extend_centres, settled
 
 KEYS = ["image_id", "group_id"]
 #: Shares of the height at which reference rows stand, gap of a cluster, every how many pixels are observed.
 REFERENCE_SHARES = (0.10, 0.25, 0.40, 0.50, 0.60, 0.75, 0.90)
 CLUSTER_GAP, STEP, LEAST_POINTS = 30, 10, 20
+#: Width and height of the cells through which pixels meet lines.
+CELL = 256.0
 
 
 def _cluster_centres(px: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -66,7 +69,7 @@ def meridians(pixels: DataFrame, images: DataFrame, draws: tuple[int, int] = (30
     fitted = lines.join(robust, [*KEYS, "line_id"], "left").join(counts, [*KEYS, "line_id"], "left")
     good = (F.coalesce("n", F.lit(0)) >= 10) & F.col("slope").isNotNull()
     fitted = fitted.select(*KEYS, "line_id", "tilt", F.when(good, F.col("slope")).otherwise(0.0).alias("slope"), F.when(good, F.col("intercept")).otherwise(F.col("centre")).alias("intercept"))
-    every = nearest(obs.join(fitted, KEYS), F.col("slope") * F.col("y") + F.col("intercept"), F.col("tilt"))
+    every = nearest_line(obs.select(*KEYS, "x", "y").distinct(), fitted, KEYS, "x", "y", "slope", "intercept", "line_id", F.col("tilt"), CELL).select(*KEYS, "x", "y", "line_id")
     final = fit.robust_line(every, [*KEYS, "line_id"], "x", "y", ["x", "y"], draws=draws[1], apart=10.0)
     spans = every.groupBy(*KEYS, "line_id").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y0"), F.max("y").alias("y1")).join(images.select(*KEYS, "height"), KEYS)
     spans = covering(spans.where(F.col("n") >= LEAST_POINTS), F.col("y0"), F.col("y1"), F.col("height"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import linework, overlay
+from ..operators import hough, joins, linework, overlay, raster_tiles
 from .queries import _r, _strokes, _t, query
 
 _DIAMONDS = """
@@ -66,3 +66,81 @@ def clean_lines(spark, d):
     lines = _strokes(spark, d).select("image_id", "points")
     c = linework.clean_up(lines, ["image_id"], 100, 75)
     return c.select("image_id", F.size("points").alias("n"), _r(g.arc_length(F.col("points")), 3).alias("length"))
+
+
+_CROWD_SQL = "SELECT DISTINCT user_id AS sheet, CAST(floor(value * 7) AS BIGINT) % 100 AS x, event_id * 13 % 75 AS y FROM events"
+
+
+@query(f"""
+    WITH px AS ({_CROWD_SQL}),
+    d AS (SELECT unnest(range({hough.TURNS})) AS theta, unnest({[c for c, _ in hough.directions()]}::DOUBLE[]) AS c, unnest({[s for _, s in hough.directions()]}::DOUBLE[]) AS s),
+    v AS (SELECT sheet, CAST(theta AS INT) AS theta, CAST(round_even(x * c + y * s, 0) AS INT) AS rho, count(*) AS votes FROM px, d GROUP BY ALL),
+    h AS (SELECT * FROM v WHERE votes >= 5),
+    o AS (SELECT sheet, theta AS t, rho AS r, votes, CASE WHEN theta + dt BETWEEN 0 AND {hough.TURNS - 1} THEN theta + dt ELSE (theta + dt + {hough.TURNS}) % {hough.TURNS} END AS theta,
+                 CASE WHEN theta + dt BETWEEN 0 AND {hough.TURNS - 1} THEN rho + dr ELSE -(rho + dr) END AS rho
+          FROM h, (SELECT unnest([-1, 0, 1]) AS dt), (SELECT unnest([-1, 0, 1]) AS dr) WHERE dt <> 0 OR dr <> 0)
+    SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.sheet = h.sheet AND o.theta = h.theta AND o.rho = h.rho AND (o.votes, -o.t, -o.r) > (h.votes, -h.theta, -h.rho))
+""")
+def hough_lines(spark, d):
+    """Lines that at least five of a user's events lie on."""
+    px = _t(spark, d, "events").select(F.col("user_id").alias("sheet"), (F.floor(F.col("value") * 7) % 100).alias("x"), (F.col("event_id") * 13 % 75).alias("y")).distinct()
+    return hough.peaks(hough.votes(px, ["sheet"]), ["sheet"], 5)
+
+
+@query("""
+    WITH p AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice / 100 AS x, l_quantity AS y FROM lineitem),
+    l AS (SELECT s_suppkey, i AS line, (i - 2) * 3 + s_nationkey / 10.0 AS slope, 150.0 * i AS intercept, 40.0 + s_suppkey % 50 AS within FROM supplier, (SELECT unnest(range(5)) AS i)),
+    d AS (SELECT p.*, line, abs(x - (slope * y + intercept)) AS distance FROM p JOIN l ON l_suppkey = s_suppkey WHERE abs(x - (slope * y + intercept)) < within)
+    SELECT l_suppkey, line, count(*) AS n, round(sum(distance), 3) AS total
+    FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber, l_partkey, x, y ORDER BY distance, line) = 1) GROUP BY l_suppkey, line
+""")
+def nearest_line(spark, d):
+    """Line items of a supplier by the nearest of its five slanted lines."""
+    p = _t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") / 100).alias("x"), F.col("l_quantity").alias("y")).distinct()
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))
+    l = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", i.alias("line"))
+    l = l.select("l_suppkey", "line", ((F.col("line") - 2) * 3 + F.col("s_nationkey") / 10.0).alias("slope"), (150.0 * F.col("line")).alias("intercept"), (40.0 + F.col("l_suppkey") % 50).alias("within"))
+    n = joins.nearest_line(p, l, ["l_suppkey"], "x", "y", "slope", "intercept", "line", F.col("within"), 64.0)
+    return n.groupBy("l_suppkey", "line").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("distance"), 3).alias("total"))
+
+
+_BOX_SQL = """
+    m AS (SELECT DISTINCT sheet, x0 + dx AS x, y0 + dy AS y
+          FROM (SELECT c_nationkey AS sheet, 20 + CAST(floor(abs(c_acctbal)) AS BIGINT) % 960 AS x0, 20 + c_custkey * 7 % 960 AS y0, 1 + c_custkey % 5 AS h FROM customer)
+          JOIN (SELECT unnest(range(-5, 6)) AS dx) ON abs(dx) <= h JOIN (SELECT unnest(range(-5, 6)) AS dy) ON abs(dy) <= h)
+"""
+
+
+def _boxes(spark, d):
+    """Customers as squares of up to eleven pixels on a sheet of 1000 x 1000 for each nation; and the sheets."""
+    h = 1 + F.col("c_custkey") % 5
+    c = _t(spark, d, "customer").select(F.col("c_nationkey").alias("sheet"), (20 + F.floor(F.abs("c_acctbal")) % 960).alias("x0"), (20 + F.col("c_custkey") * 7 % 960).alias("y0"), h.alias("h"))
+    c = c.withColumn("dx", F.explode(F.sequence(-F.col("h"), F.col("h")))).withColumn("dy", F.explode(F.sequence(-F.col("h"), F.col("h"))))
+    frames = c.select("sheet").distinct().select("sheet", F.lit(1000).alias("width"), F.lit(1000).alias("height"))
+    return raster_tiles.tiled(c.select("sheet", (F.col("x0") + F.col("dx")).alias("x"), (F.col("y0") + F.col("dy")).alias("y")), ["sheet"]), frames
+
+
+@query(f"""
+    WITH {_BOX_SQL},
+    r AS (SELECT *, y - row_number() OVER (PARTITION BY sheet, x ORDER BY y) AS run FROM m),
+    g AS (SELECT sheet, x, y, least(y - min(y) OVER w + 1, max(y) OVER w - y + 1) AS g FROM r WINDOW w AS (PARTITION BY sheet, x, run)),
+    s AS (SELECT sheet, x, y, unnest(range(-g, g + 1)) AS s FROM g)
+    SELECT s.sheet, s.x, s.y, CAST(min(s.s * s.s + coalesce(g.g * g.g, 0)) AS BIGINT) AS square FROM s LEFT JOIN g ON g.sheet = s.sheet AND g.y = s.y AND g.x = s.x + s.s GROUP BY s.sheet, s.x, s.y
+""")
+def tile_distances(spark, d):
+    """Squared distance of every foreground pixel to the background."""
+    tiles, frames = _boxes(spark, d)
+    return raster_tiles.distances(tiles, ["sheet"], frames)
+
+
+@query()
+def tile_components(spark, d):
+    """Boxes of the components of each nation's sheet."""
+    c = raster_tiles.component_boxes(_boxes(spark, d)[0], ["sheet"])
+    return c.select("sheet", "component", "area", "x_min", "x_max", "y_min", "y_max", _r("cx").alias("cx"), _r("cy").alias("cy"))
+
+
+@query()
+def tile_thinning(spark, d):
+    """Skeleton pixels of each nation's sheet."""
+    return raster_tiles.untiled(raster_tiles.thinned(_boxes(spark, d)[0], ["sheet"]), ["sheet"])

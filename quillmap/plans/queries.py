@@ -356,14 +356,15 @@ def tile_grid(spark, d):
 
 
 @query("""
-    SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, round(CASE WHEN dr < 4 AND dc < 4 THEN greatest(dr, dc) + 1 WHEN dr < 4 THEN dr + 1 WHEN dc < 4 THEN dc + 1 ELSE 5 END / 5.0, 9) AS linear,
+    SELECT event_id, r, c, round(CASE WHEN dr < 4 AND dc < 4 THEN greatest(dr, dc) + 1 WHEN dr < 4 THEN dr + 1 WHEN dc < 4 THEN dc + 1 ELSE 5 END / 5.0, 9) AS linear,
            round(exp(-((r-7.5)*(r-7.5) + (c-7.5)*(c-7.5)) / (2 * (16/6.0) * (16/6.0))), 9) AS gaussian, round(least(1.0, (dr + 1) / 4.0) * least(1.0, (dc + 1) / 4.0), 9) AS ramp
-    FROM (SELECT r, c, least(r, 15 - r) AS dr, least(c, 15 - c) AS dc FROM range(16) a(r), range(16) b(c))
+    FROM (SELECT *, least(r, 15 - r) AS dr, least(c, 15 - c) AS dc FROM (SELECT event_id, CAST(floor(value) AS INT) % 16 AS r, CAST(event_id * 7 % 16 AS INT) AS c FROM events))
 """)
 def blend_weights(spark, d):
-    px = spark.range(16).select(F.col("id").cast("int").alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    """Weights of the place that each event takes in a tile of 16 x 16."""
     r, c = F.col("r"), F.col("c")
-    return px.select("r", "c", _r(metrics.linear_weight(r, c, 16), 9).alias("linear"), _r(metrics.gaussian_weight(r, c, 16), 9).alias("gaussian"), _r(metrics.ramp_weight(r, c, 16, 4), 9).alias("ramp"))
+    px = _t(spark, d, "events").select("event_id", (F.floor("value").cast("int") % 16).alias("r"), (F.col("event_id") * 7 % 16).cast("int").alias("c"))
+    return px.select("event_id", "r", "c", _r(metrics.linear_weight(r, c, 16), 9).alias("linear"), _r(metrics.gaussian_weight(r, c, 16), 9).alias("gaussian"), _r(metrics.ramp_weight(r, c, 16, 4), 9).alias("ramp"))
 
 
 @query("""
@@ -769,9 +770,8 @@ def component_boxes(spark, d):
 
 @query(f"""
     WITH {_STROKE_SQL},
-    box AS (SELECT image_id, shape_idx, least(min(x1), min(x2)) AS xa, greatest(max(x1), max(x2)) AS xb, least(min(y1), min(y2)) AS ya, greatest(max(y1), max(y2)) AS yb FROM seg GROUP BY ALL),
     t AS (SELECT CAST(r AS INT) AS "row", CAST(c AS INT) AS col, c * 32.0 AS x0, r * 32.0 AS y0 FROM range(2) a(r), range(3) b(c)),
-    p AS (SELECT s.*, "row", col, x0, y0, x2-x1 AS dx, y2-y1 AS dy FROM seg s JOIN box USING (image_id, shape_idx) JOIN t ON x0 / 32 BETWEEN floor(xa / 32) - 1 AND floor(xb / 32) AND y0 / 32 BETWEEN floor(ya / 32) - 1 AND floor(yb / 32)),
+    p AS (SELECT s.*, "row", col, x0, y0, x2-x1 AS dx, y2-y1 AS dy FROM seg s CROSS JOIN t),
     q AS (SELECT *, greatest(0.0, CASE WHEN -dx < 0 THEN (x1-x0)/(-dx) END, CASE WHEN dx < 0 THEN (x0+64-x1)/dx END, CASE WHEN -dy < 0 THEN (y1-y0)/(-dy) END, CASE WHEN dy < 0 THEN (y0+64-y1)/dy END) AS a,
                  least(1.0, CASE WHEN -dx > 0 THEN (x1-x0)/(-dx) END, CASE WHEN dx > 0 THEN (x0+64-x1)/dx END, CASE WHEN -dy > 0 THEN (y1-y0)/(-dy) END, CASE WHEN dy > 0 THEN (y0+64-y1)/dy END) AS b,
                  (dx = 0 AND (x1 < x0 OR x1 > x0 + 64)) OR (dy = 0 AND (y1 < y0 OR y1 > y0 + 64)) AS out_ FROM p),
