@@ -29,11 +29,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template svg canvas object audio video select xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 INLINE_FORMAT = frozenset("a abbr b big cite code em font i kbd mark q s small span strike strong sub sup tt u".split())
-DROPPED = frozenset("nav footer aside form button fieldset dialog head menu input label datalist output".split()) | RAW
+DROPPED = frozenset("nav footer aside form fieldset dialog head menu input datalist".split()) | RAW
+#: Controls, which are text where they stand inside a sentence.
+CONTROLS = frozenset("label output button".split())
+FIELDS = frozenset("input textarea select button form".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors cookie cookies consent gdpr popup modal overlay newsletter sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar sharing commentlist comments disqus respond toolbar paywall".split())
 #: Words that mark it only where they are what the name is about: its last word but for a part such as "box".
 BAD_HEADS = frozenset("notice notices notification alert banner banners promo promos promotion subscribe subscription signup side rail header related recommended recommendations share social comment reply replies discussion feedback widget widgets skip login".split())
+#: Of all these, words that mark nothing if other words say what the part is about and it reads like text.
+WEAK = frozenset("popup modal overlay menu menus toolbar sharing notification notifications banner banners signup side rail header recommendation recommendations share social reply replies discussion feedback widget widgets skip login".split())
+#: Words that do not say what a part is about.
+GENERIC = frozenset("site page social user top bottom main global article post left right sticky email mobile desktop app web the".split())
+#: Who writes beneath an article, and what it is called then.
+READERS, REMARKS = frozenset("user users reader readers visitor visitors guest guests member members".split()), frozenset("response responses review reviews opinion opinions message messages thought thoughts remark remarks reply replies feedback discussion".split())
+#: Headings under which a list of links is a menu.
+MENU_HEADS = re.compile(r"related|more|popular|recommend|also|latest|recent|tags|share|follow|menu|navigation|categor|mehr|ähnlich|relacionad|más|connexe|plus|aussi", re.I)
 PARTS = frozenset("bar bars box boxes block wrap wrapper container inner outer area section list item items links link form text content panel".split())
 GOOD_WORDS = frozenset("article body content entry main post story text page blog".split())
 #: Elements whose start ends an open element of the given kinds.
@@ -45,12 +56,13 @@ _WEIGHT = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "blockquot
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "score", "chars", "link_chars", "links", "commas", "block_inside")
+    __slots__ = ("tag", "names", "role", "hidden", "parent", "children", "score", "chars", "link_chars", "links", "commas", "block_inside", "raw", "raw_links", "prose", "fields", "tail", "heading")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.names, self.role, self.hidden = [], "", False
         self.score, self.chars, self.link_chars, self.links, self.commas, self.block_inside = None, 0, 0, 0, 0, False
+        self.raw, self.raw_links, self.prose, self.fields, self.tail, self.heading = 0, 0, 0, 0, "", False
         if "=" in attrs or "hidden" in attrs:
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -164,26 +176,45 @@ def parse(html: str) -> Node:
     return root
 
 
-def _bad_names(names: list[list[str]]) -> set[str]:
-    """The words of class and id that mark an element as something else than the article."""
+def _bad_names(names: list[list[str]], reads: bool, discusses: bool) -> set[str]:
+    """The words of class and id that mark an element as something else than the article.
+
+    reads: whether it reads like text, so that a weak word beside one that says what it is about marks nothing; discusses:
+    whether it may be the article's own discussion.
+    """
     bad = set()
     for words in names:
-        bad.update(BAD_WORDS.intersection(words))
+        own = set(BAD_WORDS.intersection(words))
         heads = [w for w in words if w not in PARTS]
         if heads and heads[-1] in BAD_HEADS:
-            bad.add(heads[-1])
+            own.add(heads[-1])
+        if READERS.intersection(words) and heads and heads[-1] in REMARKS:
+            own.add("comments")
+        elif reads and own <= WEAK and ({w for w in words if w == "text" or w not in PARTS} - BAD_WORDS - BAD_HEADS - GENERIC or own <= {"discussion"} and discusses):
+            own = set()
+        bad |= own
     return bad
 
 
 def unwanted(node: Node, in_article: bool) -> bool:
-    """Whether an element is something else than the article: by its name, role, visibility or the words of class and id."""
+    """Whether an element is something else than the article: by its name, role, visibility or the words of class and id.
+
+    Weak words only count where the part reads like links or a form. A header counts as the article's if it stands in what
+    is named as its content or is named so itself.
+    """
     if node.tag in DROPPED or node.hidden or node.role in BAD_ROLES:
         return True
+    parent = node.parent
+    if node.tag in CONTROLS:
+        return not any(isinstance(c, str) and any(map(str.isalnum, c)) for c in parent.children)
     if node.tag == "header" and not in_article:
-        return True
+        named = [*node.names, *(parent.names if parent and parent.tag not in ("body", "html") else [])]
+        if not any((GOOD_WORDS - {"page", "text"}).intersection(words) for words in named):
+            return True
     if node.tag in ("html", "body", "main"):
         return False
-    bad = _bad_names(node.names)
+    reads = node.prose > 0 and not node.fields and node.raw_links < 0.33 * node.raw
+    bad = _bad_names(node.names, reads, in_article or node.heading)
     if not bad:
         return False
     if node.tag == "article":
@@ -192,8 +223,45 @@ def unwanted(node: Node, in_article: bool) -> bool:
     return not good or bool(bad & {"comment", "comments", "ad", "ads"})
 
 
+_SENTENCE = frozenset(".!?:;…。！？：\"'”’»)")
+
+
+def _measure_raw(root: Node) -> None:
+    """Before anything is dropped, bottom up: characters, those in links, fields, and characters of blocks that are sentences."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str))
+    blocks: set[int] = set()
+    for node in reversed(order):
+        if node.tag in RAW:
+            node.fields = int(node.tag in FIELDS)
+            continue
+        words = 0
+        for c in node.children:
+            if isinstance(c, str):
+                text = c.strip()
+                node.raw += len(text)
+                words += text.count(" ") + 1 if text else 0
+                node.tail = text[-1:] or node.tail
+            else:
+                node.raw += c.raw
+                node.raw_links += c.raw if c.tag == "a" else c.raw_links
+                node.prose += c.prose
+                node.fields += c.fields
+                node.tail = c.tail or node.tail
+                node.heading |= c.heading or c.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                if id(c) in blocks or c.tag in BLOCK:
+                    blocks.add(id(node))
+        node.fields += node.tag in FIELDS
+        if id(node) not in blocks and node.tag in BLOCK and words >= 4 and node.tail in _SENTENCE:
+            node.prose = node.raw
+
+
 def _prune_and_measure(root: Node) -> list[Node]:
     """Drop unwanted elements, add up texts bottom up, and return the elements in page order."""
+    _measure_raw(root)
     order, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
@@ -225,6 +293,28 @@ def _menu(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table") and node.links >= 3 and node.link_chars > 0.8 * node.chars
 
 
+def _without_menus(children: list) -> list:
+    """children but for lists of links; one under a heading of its own, or after a colon, belongs to the text unless that
+    heading announces other pages, when both go."""
+    out: list = []
+    before, at = None, 0
+    for c in children:
+        if isinstance(c, str):
+            before = c if c.strip() else before
+        else:
+            if _menu(c):
+                heading = before is not None and not isinstance(before, str) and before.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                said = (before if isinstance(before, str) else before.tail) if before is not None else ""
+                if heading and before.chars < 200 and MENU_HEADS.search(" ".join(blocks_of(before))):
+                    out[at], before = "", None
+                    continue
+                if not heading and said.rstrip()[-1:] not in (":", "："):
+                    continue
+            before, at = c, len(out)
+        out.append(c)
+    return out
+
+
 def _reads(part: Node | str, article: bool) -> bool:
     """Whether what stands beside the best container, or beside an ancestor of it, belongs to the text."""
     if isinstance(part, str):
@@ -271,7 +361,7 @@ def best_part(root: Node) -> Node:
         node = node.parent
     node = article or best
     if not article:
-        node.children = [c for c in node.children if isinstance(c, str) or not _menu(c)]
+        node.children = _without_menus(node.children)
     while node is not top and node.parent is not None:
         parent = node.parent
         parent.children = [c for c in parent.children if c is node or _reads(c, article is not None)]

@@ -111,6 +111,36 @@ def test_html_keeps_the_whole_article():
     assert main(f"<article>{eight}</article><div><p>About, us, all, else.</p></div><article><p>Another article, here.</p></article>") == "\n".join([*long, "Another article, here."])
 
 
+def test_html_words_in_names_do_not_decide_on_text():
+    main = html_text.main_text
+    eight, long = "".join(f"<p>{k} {LONG}</p>" for k in range(8)), [f"{k} {LONG}".strip() for k in range(8)]
+    part = lambda name: f"<section class='{name}'><h2>Part</h2><p>It has some words of its own.</p></section>"
+    for name in ("discussion", "text-widget", "map-overlay", "market-share", "how-to-login", "tasting-menu", "election-banner", "ocean-side"):
+        want = "\n".join([*long, "Part", "It has some words of its own."])
+        assert main(f"<body><article>{eight}{part(name)}</article></body>") == want, name
+        assert main(f"<body><div id=content>{eight}{part(name)}</div></body>") == want, name
+    for name in ("share", "login-box", "social-share", "newsletter-overlay", "cookie-banner", "site-menu", "user-responses", "reader-discussion", "comments", "ad-widget", "signup-modal"):
+        assert main(f"<article>{eight}{part(name)}</article>") == "\n".join(long), name
+        assert main(f"<body><div>{eight}{part(name)}</div></body>") == "\n".join(long), name
+    links = "".join(f"<a href=/{k}>Entry {k}.</a>" for k in range(5))
+    assert main(f"<article>{eight}<div class='market-share'><p>{links}</p></div></article>") == "\n".join(long)
+    assert main(f"<article>{eight}<div class='how-to-login'><p>Give your name and word here.</p><input name=q></div></article>") == "\n".join(long)
+
+
+def test_html_controls_headers_and_references():
+    main = html_text.main_text
+    eight, long = "".join(f"<p>{k} {LONG}</p>" for k in range(8)), [f"{k} {LONG}".strip() for k in range(8)]
+    assert main("<article><p>See <label>this word</label> and <output>42</output>, press <button>Go</button> now.</p><div><button>Share</button> <label>x</label></div></article>") == "See this word and 42, press Go now."
+    assert main(f"<body><header><h1>Site</h1></header><div id=content><header><h1>Title</h1><p>By someone.</p></header>{eight}</div></body>") == "\n".join(["Title", "By someone.", *long])
+    assert main(f"<body><div id=wrap><header class=entry-header><h1>Title</h1></header>{eight}</div></body>") == "\n".join(["Title", *long])
+    assert main(f"<body><div id=wrap><header><h1>Site</h1></header><div>{eight}</div></div></body>") == "\n".join(long)
+    items = "<ul>" + "".join(f"<li><a href=/{k}>Author {k}</a></li>" for k in range(3)) + "</ul>"
+    listed = ["Author 0", "Author 1", "Author 2"]
+    assert main(f"<body><div>{eight}<h2>References</h2>{items}</div></body>") == "\n".join([*long, "References", *listed])
+    assert main(f"<body><div>{eight}<p>They are:</p>{items}</div></body>") == "\n".join([*long, "They are:", *listed])
+    assert main(f"<body><div>{eight}<h2>Related pages</h2>{items}</div></body>") == "\n".join(long)
+
+
 def test_html_takes_time_in_proportion():
     n = 30_000
     for page in ("<a " * n, "<b>" * n + "</x>" * n, "<li><div>" + "<b>" * n + "</li>" * n, "<b>" * n + "<p>" * n, "<a =\"" * n + ">", "<audio>" * n, "<" * n, "<p>x</p>" * n, "<div>" * n + "x", "<!--" * n, "<a b='" * n, "<ul><li>" * n + "</ul>" * n):
