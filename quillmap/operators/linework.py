@@ -91,12 +91,18 @@ def geo_to_pixel(lines: DataFrame, model: dict, spacing: float, points: str = "p
     return lines.withColumn(points, F.transform(dense, lambda p: point(plane_value(model, p["x"], p["y"], 0), plane_value(model, p["x"], p["y"], 1))))
 
 
+#: Edges of which one task puts the lines in order.
+TASK_EDGES = 20_000
+
+
 def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, line_id, points): noded edges (a, b) of each key joined into lines at the nodes where just two of them meet.
 
-    Edges that share such a node are one component, found in rounds; the edges of a component are then put in order, so
-    a task holds one line. A ring begins and ends at its smallest node. line_id is the line's smallest edge as text.
+    Edges that share such a node are one component, found in rounds; the lines are then dealt to tasks of TASK_EDGES edges
+    or one longer line, and put in order. A ring begins and ends at its smallest node. line_id is the line's smallest edge
+    as text.
     """
+    keys = list(keys)
     e = edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     e = materialise(e.withColumn("id", F.concat_ws(" ", *[F.format_number(F.col(f"{n}.{c}"), 9) for n in ("a", "b") for c in ("x", "y")], *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])), "edges")
     ends = e.select(*keys, "id", F.explode(F.array("a", "b")).alias("node"))
@@ -104,24 +110,34 @@ def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     line = components(inner.select("a", "b")).select("id", F.col("component").alias("line_id"))
     types = {f.name: f.dataType.simpleString() for f in e.schema}
 
-    def run(table: pa.Table) -> pa.Table:
-        pairs = [tuple((n["x"], n["y"]) for n in p) for p in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True)]
+    def path(pairs: list[tuple]) -> list[tuple]:
         near: dict[tuple, list[tuple]] = {}
         for a, b in pairs:
             near.setdefault(a, []).append(b)
             near.setdefault(b, []).append(a)
         # A line may touch itself where more edges of others meet, so ends are nodes of one edge of this line.
         at = min([n for n, m in near.items() if len(m) == 1] or near)
-        path, left = [at], {frozenset(p) for p in pairs}
+        out, left = [at], {frozenset(p) for p in pairs}
         while step := next((n for n in sorted(near[at]) if frozenset((at, n)) in left), None):
             left.discard(frozenset((at, step)))
-            path.append(at := step)
-        points = pa.array([[{"x": x, "y": y} for x, y in path]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-        return pa.table([*[table.column(k).slice(0, 1) for k in (*keys, "line_id")], points], names=[*keys, "line_id", "points"])
+            out.append(at := step)
+        return out
 
+    def run(table: pa.Table) -> pa.Table:
+        lines: dict[str, list[int]] = {}
+        for i, name in enumerate(table.column("line_id").to_pylist()):
+            lines.setdefault(name, []).append(i)
+        ends = [[(n["x"], n["y"]) for n in table.column(c).to_pylist()] for c in ("a", "b")]
+        points = [[{"x": x, "y": y} for x, y in path([(ends[0][i], ends[1][i]) for i in rows])] for rows in lines.values()]
+        first = table.select([*keys, "line_id"]).take(pa.array([rows[0] for rows in lines.values()], pa.int64()))
+        return first.append_column("points", pa.array(points, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+
+    # The id holds the keys, so a line is one of its key.
+    tasks = max(1, -(-e.count() // TASK_EDGES))
     rows = e.join(line, "id", "left").select(*keys, F.coalesce("line_id", "id").alias("line_id"), "a", "b")
-    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "line_id string", "points array<struct<x:double,y:double>>"])
-    return rows.groupBy(*keys, "line_id").applyInArrow(run, schema)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "line_id string", "points array<struct<x:double,y:double>>"])
+    rows = rows.withColumn("__task", F.pmod(F.xxhash64("line_id"), F.lit(tasks)))
+    return rows.groupBy("__task").applyInArrow(lambda t: run(t.drop(["__task"])), schema)
 
 
 def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> DataFrame:

@@ -91,7 +91,7 @@ def hough_lines(spark, d):
     WITH p AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_extendedprice / 100 AS x, l_quantity AS y FROM lineitem),
     l AS (SELECT s_suppkey, i AS line, (i - 2) * 3 + s_nationkey / 10.0 AS slope, 150.0 * i AS intercept, 40.0 + s_suppkey % 50 AS within FROM supplier, (SELECT unnest(range(5)) AS i)),
     d AS (SELECT p.*, line, abs(x - (slope * y + intercept)) AS distance FROM p JOIN l ON l_suppkey = s_suppkey WHERE abs(x - (slope * y + intercept)) < within)
-    SELECT l_suppkey, line, count(*) AS n, round(sum(distance), 3) AS total
+    SELECT l_suppkey, line, count(*) AS n, round(sum(distance), 6) AS total
     FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_linenumber, l_partkey, x, y ORDER BY distance, line) = 1) GROUP BY l_suppkey, line
 """)
 def nearest_line(spark, d):
@@ -101,7 +101,7 @@ def nearest_line(spark, d):
     l = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey", i.alias("line"))
     l = l.select("l_suppkey", "line", ((F.col("line") - 2) * 3 + F.col("s_nationkey") / 10.0).alias("slope"), (150.0 * F.col("line")).alias("intercept"), (40.0 + F.col("l_suppkey") % 50).alias("within"))
     n = joins.nearest_line(p, l, ["l_suppkey"], "x", "y", "slope", "intercept", "line", F.col("within"), 64.0)
-    return n.groupBy("l_suppkey", "line").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("distance"), 3).alias("total"))
+    return n.groupBy("l_suppkey", "line").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("distance")).alias("total"))
 
 
 _BOX_SQL = """
