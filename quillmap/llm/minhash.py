@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
@@ -28,8 +28,6 @@ WORDS, SIMILARITY = 5, 0.8
 COORDINATES, MISSED = 125, 1e-4
 #: Neighbours in a bucket's order that a document is compared with; all of them up to this size of bucket.
 WINDOW = 64
-#: Texts and bytes of shingles in a block: larger buckets are compared block by block.
-BLOCK, BLOCK_BYTES = 1024, 1 << 24
 #: Remembered word hashes.
 MEMORY = 300_000
 
@@ -221,69 +219,55 @@ def _neighbours(least: float):
     return run
 
 
-def _common(names: list[np.ndarray]) -> np.ndarray:
-    """How many shingles rows i < k share: frequent ones by matrix products, the others by their lists of rows."""
-    n = len(names)
-    row = np.repeat(np.arange(n), [len(x) for x in names])
-    _, element, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
-    often, both = max(1, n // 16), np.zeros((n, n), np.int32)
-    frequent = np.flatnonzero(count > often)
-    for at in range(0, len(frequent), 2048):
-        part = frequent[at : at + 2048]
-        column = np.full(len(count), -1)
-        column[part] = np.arange(len(part))
-        here = column[element] >= 0
-        x = np.zeros((n, len(part)), np.float32)
-        x[row[here], column[element[here]]] = 1
-        both += (x @ x.T).astype(np.int32)
-    seldom = (count > 1) & (count <= often)
-    here = np.flatnonzero(seldom[element])
-    here = here[np.argsort(element[here], kind="stable")]
-    e, r = element[here], row[here]
-    for back in range(1, often):
-        same = np.flatnonzero(e[back:] == e[:-back])
-        if not len(same):
-            break
-        np.add.at(both, (r[same], r[same + back]), 1)
-    return both
-
-
-def _across(least: float):
-    """Pairs of classes that a link joins within one pair of blocks of a bucket."""
-
-    def run(group: pa.Table) -> pa.Table:
-        label, side = group.column("label").to_numpy(), group.column("block").to_numpy()
-        found: set[tuple[int, int]] = set()
-        if label.min() != label.max():
-            names = [np.frombuffer(x, np.uint32) for x in group.column("names").to_pylist()]
-            size, two, both = np.array([len(x) for x in names]), side.min() != side.max(), _common(names)
-            for i in range(len(label) - 1):
-                n = both[i, i + 1 :]
-                good = (n >= least * (size[i] + size[i + 1 :] - n) - 1e-9) & (label[i + 1 :] != label[i])
-                if two:
-                    good &= side[i + 1 :] != side[i]
-                found.update((int(label[i]), int(x)) for x in np.unique(label[i + 1 :][good]))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    return run
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            names = np.frombuffer(batch.column("names")[k].as_buffer(), np.uint32).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), batch.column(c)[k].as_py()), pa.int64()) for c in ("id", "label")] + [pa.array(np.full(len(names), len(names)), pa.int64()), pa.array(names)], ["id", "label", "size", "name"])
 
 
-def _joined(entries: DataFrame, data: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """labels, with the classes joined that have a link between members of one wide bucket.
+def _pairs_by_rare_shingles(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of members (id, label, names) of different labels that may reach the similarity; none that do are missing.
 
-    Wide buckets whose texts are of one class by now need nothing more. The others are dealt into blocks, and every two
-    blocks meet in a task: all pairs of different classes are compared exactly, however large the bucket is.
+    Each text's shingles are put in one order for all, the rarest first. Of a pair at the similarity, the first shingle in
+    common stands among the first (1 - 2 s / (1 + s)) of the shorter text's and among the first (1 - s) of the longer one's,
+    and from there on both have enough left for the overlap that is needed. Shingles of one text only are counted but not
+    moved, and what all texts share comes last, where nobody looks it up, so that a passage that many texts share makes no
+    pairs of them.
+    """
+    each = materialise(members.mapInArrow(_each_shingle, "id bigint, label bigint, size bigint, name bigint"), "shingles")
+    counts = each.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = each.join(counts, "name")
+    # A text's shingles in common, behind all of its own.
+    by = Window.partitionBy("id").orderBy("n", "name")
+    ranked = common.withColumn("at", F.row_number().over(by) - 1 + F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id")))
+    edge = 1e-9
+    probe = F.col("size") - F.ceil(least * F.col("size") - edge) + 1
+    index = F.col("size") - F.ceil(2 * least / (1 + least) * F.col("size") - edge) + 1
+    ahead = materialise(ranked.where(F.col("at") < probe).select("name", "id", "label", "size", "at", (F.col("at") < index).alias("first")), "prefixes")
+    short = ahead.where("first").select("name", *[F.col(c).alias(f"s_{c}") for c in ("id", "label", "size", "at")])
+    shorter = (F.col("s_size") < F.col("size")) | ((F.col("s_size") == F.col("size")) & (F.col("s_id") < F.col("id")))
+    left = F.least(F.col("s_size") - F.col("s_at"), F.col("size") - F.col("at"))
+    enough = (left >= least / (1 + least) * (F.col("s_size") + F.col("size")) - edge) & (F.col("s_size") >= least * F.col("size") - edge)
+    return ahead.join(short, "name").where(shorter & (F.col("s_label") != F.col("label")) & enough).select(F.col("s_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _joined(entries: DataFrame, data: DataFrame, labels: DataFrame, check, least: float) -> DataFrame:
+    """labels, with the classes joined that have a link between members of wide buckets.
+
+    Wide buckets whose texts are of one class by now need nothing more. The texts of the others are joined by their rare
+    shingles, exactly, however large the buckets are.
     """
     wide = entries.where("wide").select("bucket", "id").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     wide = materialise(wide, "wide")
     mixed = wide.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    rest = wide.join(mixed, "bucket")
-    sizes = rest.join(data.select("id", F.length("names").alias("bytes")), "id")
-    blocks = sizes.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("k"))
-    dealt = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    met = dealt.join(data.select("id", "names"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    met = met.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "label", "names", "block")
-    more = materialise(met.groupBy("bucket", "i", "j").applyInArrow(_across(least), "a bigint, b bigint").distinct(), "more")
+    rest = materialise(wide.join(mixed, "bucket").select("id", "label").distinct(), "mixed")
+    pairs = materialise(_pairs_by_rare_shingles(rest.join(data.select("id", "names"), "id"), least), "pairs")
+    near = pairs.join(data.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(data.select(F.col("id").alias("b"), F.col("names").alias("y")), "b")
+    near = near.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    side = lambda c: rest.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    more = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    more = materialise(more, "more")
     if more.isEmpty():
         return labels
     classes = components(more).select(F.col("id").alias("was"), F.col("label").alias("joined"))
@@ -320,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pre-aggregated, and one of each text goes on. It is linked with the first document of each
     of its buckets and with its neighbours in the bucket's order, which sorts by further bands. Buckets of up to
     WINDOW + 1 texts stay in one task, so that all their pairs are compared; wider ones are ranged over many tasks by that
-    order, and their texts that are still of different classes are then compared block by block, every pair.
+    order, and their texts that are still of different classes are then joined exactly by their rarest shingles.
     """
     table = materialise(sign(docs, id_col, text_col, words, weighting, rows_of_band(similarity)), "signatures")
     # Rows find their text's class by digest and share, so that a text that a third of all rows hold is spread out.
@@ -355,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = entries.join(data, "id").repartitionByRange(parts, "bucket", "o1", "o2").sortWithinPartitions("bucket", "o1", "o2", "id")
     near = rows.select("bucket", "id", "sig", "names").mapInArrow(_neighbours(least), "a bigint, b bigint")
     links = materialise(reduce(DataFrame.unionByName, [stars, near]).distinct(), "links")
-    labels = _joined(entries, data, components(links), least)
+    labels = _joined(entries, data, components(links), check, least)
     classes = firsts.join(labels.select(F.col("id").alias("first"), "label"), "first", "left").select("digest", F.coalesce("label", "first").alias("class_id"))
     out = row.join(pairs.select("digest", "share").join(classes, "digest"), ["digest", "share"])
     return out.select(F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), *(["digest"] if with_digest else []))

@@ -162,7 +162,7 @@ def test_other_similarities_equal_brute_force(spark):
     assert [minhash.rows_of_band(x) for x in (0.8, 0.5, 0.1)] == [5, 2, 1]
 
 
-def test_pairs_far_apart_in_wide_buckets_are_linked(spark, monkeypatch):
+def test_pairs_far_apart_in_wide_buckets_are_linked(spark):
     # 396 shingles of a shared passage and 54 of each text's own: 396 / 504 = 0.786 between any two. The last 40 texts
     # have 8 words more in common with one of the first: 404 / 496 = 0.815, and stand anywhere in buckets of hundreds.
     shared = [f"t{k}" for k in range(400)]
@@ -172,11 +172,35 @@ def test_pairs_far_apart_in_wide_buckets_are_linked(spark, monkeypatch):
     rows = [(doc, " ".join(shared + own[doc])) for doc in own]
     a, b, c = (shingles(rows[k][1]) for k in (60, 1460, 61))
     assert len(a & b) >= 0.8 * len(a | b) and len(b & c) < 0.8 * len(b | c) and len(a & c) < 0.8 * len(a | c)
-    monkeypatch.setattr(minhash, "BLOCK", 400, raising=False)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {doc: doc - 1400 if doc >= 1460 else doc for doc in own}
 
 
+def test_rare_shingles_find_every_pair_and_few_others(spark):
+    # A passage of 300 shingles in every text, of which each has 60 to 90 more; every tenth shares most of these with the next.
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    passage, sets = np.arange(300), {}
+    for k in range(4000):
+        own = 10_000 + 100 * k + np.arange(rng.integers(60, 90))
+        if k % 10 == 1:
+            own = np.concatenate([own[: rng.integers(5, 40)], sets[k - 1][300:]])
+        sets[k] = np.concatenate([passage, own])
+    rows = [(k, k, np.sort(x).astype(np.uint32).tobytes()) for k, x in sets.items()]
+    df = spark.createDataFrame(rows, "id long, label long, names binary")
+    found = {(r.a, r.b) for r in minhash._pairs_by_rare_shingles(df, 0.8).collect()}
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = {(k - 1, k) for k in range(1, 4000, 10) if alike(sets[k - 1], sets[k])}
+    assert want and {tuple(sorted(p)) for p in found} >= want
+    # Any two texts are 300 / 450 alike, 8 million pairs in all.
+    assert len(found) < 20 * 4000
+    few = {k: sets[k] for k in range(120)}
+    some = {tuple(sorted((r.a, r.b))) for r in minhash._pairs_by_rare_shingles(df.where("id < 120"), 0.6).collect()}
+    assert some >= {(a, b) for a in few for b in few if a < b and len(np.intersect1d(few[a], few[b])) >= 0.6 * len(np.union1d(few[a], few[b]))}
+    assert minhash._pairs_by_rare_shingles(df.withColumn("label", df["id"] * 0), 0.8).count() == 0
+
+
 def test_near_duplicates_with_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "quite another text than that"), (2, "a b c d e f")]
     got = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
