@@ -12,6 +12,7 @@ from ..operators.metrics import colour_class
 
 #: Endings of image files.
 SCANS = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[tT][iI][fF],[tT][iI][fF][fF],[bB][mM][pP]}"
+DRAWN = "*.{[pP][nN][gG],[pP][gG][mM],[pP][pP][mM]}"
 IMAGE_ENDINGS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp")
 
 
@@ -59,8 +60,9 @@ def read_images(spark: SparkSession, path: str, recursive: bool = False, strict:
     from .pixels import decode, red_first
 
     kind = "image_id string, path string, width int, height int, channels int, data binary"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
-    own = files.select(stem(F.col("path")).alias("image_id"), "path", "content").where(ending(F.col("path")).isin(".png", ".pgm", ".ppm"))
+    # Each reader lists its own endings, so that no file is read to be dropped.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", DRAWN).load(path)
+    own = files.select(stem(F.col("path")).alias("image_id"), "path", "content")
     scans = spark.read.format("image").option("recursiveFileLookup", recursive).option("pathGlobFilter", SCANS).load(path).select("image.*")
     good = F.when(F.col("height") >= 0, F.col("height")).otherwise(F.raise_error(F.concat(F.lit("cannot decode "), "origin")) if strict else F.lit(None).cast("int"))
     scans = scans.select(stem(F.col("origin")).alias("image_id"), F.col("origin").alias("path"), "width", good.alias("height"), F.col("nChannels").alias("channels"), "data").where("height is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,3 +99,48 @@ def gap_features(gaps: DataFrame) -> DataFrame:
     props = F.struct(*[F.col(c) for c in gaps.columns if c not in ("x", "y")])
     geo = F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates"))
     return gaps.where("status != 'connected'").select(F.to_json(F.struct(F.lit("Feature").alias("type"), geo.alias("geometry"), props.alias("properties"))).alias("value"))
+
+
+def write_feature_collection(features: DataFrame, path: str, order: list[str] | None = None) -> int:
+    """Features (value: GeoJSON text) as one FeatureCollection file at `path`; returns how many.
+
+    Tasks write the features as parts beside the target, in the given order if any. The file system's own streams put the
+    parts behind each other, the whole is counted, and takes the target's name in one step. Whatever fails before that
+    leaves an older file as it was, and nothing beside it. Null values are passed over.
+    """
+    spark, between = features.sparkSession, ",\n"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
+    target = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(path))
+    beside = lambda name: jvm.org.apache.hadoop.fs.Path(target.getParent(), f"{target.getName()}.{uuid.uuid4().hex}.{name}")
+    parts, staged = beside("parts"), beside("staged")
+    try:
+        rows = (features.orderBy(*order) if order else features).where("value IS NOT NULL")
+        # A feature is one line; in JSON a line break is no more than a space.
+        rows.select(F.translate("value", "\r\n", "  ").alias("value")).write.option("lineSep", between).text(parts.toString())
+        files = sorted((f for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-") and f.getLen()), key=lambda f: f.getPath().getName())
+        n = spark.read.option("lineSep", between).text(parts.toString()).count()
+        out = fs.create(staged, True)
+        try:
+            out.write(bytearray(b'{"type":"FeatureCollection","features":[\n'))
+            for k, f in enumerate(files):
+                part = fs.open(f.getPath())
+                try:
+                    # Nothing stands between the last feature and the end.
+                    held = jvm.org.apache.commons.io.input.BoundedInputStream(part, f.getLen() - len(between) * (k == len(files) - 1))
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 16, False)
+                finally:
+                    part.close()
+            out.write(bytearray(b"\n]}\n"))
+        finally:
+            out.close()
+        written = spark.read.text(staged.toString()).count()
+        if written != max(n, 1) + 2:
+            raise OSError(f"{written} lines instead of {n + 2} were written for {path}")
+        how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, how)
+        return n
+    finally:
+        for left in (parts, staged):
+            fs.delete(left, True)
