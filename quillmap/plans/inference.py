@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Fixed value: the colour of what a tile covers beyond its image.
 FILL = (245, 235, 210)
 
@@ -45,42 +47,90 @@ def tiles(images: DataFrame, size: int = 512, stride: int = 256, fill: tuple[int
     return images.select("image_id", "width", "height", "channels", "data").mapInArrow(run, f"image_id {kind}, row int, col int, data binary")
 
 
-def sliding_window(images: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: int, size: int = 512, stride: int = 256, weights: np.ndarray | None = None, batch: int = 8) -> DataFrame:
+#: Rows of tiles that one task predicts and blends.
+BAND_ROWS = 4
+
+
+def bands(images: DataFrame, size: int, stride: int, band_rows: int = BAND_ROWS) -> DataFrame:
+    """(image_id, width, height, channels, first, rows, data): each image's rows of tiles, band_rows at a time, with the pixels under them."""
+    kind = images.select("image_id").schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                w, h, c = (batch.column(n)[k].as_py() for n in ("width", "height", "channels"))
+                img = np.frombuffer(batch.column("data")[k].as_buffer(), np.uint8).reshape(h, w * c)
+                rows = max(1, -(-(h - size) // stride) + 1)
+                for first in range(0, rows, band_rows):
+                    n = min(band_rows, rows - first)
+                    part = img[first * stride : (first + n - 1) * stride + size]
+                    ints = [pa.array([v], pa.int32()) for v in (w, h, c, first, n)]
+                    yield pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), *ints, pa.array([part.tobytes()], pa.binary())], ["image_id", "width", "height", "channels", "first", "rows", "data"])
+
+    return images.select("image_id", "width", "height", "channels", "data").mapInArrow(run, f"image_id {kind}, width int, height int, channels int, first int, rows int, data binary")
+
+
+def sliding_window(images: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: int, size: int = 512, stride: int = 256, weights: np.ndarray | None = None, batch: int = 8, band_rows: int = BAND_ROWS) -> DataFrame:
     """(image_id, x0, y0, width, height, data): the class mask of each image, in blocks of stride x stride bytes.
 
     model() is called once in each task and returns a function from tiles (n, size, size, 3), from 0 to 1, to
-    probabilities (n, size, size, classes). Each tile's weighted probabilities are cut into blocks of the stride, which
-    must divide the size; the parts of one block, (size / stride) squared at most, meet in a group, are averaged by
-    weight, and the likeliest class is taken, the lower one on ties. So memory is bounded by blocks, never by images.
+    probabilities (n, size, size, classes). Overlapping tiles are averaged by weight, and the likeliest class is taken, the
+    lower one on ties; the stride must divide the size.
+
+    A task takes a band of band_rows rows of tiles and blends them along the band, so the blocks inside it leave it as
+    finished bytes. Only the sums of the blocks that the next band reaches into move on, size / stride - 1 rows of them for
+    each seam. A task holds one band, a group the parts of one block.
     """
     if size % stride:
         raise ValueError("the stride must divide the size of a tile")
-    weight = linear_weights(size) if weights is None else weights.astype(np.float32)
+    weight = (linear_weights(size) if weights is None else weights).astype(np.float32)
     n, kind = size // stride, images.select("image_id").schema[0].dataType.simpleString()
+    names = ["image_id", "width", "height", "i", "j", "data", "part"]
+
+    def likeliest(total: np.ndarray, w: int, h: int, i: int, j: int) -> bytes | None:
+        cw, ch = max(0, min(stride, w - j * stride)), max(0, min(stride, h - i * stride))
+        likely = (total[:, :, :classes] / np.maximum(total[:, :, classes:], 1e-6)).argmax(axis=2).astype(np.uint8)
+        return likely[:ch, :cw].tobytes() or None
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = None
         for b in batches:
             run = run or model()
-            for at in range(0, b.num_rows, batch):
-                part = b.slice(at, batch)
-                x = np.stack([np.frombuffer(v.as_buffer(), np.uint8).reshape(size, size, 3) for v in part.column("data")]).astype(np.float32) / 255
-                p = np.asarray(run(x), np.float32) * weight[None, :, :, None]
-                for k in range(part.num_rows):
-                    row, col = part.column("row")[k].as_py(), part.column("col")[k].as_py()
-                    cut = [(i, j, np.concatenate([p[k, i * stride : (i + 1) * stride, j * stride : (j + 1) * stride], weight[i * stride : (i + 1) * stride, j * stride : (j + 1) * stride, None]], axis=2)) for i in range(n) for j in range(n)]
-                    ids = pa.array([part.column("image_id")[k].as_py()] * len(cut), part.column("image_id").type)
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([row + i for i, _, _ in cut], pa.int32()), pa.array([col + j for _, j, _ in cut], pa.int32()), pa.array([c.astype(np.float32).tobytes() for _, _, c in cut], pa.binary())], ["image_id", "i", "j", "part"])
+            for k in range(b.num_rows):
+                w, h, c, first, rows = (b.column(x)[k].as_py() for x in ("width", "height", "channels", "first", "rows"))
+                cols, last = max(1, -(-(w - size) // stride) + 1), first + rows >= max(1, -(-(h - size) // stride) + 1)
+                img = np.frombuffer(b.column("data")[k].as_buffer(), np.uint8).reshape(-1, w, c)
+                canvas = np.empty(((rows - 1) * stride + size, (cols - 1) * stride + size, 3), np.uint8)
+                canvas[:] = FILL
+                canvas[: img.shape[0], :w] = img if c == 3 else img[:, :, :1]
+                total = np.zeros((*canvas.shape[:2], classes + 1))
+                places = [(r * stride, q * stride) for r in range(rows) for q in range(cols)]
+                for at in range(0, len(places), batch):
+                    some = places[at : at + batch]
+                    x = np.stack([canvas[y : y + size, x : x + size] for y, x in some]).astype(np.float32) / 255
+                    for (y, x0), p in zip(some, np.asarray(run(x), np.float32), strict=True):
+                        total[y : y + size, x0 : x0 + size, :classes] += p * weight[:, :, None]
+                        total[y : y + size, x0 : x0 + size, classes] += weight
+                out = []
+                for r in range(rows + n - 1):
+                    shared = first > 0 and r < n - 1 or not last and r >= rows
+                    for j in range(cols + n - 1):
+                        block = total[r * stride : (r + 1) * stride, j * stride : (j + 1) * stride]
+                        out.append((first + r, j, None if shared else likeliest(block, w, h, first + r, j), block.tobytes() if shared else None))
+                i, j, data, part = zip(*out, strict=True)
+                same = [pa.array([v] * len(out), t) for v, t in ((b.column("image_id")[k].as_py(), b.column("image_id").type), (w, pa.int32()), (h, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(data, pa.binary()), pa.array(part, pa.binary())], names)
 
     def blend(group: pa.Table) -> pa.Table:
         # Parts are added in the order of their bytes, so that the sum does not hang on how they arrive.
-        total = sum(np.frombuffer(v, np.float32).reshape(stride, stride, classes + 1).astype(float) for v in sorted(group.column("part").to_pylist()))
-        likely = (total[:, :, :classes] / np.maximum(total[:, :, classes:], 1e-6)).argmax(axis=2).astype(np.uint8)
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        w, h = (max(0, min(stride, group.column(c)[0].as_py() - at * stride)) for c, at in (("width", j), ("height", i)))
-        rows = 1 if w and h else 0
-        return pa.table({"image_id": group.column("image_id").slice(0, rows), "x0": pa.array([j * stride] * rows, pa.int32()), "y0": pa.array([i * stride] * rows, pa.int32()), "width": pa.array([w] * rows, pa.int32()), "height": pa.array([h] * rows, pa.int32()), "data": pa.array([likely[:h, :w].tobytes()] * rows, pa.binary())})
-
-    parts = tiles(images, size, stride).mapInArrow(predict, f"image_id {kind}, i int, j int, part binary")
-    parts = parts.join(images.select("image_id", "width", "height"), "image_id").select("image_id", "i", "j", "part", "width", "height")
-    return parts.groupBy("image_id", "i", "j").applyInArrow(blend, f"image_id {kind}, x0 int, y0 int, width int, height int, data binary")
+        total = sum(np.frombuffer(v, float).reshape(stride, stride, classes + 1) for v in sorted(group.column("part").to_pylist()))
+        w, h, i, j = (group.column(x)[0].as_py() for x in ("width", "height", "i", "j"))
+        one = group.select(names[:5]).slice(0, 1)
+        return one.append_column("data", pa.array([likeliest(total, w, h, i, j)], pa.binary()))
+
+    schema = f"image_id {kind}, width int, height int, i int, j int, data binary"
+    found = materialise(bands(images, size, stride, band_rows).repartition("image_id", "first").mapInArrow(predict, f"{schema}, part binary"), "predicted")
+    seams = found.where("part IS NOT NULL").groupBy("image_id", "i", "j").applyInArrow(blend, schema)
+    blocks = found.where("part IS NULL").drop("part").unionByName(seams).where("data IS NOT NULL")
+    x0, y0 = F.col("j") * stride, F.col("i") * stride
+    return blocks.select("image_id", x0.alias("x0"), y0.alias("y0"), F.least(F.lit(stride), F.col("width") - x0).alias("width"), F.least(F.lit(stride), F.col("height") - y0).alias("height"), "data")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import hough, joins, linework, overlay, raster_tiles
+from . import inference
 from .queries import _r, _strokes, _t, query
 
 _DIAMONDS = """
@@ -144,3 +147,43 @@ def tile_components(spark, d):
 def tile_thinning(spark, d):
     """Skeleton pixels of each nation's sheet."""
     return raster_tiles.untiled(raster_tiles.thinned(_boxes(spark, d)[0], ["sheet"]), ["sheet"])
+
+
+def _three_classes():
+    """A fixed model that knows a pixel by its brightness alone: black, dark or light."""
+
+    def run(x):
+        level = x.mean(axis=3)
+        return np.stack([1 - level, 1 - np.abs(level - 0.4), level], axis=3)
+
+    return run
+
+
+@query(f"""
+    WITH px AS ({_CROWD_SQL}),
+    v AS (SELECT sheet, (1 + (x + y) % 3) * 80 / 255.0 AS level, count(*) AS n FROM px GROUP BY ALL),
+    c AS (SELECT sheet, CASE WHEN 1 - level >= 1 - abs(level - 0.4) AND 1 - level >= level THEN 0 WHEN 1 - abs(level - 0.4) >= level THEN 1 ELSE 2 END AS cls, n FROM v),
+    a AS (SELECT sheet, cls, n FROM c UNION ALL SELECT sheet, 0, 7500 - sum(n) FROM c GROUP BY sheet)
+    SELECT sheet, CAST(cls AS INT) AS cls, CAST(sum(n) AS BIGINT) AS pixels FROM a GROUP BY sheet, cls HAVING sum(n) > 0
+""")
+def window_prediction(spark, d):
+    """Classes that overlapping windows predict for each user's events drawn as a grey image, by pixels."""
+    px = _t(spark, d, "events").select(F.col("user_id").alias("sheet"), (F.floor(F.col("value") * 7) % 100).alias("x"), (F.col("event_id") * 13 % 75).alias("y")).distinct()
+
+    def draw(table):
+        img = np.zeros((75, 100), np.uint8)
+        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+        img[y, x] = (1 + (x + y) % 3) * 80
+        return pa.table([table.column("sheet").slice(0, 1), *[pa.array([v], pa.int32()) for v in (100, 75, 1)], pa.array([img.tobytes()], pa.binary())], names=["image_id", "width", "height", "channels", "data"])
+
+    images = px.groupBy("sheet").applyInArrow(draw, "image_id long, width int, height int, channels int, data binary")
+    masks = inference.sliding_window(images, _three_classes, 3, size=32, stride=16, band_rows=2)
+
+    def count(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                n = np.bincount(np.frombuffer(b.column("data")[k].as_buffer(), np.uint8), minlength=3)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("image_id")[k].as_py()] * 3, pa.int64()), pa.array([0, 1, 2], pa.int32()), pa.array(n, pa.int64())], ["sheet", "cls", "n"])
+
+    pixels = masks.select("image_id", "data").mapInArrow(count, "sheet long, cls int, n long")
+    return pixels.groupBy("sheet", "cls").agg(F.sum("n").alias("pixels")).where("pixels > 0")

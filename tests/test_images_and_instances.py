@@ -54,11 +54,12 @@ def test_sliding_window_equals_whole_image(spark):
         # Depends on the place within the tile, so that weights matter.
         return lambda x: np.stack([x[..., 0], x[..., 1] * np.linspace(0.5, 1.5, x.shape[1])[None, :, None], x[..., 2]], axis=-1)
 
-    got = {k: np.full(v.shape[:2], 99) for k, v in images.items()}
-    for r in inference.sliding_window(df, model, 3, size=32, stride=16).collect():
-        got[r.image_id][r.y0 : r.y0 + r.height, r.x0 : r.x0 + r.width] = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
-    for k, v in images.items():
-        assert (got[k] == plain_blend(v, model(), 3, 32, 16)).all()
+    for band_rows, stride in ((4, 16), (1, 16), (2, 8)):
+        got = {k: np.full(v.shape[:2], 99) for k, v in images.items()}
+        for r in inference.sliding_window(df, model, 3, size=32, stride=stride, band_rows=band_rows).collect():
+            got[r.image_id][r.y0 : r.y0 + r.height, r.x0 : r.x0 + r.width] = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width)
+        for k, v in images.items():
+            assert (got[k] == plain_blend(v, model(), 3, 32, stride)).all()
     w = inference.linear_weights(16)
     assert (w[0, 0], w[1, 3], w[7, 7], w[0, 7]) == (np.float32(0.2), np.float32(0.8), np.float32(1), np.float32(0.2))
 
