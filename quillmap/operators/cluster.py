@@ -1,13 +1,16 @@
 """Grouping of ordered values: gaps, folds and leaders.
 
 A fold that compares each item with the one kept last starts afresh wherever the gap to the item before is already over
-the limit. So it is cut there into islands by a window, and only the items of one island are ever collected.
+the limit. So it is cut there into islands by a window. Islands are dealt to tasks whole and in order, and a task passes
+through its rows as they come, an Arrow batch at a time: it holds the batch and the item kept last, however long an island is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,28 +23,51 @@ def gap_clusters(df: DataFrame, keys: Sequence[str], pos: Column, ties: Sequence
     return df.withColumn("__opens", opens).withColumn(name, F.sum("__opens").over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__opens")
 
 
+def _in_order(marked: DataFrame, keys: Sequence[str], pos: Column, ties: Sequence[str]) -> DataFrame:
+    """(island, opens, pos, row): the rows of each island one after the other; opens marks an island's first row.
+
+    marked: with `__opens`, 1 where an island begins, and `__island`, its number within the keys.
+    """
+    by = Window.partitionBy(*keys, "__island").orderBy(pos, *ties)
+    return marked.withColumn("__first", F.row_number().over(by) == 1).repartition(*keys, "__island").sortWithinPartitions(*keys, "__island", pos, *ties)
+
+
 def _folded(df: DataFrame, keys: Sequence[str], pos: Column, weight: Column, ties: Sequence[str], gap, inclusive: bool) -> DataFrame:
-    """Islands by gap, then per island a fold whose state is the list of kept items."""
+    """The kept rows of a fold over islands: an item apart from the one kept last is kept, else the one of more weight is."""
     gap_col = gap if isinstance(gap, Column) else F.lit(float(gap))
     by = Window.partitionBy(*keys).orderBy(pos, *ties)
     far = pos - F.lag(pos).over(by)
     opens = F.when((far >= gap_col) if inclusive else (far > gap_col), 1).otherwise(0)
     marked = df.withColumn("__opens", opens).withColumn("__island", F.sum("__opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(pos.cast("double").alias("pos"), *[F.col(t).alias(f"t{k}") for k, t in enumerate(ties)], weight.cast("double").alias("weight"), gap_col.alias("gap"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    lists = marked.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        apart = x["pos"] - last["pos"]
-        return (
-            F.when(F.size(acc) == 0, F.array(x))
-            .when((apart >= x["gap"]) if inclusive else (apart > x["gap"]), F.concat(acc, F.array(x)))
-            .when(x["weight"] > last["weight"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x)))
-            .otherwise(acc)
-        )
-
-    kept = lists.select(F.explode(F.aggregate("items", F.filter("items", lambda _: F.lit(False)), step)).alias("x"))
-    return kept.select("x.row.*")
+    rows = _in_order(marked, keys, pos, ties).select(*[F.col(f"`{c}`") for c in df.columns], F.col("__first"), pos.cast("double").alias("__at"), weight.cast("double").alias("__weight"), gap_col.cast("double").alias("__reach"))
+
+    names, schema = df.columns, df.schema
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, heavy = None, 0.0, 0.0
+        for batch in batches:
+            own = batch.select(names)
+            kept, last = [], -1
+            for i, (first, p, w, g) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("__first", "__at", "__weight", "__reach")), strict=True)):
+                # A null never is apart and never outweighs, as in SQL.
+                apart = p is not None and at is not None and g is not None and (p - at >= g if inclusive else p - at > g)
+                if first or apart:
+                    if last >= 0:
+                        kept.append(last)
+                    elif held is not None:
+                        yield held
+                        held = None
+                elif not (w is not None and heavy is not None and w > heavy):
+                    continue
+                last, at, heavy, held = i, p, w, None
+            if kept:
+                yield own.take(pa.array(kept, pa.int64()))
+            if last >= 0:
+                held = own.take(pa.array([last], pa.int64()))
+        if held is not None:
+            yield held
+
+    return rows.mapInArrow(fold, schema)
 
 
 def dedup_fold(df: DataFrame, keys: Sequence[str], pos: Column, span: Column, ties: Sequence[str], gap: float) -> DataFrame:
@@ -65,12 +91,31 @@ def leader_clusters(df: DataFrame, keys: Sequence[str], pos: Column, ties: Seque
     gaps of within or more cut the fold into islands.
     """
     islands = gap_clusters(df, keys, pos, ties, within, strict=True, name="__island")
-    order = [pos.cast("double").alias("pos"), *[F.col(t).alias(f"t{k}") for k, t in enumerate(ties)]]
-    lists = islands.groupBy(*keys, "__island").agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")))).alias("items"))
-
-    def step(acc, x):
-        lead = F.element_at(acc, -1)
-        return F.concat(acc, F.array(F.when((F.size(acc) > 0) & (x["pos"] - lead < within), lead).otherwise(x["pos"])))
-
-    led = F.aggregate("items", F.array().cast("array<double>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x["pos"])).otherwise(step(acc, x)))
-    return lists.withColumn("__led", led).select(F.explode(F.arrays_zip(F.col("items.row").alias("row"), F.col("__led").alias("led"))).alias("x")).select("x.row.*", F.col("x.led").alias(name))
+    rows = _in_order(islands, keys, pos, ties).select(*[F.col(f"`{c}`") for c in df.columns], F.col("__first"), pos.cast("double").alias("__pos"))
+
+    names = df.columns
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader = None
+        for batch in batches:
+            p = batch.column("__pos").to_numpy(zero_copy_only=False)
+            led = np.full(len(p), np.nan)
+            first = batch.column("__first").to_numpy(zero_copy_only=False)
+            starts = [*np.flatnonzero(first).tolist(), len(p)]
+            for at, end in zip([0, *starts], starts, strict=False):
+                if at < end and first[at]:
+                    leader = None
+                while at < end:
+                    if leader is None or not p[at] - leader < within:
+                        leader = float(p[at])
+                    # All that follow within reach, in one step.
+                    upto = at + max(1, int(np.searchsorted(p[at:end], leader + within, "left")))
+                    while upto > at + 1 and not p[upto - 1] - leader < within:
+                        upto -= 1
+                    while upto < end and p[upto] - leader < within:
+                        upto += 1
+                    led[at:upto], at = leader, upto
+            yield batch.select(names).append_column(name, pa.array(led))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.mapInArrow(lead, f"{kinds}, `{name}` double")
