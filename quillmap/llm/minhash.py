@@ -16,7 +16,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import texts_of
@@ -28,6 +28,8 @@ WORDS, SIMILARITY = 5, 0.8
 COORDINATES, MISSED = 125, 1e-4
 #: Neighbours in a bucket's order that a document is compared with; all of them up to this size of bucket.
 WINDOW = 64
+#: Counters of how frequent shingles are, by which a text's shingles are put in order.
+SLOTS = 1 << 18
 #: Remembered word hashes.
 MEMORY = 300_000
 
@@ -219,37 +221,55 @@ def _neighbours(least: float):
     return run
 
 
-def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            names = np.frombuffer(batch.column("names")[k].as_buffer(), np.uint32).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), batch.column(c)[k].as_py()), pa.int64()) for c in ("id", "label")] + [pa.array(np.full(len(names), len(names)), pa.int64()), pa.array(names)], ["id", "label", "size", "name"])
+def _slot(names: np.ndarray) -> np.ndarray:
+    return (mix(names.astype(_U)) >> _U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _frequencies(members: DataFrame) -> np.ndarray:
+    """How many texts hold a shingle of each slot; SLOTS numbers at any size of the table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            names = np.frombuffer(b"".join(batch.column("names").to_pylist()), np.uint32)
+            total += np.bincount(_slot(names), minlength=SLOTS)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in members.select("names").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["slot"]] = r["n"]
+    return out
 
 
 def _pairs_by_rare_shingles(members: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs of members (id, label, names) of different labels that may reach the similarity; none that do are missing.
 
-    Each text's shingles are put in one order for all, the rarest first. Of a pair at the similarity, the first shingle in
-    common stands among the first (1 - 2 s / (1 + s)) of the shorter text's and among the first (1 - s) of the longer one's,
-    and from there on both have enough left for the overlap that is needed. Shingles of one text only are counted but not
-    moved, and what all texts share comes last, where nobody looks it up, so that a passage that many texts share makes no
-    pairs of them.
+    Each text's shingles are put in one order for all, the rarest first as far as the frequencies of SLOTS slots tell; any
+    order is exact. Of a pair at the similarity, the first shingle in common stands among the first (1 - 2 s / (1 + s)) of
+    the shorter text's and among the first (1 - s) of the longer one's, and from there on both have enough left for the
+    overlap that is needed. So only these beginnings move, without shingles that no other text can hold, and what many
+    texts share comes last, where nobody looks it up: a passage that all of them hold makes no pairs.
     """
-    each = materialise(members.mapInArrow(_each_shingle, "id bigint, label bigint, size bigint, name bigint"), "shingles")
-    counts = each.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    common = each.join(counts, "name")
-    # A text's shingles in common, behind all of its own.
-    by = Window.partitionBy("id").orderBy("n", "name")
-    ranked = common.withColumn("at", F.row_number().over(by) - 1 + F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id")))
-    edge = 1e-9
-    probe = F.col("size") - F.ceil(least * F.col("size") - edge) + 1
-    index = F.col("size") - F.ceil(2 * least / (1 + least) * F.col("size") - edge) + 1
-    ahead = materialise(ranked.where(F.col("at") < probe).select("name", "id", "label", "size", "at", (F.col("at") < index).alias("first")), "prefixes")
-    short = ahead.where("first").select("name", *[F.col(c).alias(f"s_{c}") for c in ("id", "label", "size", "at")])
+    often, edge = _frequencies(members), 1e-9
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                names = np.frombuffer(batch.column("names")[k].as_buffer(), np.uint32).astype(np.int64)
+                n, held = len(names), often[_slot(names)]
+                order = np.lexsort((names, held))[: int(n - np.ceil(least * n - edge) + 1)]
+                at = np.flatnonzero(held[order] > 1)
+                same = [pa.array(np.full(len(at), v), pa.int64()) for v in (batch.column("id")[k].as_py(), batch.column("label")[k].as_py(), n)]
+                first = at < n - np.ceil(2 * least / (1 + least) * n - edge) + 1
+                yield pa.RecordBatch.from_arrays([*same, pa.array(names[order[at]]), pa.array(at, pa.int64()), pa.array(first)], ["id", "label", "size", "name", "at", "first"])
+
+    prefixes = materialise(members.select("id", "label", "names").mapInArrow(ahead, "id bigint, label bigint, size bigint, name bigint, at bigint, first boolean"), "prefixes")
+    short = prefixes.where("first").select("name", *[F.col(c).alias(f"s_{c}") for c in ("id", "label", "size", "at")])
     shorter = (F.col("s_size") < F.col("size")) | ((F.col("s_size") == F.col("size")) & (F.col("s_id") < F.col("id")))
     left = F.least(F.col("s_size") - F.col("s_at"), F.col("size") - F.col("at"))
     enough = (left >= least / (1 + least) * (F.col("s_size") + F.col("size")) - edge) & (F.col("s_size") >= least * F.col("size") - edge)
-    return ahead.join(short, "name").where(shorter & (F.col("s_label") != F.col("label")) & enough).select(F.col("s_id").alias("a"), F.col("id").alias("b")).distinct()
+    return prefixes.join(short, "name").where(shorter & (F.col("s_label") != F.col("label")) & enough).select(F.col("s_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def _joined(entries: DataFrame, data: DataFrame, labels: DataFrame, check, least: float) -> DataFrame:
@@ -262,8 +282,9 @@ def _joined(entries: DataFrame, data: DataFrame, labels: DataFrame, check, least
     wide = materialise(wide, "wide")
     mixed = wide.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     rest = materialise(wide.join(mixed, "bucket").select("id", "label").distinct(), "mixed")
-    pairs = materialise(_pairs_by_rare_shingles(rest.join(data.select("id", "names"), "id"), least), "pairs")
-    near = pairs.join(data.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(data.select(F.col("id").alias("b"), F.col("names").alias("y")), "b")
+    members = materialise(rest.join(data.select("id", "names"), "id"), "members")
+    pairs = materialise(_pairs_by_rare_shingles(members, least), "pairs")
+    near = pairs.join(members.select(F.col("id").alias("a"), F.col("names").alias("x")), "a").join(members.select(F.col("id").alias("b"), F.col("names").alias("y")), "b")
     near = near.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
     side = lambda c: rest.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
     more = near.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
