@@ -116,3 +116,26 @@ def informative_tiles(pixels: DataFrame, tiles: DataFrame, keys: Sequence[str],
     inside = F.col("x").between(F.col("x0"), F.col("x0") + size - 1) & F.col("y").between(F.col("y0"), F.col("y0") + size - 1)
     counts = t.join(p, [*keys, "__c"]).where(inside).groupBy(*[c for c in tiles.columns]).agg(F.count(F.lit(1)).alias("pixels"))
     return counts.where(F.col("pixels") >= least)
+
+
+def biased_patches(pixels: DataFrame, images: DataFrame, keys: Sequence[str], size: int = 512, draws: int = 20, seed: int = 42, share: float = 0.5) -> DataFrame:
+    """(keys, draw, x0, y0): seeded corners of patches, of which about `share` lie around a random foreground pixel (x, y).
+
+    The others, and those of images without foreground, lie anywhere. images: keys, width, height; corners stay inside
+    where the image is larger than a patch. A draw's pixel is that of the least hash, so that every draw is one minimum,
+    taken before the shuffle; pixels do not move.
+    """
+    keys = list(keys)
+    name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    part = lambda what, k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(what), F.lit(str(seed)), k.cast("string"), name)), 1, 8), 16, 10).cast("double") / 2**32
+    pick = lambda k: F.min(F.struct(F.md5(F.concat_ws("|", F.lit("pixel"), F.lit(str(seed)), F.lit(str(k)), F.col("x").cast("string"), F.col("y").cast("string"))).alias("h"), "x", "y"))
+    found = pixels.groupBy(*keys).agg(F.array(*[pick(k) for k in range(draws)]).alias("__picked"))
+    each = images.select(*keys, "width", "height").join(found, keys, "left").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    at = F.get("__picked", F.col("draw"))
+    near = at.isNotNull() & (part("coin", F.col("draw")) < share)
+
+    def corner(axis: str, extent: str) -> Column:
+        around = F.greatest(F.lit(0), F.least(at[axis] - size // 2, F.col(extent) - size))
+        return F.when(near, around).otherwise(F.floor(part(axis, F.col("draw")) * F.greatest(F.lit(1), F.col(extent) - size))).cast("long")
+
+    return each.select(*keys, "draw", corner("x", "width").alias("x0"), corner("y", "height").alias("y0"))

@@ -364,23 +364,26 @@ def chain(paths: Sequence[np.ndarray], radius: float = 15.0, angle: float = 90.0
 
 
 def merge_closest(paths: Sequence[np.ndarray], within: float = 200.0) -> list[np.ndarray]:
-    """Join the two paths whose ends are closest while that is within reach (inclusive), turning them as needed."""
+    """Paths joined at the closest of their ends, turned as needed: each in turn takes in, one after the other, the later ones
+    within reach (inclusive) of what it has become; until a pass joins none. A pass is quadratic in the paths at most."""
     lines = [np.asarray(p, float) for p in paths]
-    while len(lines) > 1:
-        ends = np.array([[p[0], p[-1]] for p in lines]).reshape(-1, 2)
-        d = np.hypot(ends[:, None, 0] - ends[None, :, 0], ends[:, None, 1] - ends[None, :, 1])
-        owner = np.arange(len(ends)) // 2
-        d[owner[:, None] >= owner[None, :]] = np.inf
-        k = int(d.argmin())
-        a, b = divmod(k, len(ends))
-        if d[a, b] > within:
-            break
-        i, j = owner[a], owner[b]
-        left = lines[i] if a % 2 else lines[i][::-1]
-        right = lines[j][::-1] if b % 2 else lines[j]
-        lines[i] = np.vstack([left, right])
-        del lines[j]
-    return lines
+    while True:
+        waiting, out = lines, []
+        while waiting:
+            line, later = waiting[0], []
+            for other in waiting[1:]:
+                tips = np.array([line[-1], line[-1], line[0], line[0]]) - np.array([other[0], other[-1], other[0], other[-1]])
+                k = int((gaps := np.hypot(*tips.T)).argmin())
+                if gaps[k] > within:
+                    later.append(other)
+                else:
+                    # At k of 0 and 1 the other goes on from the line's end, else it comes before the line's start.
+                    line = np.vstack([line, other if k == 0 else other[::-1]] if k < 2 else [line[::-1], other] if k == 2 else [other, line])
+            out.append(line)
+            waiting = later
+        if len(out) == len(lines):
+            return out
+        lines = out
 
 
 def outline(mask: np.ndarray) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import hough, joins, linework, overlay, raster_tiles
+from ..operators import hough, joins, linework, metrics, overlay, raster_tiles
 from . import inference
 from .queries import _r, _strokes, _t, query
 
@@ -187,3 +187,21 @@ def window_prediction(spark, d):
 
     pixels = masks.select("image_id", "data").mapInArrow(count, "sheet long, cls int, n long")
     return pixels.groupBy("sheet", "cls").agg(F.sum("n").alias("pixels")).where("pixels > 0")
+
+
+def _part_sql(what: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5('{what}|42|' || draw || '|' || sheet), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296"
+
+
+@query(f"""
+    WITH px AS ({_CROWD_SQL}),
+    k AS (SELECT unnest(range(6)) AS draw),
+    p AS (SELECT sheet, draw, arg_min(x, (md5('pixel|42|' || draw || '|' || x || '|' || y), x, y)) AS x, arg_min(y, (md5('pixel|42|' || draw || '|' || x || '|' || y), x, y)) AS y FROM px, k GROUP BY sheet, draw)
+    SELECT sheet, CAST(draw AS INT) AS draw, CAST(CASE WHEN {_part_sql("coin")} < 0.5 THEN greatest(0, least(x - 16, 68)) ELSE floor({_part_sql("x")} * 68) END AS BIGINT) AS x0,
+           CAST(CASE WHEN {_part_sql("coin")} < 0.5 THEN greatest(0, least(y - 16, 43)) ELSE floor({_part_sql("y")} * 43) END AS BIGINT) AS y0 FROM p
+""")
+def patch_corners(spark, d):
+    """Six seeded patches of 32 pixels on each user's sheet of events, about half of them around an event."""
+    px = _t(spark, d, "events").select(F.col("user_id").alias("sheet"), (F.floor(F.col("value") * 7) % 100).alias("x"), (F.col("event_id") * 13 % 75).alias("y")).distinct()
+    images = px.select("sheet").distinct().select("sheet", F.lit(100).alias("width"), F.lit(75).alias("height"))
+    return metrics.biased_patches(px, images, ["sheet"], 32, 6)

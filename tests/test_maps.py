@@ -369,3 +369,21 @@ def test_more_kernels(spark):
     px = frame(spark, [("i", x, 5) for x in range(30)], "image_id string, x int, y int")
     tiles = frame(spark, [("i", 0, 0, 0, 0), ("i", 0, 1, 16, 0), ("i", 5, 5, 80, 80)], "image_id string, row int, col int, x0 int, y0 int")
     assert sorted(r.col for r in metrics.informative_tiles(px, tiles, ["image_id"], 32, 14).collect()) == [0, 1]
+
+
+def test_paths_are_joined_in_order():
+    # The second is in reach of the first, the third, which is closer to the second, only of both together.
+    paths = [np.array([[0, 0], [10, 0]]), np.array([[100, 0], [15, 0]]), np.array([[101, 0], [120, 0]]), np.array([[300, 5], [302, 5]]), np.array([[-4, 0], [-9, 0]])]
+    got = raster.merge_closest(paths, 6.0)
+    assert [p[:, 0].tolist() for p in got] == [[-9, -4, 0, 10, 15, 100, 101, 120], [300, 302]]
+    assert raster.merge_closest([], 6.0) == []
+
+
+def test_patches_lie_around_foreground_half_the_time(spark):
+    px = spark.createDataFrame([(1, 500, 300), (1, 500, 300), (1, 501, 301)], "image_id int, x int, y int")
+    images = spark.createDataFrame([(1, 1000, 800), (2, 1000, 800), (3, 20, 30)], "image_id int, width int, height int")
+    got = metrics.biased_patches(px, images, ["image_id"], 64, 200).collect()
+    near = [r for r in got if r.image_id == 1 and r.x0 in (468, 469) and r.y0 in (268, 269)]
+    assert 70 < len(near) < 130 and len({(r.x0, r.y0) for r in near}) == 2
+    assert len({r.x0 for r in got if r.image_id == 2}) > 150 and all(0 <= r.x0 < 936 and 0 <= r.y0 < 736 for r in got if r.image_id == 2)
+    assert {(r.x0, r.y0) for r in got if r.image_id == 3} == {(0, 0)} and len(got) == 600
