@@ -375,7 +375,7 @@ def test_paths_are_joined_in_order():
     # The second is in reach of the first, the third, which is closer to the second, only of both together.
     paths = [np.array([[0, 0], [10, 0]]), np.array([[100, 0], [15, 0]]), np.array([[101, 0], [120, 0]]), np.array([[300, 5], [302, 5]]), np.array([[-4, 0], [-9, 0]])]
     got = raster.merge_closest(paths, 6.0)
-    assert [p[:, 0].tolist() for p in got] == [[-9, -4, 0, 10, 15, 100, 101, 120], [300, 302]]
+    assert [p[:, 0].tolist() for p in got] == [[120, 101, 100, 15, 10, 0, -4, -9], [300, 302]]
     assert raster.merge_closest([], 6.0) == []
 
 
