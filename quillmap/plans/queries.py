@@ -387,7 +387,27 @@ def densify(spark, d):
     return s.select("user_id", "event_id", F.posexplode("p").alias("i", "q")).select("user_id", "event_id", "i", _r(F.col("q.x") + 1e-9, 5).alias("x"), _r(F.col("q.y") + 1e-9, 5).alias("y"))
 
 
-@query()
+def _normal_equations(terms: list[str], targets: list[str], source: str) -> str:
+    """SQL of a least-squares fit: CTEs of the normal equations and of each step of their elimination; the last, g{n}, holds
+    the coefficient of term i for target t as a{n}_i_{n + t}."""
+    n, right = len(terms), len(terms) + len(targets)
+    steps = ["g0 AS (SELECT " + ", ".join(f"sum({x} * {y}) AS a0_{i}_{j}" for i, x in enumerate(terms) for j, y in enumerate([*terms, *targets])) + f" FROM {source})"]
+    for p in range(n):
+        row = lambda i, j: f"a{p}_{p}_{j} / a{p}_{p}_{p}" if i == p else f"a{p}_{i}_{j} - a{p}_{i}_{p} * a{p}_{p}_{j} / a{p}_{p}_{p}"  # noqa: B023, E731
+        steps.append(f"g{p + 1} AS (SELECT " + ", ".join(f"{row(i, j)} AS a{p + 1}_{i}_{j}" for i in range(n) for j in range(right)) + f" FROM g{p})")
+    return ", ".join(steps)
+
+
+_PLANE = ["1.0", "u", "v", "u * u", "u * v", "v * v"]
+_FITTED = [" + ".join(f"a6_{i}_{6 + k} * {term}" for i, term in enumerate(_PLANE)) for k in (0, 1)]
+
+
+@query(f"""
+    WITH m AS (SELECT avg(l_quantity) AS mu, avg(l_discount) AS mv, stddev_pop(l_quantity) AS su, stddev_pop(l_discount) AS sv FROM lineitem),
+    z AS (SELECT l_orderkey, (l_quantity - mu) / su AS u, (l_discount - mv) / sv AS v, CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_tax AS DOUBLE) AS y FROM lineitem, m),
+    {_normal_equations(_PLANE, ["x", "y"], "z")}
+    SELECT l_orderkey % 10 AS part, round(avg(sqrt(({_FITTED[0]} - x) ** 2 + ({_FITTED[1]} - y) ** 2)), 3) AS residual FROM z, g6 GROUP BY 1
+""")
 def poly2_fit(spark, d):
     pts = _t(spark, d, "lineitem").select(F.col("l_quantity").alias("lon"), F.col("l_discount").alias("lat"), F.col("l_extendedprice").alias("pixel_x"), F.col("l_tax").alias("pixel_y"), "l_orderkey")
     res = fit.plane_residuals(pts, fit.plane_fit(pts))
