@@ -40,7 +40,9 @@ def gaps(lines: DataFrame, frames: DataFrame) -> DataFrame:
     by_frame = by_frame.withColumn("h", F.explode(hits)).select(*ends.columns, F.lit(-1).cast("long").alias("to_line"), F.lit(0).alias("to_level"), "h.tx", "h.ty")
     cand = near.select(*ends.columns, F.col("to_line").cast("long").alias("to_line"), F.col("to_level").cast("int").alias("to_level"), "tx", "ty").unionByName(by_frame)
     d = F.sqrt((F.col("tx") - F.col("x")) ** 2 + (F.col("ty") - F.col("y")) ** 2)
-    angle = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (F.col("dx") * (F.col("tx") - F.col("x")) + F.col("dy") * (F.col("ty") - F.col("y"))) / F.nullif(F.col("distance"), F.lit(0.0))))))
+    # Without a direction of either there is no angle; the least and greatest of a null and a number would be the number.
+    turn = (F.col("dx") * (F.col("tx") - F.col("x")) + F.col("dy") * (F.col("ty") - F.col("y"))) / F.nullif(F.col("distance"), F.lit(0.0))
+    angle = F.when(turn.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), turn)))))
     cand = cand.withColumn("distance", d).withColumn("angle", angle)
     # One candidate for each other line: its nearest point.
     per_line = cand.groupBy(*ends.columns, "to_line").agg(F.min(F.struct("distance", "to_level", "angle", "tx", "ty")).alias("c")).select(*ends.columns, "to_line", "c.*")

@@ -671,11 +671,31 @@ def chain(spark, d):
     return raster.per_image(px, lambda m: raster.chain(raster.trace(raster.thin(m), 5), 15.0, 120.0))
 
 
-@query()
+@query(f"""
+    WITH {_STROKE_SQL},
+    l AS (SELECT image_id, shape_idx AS line_id, CAST(1 + shape_idx % 2 AS INT) AS level, list({{'x': x1, 'y': y1}} ORDER BY n) || [arg_max({{'x': x2, 'y': y2}}, n)] AS p FROM seg GROUP BY image_id, shape_idx),
+    t AS (SELECT *, 'start' AS side, p[1] AS tip, p[least(3, len(p) - 1) + 1] AS back FROM l UNION ALL SELECT *, 'end', p[len(p)], p[greatest(len(p) - 4, 0) + 1] FROM l),
+    ends AS (SELECT image_id, line_id, level, side, tip.x AS x, tip.y AS y, tip.x - back.x AS dx, tip.y - back.y AS dy, sqrt((tip.x - back.x) * (tip.x - back.x) + (tip.y - back.y) * (tip.y - back.y)) AS d FROM t),
+    others AS (SELECT image_id, shape_idx AS to_line, CAST(1 + shape_idx % 2 AS INT) AS to_level, x1, y1, x2 - x1 AS ux, y2 - y1 AS uy FROM seg),
+    n AS (SELECT ends.*, to_line, to_level, x1, y1, ux, uy, least(greatest(coalesce(((x - x1) * ux + (y - y1) * uy) / nullif(ux * ux + uy * uy, 0), 0), 0), 1) AS along FROM ends JOIN others ON ends.image_id = others.image_id AND line_id <> to_line),
+    c AS (SELECT image_id, line_id, level, side, x, y, dx, dy, d, to_line, to_level, x1 + along * ux AS tx, y1 + along * uy AS ty FROM n
+          UNION ALL SELECT image_id, line_id, level, side, x, y, dx, dy, d, -1, 0, w[1], w[2] FROM (SELECT *, unnest([[0.0, y], [99.0, y], [x, 0.0], [x, 74.0]]) AS w FROM ends)),
+    m AS (SELECT *, sqrt((tx - x) * (tx - x) + (ty - y) * (ty - y)) AS distance FROM c),
+    a AS (SELECT *, CASE WHEN d >= 1e-6 AND distance > 0 THEN degrees(acos(least(1, greatest(-1, (dx / d * (tx - x) + dy / d * (ty - y)) / distance)))) END AS angle FROM m),
+    o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY image_id, line_id, side, to_line ORDER BY distance, to_level, angle NULLS FIRST, tx, ty) = 1),
+    r AS (SELECT *, row_number() OVER w AS r, lead(distance) OVER w AS second, count(*) FILTER (distance <= 10) OVER g AS within, count(*) FILTER (distance <= 5 AND (to_level = level OR to_line = -1)) OVER g AS own
+          FROM o WINDOW w AS (PARTITION BY image_id, line_id, side ORDER BY distance, to_line), g AS (PARTITION BY image_id, line_id, side))
+    SELECT image_id, line_id, level, side, round(x, 6) AS x, round(y, 6) AS y, to_line, to_level, round(distance, 6) AS distance, round(angle, 6) AS angle, round(tx, 6) AS tx, round(ty, 6) AS ty, within AS candidates,
+           CASE WHEN distance > 10 THEN 'open' WHEN distance <= 5 AND level = 1 AND own = 0 THEN 'review' WHEN distance <= 1.5 THEN 'connected' WHEN distance > 5 THEN 'review'
+                WHEN coalesce(second - distance < 2, false) THEN 'ambiguous' WHEN coalesce(angle <= 30, false) THEN 'snappable' ELSE 'review' END AS status
+    FROM r WHERE r = 1
+""")
 def topology_gaps(spark, d):
     lines = _strokes(spark, d).select("image_id", F.col("shape_idx").alias("line_id"), (1 + F.col("shape_idx") % 2).cast("int").alias("level"), "points")
     frames = lines.select("image_id").distinct().select("image_id", F.lit(0.0).alias("x_min"), F.lit(99.0).alias("x_max"), F.lit(0.0).alias("y_min"), F.lit(74.0).alias("y_max"))
-    return topology.gaps(lines, frames)
+    found = topology.gaps(lines, frames)
+    # A negative zero is a zero.
+    return found.withColumns({c: _r(F.col(c)) + F.lit(0.0) for c in ("x", "y", "distance", "angle", "tx", "ty")})
 
 
 @query("""
