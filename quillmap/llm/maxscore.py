@@ -17,24 +17,33 @@ from pyspark.sql import functions as F
 
 from .vector_blocks import BLOCK_ROWS, MOST, QUERY_ROWS, finite, meet, one_each, reach, saturated, whole
 
-#: Lists whose heads give the first threshold, and probed terms between two looks at who is still competitive.
-HEADS, STRIDE = 8, 4
+#: Lists whose heads give the first threshold, and how many rows a head holds for each that is asked for.
+HEADS, HEAD_ROWS = 8, 4
+#: Probed terms between two looks at who is still competitive, and how few rows get their scores without more looks.
+STRIDE, FEW = 4, 256
+#: A list that holds at least one in so many rows is kept as a whole column, 0 where a row is not in it.
+DENSE = 8
 
 
 class Shard:
     """Postings of one block of rows, in the order of their ids."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, wide: bool = False):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, wide: bool = False):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order].astype(object) if wide else rows[order]
         self.columns = np.ascontiguousarray(self.rows.T)
         self.lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         self.most: dict[tuple[int, int], int] = {}
+        self.heads: dict[tuple[int, int], np.ndarray] = {}
+        self.sizes: dict[tuple[int, int], int] = {}
         for d, column in enumerate(self.columns):
             for sign in (1, -1):
                 held = np.flatnonzero(column * sign > 0)
                 impacts = column[held] * sign
-                self.lists[d, sign], self.most[d, sign] = (held, impacts), int(impacts.max()) if len(held) else 0
+                self.sizes[d, sign] = len(held)
+                self.most[d, sign], n = int(impacts.max()) if len(held) else 0, min(len(held), HEAD_ROWS * k)
+                self.heads[d, sign] = held[np.argpartition(impacts, -n)[-n:]] if n else held
+                self.lists[d, sign] = (None, np.where(column * sign > 0, column * sign, 0)) if DENSE * len(held) >= len(column) else (held, impacts)
         self.visited = 0
 
     def top(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +65,11 @@ class Shard:
             near = None
         for bound, w, d, s in adding[:essential]:
             held, impacts = self.lists[d, s]
-            totals[held] += w * impacts
-            self.visited += len(held)
+            if held is None:
+                totals += w * impacts
+            else:
+                totals[held] += w * impacts
+            self.visited += self.sizes[d, s]
             rest -= bound
         if near is None:
             near = np.flatnonzero(totals + rest >= least)
@@ -65,13 +77,17 @@ class Shard:
         totals = totals[near]
         probes = [(bound, bound, w, d, s) for bound, w, d, s in adding[essential:]] + [(w * self.most[d, -s], 0, w, d, -s) for w, d, s in terms if self.most[d, -s]]
         for i, (_, bound, w, d, s) in enumerate(sorted(probes, reverse=True)):
-            part = self.columns[d][near] * s
-            totals = totals + np.where(part > 0, part, 0) * (w if bound else -w)
+            part = self.columns[d][near] * (w * s if bound else -w * s)
+            totals += np.maximum(part, 0, out=part) if bound else np.minimum(part, 0, out=part)
             self.visited += len(near)
             rest -= bound
             if least is not None and i % STRIDE == STRIDE - 1:
                 hold = totals + rest >= least
                 near, totals = near[hold], totals[hold]
+                if len(near) <= FEW:
+                    totals = self.rows[near] @ query.astype(self.rows.dtype)
+                    self.visited += len(near) * (len(probes) - i - 1)
+                    break
         totals = saturated(totals)
         if len(near) > k:
             hold = totals >= np.partition(totals, -k)[-k]
@@ -81,11 +97,7 @@ class Shard:
 
     def _first(self, query: np.ndarray, adding: list, k: int, own: int) -> int | None:
         """The k-th best score among the rows of largest impact in the first lists; None if there are not k."""
-        heads = [np.empty(0, np.int64)]
-        for _, _, d, s in adding[:HEADS]:
-            held, impacts = self.lists[d, s]
-            heads.append(held[np.argpartition(impacts, -4 * k)[-4 * k :]] if len(held) > 4 * k else held)
-        heads = np.unique(np.concatenate(heads))
+        heads = np.unique(np.concatenate([np.empty(0, np.int64), *[self.heads[d, s] for _, _, d, s in adding[:HEADS]]]))
         heads = heads[self.ids[heads] != own]
         scores = self.rows[heads] @ query.astype(self.rows.dtype)
         return min(int(np.sort(scores)[-k]), MOST) if len(heads) >= k else None
@@ -107,7 +119,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
 
     def kernel(data: pa.Table, asked: pa.Table) -> pa.Table:
         rows, theirs, q_ids = whole(data.column("v"), scale), whole(asked.column("v"), scale), asked.column("id").to_numpy()
-        shard, found = Shard(data.column("id").to_numpy(), rows, wide=reach(rows, theirs) >= 2**62), [np.empty((0, 3), np.int64)]
+        shard, found = Shard(data.column("id").to_numpy(), rows, k, wide=reach(rows, theirs) >= 2**62), [np.empty((0, 3), np.int64)]
         for q, own in zip(theirs, q_ids, strict=True):
             near, scores = shard.top(q, k, own)
             found.append(np.column_stack([np.full(len(near), own), shard.ids[near], scores]))

@@ -66,7 +66,7 @@ def test_maxscore_skips_postings():
     rows = np.floor(256 * rng.standard_normal((4000, 64)) / 8).astype(np.int64)
     sparse = rows * (rng.random(rows.shape) < 0.05)
     for matrix in (rows, sparse):
-        shard, held = maxscore.Shard(np.arange(4000), matrix), 0
+        shard, held = maxscore.Shard(np.arange(4000), matrix, 5), 0
         for q in range(50):
             near, scores = shard.top(matrix[q], 5, q)
             exact = matrix @ matrix[q]
