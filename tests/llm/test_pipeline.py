@@ -39,7 +39,7 @@ def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(catalog.SQL[name])
     cols = sorted(want.columns)
