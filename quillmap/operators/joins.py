@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import forget, materialise
@@ -83,13 +83,26 @@ def interval_overlap(left: DataFrame, right: DataFrame, keys: Sequence[str], low
 
 
 def nearest_centre(values: DataFrame, centres: DataFrame, keys: Sequence[str], value: Column, centre: str, index: str, ids: Sequence[str], within: float) -> DataFrame:
-    """For each value the centre at the least distance, the lower index on ties, if the distance is under `within`."""
-    b = F.floor(value / within)
-    v = values.withColumn("__v", value.cast("double")).withColumn("__b", F.explode(F.array(b - 1, b, b + 1)))
-    c = centres.select(*keys, F.col(centre).alias("__c"), F.col(index).alias("__i"), F.floor(F.col(centre) / within).alias("__b"))
-    pairs = v.join(c, [*keys, "__b"]).withColumn("__d", F.abs(F.col("__v") - F.col("__c"))).where(F.col("__d") < within)
-    best = pairs.groupBy(*keys, *[i for i in ids if i not in keys]).agg(F.min(F.struct(F.col("__d").alias("distance"), F.col("__i").alias(index), F.col("__c").alias(centre))).alias("m"))
-    return best.select(*keys, *[i for i in ids if i not in keys], "m.*")
+    """For each value the centre at the least distance, the lower index on ties, if the distance is under `within`.
+
+    Values and centres of a bucket stand in one order, with the nearest centre of either bucket beside it; each value looks
+    at the centre before and the one after it, so rows grow with the two tables and never with their pairs.
+    """
+    keys, ids = list(keys), [i for i in ids if i not in keys]
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("__p").isNotNull() & ~F.isnan("__p"))
+    bucket = F.floor(F.col("__p") / within)
+    v = values.select(*keys, *ids, value.cast("double").alias("__p")).where(whole).withColumn("__b", bucket)
+    # Of centres at one place only the lowest index can win.
+    c = centres.select(*keys, F.col(centre).cast("double").alias("__p"), F.col(index).alias("__i")).where(whole).groupBy(*keys, "__p").agg(F.min("__i").alias("__i"))
+    c = c.withColumn("__b", bucket).select(*keys, "__b", "__p", F.struct(F.col("__p").alias("c"), F.col("__i").alias("i")).alias("__c"))
+    ends = c.groupBy(*keys, "__b").agg(F.min("__c").alias("low"), F.max("__c").alias("high"))
+    beside = [ends.select(*keys, (F.col("__b") + step).alias("__b"), F.col(f"{end}.c").alias("__p"), F.col(end).alias("__c")) for end, step in (("high", 1), ("low", -1))]
+    rows = reduce(lambda a, b: a.unionByName(b, True), [v.withColumn("__own", F.lit(1)), c.withColumn("__own", F.lit(0)), *[e.withColumn("__own", F.lit(0)) for e in beside]])
+    last = lambda order: F.last("__c", ignorenulls=True).over(Window.partitionBy(*keys, "__b").orderBy(order, "__own").rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.withColumn("__below", last(F.asc("__p"))).withColumn("__above", last(F.desc("__p"))).where("__own = 1")
+    found = lambda s: F.when(F.abs(F.col("__p") - F.col(f"{s}.c")) < within, F.struct(F.abs(F.col("__p") - F.col(f"{s}.c")).alias("distance"), F.col(f"{s}.i").alias(index), F.col(f"{s}.c").alias(centre)))
+    best = near.withColumn("m", F.least(found("__below"), found("__above"))).where("m is not null").groupBy(*keys, *ids).agg(F.min("m").alias("m"))
+    return best.select(*keys, *ids, "m.*")
 
 
 def nearest_line(points: DataFrame, lines: DataFrame, keys: Sequence[str], x: str, y: str, slope: str, intercept: str, index: str, within: Column, cell: float) -> DataFrame:
@@ -208,8 +221,6 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: s
 
 def interpolate(samples: DataFrame, vertices: DataFrame, keys: Sequence[str], at: str, x: str, y: str, order: Sequence[str] = ()) -> DataFrame:
     """y at given positions on each key's chain of vertices sorted by x, linear between neighbours, null outside."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy(*keys).orderBy(x, *order)
     spans = vertices.select(*keys, F.col(x).alias("__x1"), F.col(y).alias("__y1"), F.lead(x).over(by).alias("__x2"), F.lead(y).over(by).alias("__y2")).where("__x2 is not null")
     on = F.col(at).between(F.col("__x1"), F.col("__x2"))
