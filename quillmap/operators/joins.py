@@ -136,9 +136,19 @@ def radius_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], radius:
 
 
 def snap(points: DataFrame, targets: DataFrame, keys: Sequence[str], ids: Sequence[str], reach: float = 10.0) -> DataFrame:
-    """Each point (x, y) moved to the nearest target (tx, ty) within reach, or left where it is."""
-    near = radius_pairs(points, targets, keys, reach, "x", "y", "tx", "ty")
-    best = near.groupBy(*keys, *ids).agg(F.min(F.struct("distance", "tx", "ty")).alias("m"))
+    """Each point (x, y) moved to the nearest target (tx, ty) within reach, or left where it is.
+
+    Targets at one place are one. Cells grow from a sixteenth of the reach to the whole: a target within a cell's width is
+    the nearest, and only points without one go on, so that dense targets do not meet every point of a wide cell.
+    """
+    keys, ids = list(keys), list(ids)
+    places, left, parts = targets.select(*keys, "tx", "ty").distinct(), points.select(*keys, *ids, "x", "y"), []
+    for share in (16, 4, 1):
+        near = radius_pairs(left, places, keys, reach / share, "x", "y", "tx", "ty")
+        found = near.groupBy(*keys, *ids).agg(F.min(F.struct("distance", "tx", "ty")).alias("m"))
+        parts.append(materialise(found, "snapped"))
+        left = left.join(parts[-1].select(*keys, *ids), [*keys, *ids], "left_anti")
+    best = reduce(DataFrame.unionByName, parts)
     return points.join(best, [*keys, *ids], "left").select(*[c for c in points.columns if c not in ("x", "y")], F.coalesce("m.tx", "x").alias("x"), F.coalesce("m.ty", "y").alias("y"))
 
 

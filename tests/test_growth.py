@@ -22,3 +22,23 @@ def test_nearest_centre_makes_no_pairs(spark):
         if near:
             want[k, i] = min(near)
     assert {(r["k"], r["id"]): (r["distance"], r["c"], r["q"]) for r in got.collect()} == want
+
+
+def test_snap_passes_copies_of_targets_once(spark, monkeypatch):
+    pairs, plainly = [], joins.radius_pairs
+
+    def counted(*args, **more):
+        out = plainly(*args, **more)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "radius_pairs", counted)
+    rng = random.Random(2)
+    points = [(1, k, rng.uniform(0, 60), rng.uniform(0, 60)) for k in range(60)]
+    places = [(1, rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(40)]
+    p, t = spark.createDataFrame(points, "k int, id int, x double, y double"), spark.createDataFrame(places * 50, "k int, tx double, ty double")
+    got = {r["id"]: (r["x"], r["y"]) for r in joins.snap(p, t, ["k"], ["id"], 10.0).collect()}
+    for _, i, x, y in points:
+        d, tx, ty = min((((x - tx) ** 2 + (y - ty) ** 2) ** 0.5, tx, ty) for _, tx, ty in places)
+        assert got[i] == ((tx, ty) if d <= 10.0 else (x, y))
+    assert sum(pairs) <= len(points) * len(places)
