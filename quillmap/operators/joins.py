@@ -126,12 +126,16 @@ def nearest_line(points: DataFrame, lines: DataFrame, keys: Sequence[str], x: st
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], radius: float, lx: str, ly: str, rx: str, ry: str, inclusive: bool = True) -> DataFrame:
-    """All pairs within a radius in the plane, with their distance."""
+    """All pairs within a radius in the plane, with their distance.
+
+    Cells are dealt to a fixed number of tasks: a few rows may make many pairs, so tasks are not put together by their size.
+    """
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = lambda c: F.floor(F.col(c) / radius)
     l = left.withColumn("__c", F.explode(F.array(*[F.struct((cell(lx) + i).alias("i"), (cell(ly) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])))
     r = right.withColumn("__c", F.struct(cell(rx).alias("i"), cell(ry).alias("j")))
     d = F.sqrt((F.col(lx) - F.col(rx)) ** 2 + (F.col(ly) - F.col(ry)) ** 2)
-    out = l.join(r, [*keys, "__c"]).withColumn("distance", d).drop("__c")
+    out = l.repartition(tasks, *keys, "__c").join(r.repartition(tasks, *keys, "__c"), [*keys, "__c"]).withColumn("distance", d).drop("__c")
     return out.where(F.col("distance") <= radius if inclusive else F.col("distance") < radius)
 
 

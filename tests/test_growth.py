@@ -42,3 +42,10 @@ def test_snap_passes_copies_of_targets_once(spark, monkeypatch):
         d, tx, ty = min((((x - tx) ** 2 + (y - ty) ** 2) ** 0.5, tx, ty) for _, tx, ty in places)
         assert got[i] == ((tx, ty) if d <= 10.0 else (x, y))
     assert sum(pairs) <= len(points) * len(places)
+
+
+def test_pairs_within_a_radius_keep_their_tasks(spark):
+    few = spark.range(40).selectExpr("1 AS k", "id", "cast(id AS double) AS x", "0.0D AS y")
+    got = joins.radius_pairs(few, few.selectExpr("k", "id AS other", "x AS tx", "y AS ty"), ["k"], 1.0, "x", "y", "tx", "ty")
+    assert "REPARTITION_BY_NUM" in plan(got)
+    assert got.count() == 40 + 2 * 39
