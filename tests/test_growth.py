@@ -3,6 +3,7 @@
 import random
 
 from quillmap.operators import joins
+from quillmap.plans import instances
 
 
 def plan(df):
@@ -49,3 +50,18 @@ def test_pairs_within_a_radius_keep_their_tasks(spark):
     got = joins.radius_pairs(few, few.selectExpr("k", "id AS other", "x AS tx", "y AS ty"), ["k"], 1.0, "x", "y", "tx", "ty")
     assert "REPARTITION_BY_NUM" in plan(got)
     assert got.count() == 40 + 2 * 39
+
+
+def test_close_lines_need_no_grouping_of_pairs(spark):
+    rng = random.Random(3)
+    lines = [(1, k, *(float(rng.randint(0, 30)) for _ in range(4))) for k in range(60)]
+    got = instances.close_lines(spark.createDataFrame(lines, "k int, line int, x1 double, y1 double, x2 double, y2 double"), ["k"], "line", 9.0)
+    assert "Aggregate" not in plan(got)
+    want = {}
+    for _, a, *p in lines:
+        for _, b, *q in lines:
+            d = min(((x - u) ** 2 + (y - v) ** 2) ** 0.5 for x, y in (p[:2], p[2:]) for u, v in (q[:2], q[2:]))
+            if a < b and d < 9.0:
+                want[a, b] = d
+    rows = [(r["a"], r["b"], r["distance"]) for r in got.collect()]
+    assert len(rows) == len(want) and {(a, b): d for a, b, d in rows} == want
