@@ -1,13 +1,17 @@
-"""Straight lines by votes: every foreground pixel votes for the lines through it, counted by partial aggregation."""
+"""Straight lines by votes: every foreground pixel votes for the lines through it, counted where the pixels of its sheet are."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Directions in a half turn, and the decimals that sines and cosines are rounded to, so that votes are alike everywhere.
 TURNS, DIGITS = 180, 6
 
@@ -17,19 +21,47 @@ def directions(turns: int = TURNS) -> list[tuple[float, float]]:
     return [(round(math.cos(math.pi * k / turns), DIGITS), round(math.sin(math.pi * k / turns), DIGITS)) for k in range(turns)]
 
 
-def rho_of(x: Column, y: Column, cosine: Column, sine: Column) -> Column:
-    return F.rint(x * cosine + y * sine).cast("int")
+#: Pixels of a sheet that one task counts; a larger sheet is counted in parts, whose counts are added up.
+TASK_PIXELS = 1 << 20
 
 
-def votes(pixels: DataFrame, keys: Sequence[str], turns: int = TURNS) -> DataFrame:
-    """(keys, theta, rho, votes): how many pixels (x, y) lie on the line x cos + y sin = rho; theta counts half turns in `turns` parts.
+def votes(pixels: DataFrame, keys: Sequence[str], turns: int = TURNS, least: int = 1) -> DataFrame:
+    """(keys, theta, rho, votes): how many pixels (x, y) lie on the line x cos + y sin = rho, for lines of `least` votes; theta
+    counts half turns in `turns` parts.
 
-    A pixel becomes one row for each direction, which never leaves its task: votes are added up before the shuffle, and
-    what moves are counts, at most as many as lines.
+    The pixels of a sheet move once and are counted side by side in numpy, a few directions at a time; what leaves the task
+    are lines of enough votes. Sheets of over TASK_PIXELS pixels are counted in parts, and all their counts move.
     """
-    table = F.array(*[F.struct(F.lit(k).alias("theta"), F.lit(c).alias("c"), F.lit(s).alias("s")) for k, (c, s) in enumerate(directions(turns))])
-    each = pixels.select(*keys, "x", "y", F.explode(table).alias("t"))
-    return each.groupBy(*keys, F.col("t.theta").alias("theta"), rho_of(F.col("x"), F.col("y"), F.col("t.c"), F.col("t.s")).alias("rho")).agg(F.count(F.lit(1)).alias("votes"))
+    keys, table = list(keys), np.array(directions(turns))
+    types = {f.name: f.dataType.simpleString() for f in pixels.schema}
+    shown = pixels.where("x is not null and y is not null").select(*keys, "x", "y")
+    for k in keys:
+        shown = shown.where(F.col(k).isNotNull())
+    sized = shown.join(shown.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TASK_PIXELS).alias("__parts")), keys)
+    sized = sized.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.col("__parts")))
+
+    def count(group: pa.Table) -> pa.Table:
+        x, y = (group.column(c).to_numpy().astype(float) for c in ("x", "y"))
+        whole = group.column("__parts")[0].as_py() == 1
+        step, out = max(1, TASK_PIXELS // len(x)), []
+        for at in range(0, turns, step):
+            c, s = table[at : at + step].T
+            rho = np.rint(x * c[:, None] + y * s[:, None]).astype(np.int64)
+            low, span = rho.min(), rho.max() - rho.min() + 1
+            cell, n = np.unique((rho - low + span * np.arange(len(c))[:, None]).ravel(), return_counts=True)
+            kept = n >= (least if whole else 1)
+            out.append((at + cell[kept] // span, low + cell[kept] % span, n[kept]))
+        theta, rho, n = (np.concatenate(v) for v in zip(*out, strict=True))
+        same = [pa.array([group.column(k)[0].as_py()] * len(n), group.column(k).type) for k in keys]
+        return pa.table([*same, pa.array([whole] * len(n), pa.bool_()), pa.array(theta, pa.int32()), pa.array(rho, pa.int32()), pa.array(n, pa.int64())], names=[*keys, "whole", "theta", "rho", "votes"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", whole boolean, theta int, rho int, votes long"
+    counted = sized.groupBy(*keys, "__parts", "__part").applyInArrow(lambda g: count(g), schema)
+    if least == 1:
+        return counted.groupBy(*keys, "theta", "rho").agg(F.sum("votes").alias("votes"))
+    counted = materialise(counted, "votes")
+    parts = counted.where("not whole").groupBy(*keys, "theta", "rho").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= least)
+    return counted.where("whole").drop("whole").unionByName(parts)
 
 
 def peaks(counts: DataFrame, keys: Sequence[str], least: int, turns: int = TURNS) -> DataFrame:

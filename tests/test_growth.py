@@ -1,8 +1,9 @@
 """Work grows with the tables, not with pairs, copies or votes; results equal brute force."""
 
 import random
+from collections import Counter
 
-from quillmap.operators import joins
+from quillmap.operators import hough, joins
 from quillmap.plans import instances
 
 
@@ -65,3 +66,15 @@ def test_close_lines_need_no_grouping_of_pairs(spark):
                 want[a, b] = d
     rows = [(r["a"], r["b"], r["distance"]) for r in got.collect()]
     assert len(rows) == len(want) and {(a, b): d for a, b, d in rows} == want
+
+
+def test_votes_move_only_lines_of_enough_votes(spark, monkeypatch):
+    rng = random.Random(4)
+    pixels = {(k, rng.randint(-20, 40), rng.randint(-20, 40)) for k in (1, 2) for _ in range(60)}
+    df = spark.createDataFrame(sorted(pixels), "sheet int, x int, y int")
+    want = Counter((k, t, round(x * c + y * s)) for k, x, y in pixels for t, (c, s) in enumerate(hough.directions(12)))
+    assert "Generate" not in plan(hough.votes(df, ["sheet"], 12))
+    got = lambda **more: {(r["sheet"], r["theta"], r["rho"]): r["votes"] for r in hough.votes(df, ["sheet"], 12, **more).collect()}
+    assert got() == want and got(least=4) == {k: n for k, n in want.items() if n >= 4}
+    monkeypatch.setattr(hough, "TASK_PIXELS", 16)
+    assert got(least=4) == {k: n for k, n in want.items() if n >= 4}
