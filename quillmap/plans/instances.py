@@ -25,14 +25,14 @@ def close_lines(lines: DataFrame, keys: Sequence[str], line: str, within: float
     A row carries both ends of its line, so a pair is given where its nearest ends meet, the first of equals, and pairs need
     not be brought together again. The line is its key's only one of that name.
     """
-    end = lambda k: F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
-    ends = lines.select(*keys, F.col(line).alias("a"), "x1", "y1", "x2", "y2", F.explode(F.array(end(1), end(2))).alias("p")).select(*keys, "a", "x1", "y1", "x2", "y2", F.col("p.k").alias("k"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    end = lambda k: F.struct(F.lit(k).alias("end"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    ends = lines.select(*keys, F.col(line).alias("a"), "x1", "y1", "x2", "y2", F.explode(F.array(end(1), end(2))).alias("p")).select(*keys, "a", "x1", "y1", "x2", "y2", F.col("p.end").alias("__end"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     other = ends.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ends.columns if c not in keys])
     pairs = radius_pairs(ends, other, keys, within, "x", "y", "o_x", "o_y", inclusive=False).where("a < o_a")
     nearer = F.lit(False)
     for i, j in ((i, j) for i in (1, 2) for j in (1, 2)):
         d = F.sqrt((F.col(f"x{i}") - F.col(f"o_x{j}")) ** 2 + (F.col(f"y{i}") - F.col(f"o_y{j}")) ** 2)
-        earlier = 2 * F.lit(i) + j < 2 * F.col("k") + F.col("o_k")
+        earlier = 2 * F.lit(i) + j < 2 * F.col("__end") + F.col("o___end")
         nearer = nearer | F.coalesce((d < F.col("distance")) | ((d == F.col("distance")) & earlier), F.lit(False))
     return pairs.where(~nearer).select(*keys, "a", F.col("o_a").alias("b"), "distance")
 
