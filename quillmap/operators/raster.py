@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +68,31 @@ def closed(mask: np.ndarray, shape: np.ndarray) -> np.ndarray:
     return erode(dilate(np.pad(mask.astype(bool), p), shape), shape)[p:-p, p:-p]
 
 
+RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def _removable(turn: int) -> np.ndarray:
+    """Whether a pixel may go in a subcycle, by its eight neighbours as the bits of a byte in the order of RING."""
+    p = np.arange(256) >> np.arange(8)[:, None] & 1
+    crossings = sum((p[k] == 0) & (p[(k + 1) % 8] == 1) for k in range(8))
+    north, east, south, west = p[0], p[2], p[4], p[6]
+    sides = (north * east * south == 0) & (east * south * west == 0) if turn == 0 else (north * east * west == 0) & (north * south * west == 0)
+    return (p.sum(axis=0) >= 2) & (p.sum(axis=0) <= 6) & (crossings == 1) & sides
+
+
+REMOVABLE = [_removable(0), _removable(1)]
+
+
 def thinned_once(img: np.ndarray) -> np.ndarray:
     """One step of thin() on a mask of bytes with a border of zeros."""
-    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    for turn in (0, 1):
-        p = [moved(img, dy, dx) for dy, dx in ring]
-        count = sum(p)
-        crossings = sum(((p[k] == 0) & (p[(k + 1) % 8] == 1)).astype(np.uint8) for k in range(8))
-        north, east, south, west = p[0], p[2], p[4], p[6]
-        sides = (north * east * south == 0) & (east * south * west == 0) if turn == 0 else (north * east * west == 0) & (north * south * west == 0)
-        gone = (img == 1) & (count >= 2) & (count <= 6) & (crossings == 1) & sides
+    h, w = img.shape
+    for table in REMOVABLE:
+        wide = np.zeros((h + 2, w + 2), np.uint8)
+        wide[1:-1, 1:-1] = img
+        around = np.zeros((h, w), np.uint8)
+        for k, (dy, dx) in enumerate(RING):
+            around |= wide[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] << k
+        gone = table[around] & (img == 1)
         if gone.any():
             img = np.where(gone, np.uint8(0), img)
     return img
@@ -463,32 +479,95 @@ def per_image(pixels: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]
     names = list(keys)
 
     def run(table: pa.Table) -> pa.Table:
-        x, y = table.column("x").to_numpy(), table.column("y").to_numpy()
+        return _paths(table, table.column("x").to_numpy(), table.column("y").to_numpy(), kernel, names)
+
+    return pixels.select(*names, "x", "y").groupBy(*names).applyInArrow(run, _path_schema(types, names))
+
+
+def _path_schema(types: dict[str, str], keys: Sequence[str]) -> str:
+    return ", ".join(f"{k} {types[k]}" for k in keys) + ", line_id int, points array<struct<x:double,y:double>>"
+
+
+def _paths(table: pa.Table, x: np.ndarray, y: np.ndarray, kernel: Callable[[np.ndarray], list[np.ndarray]], keys: Sequence[str]) -> pa.Table:
+    """What a kernel makes of the pixels (x, y) of one key, which the first row of table names."""
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    paths, x0, y0 = [], 0, 0
+    if len(x):
         x0, y0 = int(x.min()) - 1, int(y.min()) - 1
         mask = np.zeros((int(y.max()) - y0 + 2, int(x.max()) - x0 + 2), bool)
         mask[y - y0, x - x0] = True
         paths = kernel(mask)
-        points = pa.array([[{"x": float(p[0] + x0), "y": float(p[1] + y0)} for p in path] for path in paths], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
-        columns = [pa.array([table.column(k)[0].as_py()] * len(paths), table.column(k).type) for k in names]
-        return pa.table([*columns, pa.array(range(len(paths)), pa.int32()), points], names=[*names, "line_id", "points"])
+    points = pa.array([[{"x": float(p[0] + x0), "y": float(p[1] + y0)} for p in path] for path in paths], kind)
+    columns = [pa.array([table.column(k)[0].as_py()] * len(paths), table.column(k).type) for k in keys]
+    return pa.table([*columns, pa.array(range(len(paths)), pa.int32()), points], names=[*keys, "line_id", "points"])
+
+
+#: Pixels of a sheet's box up to which its shapes are drawn on a dense canvas.
+CANVAS = 1 << 24
+
+
+def _drawn(table: pa.Table, thickness: int, order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x and y of the pixels that the polylines (points) of one sheet cover, and the row of the shape on top."""
+    rank = np.argsort(np.array(table.column(order).to_pylist()), kind="stable")
+    shapes = table.column("points").combine_chunks().take(pa.array(rank))
+    flat, size = shapes.flatten(), np.array([0 if n is None else n for n in pc.list_value_length(shapes).to_pylist()], int)
+    px, py = (flat.field(k).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1))
+    of = np.repeat(rank, size)
+    inner = np.ones(len(of), bool)
+    inner[np.cumsum(size)[size > 0] - 1] = False
+    a = np.flatnonzero(inner)
+    a = a[np.isfinite(px[a] + py[a] + px[a + 1] + py[a + 1])] if len(a) else a
+    dx, dy = px[a + 1] - px[a], py[a + 1] - py[a]
+    n = np.maximum(1, np.ceil(np.maximum(np.abs(dx), np.abs(dy)) * (1 if thickness == 1 else 2))).astype(np.int64)
+    s = np.repeat(np.arange(len(a)), n + 1)
+    i = np.arange(len(s)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    x, y = np.rint(px[a][s] + dx[s] * i / n[s]).astype(np.int64), np.rint(py[a][s] + dy[s] * i / n[s]).astype(np.int64)
+    if not len(x):
+        return x, y, x
+    r = (thickness - 1) // 2
+    offs = np.array([(ox, oy) for oy in range(-r, r + 1) for ox in range(-r, r + 1) if ox * ox + oy * oy <= r * r + r] or [(0, 0)])
+    new = np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0) | (np.diff(s) != 0)])
+    x, y, top = x[new], y[new], of[a][s][new]
+    x0, y0, w, h = x.min() - r, y.min() - r, np.ptp(x) + 2 * r + 1, np.ptp(y) + 2 * r + 1
+    at = ((y[:, None] + offs[:, 1] - y0) * w + (x[:, None] + offs[:, 0] - x0)).ravel()
+    top = np.repeat(top, len(offs))
+    if w * h <= CANVAS:
+        # Shapes come in their order, and of equal places the last one written stays.
+        canvas = np.full(w * h, -1, np.int64)
+        canvas[at] = top
+        at = np.flatnonzero(canvas >= 0)
+        top = canvas[at]
+    else:
+        at, last = np.unique(at[::-1], return_index=True)
+        top = top[::-1][last]
+    return at % w + x0, at // w + y0, top
+
+
+def per_drawing(shapes: DataFrame, kernel: Callable[[np.ndarray], list[np.ndarray]], thickness: int = 3, keys: Sequence[str] = ("image_id",), order: str = "shape_idx") -> DataFrame:
+    """per_image() of the pixels that each key's polylines cover: they are drawn in the task that runs the kernel."""
+    types, names = {f.name: f.dataType.simpleString() for f in shapes.schema}, list(keys)
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, _ = _drawn(table, thickness, order)
+        return _paths(table, x, y, kernel, names)
 
-    schema = ", ".join(f"{k} {types[k]}" for k in names) + ", line_id int, points array<struct<x:double,y:double>>"
-    return pixels.select(*names, "x", "y").groupBy(*names).applyInArrow(run, schema)
+    return shapes.select(*names, order, "points").groupBy(*names).applyInArrow(run, _path_schema(types, names))
 
 
 def rasterised(shapes: DataFrame, thickness: int = 3, keys: Sequence[str] = ("image_id",), order: str = "shape_idx", cls: str = "cls") -> DataFrame:
-    """Sparse class pixels of polylines as Spark expressions: points along each segment, thickened, the last shape on top."""
-    from ..functions.geometry import once, segments
+    """Class pixels (keys, x, y, cls) of polylines: points along each segment, thickened, the last shape on top.
 
-    seg = shapes.select(*keys, order, cls, F.explode(segments(F.col("points"))).alias("s"))
-    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("s.b.x") - F.col("s.a.x")), F.abs(F.col("s.b.y") - F.col("s.a.y"))) * (1 if thickness == 1 else 2)).cast("int"))
-    at = once(n, lambda m: F.transform(F.sequence(F.lit(0), m), lambda i: F.struct(F.rint(F.col("s.a.x") + (F.col("s.b.x") - F.col("s.a.x")) * i / m).cast("int").alias("x"), F.rint(F.col("s.a.y") + (F.col("s.b.y") - F.col("s.a.y")) * i / m).cast("int").alias("y"))))
-    px = seg.select(*keys, order, cls, F.explode(F.array_distinct(at)).alias("p"))
-    r = (thickness - 1) // 2
-    offs = [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dx * dx + dy * dy <= r * r + r] or [(0, 0)]
-    px = px.withColumn("o", F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offs])))
-    px = px.select(*keys, (F.col("p.x") + F.col("o.dx")).alias("x"), (F.col("p.y") + F.col("o.dy")).alias("y"), cls, order)
-    return px.groupBy(*keys, "x", "y").agg(F.max_by(cls, order).alias("cls"))
+    Shapes move, pixels do not: a task draws a sheet at a time and holds its pixels.
+    """
+    types, names = {f.name: f.dataType.simpleString() for f in shapes.schema}, list(keys)
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, top = _drawn(table, thickness, order)
+        columns = [pa.array([table.column(k)[0].as_py()] * len(x), table.column(k).type) for k in names]
+        return pa.table([*columns, pa.array(x, pa.int32()), pa.array(y, pa.int32()), table.column(cls).take(pa.array(top))], names=[*names, "x", "y", "cls"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in names) + f", x int, y int, cls {types[cls]}"
+    return shapes.select(*names, order, cls, "points").groupBy(*names).applyInArrow(run, schema)
 
 
 def band_region(mask: np.ndarray, dilate_size: int = 5, close_size: int = 9, least: int = 500) -> np.ndarray:

@@ -1,9 +1,12 @@
 """Work grows with the tables, not with pairs, copies or votes; results equal brute force."""
 
+import math
 import random
 from collections import Counter
 
-from quillmap.operators import hough, joins
+import pytest
+
+from quillmap.operators import hough, joins, raster
 from quillmap.plans import instances
 
 
@@ -78,3 +81,24 @@ def test_votes_move_only_lines_of_enough_votes(spark, monkeypatch):
     assert got() == want and got(least=4) == {k: n for k, n in want.items() if n >= 4}
     monkeypatch.setattr(hough, "TASK_PIXELS", 16)
     assert got(least=4) == {k: n for k, n in want.items() if n >= 4}
+
+
+@pytest.mark.parametrize("canvas", [raster.CANVAS, 1])
+def test_shapes_are_drawn_in_their_order(spark, monkeypatch, canvas):
+    monkeypatch.setattr(raster, "CANVAS", canvas)
+    rng = random.Random(5)
+    shapes = [(k % 2, k, k * 7, [(rng.uniform(-9, 30), rng.uniform(-9, 30)) for _ in range(rng.randint(0, 4))]) for k in range(30)]
+    df = spark.createDataFrame(shapes[::-1], "image_id long, shape_idx int, cls int, points array<struct<x:double,y:double>>")
+    for thickness in (1, 3, 5):
+        r = (thickness - 1) // 2
+        offs = [(i, j) for i in range(-r, r + 1) for j in range(-r, r + 1) if i * i + j * j <= r * r + r]
+        want = {}
+        for sheet, _, cls, points in shapes:
+            for (ax, ay), (bx, by) in zip(points, points[1:]):
+                n = max(1, math.ceil(max(abs(bx - ax), abs(by - ay)) * (1 if r == 0 else 2)))
+                for i in range(n + 1):
+                    for ox, oy in offs:
+                        want[sheet, round(ax + (bx - ax) * i / n) + ox, round(ay + (by - ay) * i / n) + oy] = cls
+        got = raster.rasterised(df, thickness)
+        assert "Generate" not in plan(got)
+        assert {(r["image_id"], r["x"], r["y"]): r["cls"] for r in got.collect()} == want
