@@ -650,8 +650,7 @@ def rasterise(spark, d):
 
 @query()
 def thinning(spark, d):
-    px = raster.rasterised(_strokes(spark, d).withColumn("cls", F.lit(1)), 5)
-    return raster.per_image(px, lambda m: [[(int(x), int(y))] for y, x in raster.np.argwhere(raster.thin(m))]).select("image_id", F.get("points", F.lit(0))["x"].alias("x"), F.get("points", F.lit(0))["y"].alias("y"))
+    return raster.per_drawing(_strokes(spark, d), lambda m: [[(int(x), int(y))] for y, x in raster.np.argwhere(raster.thin(m))], 5).select("image_id", F.get("points", F.lit(0))["x"].alias("x"), F.get("points", F.lit(0))["y"].alias("y"))
 
 
 @query()
