@@ -655,7 +655,7 @@ def thinning(spark, d):
 
 @query()
 def vectorise(spark, d):
-    return raster.per_image(raster.rasterised(_strokes(spark, d).withColumn("cls", F.lit(1)), 5), raster.vectorise)
+    return raster.per_drawing(_strokes(spark, d), raster.vectorise, 5)
 
 
 @query()
