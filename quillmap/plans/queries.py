@@ -660,8 +660,7 @@ def vectorise(spark, d):
 
 @query()
 def dp_simplify(spark, d):
-    px = raster.rasterised(_strokes(spark, d).withColumn("cls", F.lit(1)), 1)
-    return raster.per_image(px, lambda m: [raster.simplify(p, 2.0) for p in raster.trace(raster.thin(m), 5)])
+    return raster.per_drawing(_strokes(spark, d), lambda m: [raster.simplify(p, 2.0) for p in raster.trace(raster.thin(m), 5)], 1)
 
 
 @query()
