@@ -665,8 +665,7 @@ def dp_simplify(spark, d):
 
 @query()
 def chain(spark, d):
-    px = raster.rasterised(_strokes(spark, d).withColumn("cls", F.lit(1)), 1)
-    return raster.per_image(px, lambda m: raster.chain(raster.trace(raster.thin(m), 5), 15.0, 120.0))
+    return raster.per_drawing(_strokes(spark, d), lambda m: raster.chain(raster.trace(raster.thin(m), 5), 15.0, 120.0), 1)
 
 
 @query(f"""
