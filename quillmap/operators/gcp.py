@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bbox, mean, once, x_on_vertical, xs, y_on_parallel, ys
+from ..functions.geometry import bbox, mean, xs, ys
 
 STEPS, TOLERANCE = 30, 0.5
 
@@ -27,43 +30,77 @@ def grid_lines(shapes: DataFrame) -> DataFrame:
     return out.withColumns({"pos": pos, "span": span})
 
 
-def crossing(top: Column, bottom: Column, arc: Column, low: Column, high: Column, y_min: Column, y_max: Column) -> Column:
-    """Where a meridian meets a parallel, by fixed-point iteration from the middle of their common range of y.
+#: Places of parallels that are looked at side by side.
+SIDE_BY_SIDE = 1 << 20
 
-    x = V(y), y' = H(x): outside the parallel there is no point; within half a pixel of y the point (x, y') is taken if
-    y' lies in the meridian's range, and the iteration ends either way. Null without a point.
-    """
 
-    def step(acc, _):
-        x = x_on_vertical(top, bottom, acc["y"])
-        # Once done, nothing more is computed.
-        return F.when(acc["done"], acc).otherwise(
-            once(
-                F.struct(x.alias("x"), y_on_parallel(arc, x).alias("y")),
-                lambda n: F.when(n["y"].isNull(), F.struct(acc["y"].alias("y"), acc["px"].alias("px"), acc["py"].alias("py"), F.lit(True).alias("done")))
-                .when(F.abs(n["y"] - acc["y"]) < TOLERANCE, once(n["y"].between(y_min, y_max), lambda ok: F.struct(n["y"].alias("y"), F.when(ok, n["x"]).alias("px"), F.when(ok, n["y"]).alias("py"), F.lit(True).alias("done"))))
-                .otherwise(F.struct(n["y"].alias("y"), acc["px"].alias("px"), acc["py"].alias("py"), F.lit(False).alias("done"))),
-            )
-        )
+def crossings(ends: np.ndarray, arcs: tuple[np.ndarray, np.ndarray], start: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where meridians meet parallels, by fixed-point iteration from the middle of their common range of y; many pairs at a time.
 
-    start = F.struct(((low + high) / 2).alias("y"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"), F.lit(False).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda acc: F.when(acc["px"].isNotNull(), F.struct(F.bround(acc["px"], 2).alias("x"), F.bround(acc["py"], 2).alias("y"))))
+    x = V(y), y' = H(x): outside the parallel there is no point; within half a pixel of y the point (x, y') is taken if
+    y' lies in the meridian's range, and the iteration ends either way. NaN without a point. ends: x and y of top and bottom;
+    arcs: x and y of the vertices of each parallel in the order of x, filled up with NaN.
+    """
+    (tx, ty, bx, by), (ax, ay), y = ends, arcs, start.copy()
+    px, py, left = np.full(len(y), np.nan), np.full(len(y), np.nan), np.arange(len(y))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for _ in range(STEPS):
+            dy = by[left] - ty[left]
+            x = np.where(dy == 0, (tx[left] + bx[left]) / 2, tx[left] + (y[left] - ty[left]) / dy * (bx[left] - tx[left]))
+            hit = (ax[left, :-1] <= x[:, None]) & (x[:, None] <= ax[left, 1:])
+            at = hit.argmax(axis=1)
+            x1, x2, y1, y2 = ax[left, at], ax[left, at + 1], ay[left, at], ay[left, at + 1]
+            new = np.where(hit.any(axis=1), y1 + np.where(x2 == x1, 0.0, (x - x1) / (x2 - x1)) * (y2 - y1), np.nan)
+            near = np.abs(new - y[left]) < TOLERANCE
+            taken = near & (low[left] <= new) & (new <= high[left])
+            px[left[taken]], py[left[taken]] = x[taken], new[taken]
+            on = ~near & ~np.isnan(new)
+            left = left[on]
+            y[left] = new[on]
+            if not len(left):
+                break
+    return px, py
 
 
 def intersections(verticals: DataFrame, parallels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Control points: every meridian with a degree against every parallel with one whose ranges of y overlap.
 
-    An equi-join on the sheet with the overlap as residual; verticals: points, degree; parallels: points, degree.
+    An equi-join on the sheet with the overlap as residual; verticals: points, degree; parallels: points, degree. Lines are
+    few bytes and crossings much work, so sheets are dealt to a fixed number of tasks.
     """
+    keys = list(keys)
+    tasks = int(verticals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = verticals.where(F.col("degree").isNotNull()).select(*keys, F.col("degree").alias("lon"), F.get("points", F.lit(0)).alias("top"), F.get("points", F.lit(1)).alias("bottom"))
     v = v.withColumns({"v_min": F.least("top.y", "bottom.y"), "v_max": F.greatest("top.y", "bottom.y")})
-    h = parallels.where(F.col("degree").isNotNull()).select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("degree").alias("lat"), F.col("points").alias("arc"), F.array_min(ys(F.col("points"))).alias("h_min"), F.array_max(ys(F.col("points"))).alias("h_max"))
+    ordered = F.array_sort(F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+    h = parallels.where(F.col("degree").isNotNull()).select(*[F.col(k).alias(f"h_{k}") for k in keys], F.col("degree").alias("lat"), ordered.alias("arc"), F.array_min(ys(F.col("points"))).alias("h_min"), F.array_max(ys(F.col("points"))).alias("h_max"))
     on = (F.col("v_min") <= F.col("h_max")) & (F.col("h_min") <= F.col("v_max"))
     for k in keys:
         on = (F.col(k) == F.col(f"h_{k}")) & on
-    low, high = F.greatest("v_min", "h_min"), F.least("v_max", "h_max")
-    out = v.join(h, on).withColumn("p", crossing(F.col("top"), F.col("bottom"), F.col("arc"), low, high, F.col("v_min"), F.col("v_max"))).where(F.col("p").isNotNull())
-    return out.select(*keys, "lon", "lat", F.col("p.x").alias("pixel_x"), F.col("p.y").alias("pixel_y"))
+    start = (F.greatest("v_min", "h_min") + F.least("v_max", "h_max")) / 2
+    ends = [F.col(f"{p}.{c}").alias(f"__{p}_{c}") for p in ("top", "bottom") for c in ("x", "y")]
+    met = v.repartition(tasks, *keys).join(h.repartition(tasks, *[f"h_{k}" for k in keys]), on).select(*keys, "lon", "lat", *ends, "v_min", "v_max", start.alias("__start"), "arc")
+    kept = [*keys, "lon", "lat"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c, b: b.column(c).to_numpy(zero_copy_only=False).astype(float)
+            longest = max([2, *(n or 0 for n in pc.list_value_length(batch.column("arc")).to_pylist())])
+            step = max(1, SIDE_BY_SIDE // longest)
+            for at in range(0, batch.num_rows, step):
+                b = batch.slice(at, step)
+                size = np.array([n or 0 for n in pc.list_value_length(b.column("arc")).to_pylist()], int)
+                flat = b.column("arc").flatten()
+                arcs = np.full((2, b.num_rows, longest), np.nan)
+                arcs[:, np.repeat(np.arange(len(size)), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = [pc.struct_field(flat, [k]).to_numpy(zero_copy_only=False).astype(float) for k in (0, 1)]
+                x, y = crossings(np.array([column(e, b) for e in ("__top_x", "__top_y", "__bottom_x", "__bottom_y")]), (arcs[0], arcs[1]), *[column(c, b) for c in ("__start", "v_min", "v_max")])
+                found = pa.array(~np.isnan(x))
+                out = pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(x), pa.array(y)], [*kept, "pixel_x", "pixel_y"])
+                yield out.filter(found)
+
+    types = {f.name: f.dataType.simpleString() for f in met.schema}
+    out = met.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in kept) + ", pixel_x double, pixel_y double")
+    return out.select(*kept, F.bround("pixel_x", 2).alias("pixel_x"), F.bround("pixel_y", 2).alias("pixel_y"))
 
 
 def main_box(lines: DataFrame, keys: Sequence[str], width: Column, height: Column, longest: int = 10) -> DataFrame:

@@ -113,3 +113,20 @@ def test_copies_of_regions_are_one(spark, tmp_path):
         spark.createDataFrame(s, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/{folder}/supplier.parquet")
     one, three = (overlay_queries._diamonds(spark, f"{tmp_path}/{f}") for f in ("one", "three"))
     assert one.count() == three.count() == 45
+
+
+def test_crossings_are_dealt_to_tasks_and_found_side_by_side(spark, monkeypatch):
+    from quillmap.operators import gcp
+
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    v = spark.createDataFrame([(1, 60.0, [point(10 * k, 0), point(10 * k + 5, 100)]) for k in range(3)] + [(1, 61.0, [point(500, 0), point(500, 100)])], "k int, degree double, points array<struct<x:double,y:double>>")
+    h = spark.createDataFrame([(1, 20.0, [point(40, 50), point(-5, 30)]), (1, 30.0, [point(0, 20), point(20, 20), point(40, 60)]), (1, None, [])], "k int, degree double, points array<struct<x:double,y:double>>")
+    got = gcp.intersections(v, h, ["k"])
+    assert "REPARTITION_BY_NUM" in plan(got) and "MapInArrow" in plan(got)
+    rows = sorted(got.collect())
+    assert [r["lat"] for r in rows].count(30.0) == 3 and len(rows) == 6
+    for r in rows:
+        want = 30 + (r["pixel_x"] + 5) * 20 / 45 if r["lat"] == 20.0 else 20 + max(0, r["pixel_x"] - 20) * 2
+        assert abs(r["pixel_y"] - want) < 0.02
+    monkeypatch.setattr(gcp, "SIDE_BY_SIDE", 1)
+    assert sorted(gcp.intersections(v, h, ["k"]).collect()) == rows
