@@ -22,19 +22,20 @@ def gaps(lines: DataFrame, frames: DataFrame) -> DataFrame:
     """Status of every end: connected, snappable, review, ambiguous or open, with its nearest candidate.
 
     Candidates are the nearest points of the other lines' segments within reach, found through buckets, and of the
-    frame (image_id, x_min, y_min, x_max, y_max). An end of level 1 that meets level 2 only is for review.
+    frame (image_id, x_min, y_min, x_max, y_max). An end of level 1 that meets level 2 only is for review. Both joins are
+    merges: no table goes through the driver, however small it looks.
     """
     ends = end_points(lines)
     cell = lambda v: F.floor(v / REACH)
     seg = lines.select("image_id", F.col("line_id").alias("to_line"), F.col("level").alias("to_level"), F.explode(segments(F.col("points"))).alias("s"))
     lo, hi = lambda a, b: cell(F.least(a, b)) - 1, lambda a, b: cell(F.greatest(a, b)) + 1
     seg = seg.withColumn("i", F.explode(F.sequence(lo(F.col("s.a.x"), F.col("s.b.x")), hi(F.col("s.a.x"), F.col("s.b.x"))))).withColumn("j", F.explode(F.sequence(lo(F.col("s.a.y"), F.col("s.b.y")), hi(F.col("s.a.y"), F.col("s.b.y")))))
-    near = ends.withColumns({"i": cell(F.col("x")), "j": cell(F.col("y"))}).join(seg, ["image_id", "i", "j"]).where("line_id != to_line")
+    near = ends.withColumns({"i": cell(F.col("x")), "j": cell(F.col("y"))}).join(seg.hint("merge"), ["image_id", "i", "j"]).where("line_id != to_line")
     ux, uy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
     t = F.coalesce(((F.col("x") - F.col("s.a.x")) * ux + (F.col("y") - F.col("s.a.y")) * uy) / F.nullif(ux * ux + uy * uy, F.lit(0.0)), F.lit(0.0))
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
     near = near.withColumns({"tx": F.col("s.a.x") + t * ux, "ty": F.col("s.a.y") + t * uy})
-    by_frame = ends.join(frames, "image_id")
+    by_frame = ends.join(frames.hint("merge"), "image_id")
     walls = [("x_min", True), ("x_max", True), ("y_min", False), ("y_max", False)]
     hits = F.array(*[F.struct((F.col(c).cast("double") if is_x else F.col("x")).alias("tx"), (F.col("y") if is_x else F.col(c).cast("double")).alias("ty")) for c, is_x in walls])
     by_frame = by_frame.withColumn("h", F.explode(hits)).select(*ends.columns, F.lit(-1).cast("long").alias("to_line"), F.lit(0).alias("to_level"), "h.tx", "h.ty")
@@ -43,15 +44,15 @@ def gaps(lines: DataFrame, frames: DataFrame) -> DataFrame:
     # Without a direction of either there is no angle; the least and greatest of a null and a number would be the number.
     turn = (F.col("dx") * (F.col("tx") - F.col("x")) + F.col("dy") * (F.col("ty") - F.col("y"))) / F.nullif(F.col("distance"), F.lit(0.0))
     angle = F.when(turn.isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), turn)))))
-    cand = cand.withColumn("distance", d).withColumn("angle", angle)
+    # An end without a candidate has one at no distance, which comes last.
+    none = ends.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("to_line", "long"), ("to_level", "int"), ("tx", "double"), ("ty", "double"))])
+    cand = cand.unionByName(none).withColumn("distance", d).withColumn("angle", angle)
     # One candidate for each other line: its nearest point.
     per_line = cand.groupBy(*ends.columns, "to_line").agg(F.min(F.struct("distance", "to_level", "angle", "tx", "ty")).alias("c")).select(*ends.columns, "to_line", "c.*")
-    key = ["image_id", "line_id", "side"]
-    by = Window.partitionBy(*key).orderBy("distance", "to_line")
-    ranked = per_line.withColumn("r", F.row_number().over(by)).withColumn("second", F.lead("distance").over(by)).withColumn("within", F.count_if(F.col("distance") <= REVIEW).over(Window.partitionBy(*key)))
-    ranked = ranked.withColumn("own", F.count_if((F.col("distance") <= SNAP) & ((F.col("to_level") == F.col("level")) | (F.col("to_line") == -1))).over(Window.partitionBy(*key)))
+    by = Window.partitionBy(*ends.columns).orderBy(F.asc_nulls_last("distance"), "to_line")
+    ranked = per_line.withColumn("r", F.row_number().over(by)).withColumn("second", F.lead("distance").over(by)).withColumn("within", F.count_if(F.col("distance") <= REVIEW).over(Window.partitionBy(*ends.columns)))
+    ranked = ranked.withColumn("own", F.count_if((F.col("distance") <= SNAP) & ((F.col("to_level") == F.col("level")) | (F.col("to_line") == -1))).over(Window.partitionBy(*ends.columns)))
     best = ranked.where("r = 1").drop("r")
-    best = ends.join(best.select(*key, "to_line", "to_level", "distance", "angle", "tx", "ty", "second", "within", "own"), key, "left")
     only_other = (F.col("level") == 1) & (F.col("own") == 0)
     status = (
         F.when(F.col("distance").isNull() | (F.col("distance") > REVIEW), "open")

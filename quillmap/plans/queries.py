@@ -11,6 +11,7 @@ from ..functions import geometry as g
 from ..functions import ocr
 from ..functions import text as t
 from ..operators import cluster, filters, fit, gcp, joins, linework, metrics, ordered, raster, topology
+from ..storage import materialise
 from . import instances
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -688,7 +689,8 @@ def chain(spark, d):
     FROM r WHERE r = 1
 """)
 def topology_gaps(spark, d):
-    lines = _strokes(spark, d).select("image_id", F.col("shape_idx").alias("line_id"), (1 + F.col("shape_idx") % 2).cast("int").alias("level"), "points")
+    # Written, so that ends, segments and frames draw the strokes once.
+    lines = materialise(_strokes(spark, d).select("image_id", F.col("shape_idx").alias("line_id"), (1 + F.col("shape_idx") % 2).cast("int").alias("level"), "points"), "strokes")
     frames = lines.select("image_id").distinct().select("image_id", F.lit(0.0).alias("x_min"), F.lit(99.0).alias("x_max"), F.lit(0.0).alias("y_min"), F.lit(74.0).alias("y_max"))
     found = topology.gaps(lines, frames)
     # A negative zero is a zero.

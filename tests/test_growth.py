@@ -130,3 +130,17 @@ def test_crossings_are_dealt_to_tasks_and_found_side_by_side(spark, monkeypatch)
         assert abs(r["pixel_y"] - want) < 0.02
     monkeypatch.setattr(gcp, "SIDE_BY_SIDE", 1)
     assert sorted(gcp.intersections(v, h, ["k"]).collect()) == rows
+
+
+def test_gaps_send_no_table_through_the_driver(spark):
+    from quillmap.operators import topology
+
+    rows = [(1, 1, 1, [(10.0, 20.0), (20.0, 20.0)]), (1, 2, 1, [(22.0, 20.0), (40.0, 20.0)]), (2, 1, 1, [(5.0, 5.0), (6.0, 6.0)])]
+    lines = spark.createDataFrame(rows, "image_id long, line_id long, level int, points array<struct<x:double,y:double>>")
+    frames = spark.createDataFrame([(1, 0.0, 99.0, 0.0, 74.0)], "image_id long, x_min double, x_max double, y_min double, y_max double")
+    got = topology.gaps(lines, frames)
+    assert "Broadcast" not in plan(got)
+    found = {(r.image_id, r.line_id, r.side): (r.status, r.to_line, r.distance, r.candidates) for r in got.collect()}
+    assert len(found) == 6 and found[1, 1, "end"] == ("snappable", 2, 2.0, 1)
+    # A sheet without a frame and without another line: ends stay, with no candidate.
+    assert found[2, 1, "start"] == found[2, 1, "end"] == ("open", None, None, 0)
