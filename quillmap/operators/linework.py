@@ -61,22 +61,43 @@ def two_levels(edges: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component): the smallest id each id is linked to, by rounds of neighbours' labels and pointer jumps.
+    """(id, component): the smallest id each id is linked to. An id linked to null only is its own.
 
-    Every round is a table in the shared folder; rounds grow with the logarithm of the longest path. The ids may be of
-    any ordered type.
+    Rounds shrink the graph: every id with a smaller neighbour points to its smallest one, the pointers jump until they
+    reach ids without any, and links between those are the next round's. So each round at least halves the ids, and the
+    links are read once a round. Every round is a table in the shared folder. The ids may be of any ordered type.
     """
-    both = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.min("u")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        done, labels = labels, materialise(step.join(jump, "label", "left").select("id", F.least("label", "further").alias("label"), "was"), "labels")
+    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), F.least("u", "v")).alias("v")).distinct()
+    whole = materialise(ordered(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "edges")
+    alone = whole.where("v IS NULL OR u = v").select(F.explode(F.array("u", "v")).alias("id"))
+    alone = None if alone.isEmpty() else materialise(alone, "alone")
+    links, table, levels = whole.where("u <> v"), whole, []
+    while not links.isEmpty():
+        roots = materialise(links.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root")), "roots")
+        while True:
+            hop = lambda c, n: roots.select(F.col("id").alias(c), F.col("root").alias(n))  # noqa: B023, E731
+            far = roots.join(hop("root", "__2"), "root", "left").select("id", "root", F.coalesce("__2", "root").alias("__2")).join(hop("__2", "__3"), "__2", "left")
+            done, roots = roots, materialise(far.select("id", F.coalesce("__3", "__2").alias("root"), (F.col("__2") != F.col("root")).alias("moved")), "roots")
+            forget(done)
+            if roots.where("moved").isEmpty():
+                break
+        levels.append(roots)
+        to = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"__{c}"))  # noqa: B023, E731
+        moved = links.join(to("u"), "u").join(to("v"), "v", "left").select(F.col("__u").alias("u"), F.coalesce("__v", "v").alias("v"))
+        done, links = table, materialise(ordered(moved.where("u <> v")), "edges")
+        table = links
+        forget(done)
+    # A root of one round may point on in a later one; the last rounds are the smallest.
+    found = levels[-1].select("id", F.col("root").alias("component")) if levels else links.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    for roots in levels[-2::-1]:
+        further = found.select(F.col("id").alias("root"), F.col("component").alias("__c"))
+        found = roots.join(further, "root", "left").select("id", F.coalesce("__c", "root").alias("component")).unionByName(found)
+    found = materialise(found, "labels")
+    for done in (*levels, table):
         forget(done)
-        if labels.where(F.col("label") != F.col("was")).isEmpty():
-            forget(both)
-            return labels.select("id", F.col("label").alias("component"))
+    least = found.select(F.col("component").alias("id"))
+    least = (least.unionByName(alone.join(found, "id", "left_anti")) if alone else least).distinct()
+    return found.unionByName(least.select("id", F.col("id").alias("component")))
 
 
 def component_boxes(pixels: DataFrame, keys: Sequence[str], component: str, least: int = 0) -> DataFrame:

@@ -468,13 +468,13 @@ _COMPONENT_SQL = """
 @query(_COMPONENT_SQL.format(edges="SELECT DISTINCT o_orderkey AS a, 2 * o_orderkey + o_custkey % 2 AS b FROM orders"))
 def components(spark, d):
     """Orders joined to the order of about twice their key: paths that double."""
-    e = _t(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (2 * F.col("o_orderkey") + F.col("o_custkey") % 2).alias("b")).distinct()
+    e = _t(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (2 * F.col("o_orderkey") + F.col("o_custkey") % 2).alias("b"))
     return linework.components(e)
 
 
 @query(_COMPONENT_SQL.format(edges="SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem"))
 def components_all(spark, d):
-    e = _t(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
+    e = _t(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
     return linework.components(e)
 
 

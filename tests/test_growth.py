@@ -144,3 +144,35 @@ def test_gaps_send_no_table_through_the_driver(spark):
     assert len(found) == 6 and found[1, 1, "end"] == ("snappable", 2, 2.0, 1)
     # A sheet without a frame and without another line: ends stay, with no candidate.
     assert found[2, 1, "start"] == found[2, 1, "end"] == ("open", None, None, 0)
+
+
+def test_components_read_their_links_once_a_round(spark, monkeypatch):
+    from quillmap.operators import linework
+
+    tables, plainly = [], linework.materialise
+
+    def counted(df, tag, **more):
+        out = plainly(df, tag, **more)
+        tables.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(linework, "materialise", counted)
+    rng = random.Random(6)
+    pairs = [(f"s{rng.randint(0, 9)}", f"p{rng.randint(0, 300)}") for _ in range(1500)] + [(f"a{k:03d}", f"a{k + 1:03d}") for k in range(200)] + [("z", "z"), ("y", None)]
+    near = {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, set()).update([y] if x and y else [])
+    want = {}
+    for start in near:
+        seen, todo = {start}, [start]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        want[start] = min(seen) if start else None
+    got = [tuple(r) for r in linework.components(spark.createDataFrame(pairs, "a string, b string")).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    links = [n for tag, n in tables if tag == "edges"]
+    # Every round's links are fewer, and the first ones stand there once, not in both directions.
+    assert links[0] <= len(set(pairs)) and sum(links) < 2 * links[0] and links[-1] == 0
