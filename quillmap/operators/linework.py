@@ -119,13 +119,14 @@ TASK_EDGES = 20_000
 def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, line_id, points): noded edges (a, b) of each key joined into lines at the nodes where just two of them meet.
 
-    Edges that share such a node are one component, found in rounds; the lines are then dealt to tasks of TASK_EDGES edges
-    or one longer line, and put in order. A ring begins and ends at its smallest node. line_id is the line's smallest edge
-    as text.
+    Edges are numbered, and those that share such a node are one component, found in rounds; the lines are then dealt to
+    tasks of TASK_EDGES edges or one longer line, and put in order. A ring begins and ends at its smallest node. line_id is
+    the line's smallest edge as text, made of the finished line, so that no text moves.
     """
     keys = list(keys)
     e = edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    e = materialise(e.withColumn("id", F.concat_ws(" ", *[F.format_number(F.col(f"{n}.{c}"), 9) for n in ("a", "b") for c in ("x", "y")], *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])), "edges")
+    # Written, so that an edge keeps its number.
+    e = materialise(e.withColumn("id", F.monotonically_increasing_id()), "edges")
     ends = e.select(*keys, "id", F.explode(F.array("a", "b")).alias("node"))
     inner = ends.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2")
     line = components(inner.select("a", "b")).select("id", F.col("component").alias("line_id"))
@@ -145,7 +146,7 @@ def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         return out
 
     def run(table: pa.Table) -> pa.Table:
-        lines: dict[str, list[int]] = {}
+        lines: dict[int, list[int]] = {}
         for i, name in enumerate(table.column("line_id").to_pylist()):
             lines.setdefault(name, []).append(i)
         ends = [[(n["x"], n["y"]) for n in table.column(c).to_pylist()] for c in ("a", "b")]
@@ -153,12 +154,14 @@ def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         first = table.select([*keys, "line_id"]).take(pa.array([rows[0] for rows in lines.values()], pa.int64()))
         return first.append_column("points", pa.array(points, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
-    # The id holds the keys, so a line is one of its key.
+    # Edges that share a node are of one key, so a line is one of its key.
     tasks = max(1, -(-e.count() // TASK_EDGES))
     rows = e.join(line, "id", "left").select(*keys, F.coalesce("line_id", "id").alias("line_id"), "a", "b")
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "line_id string", "points array<struct<x:double,y:double>>"])
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "line_id long", "points array<struct<x:double,y:double>>"])
     rows = rows.withColumn("__task", F.pmod(F.xxhash64("line_id"), F.lit(tasks)))
-    return rows.groupBy("__task").applyInArrow(lambda t: run(t.drop(["__task"])), schema)
+    found = rows.groupBy("__task").applyInArrow(lambda t: run(t.drop(["__task"])), schema)
+    text = lambda s: F.concat_ws(" ", *[F.format_number(end(s["a"], s["b"])[c], 9) for end in (F.least, F.greatest) for c in ("x", "y")], *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return found.select(*keys, F.array_min(F.transform(segments(F.col("points")), text)).alias("line_id"), "points")
 
 
 def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> DataFrame:

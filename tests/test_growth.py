@@ -176,3 +176,18 @@ def test_components_read_their_links_once_a_round(spark, monkeypatch):
     links = [n for tag, n in tables if tag == "edges"]
     # Every round's links are fewer, and the first ones stand there once, not in both directions.
     assert links[0] <= len(set(pairs)) and sum(links) < 2 * links[0] and links[-1] == 0
+
+
+def test_no_text_of_edges_moves_in_merged(spark, monkeypatch):
+    from quillmap.operators import linework
+
+    kinds, plainly = [], linework.materialise
+    monkeypatch.setattr(linework, "materialise", lambda df, tag, **more: (kinds.extend(t for _, t in df.dtypes), plainly(df, tag, **more))[1])
+    at = lambda *p: [(float(x), float(y)) for x, y in p]
+    rows = [(1, *at((0, 0), (1, 0))), (1, *at((2, 0), (1, 0))), (2, *at((1, 0), (0, 0))), (1, *at((5, 5), (6, 5))), (1, *at((6, 5), (6, 6))), (1, *at((6, 6), (5, 5)))]
+    edges = spark.createDataFrame(rows, "k int, a struct<x:double,y:double>, b struct<x:double,y:double>")
+    got = {(r.k, r.line_id, tuple(map(tuple, r.points))) for r in linework.merged(edges, ["k"]).collect()}
+    name = lambda k, *v: " ".join([*(f"{x:.9f}" for x in v), str(k)])
+    line, ring = ((0.0, 0.0), (1.0, 0.0), (2.0, 0.0)), ((5.0, 5.0), (6.0, 5.0), (6.0, 6.0), (5.0, 5.0))
+    assert got == {(1, name(1, 0, 0, 1, 0), line), (2, name(2, 0, 0, 1, 0), line[:2]), (1, name(1, 5, 5, 6, 5), ring)}
+    assert kinds and "string" not in kinds
