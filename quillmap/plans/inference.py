@@ -47,6 +47,38 @@ def tiles(images: DataFrame, size: int = 512, stride: int = 256, fill: tuple[int
     return images.select("image_id", "width", "height", "channels", "data").mapInArrow(run, f"image_id {kind}, row int, col int, data binary")
 
 
+#: Bytes of rows that leave a task together: many small images would else cost a batch each.
+TOGETHER = 1 << 20
+
+
+def together(rows: Iterator[tuple[int, pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """The batches of (bytes, batch), put together until they hold TOGETHER bytes."""
+    held, size = [], 0
+    for n, batch in rows:
+        held, size = [*held, batch], size + n
+        if size >= TOGETHER or len(held) >= 1000:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Sorted rows, those of one key together as a table."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        codes = b.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for start, end in zip(cuts, cuts[1:]):
+            part = b.slice(start, end - start)
+            if held and not held[-1].column(key)[0].equals(part.column(key)[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 #: Rows of tiles that one task predicts and blends.
 BAND_ROWS = 4
 
@@ -55,7 +87,7 @@ def bands(images: DataFrame, size: int, stride: int, band_rows: int = BAND_ROWS)
     """(image_id, width, height, channels, first, rows, data): each image's rows of tiles, band_rows at a time, with the pixels under them."""
     kind = images.select("image_id").schema[0].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
             for k in range(batch.num_rows):
                 w, h, c = (batch.column(n)[k].as_py() for n in ("width", "height", "channels"))
@@ -65,9 +97,9 @@ def bands(images: DataFrame, size: int, stride: int, band_rows: int = BAND_ROWS)
                     n = min(band_rows, rows - first)
                     part = img[first * stride : (first + n - 1) * stride + size]
                     ints = [pa.array([v], pa.int32()) for v in (w, h, c, first, n)]
-                    yield pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), *ints, pa.array([part.tobytes()], pa.binary())], ["image_id", "width", "height", "channels", "first", "rows", "data"])
+                    yield part.nbytes, pa.RecordBatch.from_arrays([batch.column("image_id").slice(k, 1), *ints, pa.array([part.tobytes()], pa.binary())], ["image_id", "width", "height", "channels", "first", "rows", "data"])
 
-    return images.select("image_id", "width", "height", "channels", "data").mapInArrow(run, f"image_id {kind}, width int, height int, channels int, first int, rows int, data binary")
+    return images.select("image_id", "width", "height", "channels", "data").mapInArrow(lambda batches: together(cut(batches)), f"image_id {kind}, width int, height int, channels int, first int, rows int, data binary")
 
 
 def sliding_window(images: DataFrame, model: Callable[[], Callable[[np.ndarray], np.ndarray]], classes: int, size: int = 512, stride: int = 256, weights: np.ndarray | None = None, batch: int = 8, band_rows: int = BAND_ROWS) -> DataFrame:
@@ -79,7 +111,7 @@ def sliding_window(images: DataFrame, model: Callable[[], Callable[[np.ndarray],
 
     A task takes a band of band_rows rows of tiles and blends them along the band, so the blocks inside it leave it as
     finished bytes. Only the sums of the blocks that the next band reaches into move on, size / stride - 1 rows of them for
-    each seam. A task holds one band, a group the parts of one block.
+    each seam. A task holds one band, or the sums of one block: parts come sorted by block and are added as they pass.
     """
     if size % stride:
         raise ValueError("the stride must divide the size of a tile")
@@ -87,12 +119,14 @@ def sliding_window(images: DataFrame, model: Callable[[], Callable[[np.ndarray],
     n, kind = size // stride, images.select("image_id").schema[0].dataType.simpleString()
     names = ["image_id", "width", "height", "i", "j", "data", "part"]
 
-    def likeliest(total: np.ndarray, w: int, h: int, i: int, j: int) -> bytes | None:
+    def likeliest(total: np.ndarray) -> np.ndarray:
+        return (total[:, :, :classes] / np.maximum(total[:, :, classes:], 1e-6)).argmax(axis=2).astype(np.uint8)
+
+    def inside(likely: np.ndarray, w: int, h: int, i: int, j: int) -> bytes | None:
         cw, ch = max(0, min(stride, w - j * stride)), max(0, min(stride, h - i * stride))
-        likely = (total[:, :, :classes] / np.maximum(total[:, :, classes:], 1e-6)).argmax(axis=2).astype(np.uint8)
         return likely[:ch, :cw].tobytes() or None
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         run = None
         for b in batches:
             run = run or model()
@@ -114,23 +148,40 @@ def sliding_window(images: DataFrame, model: Callable[[], Callable[[np.ndarray],
                 out = []
                 for r in range(rows + n - 1):
                     shared = first > 0 and r < n - 1 or not last and r >= rows
+                    strip = total[r * stride : (r + 1) * stride]
+                    done = strip if shared else likeliest(strip)
                     for j in range(cols + n - 1):
-                        block = total[r * stride : (r + 1) * stride, j * stride : (j + 1) * stride]
-                        out.append((first + r, j, None if shared else likeliest(block, w, h, first + r, j), block.tobytes() if shared else None))
+                        block = done[:, j * stride : (j + 1) * stride]
+                        out.append((first + r, j, *((None, block.tobytes()) if shared else (inside(block, w, h, first + r, j), None))))
                 i, j, data, part = zip(*out, strict=True)
                 same = [pa.array([v] * len(out), t) for v, t in ((b.column("image_id")[k].as_py(), b.column("image_id").type), (w, pa.int32()), (h, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(data, pa.binary()), pa.array(part, pa.binary())], names)
+                rows_out = pa.RecordBatch.from_arrays([*same, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(data, pa.binary()), pa.array(part, pa.binary())], names)
+                yield rows_out.nbytes, rows_out
 
-    def blend(group: pa.Table) -> pa.Table:
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Parts are added in the order of their bytes, so that the sum does not hang on how they arrive.
-        total = sum(np.frombuffer(v, float).reshape(stride, stride, classes + 1) for v in sorted(group.column("part").to_pylist()))
-        w, h, i, j = (group.column(x)[0].as_py() for x in ("width", "height", "i", "j"))
-        one = group.select(names[:5]).slice(0, 1)
-        return one.append_column("data", pa.array([likeliest(total, w, h, i, j)], pa.binary()))
+        held, total = None, None
+        for b in batches:
+            out, parts = [], b.column("part")
+            for k, block in enumerate(zip(*(b.column(x).to_pylist() for x in names[:5]), strict=True)):
+                part = np.frombuffer(parts[k].as_buffer(), float).reshape(stride, stride, classes + 1)
+                if block == held:
+                    total = total + part
+                    continue
+                if held is not None:
+                    out.append((*held, inside(likeliest(total), *held[1:])))
+                held, total = block, part
+            total = np.array(total)
+            yield rows(out, b.schema)
+        if held is not None:
+            yield rows([(*held, inside(likeliest(total), *held[1:]))], b.schema)
+
+    def rows(out: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.field(x).type) for k, x in enumerate(names[:6])], names[:6])
 
     schema = f"image_id {kind}, width int, height int, i int, j int, data binary"
-    found = materialise(bands(images, size, stride, band_rows).repartition("image_id", "first").mapInArrow(predict, f"{schema}, part binary"), "predicted")
-    seams = found.where("part IS NOT NULL").groupBy("image_id", "i", "j").applyInArrow(blend, schema)
+    found = materialise(bands(images, size, stride, band_rows).repartition("image_id", "first").mapInArrow(lambda batches: together(predict(batches)), f"{schema}, part binary"), "predicted")
+    seams = found.where("part IS NOT NULL").repartition("image_id", "i", "j").sortWithinPartitions("image_id", "i", "j", "part").mapInArrow(blend, schema)
     blocks = found.where("part IS NULL").drop("part").unionByName(seams).where("data IS NOT NULL")
     x0, y0 = F.col("j") * stride, F.col("i") * stride
     return blocks.select("image_id", x0.alias("x0"), y0.alias("y0"), F.least(F.lit(stride), F.col("width") - x0).alias("width"), F.least(F.lit(stride), F.col("height") - y0).alias("height"), "data")

@@ -191,3 +191,15 @@ def test_no_text_of_edges_moves_in_merged(spark, monkeypatch):
     line, ring = ((0.0, 0.0), (1.0, 0.0), (2.0, 0.0)), ((5.0, 5.0), (6.0, 5.0), (6.0, 6.0), (5.0, 5.0))
     assert got == {(1, name(1, 0, 0, 1, 0), line), (2, name(2, 0, 0, 1, 0), line[:2]), (1, name(1, 5, 5, 6, 5), ring)}
     assert kinds and "string" not in kinds
+
+
+def test_seams_and_drawings_need_no_group_for_each(spark):
+    from quillmap.plans import queries
+
+    got = queries.QUERIES["window_prediction"](spark, "/root/testdata/sf0.001")
+    assert "FlatMapGroupsInArrow" not in plan(got)
+    rows = [tuple(r) for r in got.collect()]
+    pixels = Counter()
+    for sheet, _, n in rows:
+        pixels[sheet] += n
+    assert pixels and set(pixels.values()) == {7500} and len({r[:2] for r in rows}) == len(rows)
