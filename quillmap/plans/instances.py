@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import fit, raster
 from ..operators.filters import INSTANCE_CONFIDENCE, confident
-from ..operators.joins import ROUNDS, TASK_PAIRS, in_components, radius_pairs
+from ..operators.joins import ROUNDS, TASK_PAIRS, radius_pairs
+from ..operators.linework import components
 from ..storage import forget, materialise
 
 #: Classes of instances, the tolerance of an arc's simplification, and the distance under which lines are one.
@@ -40,45 +42,81 @@ def close_lines(lines: DataFrame, keys: Sequence[str], line: str, within: float
 def leading_lines(lines: DataFrame, keys: Sequence[str], line: str, within: float = CLOSE, most: int = TASK_PAIRS) -> DataFrame:
     """Lines in order: the first that is left leads and takes all later ones close to it. Returns the leaders.
 
-    Rounds over the pairs of close lines: a line that nothing earlier is close to leads, and what is close to a leader
-    goes. Chains that ROUNDS rounds leave are passed through in order by components of up to `most` pairs, each in one
-    task; only larger ones take more rounds.
+    Rounds over cells as wide as the reach, without pairs of lines: the first line that is left in all cells around both its
+    ends leads, and what is close to a leader goes. Leaders are apart, so a cell has few. What ROUNDS rounds leave is cut
+    where no cells touch; such parts of up to `most` lines are passed through in order, each in one task that holds the
+    part's leaders only, and larger ones take more rounds. Lines without a key or a name lead, since nothing is compared to them.
     """
     keys = list(keys)
-    pairs = materialise(close_lines(lines, keys, line, within).select(*keys, "a", "b"), "close")
-    gone, rounds = [], 0
     names = [*keys, line]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.select(*names).schema)
-
-    def in_order(table: pa.Table) -> pa.Table:
-        near: dict[tuple, list[tuple]] = {}
-        for r in table.to_pylist():
-            group = tuple(r[k] for k in keys)
-            near.setdefault((*group, r["a"]), []).append((*group, r["b"]))
-        out: dict[tuple, None] = {}
-        for a in sorted(near):
-            if a not in out:
-                out.update(dict.fromkeys(near[a]))
-        types = [*[table.schema.field(k).type for k in keys], table.schema.field("b").type]
-        return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
-
-    while not pairs.isEmpty():
+    named = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names])
+    cell = lambda k: F.struct(F.floor(F.col(f"x{k}") / within).alias("i"), F.floor(F.col(f"y{k}") / within).alias("j"))
+    here = [F.col("__1.i").isNotNull() & F.col("__1.j").isNotNull(), F.col("__2.i").isNotNull() & F.col("__2.j").isNotNull()]
+    held = lines.where(named).select(*names, *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]).withColumns({"__1": cell(1), "__2": cell(2)})
+    left, found, rounds = materialise(held, "lines"), [], 0
+
+    def around(c: str) -> Column:
+        return F.explode(F.array(*[F.struct((F.col(f"{c}.i") + i).alias("i"), (F.col(f"{c}.j") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    def ends(df: DataFrame, *more: str) -> DataFrame:
+        """A row for each end with its cell; an end without a place has none."""
+        each = F.explode(F.array(*[F.struct(F.when(here[k - 1], F.col(f"__{k}")).alias("c"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)]))
+        return df.select(*keys, *more, each.alias("__e")).where("__e.c IS NOT NULL").select(*keys, *more, F.col("__e.c").alias("__c"), F.col("__e.x").alias("__x"), F.col("__e.y").alias("__y"))
+
+    def parted(df: DataFrame) -> DataFrame:
+        """df with the part that its first end with a place belongs to; cells that touch or hold one line's ends are of one."""
+        name = lambda c: F.struct(*keys, F.col(f"{c}.i").alias("i"), F.col(f"{c}.j").alias("j"))
+        full = materialise(ends(df).select(*keys, "__c").distinct(), "cells")
+        beside = full.select(*keys, "__c", around("__c").alias("__n")).join(full.select(*keys, F.col("__c").alias("__n")), [*keys, "__n"])
+        tied = beside.select(name("__c").alias("a"), name("__n").alias("b")).unionByName(df.where(here[0] & here[1]).select(name("__1").alias("a"), name("__2").alias("b")).distinct())
+        return df.withColumn("id", F.when(here[0], name("__1")).otherwise(name("__2"))).join(components(tied), "id").drop("id")
+
+    def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, near = None, {}
+        for b in batches:
+            kept = []
+            rows = zip(*(b.column(c).to_pylist() for c in ("component", "x1", "y1", "x2", "y2", "__1", "__2")), strict=True)
+            for k, (own, x1, y1, x2, y2, c1, c2) in enumerate(rows):
+                if own != part:
+                    part, near = own, {}
+                at = [(c["i"], c["j"], x, y) for c, x, y in ((c1, x1, y1), (c2, x2, y2)) if c["i"] is not None and c["j"] is not None]
+                if not any(math.sqrt((x - u) ** 2 + (y - v) ** 2) < within for i, j, x, y in at for p in (-1, 0, 1) for q in (-1, 0, 1) for u, v in near.get((i + p, j + q), ())):
+                    kept.append(k)
+                    for i, j, x, y in at:
+                        near.setdefault((i, j), []).append((x, y))
+            yield b.select(names).take(pa.array(kept, pa.int64()))
+
+    while not left.isEmpty():
         if rounds == ROUNDS:
-            node = lambda c: F.struct(*keys, F.col(c).alias("id"))
-            solved, rest = in_components(pairs, keys, node("a"), node("b"), in_order, kind, most)
-            gone.append(materialise(solved, "taken"))
-            left = rest
+            placed = materialise(parted(left.where(here[0] | here[1])), "parted")
+            sized = placed.groupBy("component").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") <= most).select("component")
+            small = materialise(placed.join(sized, "component", "left_semi"), "small")
+            tasks = max(1, -(-small.count() // most))
+            sent = small.repartition(tasks, "component").sortWithinPartitions("component", line)
+            found.append(materialise(sent.mapInArrow(in_order, sent.select(*names).schema), "leaders"))
+            rest = placed.join(small.select("component").distinct(), "component", "left_anti").select(*left.columns)
+            rest = rest.unionByName(left.where(~(here[0] | here[1])))
         else:
-            leaders = pairs.select(*keys, "a").distinct().join(pairs.select(*keys, F.col("b").alias("a")), [*keys, "a"], "left_anti")
-            taken = materialise(pairs.join(leaders, [*keys, "a"], "left_semi").select(*keys, F.col("b").alias(line)).distinct(), "taken")
-            gone.append(taken)
-            out = taken.withColumnRenamed(line, "b")
-            left = pairs.join(out, [*keys, "b"], "left_anti").join(out.withColumnRenamed("b", "a"), [*keys, "a"], "left_anti")
-            # Pairs of leaders are settled.
-            left = left.join(leaders, [*keys, "a"], "left_anti").select(*pairs.columns)
-        done, pairs, rounds = pairs, materialise(left, "close"), rounds + 1
+            first = ends(left, line, "x1", "y1", "x2", "y2", "__1", "__2").groupBy(*keys, "__c").agg(F.min(F.struct(line, "x1", "y1", "x2", "y2", "__1", "__2")).alias("__m"))
+            first = materialise(first, "first")
+            lowest = first.select(*keys, around("__c").alias("__c"), F.col(f"__m.{line}").alias("__least")).groupBy(*keys, "__c").agg(F.min("__least").alias("__least"))
+            waits = ends(first.select(*keys, "__m.*").distinct(), line).join(lowest, [*keys, "__c"]).where(F.col("__least") < F.col(line)).select(*names)
+            # A line without a place is close to none.
+            leads = first.select(*keys, "__m.*").distinct().join(waits, names, "left_anti").unionByName(left.where(~(here[0] | here[1])))
+            found.append(materialise(leads, "leaders"))
+            near = ends(found[-1]).select(*keys, around("__c").alias("__c"), F.col("__x").alias("__u"), F.col("__y").alias("__v")).distinct()
+            rest = left
+            for k in (1, 2):
+                other = near.select(*[F.col(c).alias(f"__k_{c}") for c in keys], "__c", "__u", "__v")
+                on = (F.col(f"__{k}") == F.col("__c")) & (F.sqrt((F.col(f"x{k}") - F.col("__u")) ** 2 + (F.col(f"y{k}") - F.col("__v")) ** 2) < within)
+                for c in keys:
+                    on = (F.col(c) == F.col(f"__k_{c}")) & on
+                rest = rest.join(other, on, "left_anti")
+            rest = rest.join(found[-1].select(*names), names, "left_anti")
+        done, left, rounds = left, materialise(rest.select(*held.columns), "lines"), rounds + 1
         forget(done)
-    return lines.join(reduce(DataFrame.unionByName, gone), names, "left_anti") if gone else lines
+    leaders = reduce(DataFrame.unionByName, [f.select(*names) for f in found]) if found else held.select(*names)
+    return lines.join(leaders, names, "left_semi").select(*lines.columns).unionByName(lines.where(~named))
 
 
 def instance_lines(pixels: DataFrame, instances: DataFrame, width, height, least: float = INSTANCE_CONFIDENCE, close: float = CLOSE) -> tuple[DataFrame, DataFrame]:

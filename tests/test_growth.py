@@ -203,3 +203,25 @@ def test_seams_and_drawings_need_no_group_for_each(spark):
     for sheet, _, n in rows:
         pixels[sheet] += n
     assert pixels and set(pixels.values()) == {7500} and len({r[:2] for r in rows}) == len(rows)
+
+
+def test_leaders_are_found_without_pairs(spark, monkeypatch):
+    tables, plainly = [], instances.materialise
+
+    def counted(df, tag, **more):
+        out = plainly(df, tag, **more)
+        tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(instances, "materialise", counted)
+    rng = random.Random(8)
+    lines = [(1, k, *(float(rng.randint(0, 60)) for _ in range(4))) for k in range(700)] + [(2, 1, None, 3.0, 1.0, 2.0), (2, 2, 1.0, 2.0, 50.0, 50.0), (2, 3, None, None, None, None), (None, 4, 0.0, 0.0, 0.0, 0.0)]
+    got = instances.leading_lines(spark.createDataFrame(lines, "k int, line int, x1 double, y1 double, x2 double, y2 double"), ["k"], "line", 12.0)
+    want = []
+    for k, a, *p in lines:
+        at = [e for e in (p[:2], p[2:]) if None not in e]
+        if k is None or all(math.dist(e, f) >= 12.0 for j, _, taken in want if j == k for e in at for f in taken):
+            want.append((k, a, at))
+    assert sorted((r["k"] or 0, r["line"]) for r in got.collect()) == sorted((k or 0, a) for k, a, _ in want)
+    # Of 700 lines a hundred thousand pairs are close.
+    assert max(tables) <= 703
