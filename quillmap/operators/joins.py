@@ -188,20 +188,113 @@ def in_components(pairs: DataFrame, keys: Sequence[str], left: Column, right: Co
     return solved, sized.join(small.select("component").distinct(), "component", "left_anti").select(*pairs.columns)
 
 
+#: Pairs a row up to which rows are matched by pairs; more go by places.
+ROW_PAIRS = 16
+
+
 def greedy_match(left: DataFrame, right: DataFrame, keys: Sequence[str], lpos: str, rpos: str, lid: str, rid: str, within: float, most: int = TASK_PAIRS) -> DataFrame:
     """One-to-one matching, nearest pairs first (ties by left, then right id), up to a distance of within inclusive.
 
-    Pairs within reach come from a bucket join. Rounds of mutual best choices give what the sorted greedy pass gives: a
-    pair that is the best for both its sides is taken, and all pairs of what it uses go. What ROUNDS rounds leave hangs on
-    long chains; its components of up to `most` pairs are passed through in order, each in one task, and only larger ones
-    take more rounds.
+    Rounds over places, without pairs: where a place of lefts and one of rights are nearest to each other, and no other is
+    as near, their rows are matched in the order of their ids; of several as near, the first pair alone is taken. Rows out
+    of reach go. Once a few pairs a row are left, or if there never were more, the rest goes by pairs. Keys whose ids repeat, or whose places differ by so little that distances round to the same, go by pairs at once.
+    """
+    # Keys go by names of their own, which no column in between has.
+    names, keys = list(keys), [f"__key{i}" for i, _ in enumerate(keys)]
+    named = lambda df: df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], "l_id", "r_id", "distance")
+
+    def placed(df: DataFrame, at: str, name: str) -> DataFrame:
+        some = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in names], F.col(name).isNotNull() & (F.abs(at) < float("inf")))
+        return df.where(some).select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col(name).alias("id"), F.col(at).alias("p"))
+
+    l, r = placed(left, lpos, lid), placed(right, rpos, rid)
+    if {dict(df.dtypes)["p"] for df in (l, r)} - {"double", "int", "bigint"}:
+        return named(_matched_pairs(_reach(l, r, keys, within), keys, most))
+    again = [df.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys) for df in (l, r)]
+    shift = F.explode(F.array(F.lit(0.0), F.lit(0.5)))
+    places = l.select(*keys, F.col("p").cast("double")).unionByName(r.select(*keys, F.col("p").cast("double"))).distinct().withColumn("shift", shift).withColumn("b", F.floor(F.col("p") / within + F.col("shift")))
+    gap = F.col("p") - F.lag("p").over(Window.partitionBy(*keys, "shift", "b").orderBy("p"))
+    odd = materialise(places.withColumn("gap", gap).where((F.col("gap") > 0) & (F.col("gap") <= within * 2.0**-51)).select(*keys).unionByName(again[0]).unionByName(again[1]).distinct(), "odd")
+    taken = []
+    if not odd.isEmpty():
+        taken.append(_matched_pairs(_reach(l.join(odd, keys, "left_semi"), r.join(odd, keys, "left_semi"), keys, within), keys, most))
+        l, r = l.join(odd, keys, "left_anti"), r.join(odd, keys, "left_anti")
+    rank = F.row_number().over(Window.partitionBy(*keys, "p").orderBy("id"))
+    l, r = (materialise(df.withColumn("rank", rank), "ranked") for df in (l, r))
+    tables, rounds = [l, r], 0
+    while not l.isEmpty() and not r.isEmpty():
+        if _pair_count(l, r, keys, within) <= ROW_PAIRS * (l.count() + r.count()):
+            taken.append(_matched_pairs(_reach(l, r, keys, within), keys, most, min(rounds, ROUNDS)))
+            break
+        lefts, rights = _nearest_places(l, r, keys, within)
+        n = F.when(F.col("tie") | F.col("o_tie"), 1).otherwise(F.least("n", "o_n"))
+        agreed = lefts.join(rights.select(*keys, F.col("p").alias("q"), F.col("q").alias("p"), F.col("n").alias("o_n"), F.col("tie").alias("o_tie")), [*keys, "p", "q"]).select(*keys, "p", "q", n.alias("k"))
+        agreed = materialise(agreed, "agreed")
+        # Of a place the first rows go, so what is left of it begins at one rank.
+        own = lambda df, at, near: df.join(near.select(*keys, "p", "passed").join(agreed.select(*keys, F.col(at).alias("p"), F.col("p").alias("pair"), "k"), [*keys, "p"], "left"), [*keys, "p"]).withColumn("nth", F.when(F.col("rank") - F.col("passed") <= F.col("k"), F.col("rank") - F.col("passed")))  # noqa: B023, E731
+        l, r = materialise(own(l, "p", lefts), "lefts"), materialise(own(r, "q", rights), "rights")
+        pairs = l.where("nth IS NOT NULL").select(*keys, "pair", "nth", F.col("id").alias("l_id"), F.col("p").alias("__l"))
+        pairs = pairs.join(r.where("nth IS NOT NULL").select(*keys, "pair", "nth", F.col("id").alias("r_id"), F.col("p").alias("__r")), [*keys, "pair", "nth"])
+        taken.append(materialise(pairs.select(*keys, "l_id", "r_id", F.abs(F.col("__l") - F.col("__r")).alias("distance")), "matched"))
+        for done in (*tables, agreed, lefts, rights):
+            forget(done)
+        tables, rounds = [l, r], rounds + 1
+        l, r = (df.where("nth IS NULL").select(*keys, "id", "p", "rank") for df in (l, r))
+    none = _reach(l.limit(0), r.limit(0), keys, within)
+    return named(reduce(DataFrame.unionByName, taken, none))
+
+
+def _nearest_places(l: DataFrame, r: DataFrame, keys: Sequence[str], within: float) -> tuple[DataFrame, DataFrame]:
+    """For places p of lefts and of rights the nearest place q of the other side within reach: (keys, p, q, n, passed, tie).
+
+    n rows are at p, after `passed` that are gone; of two places as near (tie) q is that of the smaller first id. As in
+    nearest_centre(), places of a bucket stand in one order, with the nearest ones of the buckets beside it.
+    """
+    side = lambda df, s: df.select(*keys, "p", F.col("id").alias(f"{s}_id"), F.col("rank").alias(f"{s}_rank"))
+    rows = side(l, "l").unionByName(side(r, "r"), True)
+    places = rows.groupBy(*keys, "p").agg(*[f for s in "lr" for f in (F.count(f"{s}_id").alias(f"{s}_n"), F.min(f"{s}_id").alias(f"{s}_id"), (F.min(f"{s}_rank") - 1).alias(f"{s}_passed"))])
+    at = lambda s: F.when(F.col(f"{s}_n") > 0, F.struct(F.col("p").alias("q"), F.col(f"{s}_id").alias("id"))).alias(s)
+    places = materialise(places.select("*", at("l"), at("r"), F.floor(F.col("p") / within).alias("__b")), "places")
+    ends = places.groupBy(*keys, "__b").agg(*[f(s).alias(f"{s}_{n}") for s in "lr" for f, n in ((F.max, "last"), (F.min, "first"))])
+    beside = [ends.where(f"{s}_{n} IS NOT NULL").select(*keys, (F.col("__b") + step).alias("__b"), F.col(f"{s}_{n}.q").alias("p"), F.col(f"{s}_{n}").alias(s)) for s in "lr" for n, step in (("last", 1), ("first", -1))]
+    rows = reduce(lambda a, b: a.unionByName(b, True), [places.withColumn("own", F.lit(1)), *beside])
+    last = lambda s, order: F.last(s, ignorenulls=True).over(Window.partitionBy(*keys, "__b").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    near = rows.withColumns({f"{s}_{name}": last(s, order) for s in "lr" for name, order in (("below", F.asc("p")), ("above", F.desc("p")))}).where("own = 1")
+    out = []
+    for s, o in ("lr", "rl"):
+        ways = [F.abs(F.col("p") - F.col(f"{o}_{w}.q")) for w in ("below", "above")]
+        best = F.least(*[F.when(d <= within, F.struct(d.alias("d"), F.col(f"{o}_{w}.id").alias("id"), F.col(f"{o}_{w}.q").alias("q"))) for d, w in zip(ways, ("below", "above"), strict=True)])
+        tie = F.coalesce((ways[0] == ways[1]) & (F.col(f"{o}_below.q") != F.col(f"{o}_above.q")), F.lit(False))
+        found = near.where(f"{s}_n > 0").withColumn("m", best).where("m IS NOT NULL")
+        out.append(materialise(found.select(*keys, "p", "m.q", F.col(f"{s}_n").alias("n"), F.col(f"{s}_passed").alias("passed"), tie.alias("tie")), "nearest"))
+    forget(places)
+    return out[0], out[1]
+
+
+def _reach(l: DataFrame, r: DataFrame, keys: Sequence[str], within: float) -> DataFrame:
+    """(keys, l_id, r_id, distance): all pairs within reach, by a join on buckets."""
+    b = F.floor(F.col("p") / within)
+    l = l.select(*keys, F.col("id").alias("l_id"), F.col("p").alias("l_pos"), F.explode(F.array(b - 1, b, b + 1)).alias("__b"))
+    r = r.select(*keys, F.col("id").alias("r_id"), F.col("p").alias("r_pos"), b.alias("__b"))
+    return l.join(r, [*keys, "__b"]).select(*keys, "l_id", "r_id", F.abs(F.col("l_pos") - F.col("r_pos")).alias("distance")).where(F.col("distance") <= within)
+
+
+def _pair_count(l: DataFrame, r: DataFrame, keys: Sequence[str], within: float) -> int:
+    """Pairs that the join of _reach() meets, from the rows of each bucket."""
+    b = F.floor(F.col("p") / within)
+    n = lambda df, *at: df.select(*keys, F.explode(F.array(*at)).alias("__b")).groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("n"))
+    met = n(l, b - 1, b, b + 1).join(n(r, b).withColumnRenamed("n", "m"), [*keys, "__b"])
+    return met.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+
+
+def _matched_pairs(pairs: DataFrame, keys: Sequence[str], most: int, rounds: int = 0) -> DataFrame:
+    """greedy_match() of pairs that are there: rounds of mutual best choices give what the sorted greedy pass gives.
+
+    A pair that is the best for both its sides is taken, and all pairs of what it uses go. What ROUNDS rounds leave hangs
+    on long chains; its components of up to `most` pairs are passed through in order, each in one task, and only larger
+    ones take more rounds.
     """
-    keys = list(keys)
-    b = lambda c: F.floor(F.col(c) / within)
-    l = left.select(*keys, F.col(lid).alias("l_id"), F.col(lpos).alias("l_pos")).withColumn("__b", F.explode(F.array(b("l_pos") - 1, b("l_pos"), b("l_pos") + 1)))
-    r = right.select(*keys, F.col(rid).alias("r_id"), F.col(rpos).alias("r_pos")).withColumn("__b", b("r_pos"))
-    pairs = l.join(r, [*keys, "__b"]).select(*keys, "l_id", "r_id", F.abs(F.col("l_pos") - F.col("r_pos")).alias("distance")).where(F.col("distance") <= within)
-    pairs, taken, rounds = materialise(pairs, "pairs"), [], 0
+    pairs, taken = materialise(pairs, "pairs"), []
 
     def in_order(table: pa.Table) -> pa.Table:
         rows = sorted(((*(r[k] for k in ("distance", "l_id", "r_id")), *(r[k] for k in keys), i) for i, r in enumerate(table.to_pylist())))

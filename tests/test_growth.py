@@ -225,3 +225,28 @@ def test_leaders_are_found_without_pairs(spark, monkeypatch):
     assert sorted((r["k"] or 0, r["line"]) for r in got.collect()) == sorted((k or 0, a) for k, a, _ in want)
     # Of 700 lines a hundred thousand pairs are close.
     assert max(tables) <= 703
+
+
+def test_greedy_match_of_copies_makes_no_pairs(spark, monkeypatch):
+    tables, plainly = [], joins.materialise
+
+    def counted(df, tag, **more):
+        out = plainly(df, tag, **more)
+        tables.append(out.count())
+        return out
+
+    monkeypatch.setattr(joins, "materialise", counted)
+    rng = random.Random(9)
+    # Copies at the same places, ties on both sides; a key whose ids repeat, and one whose places round to one distance.
+    left = [(1, k, float(rng.randint(0, 40))) for k in range(250)] + [(2, 7, 1.0), (2, 8, 5.0), (3, 1, 100.0), (None, 5, 1.0), (1, 999, None)]
+    right = [(1, 1000 + k, float(rng.randint(0, 40))) for k in range(200)] + [(2, 1, 2.0), (2, 1, 5.5), (3, 5, 0.1 + 0.2), (3, 4, 0.3)]
+    pairs = sorted((abs(p - q), a, b, k) for k, a, p in left for j, b, q in right if k == j and p is not None and abs(p - q) <= 100)
+    used, want = set(), set()
+    for d, a, b, k in pairs:
+        if not used & {("l", k, a), ("r", k, b)}:
+            used |= {("l", k, a), ("r", k, b)}
+            want.add((k, a, b, d))
+    l, r = spark.createDataFrame(left, "k int, l long, p double"), spark.createDataFrame(right, "k int, r long, q double")
+    assert {tuple(x) for x in joins.greedy_match(l, r, ["k"], "p", "q", "l", "r", 100.0).collect()} == want
+    # Of 450 rows 50,000 pairs are within reach; what the rounds leave may make a few a row.
+    assert max(tables) <= joins.ROW_PAIRS * (len(left) + len(right))
