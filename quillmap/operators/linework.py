@@ -119,14 +119,24 @@ TASK_EDGES = 20_000
 def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, line_id, points): noded edges (a, b) of each key joined into lines at the nodes where just two of them meet.
 
-    Edges are numbered, and those that share such a node are one component, found in rounds; the lines are then dealt to
-    tasks of TASK_EDGES edges or one longer line, and put in order. A ring begins and ends at its smallest node. line_id is
-    the line's smallest edge as text, made of the finished line, so that no text moves.
+    A ring begins and ends at its smallest node. line_id is the line's smallest edge as text, made of the finished line, so
+    that no text moves.
+    """
+    keys = list(keys)
+    found = paths(edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), keys)
+    text = lambda s: F.concat_ws(" ", *[F.format_number(end(s["a"], s["b"])[c], 9) for end in (F.least, F.greatest) for c in ("x", "y")], *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    return found.select(*keys, F.array_min(F.transform(segments(F.col("points")), text)).alias("line_id"), "points")
+
+
+def paths(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """merged() of distinct edges, the smaller end first, with numbers as line_id.
+
+    Edges are numbered, and those that share a node of two edges are one component, found in rounds; the lines are then dealt
+    to tasks of TASK_EDGES edges or one longer line, and put in order. An edge that shares none is a line as it stands.
     """
     keys = list(keys)
-    e = edges.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     # Written, so that an edge keeps its number.
-    e = materialise(e.withColumn("id", F.monotonically_increasing_id()), "edges")
+    e = materialise(edges.select(*keys, "a", "b", F.monotonically_increasing_id().alias("id")), "edges")
     ends = e.select(*keys, "id", F.explode(F.array("a", "b")).alias("node"))
     inner = ends.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2")
     line = components(inner.select("a", "b")).select("id", F.col("component").alias("line_id"))
@@ -155,13 +165,11 @@ def merged(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
         return first.append_column("points", pa.array(points, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
     # Edges that share a node are of one key, so a line is one of its key.
-    tasks = max(1, -(-e.count() // TASK_EDGES))
-    rows = e.join(line, "id", "left").select(*keys, F.coalesce("line_id", "id").alias("line_id"), "a", "b")
+    rows = materialise(e.join(line, "id").select(*keys, "line_id", "a", "b"), "joined")
+    tasks = max(1, -(-rows.count() // TASK_EDGES))
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "line_id long", "points array<struct<x:double,y:double>>"])
-    rows = rows.withColumn("__task", F.pmod(F.xxhash64("line_id"), F.lit(tasks)))
-    found = rows.groupBy("__task").applyInArrow(lambda t: run(t.drop(["__task"])), schema)
-    text = lambda s: F.concat_ws(" ", *[F.format_number(end(s["a"], s["b"])[c], 9) for end in (F.least, F.greatest) for c in ("x", "y")], *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    return found.select(*keys, F.array_min(F.transform(segments(F.col("points")), text)).alias("line_id"), "points")
+    found = rows.withColumn("__task", F.pmod(F.xxhash64("line_id"), F.lit(tasks))).groupBy("__task").applyInArrow(lambda t: run(t.drop(["__task"])), schema)
+    return e.join(line, "id", "left_anti").select(*keys, F.col("id").alias("line_id"), F.array("a", "b").alias("points")).unionByName(found)
 
 
 def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> DataFrame:
@@ -195,29 +203,45 @@ def simplified_apart(lines: DataFrame, keys: Sequence[str], line: str, tolerance
     A line that would cross, touch or cover another one or itself is simplified with a quarter of the tolerance, as are the
     lines that it met; what still meets then is not simplified. Rounds end when no more lines meet. Ends stay, so nodes do;
     a ring keeps four points at least.
+
+    So a line that simplification changes has three forms. Which of them meet is found once, and the rounds pass over those
+    pairs; other lines have one form and take part in the search only.
     """
+    name, other = [*keys, line], [*keys, "line2"]
+    rest = [c for c in lines.columns if c != points]
+    lines = materialise(lines, "lines")
+    long = F.coalesce(F.size(points) > 2, F.lit(False))
+    bent = lines.where(long).withColumns({"__own": F.col(points), "__mid": F.col(points)})
+    tried = materialise(simplified(simplified(bent, tolerance, points), tolerance / 4, "__mid"), "simplified")
+    changed = F.col("__own") != F.col(points)
+    straight, bent = lines.where(~long).unionByName(tried.where(~changed).select(lines.columns)), tried.where(changed)
+    forms = bent.select(*name, F.col("__own"), F.posexplode(F.array(points, "__mid", "__own")).alias("form", "__form"))
+    places = forms.select(*name, "form", F.posexplode(segments(F.col("__form"))).alias("place", "s")).select(*name, "form", "place", F.array(F.array("s.a", "s.b")).alias("rings"))
+    moving = overlay.snapped_segments(places, [*name, "form", "place"], unit, closed=False)
+    still = overlay.snapped_segments(straight.select(*keys, F.array(points).alias("rings")), keys, unit, closed=False)
+    segs = materialise(moving.unionByName(still.withColumns({c: F.lit(None).cast(moving.schema[c].dataType) for c in (line, "form", "place")})), "segments")
+    closed = F.get(F.col("__own"), F.lit(0)) == F.element_at("__own", -1)
+    flat = forms.where(closed & (F.size("__form") < 4) & (F.size("__own") >= 4)).select(*name, "form", F.col(line).alias("line2"), F.col("form").alias("form2"))
+    meet = materialise(overlay.touching(segs, keys, line, "form", "place", 2).unionByName(flat), "meet")
+    forget(segs)
+    step = materialise(meet.select(*keys, F.explode(F.array(line, "line2")).alias(line)).where(F.col(line).isNotNull()).distinct().withColumns({"form": F.lit(0), "moved": F.lit(True)}), "steps")
     rounds = 0
-    state = materialise(lines.select(*keys, line, F.col(points).alias("__own"), F.lit(0).alias("__step")), "lines")
-    while True:
-        parts = [simplified(state.where(F.col("__step") == k).withColumn(points, F.col("__own")), tolerance / 4**k, points) for k in (0, 1)]
-        now = materialise(parts[0].unionByName(parts[1]).unionByName(state.where("__step > 1").withColumn(points, F.col("__own"))), "simplified")
-        closed = F.get(F.col("__own"), F.lit(0)) == F.element_at("__own", -1)
-        flat = now.where(closed & (F.size(points) < 4) & (F.size("__own") >= 4)).select(*keys, line)
-        places = now.select(*keys, line, F.posexplode(segments(F.col(points))).alias("place", "s"))
-        segs = overlay.snapped_segments(places.select(*keys, line, "place", F.array(F.array("s.a", "s.b")).alias("rings")), [*keys, line, "place"], unit, closed=False)
-        back = overlay.touching(segs, keys, line, "place").unionByName(flat).distinct().withColumn("__back", F.lit(1))
-        stepped = now.join(back, [*keys, line], "left").select(*keys, line, "__own", "__step", F.when(F.col("__back").isNotNull() & (F.col("__step") < 2), 1 if rounds == 0 else 2).otherwise(F.col("__step")).alias("__next"))
-        stepped, rounds = materialise(stepped, "lines"), rounds + 1
-        forget(state)
-        if stepped.where("__next <> __step").isEmpty():
-            return lines.drop(points).join(now.select(*keys, line, points), [*keys, line])
-        forget(now)
-        state = stepped.select(*keys, line, "__own", F.col("__next").alias("__step"))
-
-
-def joined_lines(lines: DataFrame, keys: Sequence[str], points: str = "points", unit: float = 1 / 1024) -> DataFrame:
-    """(keys, line_id, points): the union of lines, cut where they meet and joined where just two pieces do."""
-    return merged(overlay.noded_lines(lines, keys, unit, points), keys)
+    while not step.where("moved").isEmpty():
+        now = step.select(*name, "form")
+        met = meet.join(now, [*name, "form"]).join(now.select(*keys, F.col(line).alias("line2"), F.col("form").alias("form2"), F.lit(True).alias("there")), [*other, "form2"], "left").where("line2 IS NULL OR there")
+        back = met.select(*keys, F.explode(F.array(line, "line2")).alias(line)).where(F.col(line).isNotNull()).distinct().withColumn("back", F.lit(True))
+        moves = F.col("back").isNotNull() & (F.col("form") < 2)
+        done, step = step, materialise(now.join(back, name, "left").select(*name, F.when(moves, 1 if rounds == 0 else 2).otherwise(F.col("form")).alias("form"), moves.alias("moved")), "steps")
+        forget(done)
+        rounds += 1
+    forget(meet)
+    taken = F.when(F.col("form") == 2, F.col("__own")).when(F.col("form") == 1, F.col("__mid")).otherwise(F.col(points))
+    return straight.select(*rest, points).unionByName(bent.join(step.drop("moved"), name, "left").select(*rest, taken.alias(points)))
+
+
+def joined_lines(lines: DataFrame, keys: Sequence[str], points: str = "points", unit: float = 1 / 1024, crossing: bool = True) -> DataFrame:
+    """(keys, line_id, points): the union of lines, cut where they meet and joined where just two pieces do; crossing as in overlay.noded()."""
+    return paths(overlay.noded_lines(lines, keys, unit, points, crossing), keys)
 
 
 def clean_up(lines: DataFrame, keys: Sequence[str], width: int, height: int, first: float = 1.0, tolerance: float = 2.0, least: float = 8.0, points: str = "points", unit: float = 1 / 1024) -> DataFrame:
@@ -226,8 +250,10 @@ def clean_up(lines: DataFrame, keys: Sequence[str], width: int, height: int, fir
     Simplification takes the lines as noded arcs, so that a border of two regions stays one line, and makes no crossings.
     """
     arcs = joined_lines(lines, keys, points, unit)
-    again = joined_lines(simplified_apart(arcs, keys, "line_id", first, unit=unit), keys, unit=unit)
-    return clean(simplified_apart(again, keys, "line_id", tolerance, unit=unit), keys, width, height, least, 0.0)
+    again = joined_lines(simplified_apart(arcs, keys, "line_id", first, unit=unit), keys, unit=unit, crossing=False)
+    apart = simplified_apart(again, keys, "line_id", tolerance, unit=unit)
+    # Clipping makes no line longer; the pixel is for rounding.
+    return clean(apart.where(arc_length(F.col("points")) >= least - 1), keys, width, height, least, 0.0)
 
 
 def clean(lines: DataFrame, keys: Sequence[str], width, height, least: float = 8.0, tolerance: float = 2.0, points: str = "points") -> DataFrame:

@@ -34,6 +34,12 @@ def _orient(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
+def _boxes_meet() -> Column:
+    """Whether the boxes of segments ax.. and cx.., the smaller ends first, have a point in common: cheaper than any turn."""
+    c = F.col
+    return (c("ax") <= c("dx")) & (c("cx") <= c("bx")) & (F.least("ay", "by") <= F.greatest("cy", "dy")) & (F.least("cy", "dy") <= F.greatest("ay", "by"))
+
+
 def snapped_segments(features: DataFrame, keep: Sequence[str], unit: float, rings: str = "rings", closed: bool = True) -> DataFrame:
     """(keep, ax, ay, bx, by, way): segments of the rings in whole units, the smaller end first; way is -1 where that turns them.
 
@@ -67,30 +73,37 @@ def _cells(edges: DataFrame, cell: int) -> DataFrame:
     return out.withColumn("__r", F.explode(F.sequence(at(F.least(y1, y2) - 1.5), at(F.greatest(y1, y2) + 1.5))))
 
 
-def noded(segs: DataFrame, keys: Sequence[str], cell: int | None = None) -> DataFrame:
+def noded(segs: DataFrame, keys: Sequence[str], cell: int | None = None, crossing: bool = True) -> DataFrame:
     """segs (keys, more, ax, ay, bx, by, way) cut and snapped where they meet: one row for each piece, in the same columns.
 
-    Only segments with equal keys meet. Two pieces have nothing in common but ends, or are the same.
+    Only segments with equal keys meet. Two pieces have nothing in common but ends, or are the same. With crossing=False no
+    two segments cross, so only corners can cut; segments that pass no other's corner stay as they are.
     """
     keys, more = list(keys), [c for c in segs.columns if c not in {*keys, *EDGE, "way"}]
     segs = materialise(segs, "segments")
     cell = cell or cell_size(segs)
-    once = segs.select(*keys, *EDGE).distinct()
-    held = materialise(_cells(once, cell), "cells")
-    other = held.select(*keys, "__k", "__r", *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+    once = segs.select(*keys, *EDGE)
+    if crossing:
+        once = once.distinct()
+    held = _cells(once, cell)
     c = {n: F.col(n) for n in (*EDGE, "cx", "cy", "dx", "dy")}
     sign = lambda v: F.signum(v.cast("double"))
-    before, after = _orient(c["ax"], c["ay"], c["bx"], c["by"], c["cx"], c["cy"]), _orient(c["ax"], c["ay"], c["bx"], c["by"], c["dx"], c["dy"])
-    first = F.struct(*EDGE) < F.struct(*[F.col(b).alias(a) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
-    apart = sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["ax"], c["ay"])) * sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["bx"], c["by"])) < 0
-    met = held.join(other, [*keys, "__k", "__r"]).where(first & apart & (sign(before) * sign(after) < 0))
-    t = before.cast("double") / (before - after).cast("double")
-    crossing = met.select(*keys, "__k", "__r", *[F.floor(c[a] + (c[b] - c[a]) * t + 0.5).cast("long").alias(n) for n, a, b in (("x", "cx", "dx"), ("y", "cy", "dy"))])
-    # A pair that shares several cells is met in that of its crossing only.
     at = lambda v: F.floor((F.col(v) - 0.5) / cell)
-    crossing = crossing.where((at("x") == F.col("__k")) & (at("y") == F.col("__r"))).select(*keys, "x", "y")
-    corners = once.select(*keys, F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")).select(*keys, "p.x", "p.y")
-    hot = materialise(crossing.unionByName(corners).distinct().withColumn("__k", at("x")).withColumn("__r", at("y")), "hot")
+    ends = F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")
+    corners = once.select(*keys, ends).select(*keys, "p.x", "p.y")
+    if crossing:
+        held = materialise(held, "cells")
+        other = held.select(*keys, "__k", "__r", *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+        before, after = _orient(c["ax"], c["ay"], c["bx"], c["by"], c["cx"], c["cy"]), _orient(c["ax"], c["ay"], c["bx"], c["by"], c["dx"], c["dy"])
+        first = F.struct(*EDGE) < F.struct(*[F.col(b).alias(a) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+        apart = sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["ax"], c["ay"])) * sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["bx"], c["by"])) < 0
+        met = held.join(other, [*keys, "__k", "__r"]).where(_boxes_meet() & first & apart & (sign(before) * sign(after) < 0))
+        t = before.cast("double") / (before - after).cast("double")
+        points = met.select(*keys, "__k", "__r", *[F.floor(c[a] + (c[b] - c[a]) * t + 0.5).cast("long").alias(n) for n, a, b in (("x", "cx", "dx"), ("y", "cy", "dy"))])
+        # A pair that shares several cells is met in that of its crossing only.
+        points = points.where((at("x") == F.col("__k")) & (at("y") == F.col("__r"))).select(*keys, "x", "y")
+        corners = points.unionByName(corners)
+    hot = materialise(corners.distinct().withColumn("__k", at("x")).withColumn("__r", at("y")), "hot")
     # A pixel is half open; on a tie the segment counts as moved by a little to the right and, much less, upwards.
     dx, dy = 2 * (c["bx"] - c["ax"]), 2 * (c["by"] - c["ay"])
 
@@ -101,12 +114,19 @@ def noded(segs: DataFrame, keys: Sequence[str], cell: int | None = None) -> Data
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     near = (c["ax"] <= F.col("x")) & (F.col("x") <= c["bx"]) & (low <= F.col("y")) & (F.col("y") <= high)
     meets = held.join(hot, [*keys, "__k", "__r"]).where(near & (F.abs(side(-1, -1) + side(-1, 1) + side(1, -1) + side(1, 1)) < 4))
+    rest = None
+    if not crossing:
+        own = ((F.col("x") == c["ax"]) & (F.col("y") == c["ay"])) | ((F.col("x") == c["bx"]) & (F.col("y") == c["by"]))
+        hits = materialise(meets.where(~own).select(*keys, *EDGE, "x", "y").distinct(), "hits")
+        hit = hits.select(*keys, *EDGE).distinct()
+        meets, rest = hits.unionByName(hit.select(*keys, *EDGE, ends).select(*keys, *EDGE, "p.x", "p.y")), segs.join(hit, [*keys, *EDGE], "left_anti")
     along = Window.partitionBy(*keys, *EDGE).orderBy("x", F.col("y") * sign(c["by"] - c["ay"]).cast("long"))
     pieces = meets.select(*keys, *EDGE, "x", "y", F.lead("x").over(along).alias("x2"), F.lead("y").over(along).alias("y2")).where("x2 IS NOT NULL")
     cut = segs.join(pieces, [*keys, *EDGE]).select(*keys, *more, F.col("x").alias("px"), F.col("y").alias("py"), "x2", "y2", "way")
     ahead = (F.col("px") < F.col("x2")) | ((F.col("px") == F.col("x2")) & (F.col("py") < F.col("y2")))
-    ends = [F.when(ahead, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("ax", "px", "x2"), ("ay", "py", "y2"), ("bx", "x2", "px"), ("by", "y2", "py"))]
-    return materialise(cut.select(*keys, *more, *ends, F.when(ahead, F.col("way")).otherwise(-F.col("way")).alias("way")), "noded")
+    turned = [F.when(ahead, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("ax", "px", "x2"), ("ay", "py", "y2"), ("bx", "x2", "px"), ("by", "y2", "py"))]
+    out = cut.select(*keys, *more, *turned, F.when(ahead, F.col("way")).otherwise(-F.col("way")).alias("way"))
+    return materialise(out.unionByName(rest) if rest else out, "noded")
 
 
 def winding(edges: DataFrame, keys: Sequence[str], turns: Sequence[str]) -> DataFrame:
@@ -212,10 +232,10 @@ def enclosed(border: DataFrame, keys: Sequence[str]) -> DataFrame:
     return border.groupBy(*keys).agg((F.sum(F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")) / 2).alias("area"))
 
 
-def noded_lines(lines: DataFrame, keys: Sequence[str], unit: float, points: str = "points") -> DataFrame:
-    """(keys, a, b): the union of lines as distinct edges, the smaller end first, cut wherever lines meet."""
+def noded_lines(lines: DataFrame, keys: Sequence[str], unit: float, points: str = "points", crossing: bool = True) -> DataFrame:
+    """(keys, a, b): the union of lines as distinct edges, the smaller end first, cut wherever lines meet; crossing as in noded()."""
     keys = list(keys)
-    pieces = noded(snapped_segments(lines.select(*keys, F.array(points).alias("rings")), keys, unit, closed=False), keys)
+    pieces = noded(snapped_segments(lines.select(*keys, F.array(points).alias("rings")), keys, unit, closed=False), keys, crossing=crossing)
     return as_points(pieces.select(*keys, *EDGE).distinct(), unit, *keys)
 
 
@@ -224,16 +244,17 @@ def as_points(edges: DataFrame, unit: float, *keep: str) -> DataFrame:
     return edges.select(*keep, point(F.col("ax") * unit, F.col("ay") * unit).alias("a"), point(F.col("bx") * unit, F.col("by") * unit).alias("b"))
 
 
-def touching(segs: DataFrame, keys: Sequence[str], line: str, place: str) -> DataFrame:
-    """(keys, line): lines of which a segment meets another one elsewhere than at a common end, or runs along it.
+def touching(segs: DataFrame, keys: Sequence[str], line: str, form: str, place: str, last: int) -> DataFrame:
+    """(keys, line, form, line2, form2): forms of lines of which a segment meets another one elsewhere than at a common end, or runs along it.
 
-    segs: keys, line, its place in the line, and whole ends ax.. as of snapped_segments().
+    segs: keys, line, one of its forms, the place in that form, and whole ends ax.. as of snapped_segments(). A line is in one form
+    at a time, so its forms do not meet each other. Of lines in form `last`, and of those without a name, which have no
+    other form, no pairs among themselves are given; line2 and form2 are null where a form meets a line without a name.
     """
     keys = list(keys)
-    segs = materialise(segs, "segments")
-    held = materialise(_cells(segs, cell_size(segs)), "cells")
+    held = _cells(segs, cell_size(segs))
     c = {n: F.col(n) for n in (*EDGE, "cx", "cy", "dx", "dy")}
-    other = held.select(*keys, "__k", "__r", F.col(line).alias("line2"), F.col(place).alias("place2"), *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+    other = held.select(*keys, "__k", "__r", F.col(line).alias("line2"), F.col(form).alias("form2"), F.col(place).alias("place2"), *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
     sign = lambda *p: F.signum(_orient(*[c[n] for n in p]).cast("double"))
     ab_c, ab_d, cd_a, cd_b = sign(*EDGE, "cx", "cy"), sign(*EDGE, "dx", "dy"), sign("cx", "cy", "dx", "dy", "ax", "ay"), sign("cx", "cy", "dx", "dy", "bx", "by")
     ends = {(p, q): (c[f"{p}x"] == c[f"{q}x"]) & (c[f"{p}y"] == c[f"{q}y"]) for p in "ab" for q in "cd"}
@@ -245,5 +266,7 @@ def touching(segs: DataFrame, keys: Sequence[str], line: str, place: str) -> Dat
         return (side == 0) & within[0] & within[1] & ~at[0] & ~at[1]
 
     meets = ((ab_c * ab_d < 0) & (cd_a * cd_b < 0)) | on(ab_c, "a", "b", "c") | on(ab_d, "a", "b", "d") | on(cd_a, "c", "d", "a") | on(cd_b, "c", "d", "b") | (ends["a", "c"] & ends["b", "d"])
-    pairs = held.join(other, [*keys, "__k", "__r"]).where((F.struct(line, place) < F.struct(F.col("line2").alias(line), F.col("place2").alias(place))) & meets)
-    return pairs.select(*keys, F.explode(F.array(line, "line2")).alias(line)).distinct()
+    first = F.struct(line, place) < F.struct(F.col("line2").alias(line), F.col("place2").alias(place))
+    free = F.when(F.col("line2").isNull(), True).when(F.col("form2") == last, F.col(line) != F.col("line2")).otherwise(first & ((F.col(line) != F.col("line2")) | (F.col(form) == F.col("form2"))))
+    pairs = held.where(F.col(form) < last).join(other, [*keys, "__k", "__r"]).where(_boxes_meet() & free & meets)
+    return pairs.select(*keys, line, form, "line2", "form2").distinct()

@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillmap.operators import hough, joins, raster
+from quillmap.operators import hough, joins, linework, overlay, raster
 from quillmap.plans import instances, overlay_queries
 
 
@@ -250,3 +251,76 @@ def test_greedy_match_of_copies_makes_no_pairs(spark, monkeypatch):
     assert {tuple(x) for x in joins.greedy_match(l, r, ["k"], "p", "q", "l", "r", 100.0).collect()} == want
     # Of 450 rows 50,000 pairs are within reach; what the rounds leave may make a few a row.
     assert max(tables) <= joins.ROW_PAIRS * (len(left) + len(right))
+
+
+def rows_written(monkeypatch, module):
+    """Rows of the tables that a module writes from now on, by name."""
+    rows, plainly = Counter(), module.materialise
+
+    def counted(df, tag, **more):
+        out = plainly(df, tag, **more)
+        rows[tag] += out.count()
+        return out
+
+    monkeypatch.setattr(module, "materialise", counted)
+    return rows
+
+
+def strokes(spark, n, steps, seed):
+    rng = random.Random(seed)
+    lines = []
+    for i in range(n):
+        at = [(rng.uniform(0, 80), rng.uniform(0, 80))]
+        for _ in range(steps):
+            at.append((at[-1][0] + rng.gauss(0, 2), at[-1][1] + rng.gauss(0, 2)))
+        lines.append((i % 2, at))
+    return spark.createDataFrame(lines, "k int, points array<struct<x:double,y:double>>")
+
+
+def test_rounds_of_simplification_pass_over_lines_that_meet_only(spark, monkeypatch):
+    arcs = linework.joined_lines(strokes(spark, 30, 30, 1), ["k"]).select("k", F.col("line_id").cast("string").alias("line_id"), "points")
+    # Many lines with nothing to simplify.
+    far = spark.range(3000).selectExpr("0 AS k", "concat('far', id) AS line_id", "array(named_struct('x', 200.0D + id, 'y', 0.0D), named_struct('x', 200.0D + id, 'y', 9.0D)) AS points")
+    lines = arcs.unionByName(far).localCheckpoint()
+    own = {(r["k"], r["line_id"]): [tuple(p) for p in r["points"]] for r in lines.collect()}
+    rows = rows_written(monkeypatch, linework)
+    got = {(r["k"], r["line_id"]): [tuple(p) for p in r["points"]] for r in linework.simplified_apart(lines, ["k"], "line_id", 2.0).collect()}
+    forms = {n: [[tuple(q) for q in raster.simplify(raster.np.array(p), t).tolist()] for t in (2.0, 0.5)] + [p] for n, p in own.items()}
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    inside = lambda a, b, p: p not in (a, b) and turn(a, b, p) == 0 and min(a[0], b[0]) <= p[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= p[1] <= max(a[1], b[1])
+    step, rounds = dict.fromkeys(own, 0), 0
+    while True:
+        segs = [(n, s) for n in own if "far" not in n[1] for s in zip(forms[n][step[n]], forms[n][step[n]][1:], strict=False)]
+        back = {n for n in own if own[n][0] == own[n][-1] and len(forms[n][step[n]]) < 4 <= len(own[n])}
+        for i, (n, (a, b)) in enumerate(segs):
+            for m, (c, d) in segs[:i]:
+                if n[0] == m[0] and ({a, b} == {c, d} or turn(a, b, c) * turn(a, b, d) < 0 and turn(c, d, a) * turn(c, d, b) < 0 or inside(a, b, c) or inside(a, b, d) or inside(c, d, a) or inside(c, d, b)):
+                    back |= {n, m}
+        moved = {n for n in back if step[n] < 2}
+        if not moved:
+            break
+        step.update(dict.fromkeys(moved, 2 if rounds else 1))
+        rounds += 1
+    assert rounds >= 2 and got == {n: forms[n][step[n]] for n in own}
+    # A line is written once; what rounds write on top are lines that can change.
+    assert rows["lines"] == len(own) and rows["simplified"] + rows["meet"] + rows["steps"] < len(own)
+
+
+def test_noding_again_passes_over_corners_only(spark, monkeypatch):
+    lines = strokes(spark, 24, 20, 2).unionByName(spark.createDataFrame([(0, [(100.0, 0.0), (109.0, 5.0)]), (0, [(106.0, 9.0), (104.0, 2.0)])], "k int, points array<struct<x:double,y:double>>"))
+    pieces = overlay.noded(overlay.snapped_segments(lines.select("k", F.array("points").alias("rings")), ["k"], 1.0, closed=False), ["k"]).select("k", *overlay.EDGE, "way").distinct().localCheckpoint()
+    # A corner that a piece passes through within a pixel.
+    pieces = pieces.unionByName(spark.createDataFrame([(1, 300, 0, 310, 1, 1), (1, 304, -5, 304, 0, 1), (1, 310, 1, 320, 0, 1)], pieces.schema)).localCheckpoint()
+    want = sorted(map(tuple, overlay.noded(pieces, ["k"]).collect()))
+    rows = rows_written(monkeypatch, overlay)
+    assert sorted(map(tuple, overlay.noded(pieces, ["k"], crossing=False).collect())) == want != sorted(map(tuple, pieces.collect()))
+    assert 0 < rows["hits"] < len(want) / 4 and not rows["cells"]
+
+
+def test_edges_that_join_no_other_need_no_task(spark, monkeypatch):
+    edges = [((0.0, float(y)), (float(x), -1.0)) for y in range(30) for x in range(1, 31)] + [((50.0, 0.0), (51.0, 0.0)), ((52.0, 0.0), (51.0, 0.0))]
+    rows = rows_written(monkeypatch, linework)
+    point = "struct<x:double,y:double>"
+    got = {tuple(map(tuple, r["points"])) for r in linework.merged(spark.createDataFrame([(1, a, b) for a, b in edges], f"k int, a {point}, b {point}"), ["k"]).collect()}
+    assert got == {tuple(sorted(e)) for e in edges[:-2]} | {((50.0, 0.0), (51.0, 0.0), (52.0, 0.0))}
+    assert rows["joined"] == 2
