@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from ..functions.geometry import arc_length, clipped_polyline, densified, point,
 from ..storage import forget, materialise
 from . import overlay
 from .fit import plane_value
-from .raster import simplify
 
 
 def canonical_edges(rings: DataFrame, keys: Sequence[str], points: str = "points") -> DataFrame:
@@ -172,6 +172,31 @@ def paths(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return e.join(line, "id", "left_anti").select(*keys, F.col("id").alias("line_id"), F.array("a", "b").alias("points")).unionByName(found)
 
 
+def _kept(xy: np.ndarray, sizes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of lines of so many points, one after the other, raster.simplify() keeps: all spans of a depth side by side."""
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    keep = np.zeros(len(xy), bool)
+    keep[first[sizes > 0]] = keep[last[sizes > 0]] = True
+    i, j = first, last
+    while (wide := j - i >= 2).any():
+        i, j = i[wide], j[wide]
+        inner = j - i - 1
+        start = np.cumsum(inner) - inner
+        span = np.repeat(np.arange(len(i)), inner)
+        at = np.arange(len(span)) + (i + 1 - start)[span]
+        d, rel = xy[j] - xy[i], xy[at] - xy[i][span]
+        along = np.clip((rel * d[span]).sum(1) / np.maximum((d * d).sum(1), 1e-300)[span], 0, 1)[:, None]
+        away = np.hypot(*(rel - along * d[span]).T)
+        most = np.maximum.reduceat(away, start)
+        furthest = np.flatnonzero((away == most[span]) & (most > tolerance)[span])
+        cut, nth = np.unique(span[furthest], return_index=True)
+        k = at[furthest[nth]]
+        keep[k] = True
+        i, j = np.concatenate([i[cut], k]), np.concatenate([k, j[cut]])
+    return keep
+
+
 def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> DataFrame:
     """Lines simplified by Douglas-Peucker, an Arrow batch at a time."""
     kind = lines.schema
@@ -179,8 +204,12 @@ def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(points)
-            kept = [None if p is None else [{"x": x, "y": y} for x, y in simplify(np.array([(q["x"], q["y"]) for q in p]).reshape(-1, 2), tolerance).tolist()] for p in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
+            column, field = batch.column(at), batch.schema.field(at)
+            flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = _kept(np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "xy"], 1), sizes, tolerance)
+            ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
+            thin = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)), mask=column.is_null() if column.null_count else None)
+            yield batch.set_column(at, field, thin.cast(field.type))
 
     return lines.mapInArrow(run, kind)
 

@@ -324,3 +324,13 @@ def test_edges_that_join_no_other_need_no_task(spark, monkeypatch):
     got = {tuple(map(tuple, r["points"])) for r in linework.merged(spark.createDataFrame([(1, a, b) for a, b in edges], f"k int, a {point}, b {point}"), ["k"]).collect()}
     assert got == {tuple(sorted(e)) for e in edges[:-2]} | {((50.0, 0.0), (51.0, 0.0), (52.0, 0.0))}
     assert rows["joined"] == 2
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.25, 2.0])
+def test_lines_simplified_side_by_side_equal_one_by_one(spark, tolerance):
+    rng = random.Random(3)
+    rows = [(None,), ([],), ([(1.0, 2.0)],), ([(0.0, 0.0), (4.0, 3.0), (0.0, 0.0)],), ([(1.0, 1.0)] * 4,), ([(0.0, 0.0), (1.0, 2.0), (2.0, 2.0), (3.0, 0.0)],)]
+    rows += [([(rng.randint(0, 8192) / 1024, rng.randint(0, 8192) / 1024) for _ in range(rng.randint(0, 40))],) for _ in range(200)]
+    lines = spark.createDataFrame([(i, p) for i, (p,) in enumerate(rows)], "id int, points array<struct<x:double,y:double>>")
+    got = {r["id"]: r["points"] and [tuple(p) for p in r["points"]] for r in linework.simplified(lines, tolerance).collect()}
+    assert got == {i: p and [tuple(q) for q in raster.simplify(raster.np.array(p), tolerance).tolist()] for i, (p,) in enumerate(rows)}
