@@ -37,7 +37,8 @@ def votes(pixels: DataFrame, keys: Sequence[str], turns: int = TURNS, least: int
     shown = pixels.where("x is not null and y is not null").select(*keys, "x", "y")
     for k in keys:
         shown = shown.where(F.col(k).isNotNull())
-    sized = shown.join(shown.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TASK_PIXELS).alias("__parts")), keys)
+    # A merge, so that no table of sheets goes through the driver.
+    sized = shown.join(shown.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / TASK_PIXELS).alias("__parts")).hint("merge"), keys)
     sized = sized.withColumn("__part", F.pmod(F.xxhash64("x", "y"), F.col("__parts")))
 
     def count(group: pa.Table) -> pa.Table:
@@ -72,10 +73,11 @@ def peaks(counts: DataFrame, keys: Sequence[str], least: int, turns: int = TURNS
     """
     keys = list(keys)
     strong = counts.where(F.col("votes") >= least)
-    around = F.array(*[F.struct(F.lit(dt).alias("dt"), F.lit(dr).alias("dr")) for dt in (-1, 0, 1) for dr in (-1, 0, 1) if dt or dr])
+    # A line stands at its own place and at those of its neighbours, so one aggregation compares them, without a join.
+    around = F.array(*[F.struct(F.lit(dt).alias("dt"), F.lit(dr).alias("dr")) for dt in (-1, 0, 1) for dr in (-1, 0, 1)])
     seen = strong.withColumn("o", F.explode(around)).withColumn("t", F.col("theta") + F.col("o.dt")).withColumn("r", F.col("rho") + F.col("o.dr"))
-    round_ = (F.col("t") < 0) | (F.col("t") >= turns)
-    seen = seen.select(*keys, F.pmod("t", F.lit(turns)).alias("theta"), F.when(round_, -F.col("r")).otherwise(F.col("r")).alias("rho"), F.struct("votes", (-F.col("theta")).alias("t"), (-F.col("rho")).alias("r")).alias("other"))
-    best = seen.groupBy(*keys, "theta", "rho").agg(F.max("other").alias("other"))
-    own = F.struct("votes", (-F.col("theta")).alias("t"), (-F.col("rho")).alias("r"))
-    return strong.join(best, [*keys, "theta", "rho"], "left").where(F.col("other").isNull() | (own > F.col("other"))).select(*keys, "theta", "rho", "votes")
+    own, round_ = (F.col("o.dt") == 0) & (F.col("o.dr") == 0), (F.col("t") < 0) | (F.col("t") >= turns)
+    rank = F.struct("votes", (-F.col("theta")).alias("t"), (-F.col("rho")).alias("r"))
+    seen = seen.select(*keys, F.pmod("t", F.lit(turns)).alias("theta"), F.when(round_, -F.col("r")).otherwise(F.col("r")).alias("rho"), F.when(own, rank).alias("own"), F.when(~own, rank).alias("other"))
+    best = seen.groupBy(*keys, "theta", "rho").agg(F.max("own").alias("own"), F.max("other").alias("other"))
+    return best.where(F.col("own").isNotNull() & (F.col("other").isNull() | (F.col("own") > F.col("other")))).select(*keys, "theta", "rho", F.col("own.votes").alias("votes"))

@@ -84,6 +84,24 @@ def test_votes_move_only_lines_of_enough_votes(spark, monkeypatch):
     assert got(least=4) == {k: n for k, n in want.items() if n >= 4}
 
 
+def test_votes_and_peaks_send_no_table_through_the_driver(spark):
+    rng = random.Random(6)
+    pixels = sorted({(k, rng.randint(0, 30), rng.randint(0, 30)) for k in (1, 2) for _ in range(90)})
+    counts = hough.votes(spark.createDataFrame(pixels, "sheet int, x int, y int"), ["sheet"], 12)
+    got = hough.peaks(counts, ["sheet"], 3, 12)
+    assert "Broadcast" not in plan(counts) and plan(got).count("Join") == plan(counts).count("Join") and "Broadcast" not in plan(got)
+    n = {(r["sheet"], r["theta"], r["rho"]): r["votes"] for r in counts.collect() if r["votes"] >= 3}
+    rank = lambda k: (n[k], -k[1], -k[2])
+    want = set()
+    for s, t, r in n:
+        # Past the last direction the first comes again with the sign of rho turned.
+        place = lambda a, b: (s, a, b) if 0 <= a < 12 else (s, a % 12, -b)  # noqa: B023, E731
+        beside = {k for k in n for dt in (-1, 0, 1) for dr in (-1, 0, 1) if (dt or dr) and place(k[1] + dt, k[2] + dr) == (s, t, r) and k[0] == s}
+        if all(rank(k) < rank((s, t, r)) for k in beside):
+            want.add((s, t, r, n[s, t, r]))
+    assert {tuple(r) for r in got.collect()} == want and want
+
+
 @pytest.mark.parametrize("canvas", [raster.CANVAS, 1])
 def test_shapes_are_drawn_in_their_order(spark, monkeypatch, canvas):
     monkeypatch.setattr(raster, "CANVAS", canvas)
