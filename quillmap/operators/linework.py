@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import arc_length, clipped_polyline, densified, point, segments
 from ..storage import forget, materialise
-from . import overlay
+from . import overlay, small_sheets
 from .fit import plane_value
+from .raster import kept_points
 
 
 def canonical_edges(rings: DataFrame, keys: Sequence[str], points: str = "points") -> DataFrame:
@@ -142,25 +143,12 @@ def paths(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     line = components(inner.select("a", "b")).select("id", F.col("component").alias("line_id"))
     types = {f.name: f.dataType.simpleString() for f in e.schema}
 
-    def path(pairs: list[tuple]) -> list[tuple]:
-        near: dict[tuple, list[tuple]] = {}
-        for a, b in pairs:
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        # A line may touch itself where more edges of others meet, so ends are nodes of one edge of this line.
-        at = min([n for n, m in near.items() if len(m) == 1] or near)
-        out, left = [at], {frozenset(p) for p in pairs}
-        while step := next((n for n in sorted(near[at]) if frozenset((at, n)) in left), None):
-            left.discard(frozenset((at, step)))
-            out.append(at := step)
-        return out
-
     def run(table: pa.Table) -> pa.Table:
         lines: dict[int, list[int]] = {}
         for i, name in enumerate(table.column("line_id").to_pylist()):
             lines.setdefault(name, []).append(i)
         ends = [[(n["x"], n["y"]) for n in table.column(c).to_pylist()] for c in ("a", "b")]
-        points = [[{"x": x, "y": y} for x, y in path([(ends[0][i], ends[1][i]) for i in rows])] for rows in lines.values()]
+        points = [[{"x": x, "y": y} for x, y in small_sheets.walk([(ends[0][i], ends[1][i]) for i in rows])] for rows in lines.values()]
         first = table.select([*keys, "line_id"]).take(pa.array([rows[0] for rows in lines.values()], pa.int64()))
         return first.append_column("points", pa.array(points, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
@@ -172,31 +160,6 @@ def paths(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return e.join(line, "id", "left_anti").select(*keys, F.col("id").alias("line_id"), F.array("a", "b").alias("points")).unionByName(found)
 
 
-def _kept(xy: np.ndarray, sizes: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which points of lines of so many points, one after the other, raster.simplify() keeps: all spans of a depth side by side."""
-    last = np.cumsum(sizes) - 1
-    first = last - sizes + 1
-    keep = np.zeros(len(xy), bool)
-    keep[first[sizes > 0]] = keep[last[sizes > 0]] = True
-    i, j = first, last
-    while (wide := j - i >= 2).any():
-        i, j = i[wide], j[wide]
-        inner = j - i - 1
-        start = np.cumsum(inner) - inner
-        span = np.repeat(np.arange(len(i)), inner)
-        at = np.arange(len(span)) + (i + 1 - start)[span]
-        d, rel = xy[j] - xy[i], xy[at] - xy[i][span]
-        along = np.clip((rel * d[span]).sum(1) / np.maximum((d * d).sum(1), 1e-300)[span], 0, 1)[:, None]
-        away = np.hypot(*(rel - along * d[span]).T)
-        most = np.maximum.reduceat(away, start)
-        furthest = np.flatnonzero((away == most[span]) & (most > tolerance)[span])
-        cut, nth = np.unique(span[furthest], return_index=True)
-        k = at[furthest[nth]]
-        keep[k] = True
-        i, j = np.concatenate([i[cut], k]), np.concatenate([k, j[cut]])
-    return keep
-
-
 def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> DataFrame:
     """Lines simplified by Douglas-Peucker, an Arrow batch at a time."""
     kind = lines.schema
@@ -206,7 +169,7 @@ def simplified(lines: DataFrame, tolerance: float, points: str = "points") -> Da
             at = batch.schema.get_field_index(points)
             column, field = batch.column(at), batch.schema.field(at)
             flat, sizes = column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = _kept(np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "xy"], 1), sizes, tolerance)
+            keep = kept_points(np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in "xy"], 1), sizes, tolerance)
             ends = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])]
             thin = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(pa.array(keep)), mask=column.is_null() if column.null_count else None)
             yield batch.set_column(at, field, thin.cast(field.type))
@@ -273,18 +236,53 @@ def joined_lines(lines: DataFrame, keys: Sequence[str], points: str = "points",
     return paths(overlay.noded_lines(lines, keys, unit, points, crossing), keys)
 
 
+#: Segments of a sheet that is cleaned up in one task, and those of all sheets of a task, squared and added up.
+SHEET_SEGMENTS, TASK_SQUARES = 512, 4_000_000
+
+
 def clean_up(lines: DataFrame, keys: Sequence[str], width: int, height: int, first: float = 1.0, tolerance: float = 2.0, least: float = 8.0, points: str = "points", unit: float = 1 / 1024) -> DataFrame:
     """(keys, points): lines simplified by `first`, united and joined, simplified by `tolerance`, clipped to the image, of `least` pixels.
 
     Simplification takes the lines as noded arcs, so that a border of two regions stays one line, and makes no crossings.
+    Sheets of up to SHEET_SEGMENTS segments move once and are cleaned up side by side in their tasks; the segments of larger
+    ones meet in joins by cell, as no such sheet need fit a task.
     """
-    arcs = joined_lines(lines, keys, points, unit)
-    again = joined_lines(simplified_apart(arcs, keys, "line_id", first, unit=unit), keys, unit=unit, crossing=False)
-    apart = simplified_apart(again, keys, "line_id", tolerance, unit=unit)
+    keys = list(keys)
+    segs = overlay.snapped_segments(lines.select(*keys, F.array(points).alias("rings")), keys, unit, closed=False).select(*keys, *overlay.EDGE)
+    segs = materialise(segs.where(F.concat(*[F.col(k).cast("string") for k in keys]).isNotNull()), "segments")
+    sizes = materialise(segs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "sizes")
+    small = F.col("__n") <= SHEET_SEGMENTS
+    squares, most = sizes.agg(F.sum(F.when(small, F.col("__n") * F.col("__n"))), F.max("__n")).first()
+    of = lambda df, which: df.join(sizes.where(which).hint("merge"), keys)
+    apart = _arcs_of_small(of(segs, small).drop("__n"), keys, max(1, -(-(squares or 0) // TASK_SQUARES)), first, tolerance, unit)
+    if (most or 0) > SHEET_SEGMENTS:
+        arcs = joined_lines(of(lines.select(*keys, points), ~small).drop("__n"), keys, points, unit)
+        again = joined_lines(simplified_apart(arcs, keys, "line_id", first, unit=unit), keys, unit=unit, crossing=False)
+        apart = apart.unionByName(simplified_apart(again, keys, "line_id", tolerance, unit=unit).select(*keys, "points"))
     # Clipping makes no line longer; the pixel is for rounding.
     return clean(apart.where(arc_length(F.col("points")) >= least - 1), keys, width, height, least, 0.0)
 
 
+def _arcs_of_small(segs: DataFrame, keys: list[str], tasks: int, first: float, tolerance: float, unit: float) -> DataFrame:
+    """(keys, points) of small_sheets.arcs_of() of segments whose sheets are dealt to so many tasks."""
+    types = {f.name: f.dataType.simpleString() for f in segs.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        code = np.zeros(len(table), np.int64)
+        for k in keys:
+            held = table.column(k).combine_chunks().dictionary_encode()
+            code = np.unique(code * (len(held.dictionary) + 1) + held.indices.to_numpy(), return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        at = order[np.searchsorted(code[order], np.arange(code.max() + 1))]
+        of, sizes, xy = small_sheets.arcs_of(code[order], [table.column(c).to_numpy()[order] for c in overlay.EDGE], first, tolerance, unit)
+        flat = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return table.select(keys).take(pa.array(at[of])).append_column("points", pa.ListArray.from_arrays(ends, flat))
+
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "points array<struct<x:double,y:double>>"])
+    return segs.withColumn("__task", F.pmod(F.xxhash64(*keys), F.lit(tasks))).groupBy("__task").applyInArrow(lambda t: run(t.drop(["__task"])), schema)
+
+
 def clean(lines: DataFrame, keys: Sequence[str], width, height, least: float = 8.0, tolerance: float = 2.0, points: str = "points") -> DataFrame:
     """Simplified lines clipped to the image, of which pieces of at least `least` pixels stay; duplicates are dropped."""
     thin = simplified(lines.select(*keys, points), tolerance, points) if tolerance else lines

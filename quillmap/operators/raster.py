@@ -318,6 +318,31 @@ def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return pts[keep]
 
 
+def kept_points(xy: np.ndarray, sizes: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of lines of so many points, one after the other, simplify() keeps: all spans of a depth side by side."""
+    last = np.cumsum(sizes) - 1
+    first = last - sizes + 1
+    keep = np.zeros(len(xy), bool)
+    keep[first[sizes > 0]] = keep[last[sizes > 0]] = True
+    i, j = first, last
+    while (wide := j - i >= 2).any():
+        i, j = i[wide], j[wide]
+        inner = j - i - 1
+        start = np.cumsum(inner) - inner
+        span = np.repeat(np.arange(len(i)), inner)
+        at = np.arange(len(span)) + (i + 1 - start)[span]
+        d, rel = xy[j] - xy[i], xy[at] - xy[i][span]
+        along = np.clip((rel * d[span]).sum(1) / np.maximum((d * d).sum(1), 1e-300)[span], 0, 1)[:, None]
+        away = np.hypot(*(rel - along * d[span]).T)
+        most = np.maximum.reduceat(away, start)
+        furthest = np.flatnonzero((away == most[span]) & (most > tolerance)[span])
+        cut, nth = np.unique(span[furthest], return_index=True)
+        k = at[furthest[nth]]
+        keep[k] = True
+        i, j = np.concatenate([i[cut], k]), np.concatenate([k, j[cut]])
+    return keep
+
+
 def smooth_path(points: np.ndarray, window: int = 5, truncate: bool = True) -> np.ndarray:
     """Moving average of inner vertices; ends and short paths stay; whole numbers if truncate."""
     pts = np.asarray(points, float)

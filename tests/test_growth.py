@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import hough, joins, linework, overlay, raster
+from quillmap.operators import hough, joins, linework, overlay, raster, small_sheets
 from quillmap.plans import instances, overlay_queries
 
 
@@ -352,3 +352,18 @@ def test_lines_simplified_side_by_side_equal_one_by_one(spark, tolerance):
     lines = spark.createDataFrame([(i, p) for i, (p,) in enumerate(rows)], "id int, points array<struct<x:double,y:double>>")
     got = {r["id"]: r["points"] and [tuple(p) for p in r["points"]] for r in linework.simplified(lines, tolerance).collect()}
     assert got == {i: p and [tuple(q) for q in raster.simplify(raster.np.array(p), tolerance).tolist()] for i, (p,) in enumerate(rows)}
+
+
+def test_small_sheets_are_cleaned_up_in_their_tasks(spark, monkeypatch):
+    ring = [(10.0, 10.0), (14.5, 10.0), (14.5, 14.5), (10.0, 14.5), (10.0, 10.0)]
+    odd = [(0, ring), (0, ring[::-1]), (0, [(5.0, 5.0)]), (0, []), (0, None), (0, [(3.0, 3.0), None, (9.0, 3.2), (30.0, 3.0)]), (None, [(0.0, 0.0), (20.0, 0.0)]), (2, [(0.0, 0.0), (40.0, 30.0)]), (2, [(0.0, 0.0), (40.0, 30.0), (60.0, 30.4)])]
+    lines = strokes(spark, 30, 30, 4).unionByName(spark.createDataFrame(odd, "k int, points array<struct<x:double,y:double>>")).withColumn("sheet", F.concat(F.lit("a"), F.col("k"))).localCheckpoint()
+    found = lambda: sorted((r["k"], r["sheet"], tuple(map(tuple, r["points"]))) for r in linework.clean_up(lines, ["k", "sheet"], 80, 80).collect())
+    rows = rows_written(monkeypatch, linework)
+    got = found()
+    # No table but the segments and their numbers is written, and what joins by cell would write is not.
+    assert rows["segments"] > 900 and rows["sizes"] == 3 and set(rows) == {"segments", "sizes"}
+    monkeypatch.setattr(linework, "TASK_SQUARES", 1)
+    monkeypatch.setattr(small_sheets, "SIDE_BY_SIDE", 1)
+    monkeypatch.setattr(linework, "SHEET_SEGMENTS", 455)
+    assert found() == got and {k for k, _, _ in got} == {0, 1, 2} and rows["joined"]
