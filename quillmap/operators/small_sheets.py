@@ -16,7 +16,7 @@ from .raster import kept_points
 SIDE_BY_SIDE = 400_000
 
 
-def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) for every j from low[i] up to high[i]."""
     n = np.maximum(high - low, 0)
     i = np.repeat(np.arange(len(n)), n)
@@ -54,7 +54,7 @@ def noded(sheet: np.ndarray, ends: Sequence[np.ndarray], crossing: bool = True)
     key = _places(np.concatenate([ax, bx]))
     hot = [(sheet, ax, ay), (sheet, bx, by)]
     if crossing:
-        i, j = _spread(np.arange(1, len(ax) + 1), np.searchsorted(key(sheet, ax), key(sheet, bx), "right"))
+        i, j = spread(np.arange(1, len(ax) + 1), np.searchsorted(key(sheet, ax), key(sheet, bx), "right"))
         near = _level(ends, ends, i, j)
         i, j = i[near], j[near]
         a, b, c, d = (ax[i], ay[i]), (bx[i], by[i]), (ax[j], ay[j]), (bx[j], by[j])
@@ -65,7 +65,7 @@ def noded(sheet: np.ndarray, ends: Sequence[np.ndarray], crossing: bool = True)
         hot.append((sheet[i], *[np.floor(c[k] + (d[k] - c[k]) * t + 0.5).astype(np.int64) for k in (0, 1)]))
     hot_sheet, x, y = _distinct(*[np.concatenate(v) for v in zip(*hot, strict=True)])
     at = key(hot_sheet, x)
-    i, j = _spread(np.searchsorted(at, key(sheet, ax)), np.searchsorted(at, key(sheet, bx), "right"))
+    i, j = spread(np.searchsorted(at, key(sheet, ax)), np.searchsorted(at, key(sheet, bx), "right"))
     near = (np.minimum(ay, by)[i] <= y[j]) & (y[j] <= np.maximum(ay, by)[i])
     i, x, y = i[near], x[j[near]], y[j[near]]
     dx, dy = 2 * (bx - ax)[i], 2 * (by - ay)[i]
@@ -170,8 +170,8 @@ def touching(sheets: Sequence[np.ndarray], names: Sequence[np.ndarray], ends: Se
     s2, q, line2, form2, place2 = s2[order], [c[order] for c in q], line2[order], form2[order], place2[order]
     key = _places(np.concatenate([q[0], q[2]]))
     left, right = key(s, p[0]), key(s2, q[0])
-    i, j = _spread(np.searchsorted(right, left), np.searchsorted(right, key(s, p[2]), "right"))
-    j2, i2 = _spread(np.searchsorted(left, right, "right"), np.searchsorted(left, key(s2, q[2]), "right"))
+    i, j = spread(np.searchsorted(right, left), np.searchsorted(right, key(s, p[2]), "right"))
+    j2, i2 = spread(np.searchsorted(left, right, "right"), np.searchsorted(left, key(s2, q[2]), "right"))
     i, j = np.concatenate([i, i2]), np.concatenate([j, j2])
     l1, l2, f1, f2 = line1[i], line2[j], form1[i], form2[j]
     first = (l1 < l2) | ((l1 == l2) & (place1[i] < place2[j]))

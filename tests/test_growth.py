@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import hough, joins, linework, overlay, raster, small_sheets
+from quillmap.operators import hough, joins, linework, overlay, raster, set_areas, small_sheets
 from quillmap.plans import instances, overlay_queries
 
 
@@ -367,3 +367,39 @@ def test_small_sheets_are_cleaned_up_in_their_tasks(spark, monkeypatch):
     monkeypatch.setattr(small_sheets, "SIDE_BY_SIDE", 1)
     monkeypatch.setattr(linework, "SHEET_SEGMENTS", 455)
     assert found() == got and {k for k, _, _ in got} == {0, 1, 2} and rows["joined"]
+
+
+def test_areas_need_no_pieces_of_what_others_cover(spark, tmp_path, monkeypatch):
+    rng, np = random.Random(9), raster.np
+    squares = [("customer", "c_custkey", k, rng.uniform(0, 300)) for k in rng.sample(range(3000), 900)] + [("supplier", "s_suppkey", k, rng.uniform(0, 300)) for k in range(60)]
+    for table, key in (("customer", "c_custkey"), ("supplier", "s_suppkey")):
+        spark.createDataFrame([(k, k % 2, a) for t, _, k, a in squares if t == table], f"{key} long, {table[0]}_nationkey int, {table[0]}_acctbal double").write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = rows_written(monkeypatch, overlay)
+    got = {r["nation"]: tuple(r)[1:] for r in overlay_queries.region_overlay(spark, str(tmp_path)).collect()}
+    assert not rows and len(got) == 2
+    for nation in got:
+        covered = np.zeros((2, 3200, 3200), bool)
+        for t, _, k, a in squares:
+            if k % 2 == nation:
+                x, y, h = (int(a), k * 7 % 1000, 5 + k % 20) if t == "customer" else (int(a), k * 37 % 1000, 40 + k % 60)
+                covered[int(t == "supplier"), x + y - h + 200 : x + y + h + 200, x - y - h + 1400 : x - y + h + 1400] = True
+        p, q = covered
+        assert got[nation] == tuple(v.sum() / 2 for v in (p | q, p & q, p & ~q, p != q))
+
+
+@pytest.mark.parametrize(("cell", "crowd"), [(1024, 10**9), (16, 24), (8, 1)])
+def test_areas_of_odd_regions_equal_the_overlay(spark, monkeypatch, cell, crowd):
+    rng = random.Random(10)
+    ring = lambda n: [(float(rng.randint(0, 60)), float(rng.randint(0, 60))) for _ in range(n)]
+    square = [(10.0, 10.0), (10.0, 50.0), (50.0, 50.0), (50.0, 10.0)]
+    regions = [(k, layer, [ring(rng.randint(3, 7)) for _ in range(rng.randint(1, 2))]) for k in (0, 1) for layer in "xyxy"]
+    regions += [(0, "x", [square, [(20.0, 20.0), (40.0, 20.0), (30.0, 40.0)]]), (0, "y", [square]), (1, "x", None), (1, "y", [[(1.0, 1.0)], []]), (2, "x", [square]), (None, "x", [square])]
+    df = spark.createDataFrame(regions, "k int, layer string, rings array<array<struct<x:double,y:double>>>")
+    edges = overlay.labelled(df, ["k"], 1 / 1024).cache()
+    want = {(r["k"], op): r["area"] for op in overlay.OPERATIONS for r in overlay.enclosed(overlay.outline(edges, ["k"], op, 1 / 1024), ["k"]).collect()}
+    monkeypatch.setattr(set_areas, "CROWD", crowd)
+    # Cells are in units; quartered ones end at a unit.
+    got = {(r["k"], op): r[op] for r in set_areas.areas(df, ["k"], 1 / 8, cell=cell).collect() for op in overlay.OPERATIONS}
+    assert {k for k, _ in got} == {0, 1, 2}
+    for name, area in got.items():
+        assert abs(area - want.get(name, 0.0)) < 0.05
