@@ -9,8 +9,10 @@ grid's vertical lines. No sheet meets in one task: joins are by cell, windows by
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,62 @@ def _cells(edges: DataFrame, cell: int) -> DataFrame:
     return out.withColumn("__r", F.explode(F.sequence(at(F.least(y1, y2) - 1.5), at(F.greatest(y1, y2) + 1.5))))
 
 
+def _crossings(held: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """(keys, x, y): the rounded crossings of segments that _cells() holds."""
+    c = {n: F.col(n) for n in (*EDGE, "cx", "cy", "dx", "dy")}
+    sign = lambda v: F.signum(v.cast("double"))
+    at = lambda v: F.floor((F.col(v) - 0.5) / cell)
+    other = held.select(*keys, "__k", "__r", *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+    before, after = _orient(c["ax"], c["ay"], c["bx"], c["by"], c["cx"], c["cy"]), _orient(c["ax"], c["ay"], c["bx"], c["by"], c["dx"], c["dy"])
+    first = F.struct(*EDGE) < F.struct(*[F.col(b).alias(a) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
+    apart = sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["ax"], c["ay"])) * sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["bx"], c["by"])) < 0
+    # A merge, so that no table of cells goes through the driver.
+    met = held.join(other.hint("merge"), [*keys, "__k", "__r"]).where(_boxes_meet() & first & apart & (sign(before) * sign(after) < 0))
+    t = before.cast("double") / (before - after).cast("double")
+    points = met.select(*keys, "__k", "__r", *[F.floor(c[a] + (c[b] - c[a]) * t + 0.5).cast("long").alias(n) for n, a, b in (("x", "cx", "dx"), ("y", "cy", "dy"))])
+    # A pair that shares several cells is met in that of its crossing only.
+    return points.where((at("x") == F.col("__k")) & (at("y") == F.col("__r"))).select(*keys, "x", "y")
+
+
+def joined_along(segs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ax, ay, bx, by): segments that overlap or touch on a common line as one, the smaller end first."""
+    keys = list(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ax, ay, bx, by = (batch.column(n).to_numpy(zero_copy_only=False) for n in EDGE)
+            dx, dy = bx - ax, by - ay
+            whole = np.maximum(np.gcd(dx, np.abs(dy)), 1)
+            ex, ey = dx // whole, dy // whole
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (ex, ey, ex * ay - ey * ax))], [*batch.schema.names, "__ex", "__ey", "__off"])
+
+    once = segs.select(*keys, *EDGE)
+    lines = once.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in once.schema], "__ex long", "__ey long", "__off long"]))
+    line = [*keys, "__ex", "__ey", "__off"]
+    along = Window.partitionBy(*line).orderBy("ax", "ay")
+    # On an upright line ends differ in y only, on others they stand in the order of x.
+    reach = lines.withColumn("__to", F.when(F.col("__ex") == 0, F.col("by")).otherwise(F.col("bx"))).withColumn("__from", F.when(F.col("__ex") == 0, F.col("ay")).otherwise(F.col("ax")))
+    so_far = F.max("__to").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    cut = reach.withColumn("__new", F.when(F.col("__from") <= so_far, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.groupBy(*line, "__run").agg(F.min(F.struct("ax", "ay")).alias("a"), F.max(F.struct("bx", "by")).alias("b")).select(*keys, F.col("a.ax").alias("ax"), F.col("a.ay").alias("ay"), F.col("b.bx").alias("bx"), F.col("b.by").alias("by"))
+
+
+def nodes(segs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, x, y): where segments end or cross, in whole units: the ends of the pieces of noded(), without cutting any.
+
+    Segments that overlap on a line are one, so that a place is not found again by each of them.
+    """
+    keys = list(keys)
+    segs = materialise(segs.select(*keys, *EDGE).distinct(), "segments")
+    long = materialise(joined_along(segs, keys), "joined")
+    cell = cell_size(long)
+    ends = F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")
+    corners = segs.select(*keys, ends).select(*keys, "p.x", "p.y")
+    # Dealt to a number of tasks that is not lowered: few segments may have many crossings.
+    held = _cells(long, cell).repartition(int(segs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "__k", "__r")
+    return _crossings(held, keys, cell).unionByName(corners).distinct()
+
+
 def noded(segs: DataFrame, keys: Sequence[str], cell: int | None = None, crossing: bool = True) -> DataFrame:
     """segs (keys, more, ax, ay, bx, by, way) cut and snapped where they meet: one row for each piece, in the same columns.
 
@@ -93,16 +151,7 @@ def noded(segs: DataFrame, keys: Sequence[str], cell: int | None = None, crossin
     corners = once.select(*keys, ends).select(*keys, "p.x", "p.y")
     if crossing:
         held = materialise(held, "cells")
-        other = held.select(*keys, "__k", "__r", *[F.col(a).alias(b) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
-        before, after = _orient(c["ax"], c["ay"], c["bx"], c["by"], c["cx"], c["cy"]), _orient(c["ax"], c["ay"], c["bx"], c["by"], c["dx"], c["dy"])
-        first = F.struct(*EDGE) < F.struct(*[F.col(b).alias(a) for a, b in zip(EDGE, ("cx", "cy", "dx", "dy"), strict=True)])
-        apart = sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["ax"], c["ay"])) * sign(_orient(c["cx"], c["cy"], c["dx"], c["dy"], c["bx"], c["by"])) < 0
-        met = held.join(other, [*keys, "__k", "__r"]).where(_boxes_meet() & first & apart & (sign(before) * sign(after) < 0))
-        t = before.cast("double") / (before - after).cast("double")
-        points = met.select(*keys, "__k", "__r", *[F.floor(c[a] + (c[b] - c[a]) * t + 0.5).cast("long").alias(n) for n, a, b in (("x", "cx", "dx"), ("y", "cy", "dy"))])
-        # A pair that shares several cells is met in that of its crossing only.
-        points = points.where((at("x") == F.col("__k")) & (at("y") == F.col("__r"))).select(*keys, "x", "y")
-        corners = points.unionByName(corners)
+        corners = _crossings(held, keys, cell).unionByName(corners)
     hot = materialise(corners.distinct().withColumn("__k", at("x")).withColumn("__r", at("y")), "hot")
     # A pixel is half open; on a tie the segment counts as moved by a little to the right and, much less, upwards.
     dx, dy = 2 * (c["bx"] - c["ax"]), 2 * (c["by"] - c["ay"])

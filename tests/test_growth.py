@@ -403,3 +403,37 @@ def test_areas_of_odd_regions_equal_the_overlay(spark, monkeypatch, cell, crowd)
     assert {k for k, _ in got} == {0, 1, 2}
     for name, area in got.items():
         assert abs(area - want.get(name, 0.0)) < 0.05
+
+
+def test_nodes_of_overlapping_segments_are_found_once(spark, monkeypatch):
+    rng = random.Random(11)
+    steps = [(1, 1), (1, -1), (0, 1), (1, 0), (2, 1), (3, -2)]
+    segs = set()
+    for _ in range(300):
+        k, (ex, ey), at, n = rng.randint(0, 1), rng.choice(steps), (rng.randint(0, 12), rng.randint(0, 12)), rng.randint(1, 6)
+        segs.add((k, *at, at[0] + n * ex, at[1] + n * ey, 1))
+    df = spark.createDataFrame(sorted(segs), "k int, ax long, ay long, bx long, by long, way int").localCheckpoint()
+    ends = {(r["k"], *p) for r in overlay.noded(df, ["k"]).collect() for p in ((r["ax"], r["ay"]), (r["bx"], r["by"]))}
+    rows = rows_written(monkeypatch, overlay)
+    found = [tuple(r) for r in overlay.nodes(df, ["k"]).collect()]
+    assert set(found) == ends and len(found) == len(ends)
+    line = lambda s: (s[0], (g := math.gcd(s[3] - s[1], s[4] - s[2])) and (s[3] - s[1]) // g, (s[4] - s[2]) // g, ((s[3] - s[1]) * s[2] - (s[4] - s[2]) * s[1]) // g)
+    assert rows["joined"] < len(segs) and len({line(s) for s in segs}) <= rows["joined"]
+    long = {tuple(r) for r in overlay.joined_along(df, ["k"]).collect()}
+    for s in segs:
+        over = [t for t in long if line((*t, 1)) == line(s) and t[1:3] <= s[1:3] and s[3:5] <= t[3:5]]
+        assert len(over) == 1
+    # Pairs of the cells do not go through the driver.
+    assert "Broadcast" not in plan(overlay.nodes(df, ["k"]))
+
+
+def test_noded_corners_cuts_no_segment(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, 1, float(k * 37 % 90)) for k in range(200)], "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(k, 1, float(k * 5)) for k in range(9)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = rows_written(monkeypatch, overlay)
+    got = [tuple(r) for r in overlay_queries.noded_corners(spark, str(tmp_path)).collect()]
+    squares = [(int(k * 37 % 90), k * 7 % 1000, 5 + k % 20) for k in range(200)] + [(k * 5, k * 37 % 1000, 40 + k % 60) for k in range(9)]
+    up = {(x + y + s * h, v) for x, y, h in squares for s in (-1, 1) for v in range(x - y - h, x - y + h + 1)}
+    across = {(u, x - y + s * h) for x, y, h in squares for s in (-1, 1) for u in range(x + y - h, x + y + h + 1)}
+    assert sorted(got) == sorted((1, u, v) for u, v in up & across)
+    assert not rows["cells"] and not rows["noded"] and not rows["hot"]
